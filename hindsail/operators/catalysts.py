@@ -148,8 +148,8 @@ def trigger_reasons(df: DataFrame, move_pct: float = 3.0, confidence_at: float =
     """The older rule: reasons array by fixed thresholds on price_move_pct, confidence (of a failure) and correlated_failures, and trigger."""
     move = F.col("price_move_pct")
     reasons = F.array_compact(F.array(
-        F.when(F.abs(move) >= move_pct, F.concat(F.when(move >= 0, "price_move_up_").otherwise("price_move_down_"), F.format_number(F.abs(move), "0.0"), F.lit("pct"))),
-        F.when(F.col("was_wrong").cast("boolean") & (F.col("confidence") >= confidence_at), F.concat(F.lit("high_confidence_failure_"), F.format_number("confidence", "0.00"))),
+        F.when(F.abs(move) >= move_pct, F.concat(F.when(move >= 0, "price_move_up_").otherwise("price_move_down_"), F.format_string("%.1f", F.abs(move)), F.lit("pct"))),
+        F.when(F.col("was_wrong").cast("boolean") & (F.col("confidence") >= confidence_at), F.concat(F.lit("high_confidence_failure_"), F.format_string("%.2f", "confidence"))),
         F.when(F.col("correlated_failures") >= assets, F.concat(F.lit("correlated_failures_"), F.col("correlated_failures"), F.lit("_assets"))),
     ))
     return df.withColumn("reasons", reasons).withColumn("trigger", F.size("reasons") > 0)
