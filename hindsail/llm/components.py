@@ -1,4 +1,4 @@
-"""Connected components of a link table, as joins and aggregates."""
+"""Connected components of a link table by contraction, as joins and aggregates."""
 
 from __future__ import annotations
 
@@ -7,25 +7,29 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 
-def spread_labels(nodes: DataFrame, links: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, label) with the smallest label of each component.
+def component_labels(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, label) for the nodes of links(a, b): label is one node of the component, the same for all of them.
 
-    nodes: (node, label), a label per node, no two nodes alike. links: (a, b)
-    between nodes, one direction is enough. Every round a node takes the
-    smallest label among its own and its neighbours', then the label that its
-    label's first owner has by now (pointer jumping), so a chain of length n
-    needs about log n rounds. Labels are written between rounds; links and
-    labels are joined on their keys and never leave the executors.
+    Nodes are ordered by a hash. Every round a node is renamed to the first
+    name among its own and its neighbours', followed once (pointer jumping);
+    links are renamed alike and those within one name fall away. A dense group
+    shrinks to a point at once, and a chain by a constant factor a round,
+    because hashed names fall in no order along it. Tables are written between
+    rounds and never leave the executors.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    start = written(nodes.select("node", "label", F.col("label").alias("first")), "labels")
-    now = start
+    mixed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v")).alias(c)
+    both = links.where("a <> b").select(mixed("a"), mixed("b"))
+    both = written(both.union(both.select("b", "a")).distinct(), "links")
+    names = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     for step in range(rounds):
-        near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = now.join(near, now.node == near.a, "left").select("node", "first", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        lower = written(lower, f"lower{step}")
-        owner = lower.select(F.col("first").alias("label"), F.col("label").alias("further"))
-        now = written(lower.join(owner, "label", "left").select("node", "first", "was", F.least("label", "further").alias("label")), f"labels{step}")
-        if not now.where("label <> was").limit(1).count():
-            return now.select("node", "label")
+        if both.isEmpty():
+            return names.select(F.col("node.v").alias("node"), F.col("label.v").alias("label"))
+        near = written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), f"near{step}")
+        further = near.select(F.col("a").alias("to"), F.col("to").alias("new"))
+        renamed = written(near.join(further, "to").select("a", "new"), f"renamed{step}")
+        names = names.join(renamed, names["label"] == renamed["a"], "left").select("node", F.coalesce("new", "label").alias("label"))
+        names = written(names, f"names{step}")
+        head, tail = renamed.select("a", F.col("new").alias("x")), renamed.select(F.col("a").alias("b"), F.col("new").alias("y"))
+        moved = both.join(head, "a").join(tail, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        both = written(moved, f"links{step}")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
-from .components import spread_labels
+from .components import component_labels
 
 MAX_BITS = 4
 #: Bytes that fingerprints at most MAX_BITS apart share at least.
@@ -103,9 +103,9 @@ def links(index: DataFrame) -> DataFrame:
 
 
 def cross_links(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Verified links inside long lists between different components, of which one is not the hub's."""
-    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    long = index.where(F.col("listed") > SHORT).join(named("fp"), "fp").join(named("hub"), "hub")
+    """Verified links inside long lists between different components, of which one is not the hub's. labels(node, label); a fingerprint without one is its own component."""
+    named = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    long = named(named(index.where(F.col("listed") > SHORT), "fp"), "hub")
     outside = long.where("fp_label <> hub_label").select("at", "bytes", "fp", "fp_label")
     ends = long.select("at", "bytes", F.col("fp").alias("to"), F.col("fp_label").alias("to_label"))
     xor = F.col("fp").bitwiseXOR(F.col("to"))
@@ -113,18 +113,16 @@ def cross_links(index: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """prints(doc_id, fp) -> (fp, first, label): first is the smallest id with that fingerprint, label the smallest of its component. Null ids are never the smallest."""
+    """prints(doc_id, fp) -> (fp, label): label is the smallest id of the fingerprint's component. Null ids are never the smallest."""
     nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "nodes")
     index = written(postings(nodes), "postings")
     found = written(links(index), "found")
-    inner = index.select("fp").distinct().join(nodes, "fp").select(F.col("fp").alias("node"), F.coalesce("first", F.lit((1 << 63) - 1)).alias("label"))
-    labels = written(spread_labels(inner, found), "closed")
-    while True:
-        more = written(cross_links(index, labels), "more")
-        if more.isEmpty():
-            break
-        labels = written(spread_labels(inner, found := found.union(more)), "closed")
-    return nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.least("first", "label").alias("label"))
+    labels = component_labels(found)
+    while not (more := written(cross_links(index, labels), "more")).isEmpty():
+        labels = component_labels(found := found.union(more))
+    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("part"))
+    smallest = named.groupBy("part").agg(F.min("first").alias("label"))
+    return named.join(smallest, "part").select("fp", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -135,6 +133,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no rows; a row with a null id belongs to its text's component.
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "prints")
-    named = components(prints).select("fp", "label")
+    named = components(prints)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.col("label").alias("component_id"))
