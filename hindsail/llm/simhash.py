@@ -35,6 +35,10 @@ MINIMUM = 8 - MAX_BITS
 #: Longest list that is expanded into pairs.
 SHORT = 32
 SEED = 42
+#: near_copies(): two fingerprints over distinct words, by these seeds; byte positions shared in one of them; bits of both that may differ.
+WORD_SEEDS = (42, 43)
+WORD_MINIMUM = 3
+WORD_BITS = 32
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -68,9 +72,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _positions() -> list[tuple[int, int]]:
-    """(number, mask as a signed long) of every MINIMUM byte positions of 8."""
-    masks = [sum(0xFF << 8 * p for p in chosen) for chosen in itertools.combinations(range(8), MINIMUM)]
+def _positions(minimum: int = MINIMUM) -> list[tuple[int, int]]:
+    """(number, mask as a signed long) of every `minimum` byte positions of 8."""
+    masks = [sum(0xFF << 8 * p for p in chosen) for chosen in itertools.combinations(range(8), minimum)]
     return [(k, m - (1 << 64) if m >> 63 else m) for k, m in enumerate(masks)]
 
 
@@ -136,3 +140,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = components(prints)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.col("label").alias("component_id"))
+
+
+def _words_print(words: list[bytes], seed: int) -> int:
+    """Signed 64-bit SimHash of the distinct words, each counted once; no words: 0."""
+    import xxhash
+
+    own = set(words)
+    if not own:
+        return 0
+    bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in own]), np.uint8)).reshape(-1, 64)
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(own)).view(">i8")[0])
+
+
+def _shingle_set(text: bytes | None, width: int) -> list[int]:
+    """Sorted signed XXH64 of the distinct word shingles; fewer words than width are one shingle, none give none."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    own = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    return sorted(v - (1 << 64) if (v := xxhash.xxh64_intdigest(x, SEED)) >> 63 else v for x in own)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity. docs(key, text); sets are made only for texts in a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingle_set(x, width) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
+    texts = docs.join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", F.col("text").cast("binary"))
+    sets = written(texts.mapInArrow(run, "key string, s array<long>").join(asked, "key").select("node", "s"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(key string, component_id) for every distinct text of docs, key being its MD5 (of the empty text for null): component_id is the smallest id reachable over texts of at least this Jaccard similarity of word shingles.
+
+    Shingle sets at 0.8 are too far apart for 64 bits, so candidates come from
+    two fingerprints over distinct words, which near copies share nearly all
+    of: the byte-position index posts every 3 positions of each, lists are
+    joined star-wise to their medoid, pairs within WORD_BITS are verified on the
+    shingle sets themselves, and what a star leaves apart is compared across
+    components as in near_duplicates(). Texts of equal words are one component;
+    null ids are never the smallest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [x.lower().split() for x in batch.column(2).to_pylist()]
+            prints = [pa.array([_words_print(w, seed) for w in words], pa.int64()) for seed in WORD_SEEDS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints], ["doc_id", "key", "f", "g"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
+    prints = keyed.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key string, f long, g long")
+    grouped = prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("f").alias("f"), F.min("g").alias("g"))
+    nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = F.explode(F.array(*[F.struct(F.lit(56 * s + k).alias("at"), F.col(c).bitwiseAND(F.lit(m)).alias("bytes")) for s, c in enumerate("fg") for k, m in _positions(WORD_MINIMUM)])).alias("p")
+    spread = nodes.select("node", "f", "g").repartition(parts, "node").select("node", sets).select("p.at", "p.bytes", "node")
+    lists = spread.groupBy("at", "bytes").agg(F.count("*").alias("listed")).where("listed > 1")
+    members = written(spread.join(lists.select("at", "bytes"), ["at", "bytes"], "left_semi").join(nodes.select("node", "f", "g"), "node"), "members")
+    bit = lambda b: F.sum(F.shiftrightunsigned("f", b).bitwiseAND(1))
+    half = F.count("*") / 2
+    middle = members.groupBy("at", "bytes").agg(*[(bit(b) > half).cast("long").alias(f"b{b}") for b in range(64)])
+    centre = F.lit(0).cast("long")
+    for b in range(64):
+        centre = centre.bitwiseOR(F.shiftleft(F.col(f"b{b}"), b))
+    middle = middle.select("at", "bytes", centre.alias("centre"))
+    near = members.join(middle, ["at", "bytes"]).groupBy("at", "bytes").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("centre"))).alias("d"), "node", "f", "g")).alias("hub"))
+    index = written(members.join(near, ["at", "bytes"]).select("at", "bytes", "node", "f", "g", "hub"), "index")
+    apart = lambda a, b: F.bit_count(F.col(a + "f").bitwiseXOR(F.col(b + "f"))) + F.bit_count(F.col(a + "g").bitwiseXOR(F.col(b + "g")))
+    star = index.where((F.col("node") != F.col("hub.node")) & (apart("", "hub.") <= WORD_BITS)).select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+    tried = written(star, "star")
+    found = written(_verified(tried, nodes, keyed, similarity, width), "found")
+    while True:
+        labels = component_labels(found)
+        named = index.select("at", "bytes", "node", "f", "g", F.col("hub.node").alias("hub")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = written(named.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("h")), "hub", "left").withColumn("h", F.coalesce("h", "hub")), "named")
+        x, y = named.where("label <> h").alias("x"), named.alias("y")
+        meet = (F.col("x.at") == F.col("y.at")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.label") != F.col("y.label")) & (apart("x.", "y.") <= WORD_BITS)
+        across = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        across = written(across.join(tried, ["a", "b"], "left_anti"), "across")
+        more = written(_verified(across, nodes, keyed, similarity, width), "more")
+        if more.isEmpty():
+            break
+        found, tried = found.union(more), tried.union(across)
+    whole = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = whole.groupBy("label").agg(F.min("first").alias("component_id"))
+    return whole.join(smallest, "label").select("key", "component_id")

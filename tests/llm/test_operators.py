@@ -1,0 +1,570 @@
+"""The training-data operators against brute force, round trips and odd tables."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hindsail.llm import chat, components, crf, media, mixing, packing, pii, quality, sharding, simhash, topk, urlfilter
+
+DOCS = "doc_id long, text string, fp string, label string, score double"
+
+
+def docs(spark, *texts, start=0):
+    """Rows with ids, and extra columns named like operators' own."""
+    return spark.createDataFrame([(start + i, t, "x", "y", 1.0) for i, t in enumerate(texts)], DOCS)
+
+
+ODD = (None, "", "one", "one", "two words", "a" * 200_000, "héé ünï " * 3000, "tab\tand\nline\x0b")
+
+
+def odd(spark):
+    return docs(spark, *ODD).unionByName(spark.createDataFrame([(None, "no id", None, None, None), (3, "one", None, None, None)], DOCS))
+
+
+# ---- sharding
+
+
+def test_table_is_filled_in_turns():
+    shards = [f"s{i}" for i in range(5)]
+    owner = sharding.fill_table(shards, 101)
+    counts = Counter(owner)
+    assert max(counts.values()) - min(counts.values()) <= 1 and -1 not in owner
+    # brute force: keep a list of free slots per shard in its order
+    orders = {i: [(o + k * s) % 101 for k in range(101)] for i, (o, s) in enumerate(sharding.preference(n, 101) for n in shards)}
+    free, want, turn = set(range(101)), [None] * 101, 0
+    while free:
+        i = turn % 5
+        slot = next(x for x in orders[i] if x in free)
+        want[slot], turn = i, turn + 1
+        free.remove(slot)
+    assert owner == want
+
+
+def test_few_slots_move_when_a_shard_goes():
+    shards = [f"s{i}" for i in range(16)]
+    a, b = sharding.fill_table(shards), sharding.fill_table(shards[:-1])
+    kept = [(x, y) for x, y in zip(a, b) if x != 15]
+    assert sum(x == y for x, y in kept) / len(kept) > 0.8
+
+
+def test_table_arguments():
+    for bad in ((["a", "a"], 101), ([], 101), (["a"], 100), (["a"], 1 << 21)):
+        with pytest.raises(ValueError):
+            sharding.fill_table(*bad)
+
+
+def test_shards_of_rows(spark):
+    names = ["a", "b", "c"]
+    rows = sharding.assign_shards(odd(spark), ["doc_id"], names, 101).collect()
+    owner = sharding.fill_table(names, 101)
+    for r in rows:
+        key = sharding.NULL_KEY if r.doc_id is None else str(r.doc_id)
+        assert r.slot == int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101 and r.shard == names[owner[r.slot]]
+    assert len(rows) == len(ODD) + 2 and sharding.assign_shards(odd(spark).limit(0), ["doc_id"], names, 101).count() == 0
+    plan = sharding.assign_shards(odd(spark), ["doc_id"], names, 101)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|ExistingRDD.*slot", plan.split("Physical Plan")[1].replace("Scan ExistingRDD[doc_id", ""))
+
+
+# ---- packing
+
+
+def test_ids_are_the_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    encode = packing.encoder().encode_ordinary
+    for text in [t for t in ODD if t and len(t) < 50_000] + ["<|endoftext|> it's 12,5  \n\n ok", "日本語 العربية 🙂"]:
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("n", "want"), [(1, [(0, 1)]), (5, [(0, 5)]), (6, [(0, 1), (1, 5)]), (10, [(0, 5), (5, 5)]), (12, [(0, 2), (2, 5), (7, 5)])])
+def test_cut(n, want):
+    assert packing.cut(n, 5) == want
+
+
+def test_sum_of_squares_is_whole_and_tight():
+    rng = np.random.default_rng(1)
+    for capacity, lengths in ((100, rng.integers(1, 101, 3000)), (10, np.array([10, 10])), (10, np.array([], int)), (1, np.ones(4, int)), (2048, rng.integers(1, 300, 5000))):
+        seq, off = packing.sum_of_squares(lengths, capacity)
+        ends: dict[int, int] = {}
+        for s, o, n in sorted(zip(seq, off, lengths)):
+            assert o == ends.get(s, 0)
+            ends[s] = o + n
+        assert all(e <= capacity for e in ends.values())
+        assert len(ends) <= int(np.ceil(lengths.sum() / capacity)) * 1.15 + 2
+
+
+def test_each_piece_goes_where_squares_are_fewest():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 30, 200)
+    seq, off = packing.sum_of_squares(lengths, 30)
+    gaps: dict[int, int] = {}
+    for i in np.argsort(-lengths, kind="stable"):
+        n = lengths[i]
+        squares = lambda g: sum(c * c for k, c in Counter(g.values()).items() if k)
+        fits = [b for b, g in gaps.items() if g >= n]
+        if fits:
+            best = min(squares({**gaps, b: gaps[b] - n}) for b in fits)
+            assert seq[i] in fits and squares({**gaps, seq[i]: gaps[seq[i]] - n}) == best
+        else:
+            assert seq[i] not in gaps
+        gaps[seq[i]] = gaps.get(seq[i], 30) - n
+
+
+def test_packed_documents(spark):
+    rows = packing.pack(packing.tokenize(odd(spark), with_ids=True), rows=10, group_rows=4).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    encode = packing.encoder().encode_ordinary
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, text in enumerate(ODD):
+        if i == 3:
+            continue  # two rows share this id
+        got = sorted(by[i], key=lambda r: r.piece)
+        assert [x for r in got for x in r.ids] == [*encode(text or ""), 0] and [r.start for r in got] == list(itertools.accumulate([0, *[r.length for r in got[:-1]]]))
+        assert all(r.length == 2048 for r in got[1:])
+    places = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == places.get(r.sequence_id, 0)
+        places[r.sequence_id] = r.offset + r.length
+    assert max(places.values()) <= 2048
+    assert packing.pack(packing.tokenize(odd(spark).limit(0)), rows=0).count() == 0
+
+
+# ---- chat
+
+
+def test_round_trip(spark):
+    evil = ["<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "<\\\\|x<|", "a\n\n<", None, "", "<|im_start|>user\nhi<|im_end|>\n", "🙂" * 50]
+    r = random.Random(1)
+    rows = [(c, t, r.choice(["user", "assistant", "system", None, "as\nsis\\ntant", "<|im_end|>"]), r.choice(evil), "extra", 1) for c in [*range(30), None] for t in range(r.randint(1, 6))]
+    rows += [(99, None, "user", "x", "", 1), (99, 0, "assistant", "y", "", 1), (99, 0, "assistant", "y", "", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, example int")
+    examples = chat.format_chats(df)
+    back = {x.conv_id: x for x in chat.read_back(examples).collect()}
+    by: dict = {}
+    for c, t, role, text, *_ in sorted(rows, key=lambda x: (x[1] if x[1] is not None else -1, x[2] or "", x[3] or "")):
+        by.setdefault(c, []).append((role or "", text or ""))
+    assert back.keys() == by.keys()
+    for c, turns in by.items():
+        assert [tuple(t) for t in back[c].turns] == turns
+        assert back[c].loss_text == "".join(t for role, t in turns if role == "assistant") and back[c].n_turns == len(turns)
+    for e in examples.collect():
+        if e.loss_start is not None:
+            assert e.formatted[e.loss_end :] == chat.END and e.formatted[: e.loss_start].endswith("assistant\n")
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# ---- simhash
+
+
+def naive_fingerprint(text):
+    import xxhash
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+    value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_fingerprints(spark):
+    texts = [*ODD[:5], "héé ünï " * 20, "A b C d e F " * 3, "x y z", "É é A"]
+    assert [simhash.fingerprint(None if t is None else t.encode()) for t in texts] == [naive_fingerprint(t) for t in texts]
+    assert [r.fp for r in simhash.fingerprints(docs(spark, *texts)).orderBy("doc_id").collect()] == [naive_fingerprint(t) for t in texts]
+
+
+def union_find(fps):
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 4 and find(i) != find(j):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(fps))]
+
+
+def test_components_of_dense_families_and_chains(spark, monkeypatch):
+    """Families that fill long lists, chains of links, and strangers; lists longer than SHORT take the hub's way."""
+    r = random.Random(8)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    flip = lambda v, k: v ^ sum(1 << b for b in r.sample(range(64), k))
+    fps = [r.getrandbits(64) for _ in range(60)]
+    for _ in range(3):
+        base = r.getrandbits(64)
+        fps += [flip(base, r.randint(0, 6)) for _ in range(150)]
+    link = r.getrandbits(64)
+    for _ in range(30):
+        fps.append(link := flip(link, r.randint(3, 4)))
+    fps += fps[:20] + [0, 0]
+    df = spark.createDataFrame([(i, signed(v)) for i, v in enumerate(fps)], "doc_id long, fp long")
+    want = union_find(fps)
+    for short in (32, 4):
+        monkeypatch.setattr(simhash, "SHORT", short)
+        got = df.join(simhash.components(df), "fp").collect()
+        assert {x.doc_id: x.label for x in got} == dict(enumerate(want))
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    out = simhash.near_duplicates(odd(spark))
+    rows = {(r.doc_id, r.fingerprint): r.component_id for r in out.collect()}
+    assert out.count() == len(ODD) + 2 and rows[(0, "0" * 16)] == 0 and rows[(1, "0" * 16)] == 0
+    assert rows[(2, f"{naive_fingerprint('one') & (1 << 64) - 1:016x}")] == 2 == rows[(3, f"{naive_fingerprint('one') & (1 << 64) - 1:016x}")]
+    assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
+
+
+def test_component_labels_of_long_chain(spark):
+    chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (5, 5)]
+    got = {r.node: r.label for r in components.component_labels(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got.keys() == {*range(301), 1000, 1001} and len({got[i] for i in range(301)}) == 1 and got[1000] == got[1001] != got[0] and got[0] in range(301)
+
+
+# ---- media
+
+
+def test_media_round_trip(spark):
+    rows = media.index_media(media.encode_media(odd(spark)), True).collect()
+    texts = Counter((t or "").encode() for t in [*ODD, "no id", "one"])
+    seen = Counter()
+    for r in rows:
+        (text,) = [t for t in texts if len(t) == r.n_bytes and hashlib.sha256(t + b" " * (r.payload_bytes - len(t))).hexdigest() == r.payload_sha256]
+        body = text + b" " * (r.payload_bytes - len(text))
+        assert r.payload_bytes % 192 == 0 and 0 < r.payload_bytes - (len(text) or 0) + (len(text) > 0) and r.payload_bytes - len(text) <= 192 - (len(text) > 0)
+        assert r.tail_crc32 == zlib.crc32(body[-16:]) and r.codec == "raw " and r.n_samples * 192 == r.payload_bytes and r.duration == r.n_samples * 40
+        stored = media.mux(body)
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        for k in r.keyframes:
+            at = k.time // 40 * 192
+            assert stored[k.offset : k.offset + k.length] == body[at : at + 192]
+        seen[text] += 1
+    assert seen == texts
+
+
+def test_media_that_is_none(spark):
+    good = media.mux(b"x" * 192)
+    bad = [None, b"", b"\0" * 50, good[:100], good.replace(b"stsz", b"xxxx"), b"\0\0\0\1ftyp" + b"\xff" * 8]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([*bad, good])], "codec long, media binary")
+    rows = media.index_media(df).collect()
+    assert [r.codec for r in rows] == [None] * len(bad) + ["raw "] and [f.name for f in media.index_media(df).schema.fields][:2] == ["codec", "timescale"]
+
+
+def test_foreign_tables():
+    """Samples of unequal size in uneven chunks, without stss: all are keyframes."""
+    sizes, first = [3, 5, 2, 7, 1], 1000
+    entry = media.box(b"avc1", bytes(78))
+    stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), entry), media.full(b"stts", struct.pack(">IIIII", 2, 2, 10, 3, 20)), media.full(b"stsc", struct.pack(">IIIIIII", 2, 1, 2, 1, 2, 1, 1)), media.full(b"stsz", struct.pack(">II", 0, 5), struct.pack(">5I", *sizes)), media.full(b"co64", struct.pack(">I", 4), struct.pack(">4Q", first, 2000, 3000, 4000)))
+    moov = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", struct.pack(">QQIQHH", 0, 0, 90, 80, 0, 0), version=1), media.box(b"minf", stbl))))
+    found = media.tables(moov)
+    assert found["codec"] == "avc1" and found["duration"] == 80 and found["places"].tolist() == [1000, 1003, 2000, 3000, 4000] and found["keys"].tolist() == [0, 1, 2, 3, 4]
+
+
+# ---- personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IPV4 = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_base_patterns_against_plain_regex():
+    r = random.Random(2)
+    for _ in range(4000):
+        text = "".join(r.choice("aZ19@.._-é %+()") for _ in range(r.randint(0, 30)))
+        assert list(pii._emails(text)) == [(*m.span(), "email") for m in EMAIL.finditer(text)], text
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in IPV4.finditer(text)], text
+    assert [s[2] for s in pii.base_spans("4111 1111-1111 1111 a@b.co 300.1.1.1 10.0.0.255 +1 (743) 555-3824")] == ["card", "email", "ip", "phone"]
+    assert pii.base_spans("4111111111111112 +12 34 1.2.3") == [] and len(pii.base_spans("1" * 300_000)) == 0
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train_tagger(pii.labelled_table(spark))
+
+
+def test_viterbi_is_exact(tagger):
+    text = "call (743) 555-3824"
+    tokens = pii.tokens_of(text, 0, len(text))[:4]
+    names = pii.features(tokens, text)
+    scores = [tagger.weights[n].sum(axis=0) for n in tagger.numbers(names)]
+    value = lambda path: tagger.starts[path[0]] + sum(s[k] for s, k in zip(scores, path)) + sum(tagger.moves[a, b] for a, b in zip(path, path[1:]))
+    best = max(itertools.product(range(len(pii.LABELS)), repeat=4), key=value)
+    assert list(best) == tagger.decode([names])[0]
+
+
+def test_gradient_reaches_the_labels():
+    model = crf.train([[["a"], ["b"]], [["b"], ["a"]]], [[0, 1], [1, 0]], 2)
+    assert model.decode([[["a"], ["b"], ["a"]], [], [["zzz"]]])[0] == [0, 1, 0]
+
+
+def test_tagger_on_held_out_forms(tagger):
+    ask = lambda t: pii.add_spans([t], [pii.base_spans(t)], tagger)[0]
+    for text, kind in (("ring 212-555-0187 now", "phone"), ("or (212) 555-0187 then", "phone"), ("write bob [at] site [dot] com soon", "email"), ("card 4111.1111.1111.1111 ok", "card")):
+        assert [s[2] for s in ask(text)] == [kind], text
+    for text in ("on 2024-01-02 we met 12 people", 'token = "04dbebab91ab8568"', "pages 10, 20 and 30", "plain words only"):
+        assert ask(text) == [], text
+
+
+def test_find_and_mask(spark, tagger):
+    df = docs(spark, *ODD, "mail a.b@c.org, a.b@c.org", "x 10.0.0.1 " * 100)
+    rows = {r.doc_id: r for r in pii.find_pii(df, tagger).collect()}
+    n = len(ODD)
+    assert rows[n].n_email == 2 and rows[n].spans == "email:5:14,email:16:25" and rows[0].spans == "" and rows[n + 1].n_ip == 100
+    assert rows[n].base_sha256 == hashlib.sha256(b"email:5:14,email:16:25").hexdigest()
+    masked = {r.doc_id: r for r in pii.mask_pii(df, tagger).collect()}
+    assert masked[n].text == "mail [EMAIL], [EMAIL]" and masked[0].text is None and masked[5].text == ODD[5] and masked[n + 1].text == "x [IP] " * 100 and masked[n].fp == "x"
+    assert pii.find_pii(df.limit(0), tagger).count() == 0
+
+
+def test_labelled_table_is_bounded(spark):
+    with pytest.raises(ValueError):
+        pii.train_tagger(spark.range(pii.MAX_LABELLED + 1).select(F.lit("a 1").alias("text"), F.lit("").alias("spans")))
+
+
+# ---- url filter
+
+
+def pages(spark, *rows):
+    return spark.createDataFrame([(i, *r, 0.5) for i, r in enumerate(rows)], "page_id long, url string, html string, trust double")
+
+
+def test_hosts_paths_rules(spark):
+    cases = {
+        "https://WWW.Example.com/en/x?y#z": ("www.example.com", "/en/x", "www.example.com/en/"),
+        "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/"),
+        "http://example.com/fr/": ("example.com", "/fr/", "com/"),
+        "http://example.com": ("example.com", "", None),
+        "ftp://x.net/es/1": ("x.net", "/es/1", "net/es/"),
+        "http://xnet/es/": ("xnet", "/es/", None),
+        "no scheme/a": ("", "", None),
+        "": ("", "", None),
+        "http://h?://other/p": ("h", "", None),
+        "line\nhttp://K.org/é": ("k.org", "/é", None),
+    }
+    rows = urlfilter.judge_urls(pages(spark, *[(u, None) for u in cases], (None, None))).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule) for r in rows[:-1]] == list(cases.values()) and (rows[-1].host, rows[-1].path, rows[-1].verdict) == ("", "", "allow")
+    assert urlfilter.judge_urls(pages(spark, ("http://a.org/", "")).limit(0)).count() == 0
+
+
+def test_propagation_against_loop(spark):
+    r = random.Random(6)
+    hosts = [f"h{i}.org" for i in range(12)] + ["t.com", "b.net"]
+    rows = []
+    for h in hosts:
+        for _ in range(3):
+            links = "".join(f'<a href="http://{r.choice(hosts)}/p">' for _ in range(3)) + '<a href="/own">'
+            rows.append((f"http://{h}/{'es' if h == 'b.net' else 'x'}/", links))
+    rows += [("http://lonely.org/", "")]
+    got = {x.host: (x.verdict, x.trust, x.distrust) for x in urlfilter.judge_urls(pages(spark, *rows)).collect()}
+    edges = Counter()
+    for url, html in rows:
+        host = url.split("/")[2]
+        for link in re.findall(r'href="([^"]*)"', html):
+            edges[host, link.split("/")[2] if "://" in link else host] += 1
+
+    def rank(edges, seeds):
+        total = Counter()
+        for (a, _), n in edges.items():
+            total[a] += n
+        now = dict(seeds)
+        for _ in range(urlfilter.ROUNDS):
+            new = Counter({h: (1 - urlfilter.DAMPING) * s for h, s in seeds.items()})
+            for (a, b), n in edges.items():
+                new[b] += urlfilter.DAMPING * now.get(a, 0) * n / total[a]
+            now = new
+        return now
+
+    trust, distrust = rank(edges, {"t.com": 1.0}), rank(Counter({(b, a): n for (a, b), n in edges.items()}), {"b.net": 1.0})
+    for h in hosts[:-2]:
+        verdict, t, d = got[h]
+        assert abs(t - trust[h]) < 1e-8 and abs(d - distrust[h]) < 1e-8 and verdict == ("block" if round(d, 9) > round(t, 9) else "allow")
+    assert got["lonely.org"][0] == "allow"
+
+
+# ---- top k
+
+
+def brute(vectors, k=20, every=20):
+    rows = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = set()
+    for q in rows:
+        if q % every == 0:
+            scored = sorted((-dot(rows[q], rows[c]), c) for c in rows if c != q)[:k]
+            out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)}
+    return out
+
+
+def test_top_k_brute_force(spark):
+    r = random.Random(3)
+    make = {"normal": lambda: [r.gauss(0, 0.2) for _ in range(8)], "ties": lambda: [r.choice([0.0, 1 / 64, -1 / 64]) for _ in range(4)], "large": lambda: [r.gauss(0, 1e6) for _ in range(8)], "spread": lambda: [r.choice([0.0, 0.01, 30.0]) * r.gauss(0, 1) for _ in range(16)]}
+    for name, one in make.items():
+        vectors = [(i, one()) for i in range(170)]
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+        for block, query_block in ((1000, 1000), (32, 3)):
+            got = topk.top_k(topk.quantised(df), F.col("vec_id") % 20 == 0, block=block, query_block=query_block)
+            assert {tuple(x) for x in got.collect()} == brute(vectors), name
+
+
+def test_search_stops_on_proof():
+    rng = np.random.default_rng(0)
+    block = rng.integers(-3, 4, (2000, 16))
+    block[:30] *= 20
+    ids = np.arange(2000)
+    queries = block[:5].copy()
+    for row, found, scores in topk.search(queries, ids[:5], block, ids, members=64):
+        exact = block @ queries[row]
+        want = [j for j in np.lexsort((ids, -exact)) if j != row][:20]
+        assert found.tolist() == want and scores.tolist() == exact[want].tolist()
+
+
+def test_top_k_odd_vectors(spark):
+    rows = [(0, [1.0, 2.0], 1), (20, [1.0, None], 1), (40, None, 1), (60, [float("nan"), 1.0], 1), (80, [float("inf"), 1.0], 1), (100, [], 1), (3, [1.0], 1), (None, [1.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long")
+    got = sorted(tuple(x) for x in topk.top_k(topk.quantised(df), F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 3, 4096), (0, 2, 100, 0), (100, 1, 0, 0), (100, 2, 3, 0)]
+    assert topk.top_k(topk.quantised(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# ---- quality
+
+
+def quality_rows(spark, n=300):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeinorst") for _ in range(r.randint(2, 8)))
+    texts = [" ".join(word() + ("###" if i % 4 == 0 else "") for _ in range(r.randint(20, 60))) for i in range(n)]
+    df = docs(spark, *texts)
+    return df, spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(n)] + [(7, None), (8, 5), (None, 1)], "doc_id long, quality int")
+
+
+def test_held_out_accuracy_and_leaks(spark):
+    df, labels = quality_rows(spark)
+    model = quality.train(df, labels)
+    rows = quality.score_all(df, model).collect()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    assert np.mean([r.predicted == int(r.doc_id % 4 != 0) for r in rows if r.held_out]) > 0.95
+    # labels of held-out rows change nothing
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert [r.score for r in quality.score_all(df, quality.train(df, flipped)).collect()] == [r.score for r in rows]
+
+
+def test_quality_odd_rows_and_filter(spark):
+    df, labels = quality_rows(spark)
+    model = quality.train(df, labels)
+    rows = quality.score_all(odd(spark), model).collect()
+    assert len(rows) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in rows)
+    good = {(r.doc_id, r.predicted) for r in quality.score_all(df, model).collect() if r.predicted}
+    kept = quality.keep_good(df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in good}
+    assert quality.score_all(df.limit(0), model).count() == 0
+    none = quality.train(df, labels.limit(0))
+    assert all(r.predicted == 1 for r in quality.score_all(df, none).collect())
+
+
+def test_pairs_order_strengths():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    good = (x[:, 0] + 0.5 * x[:, 3] > 0.3).astype(int)
+    s = quality.fit(x, good).strength(x)
+    assert np.mean(s[good == 1][:, None] > s[good == 0][None]) > 0.97
+
+
+# ---- mixing
+
+
+def lang_rows(spark, n=240):
+    r = random.Random(4)
+    alphabets = {"de": "äöüchs", "en": "thewon", "es": "ñóaros", "fr": "éèêoux"}
+    rows = []
+    for i in range(n):
+        lang = "en" if i % 2 else r.choice(list(alphabets))
+        rows.append((i, " ".join("".join(r.choice(alphabets[lang]) for _ in range(5)) for _ in range(r.randint(5, 80))), lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_mixing_meets_targets(spark):
+    df = lang_rows(spark)
+    rows = mixing.mix(df, df.where("doc_id % 3 = 0")).collect()
+    names = sorted(mixing.TARGETS)
+    total = sum(r.tokens for r in rows)
+    for k, n in enumerate(names):
+        assert abs(sum(r.rate * r.tokens * r.p[k] for r in rows) - mixing.TARGETS[n] * total) < 1e-3 * total
+    truth = {r.doc_id: r.lang for r in df.collect()}
+    assert np.mean([names[int(np.argmax(r.p))] == truth[r.doc_id] for r in rows if r.doc_id % 3]) > 0.95
+    assert all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
+
+
+def test_steps_against_numpy(spark):
+    df = lang_rows(spark, 60)
+    soft = mixing.posteriors(df, mixing.train(df, sorted(mixing.TARGETS)))
+    part = soft.toPandas()
+    p, t = np.array(part["p"].tolist()), part["tokens"].to_numpy(float)
+    targets = np.array([0.0, 0.1, 0.6, 0.3]) * t.sum() * 2  # one domain must vanish: the projection binds
+    steps = mixing.solve(soft, targets, rounds=8)
+    r = np.ones(len(t))
+    for s in steps:
+        r = np.maximum(0, r - p @ s)
+    got = np.array([x[0] for x in soft.select(mixing.rate(F.col("p"), steps, 0.0, 1.0)).collect()])
+    assert np.allclose(got, r) and (got == 0).any()
+    loss = lambda rates: np.square((p * (rates * t)[:, None]).sum(axis=0) - targets).sum()
+    assert loss(r) < 0.05 * loss(np.ones(len(t)))
+
+
+def test_mixing_odd_rows(spark):
+    df = docs(spark, *ODD).withColumn("lang", F.lit("en"))
+    labelled = mixing.labelled_sample(df, spark.createDataFrame([(0, 1), (4, 1), (4, 0), (None, 1)], "doc_id long, quality int"))
+    assert {r.doc_id for r in labelled.collect()} == {0, 4}
+    assert mixing.mix(df, labelled).count() == len(ODD) and mixing.mix(df.limit(0), labelled.limit(0)).count() == 0
+    out = mixing.resample(lang_rows(spark), lang_rows(spark).limit(100))
+    assert out.columns == ["doc_id", "text", "lang"] and out.select("doc_id").distinct().count() == 240
+
+
+def test_near_copies_against_brute_force(spark):
+    """Families of edited, appended and shuffled copies, chains, exact copies, short and empty texts."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(60, 200))) for _ in range(25)]
+    for base in texts[:12]:
+        words = base.split()
+        for edits in (1, 1, 2, 2, 3):
+            own = list(words)
+            for _ in range(edits):
+                own[r.randrange(len(own))] = "x" + r.choice(vocabulary)
+            texts.append(" ".join(own))
+        texts.append(base + " " + " ".join(r.choice(vocabulary) for _ in range(len(words) // 10)))
+    family = texts[13].split()
+    for i in range(60):
+        own = list(family)
+        own[i % len(own)] = f"z{i}"
+        texts.append(" ".join(own))
+    texts += [texts[0], texts[0].upper(), None, "", "one two", "one two", "three"]
+    df = docs(spark, *texts, start=100)
+    got = {x.key: x.component_id for x in simhash.near_copies(df).collect()}
+    sets = [set(simhash._shingle_set((t or "").encode(), 5)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        shared = len(sets[i] & sets[j])
+        if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) and find(i) != find(j):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert [got[hashlib.md5((t or "").encode()).hexdigest()] for t in texts] == [100 + find(i) for i in range(len(texts))]
+    assert simhash.near_copies(df.limit(0)).count() == 0
