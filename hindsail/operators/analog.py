@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import HOUR, clamp, micros, or_one, order_statistic, percent_return, trend_guardrail
-from ..functions.windows import rank_in_reference, trailing_volatility, weighted_quantile
+from ..functions.windows import rank_in_reference, trailing_volatility, trend_strength, weighted_quantile
 from . import kernels
 from .timejoin import asof_join, forward_return
 
@@ -131,6 +131,19 @@ def regime_anomaly(rows: DataFrame, cfg: AnalogConfig = AnalogConfig(), block: i
     return ranked.select(*by, F.col("value").alias("closest_dist"), F.col("percentile").alias("closest_dist_percentile"), F.coalesce(F.col("percentile") >= 0.9, F.lit(False)).cast("int").alias("is_regime_anomaly"))
 
 
+def prediction_record(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = AnalogConfig(), model_version: str = "unversioned", git_commit_sha: str = "unknown") -> DataFrame:
+    """One ledger row per series and horizon that has a forecast: the headline and weighted forecasts, the anomaly flag, the trend, the query row's features as a map, its time, target time and price, and the versions. Append it with sources.ingest.append()."""
+    by = ["series_id", "horizon_hours"]
+    complete = rows.where(" and ".join(f"{f} is not null" for f in cfg.features))
+    order = F.struct("ts", "obs_id")
+    features = F.map_from_arrays(F.array(*[F.lit(f) for f in cfg.features]), F.array(*[F.col(f).cast("double") for f in cfg.features]))
+    last = trend_strength(complete).groupBy("series_id").agg(F.max_by(F.struct("ts", "obs_id", "price", "trend_strength", features.alias("features")), order).alias("_q")).select("series_id", "_q.*")
+    made = analog_forecast(rows, prices, cfg).where("status = 'ok'")
+    out = made.join(analog_weighted(rows, prices, cfg), by).join(regime_anomaly(rows, cfg), by).join(last, "series_id")
+    target = (F.col("ts") + F.expr("make_dt_interval(0, horizon_hours)")).alias("target_ts")
+    return out.select(*by, "obs_id", "ts", target, "price", "p_up", "median_return", "p25_return", "p75_return", "n_resolved", "p_up_experimental", "median_return_experimental", "volatility_percentile", "closest_dist", "is_regime_anomaly", "trend_strength", "features", F.lit(model_version).alias("model_version"), F.lit(git_commit_sha).alias("git_commit_sha"))
+
+
 # Feature weights of the neighbourhood calibration.
 CALIBRATION_WEIGHTS = {"score": 1.0, "technical_score": 1.0, "regime_mag": 1.5, "bottom_score": 0.3}
 

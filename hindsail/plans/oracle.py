@@ -412,3 +412,59 @@ SELECT a.id, arg_min(l.id, l.n) AS prediction_id FROM asked a LEFT JOIN LATERAL
   WHERE n <= 10 AND abs(greatest(p_up, 1 - p_up) - a.confidence) < 1e-9 AND ((p_up >= 0.5) <> (realized_up = 1)) = a.was_wrong) l ON true GROUP BY a.id
 """, "v_ledger", ctes="""
 asked AS (SELECT id, coin, resolved_ts + INTERVAL 30 MINUTE AS request_ts, greatest(p_up, 1 - p_up) AS confidence, (p_up >= 0.5) <> (realized_up = 1) AS was_wrong FROM v_ledger WHERE realized_up IS NOT NULL AND id % 4 = 0)""")
+
+add("prediction_record", f"""
+SELECT a.series_id, a.horizon_hours, q.obs_id, {r("q.price")} AS price, a.p_up, a.median_return, b.p_up_experimental, b.volatility_percentile, c.is_regime_anomaly, q.trend_strength, {r("q.regime_mag")} AS regime_mag, 'v1' AS model_version
+FROM ({ORACLE["analog_forecast"]}) a JOIN ({ORACLE["analog_weighted"]}) b USING (series_id, horizon_hours) JOIN ({ORACLE["regime_anomaly"]}) c USING (series_id, horizon_hours)
+JOIN (SELECT *, CASE WHEN n >= 22 AND l <> 0 THEN {r("greatest(-1, least(1, (s - l) / l * 20))")} ELSE 0.0E0 END AS trend_strength FROM (
+  SELECT *, row_number() OVER ({S}) AS n, avg(price) OVER ({S} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS s, avg(price) OVER ({S} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS l FROM features WHERE regime_mag IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, obs_id DESC) = 1) q USING (series_id)
+WHERE a.status = 'ok'
+""", "v_series", ctes=FEATURES)
+
+add("percentile_rank", f"""
+SELECT v.series_id, v.obs_id, CASE WHEN count(r.obs_id) >= 10 THEN {r("count(r.obs_id) FILTER (r.price <= v.price) / count(r.obs_id)")} END AS percentile
+FROM v_series v LEFT JOIN v_series r ON r.series_id = v.series_id AND r.obs_id % 2 = 0 WHERE v.obs_id % 2 = 1 GROUP BY v.series_id, v.obs_id
+""", "v_series")
+add("weighted_quantile", f"""
+SELECT series_id, {r("min(price) FILTER (share >= 0.5)")} AS quantile FROM (
+  SELECT *, sum(w) OVER (PARTITION BY series_id ORDER BY price) / sum(w) OVER (PARTITION BY series_id) AS share FROM (SELECT *, 1.0E0 / (obs_id % 7 + 1) AS w FROM v_series)) GROUP BY 1
+""", "v_series")
+add("order_statistic", f"SELECT series_id, {r('list_sort(list(price))[least(count(*), CAST(floor(count(*) * 0.75E0) AS BIGINT) + 1)]')} AS quantile FROM v_series GROUP BY 1", "v_series")
+
+FLAT, TILT = "p_up", "coalesce(p_up_experimental, p_up)"
+strict = lambda p: f"avg(CASE WHEN ({p} > 0.5) = (realized_up = 1) THEN 1.0E0 ELSE 0.0E0 END)"
+square = lambda p: f"avg(({p} - realized_up) * ({p} - realized_up))"
+add("challenger_evaluation", f"""
+SELECT {K}, n AS n_resolved, ROUND(u, 3) AS historical_up_rate, ROUND(af, 3) AS accuracy_flat, ROUND(att, 3) AS accuracy_tilted, ROUND(bf, 3) AS brier_flat, ROUND(bt, 3) AS brier_tilted,
+  ROUND(greatest(u, 1 - u), 3) AS naive_baseline_accuracy, ROUND(u * (1 - u), 3) AS brier_baseline_up_rate, ROUND(ma, 3) AS ma_crossover_accuracy,
+  af > greatest(u, 1 - u) AS beats_naive_flat, att > greatest(u, 1 - u) AS beats_naive_tilted, af > ma AS beats_ma_crossover_flat, att > ma AS beats_ma_crossover_tilted,
+  d0 AS drivers_agree, d1 AS drivers_disagree, d2 AS drivers_uncovered, n - d0 - d1 - d2 AS drivers_no_driver_applied
+FROM (SELECT {K}, count(*) AS n, avg(realized_up) AS u, {strict(FLAT)} AS af, {strict(TILT)} AS att, {square(FLAT)} AS bf, {square(TILT)} AS bt,
+    avg(CASE WHEN id % 2 = realized_up THEN 1.0E0 ELSE 0.0E0 END) FILTER (id % 4 <> 0) AS ma, count(*) FILTER (id % 5 = 0) AS d0, count(*) FILTER (id % 5 = 1) AS d1, count(*) FILTER (id % 5 = 2) AS d2
+  FROM v_ledger WHERE realized_up IS NOT NULL GROUP BY ALL)
+""", "v_ledger")
+
+add("preceding_decision", """
+SELECT a.id, max(d.ts) AS decision_ts FROM v_ledger a LEFT JOIN v_ledger d ON d.coin = a.coin AND d.horizon_hours = a.horizon_hours AND d.id % 10 = 0 AND d.ts <= a.ts + INTERVAL 1 HOUR WHERE a.id % 10 <> 0 GROUP BY a.id
+""", "v_ledger")
+add("latest_curve_batch", f"""
+SELECT {K}, decile, {r("rate")} AS empirical_up_rate, n AS n_samples FROM newer UNION ALL
+SELECT {K}, decile, {r("rate")}, n FROM older o WHERE NOT EXISTS (SELECT 1 FROM newer e WHERE e.coin = o.coin AND e.horizon_hours = o.horizon_hours)
+""", "v_ledger", ctes="part_a AS (SELECT * FROM v_ledger WHERE id % 2 = 0 OR id % 4 = 1), part_b AS (SELECT * FROM v_ledger WHERE coin <> 'ETH')," + curve("part_a", K, "older") + "," + curve("part_b", K, "newer"))
+add("chart_extract", """
+SELECT 'price' AS kind, CAST(series_id AS VARCHAR) AS series, count(*) AS n, ROUND(sum(price), 2) AS total FROM v_series GROUP BY 2
+UNION ALL SELECT 'forecast', coin, count(*), ROUND(sum(p_up), 2) FROM v_ledger WHERE horizon_hours = 24 GROUP BY 2
+""", "v_series", "v_ledger")
+add("catalyst_provenance", """
+SELECT id, CASE WHEN first_public_ts IS NULL THEN 'unknown' ELSE 'reported' END AS timestamp_source, CASE WHEN first_public_ts IS NULL OR id % 3 = 2 THEN 'UNKNOWN' WHEN id % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS timestamp_confidence FROM v_catalyst
+""", "v_catalyst")
+add("catalysts_of_period", "SELECT id FROM v_catalyst WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' ORDER BY ts DESC, id DESC LIMIT 100", "v_catalyst")
+add("budget_pick", f"""
+SELECT coin, {r("priority")} AS priority, CAST(row_number() OVER (ORDER BY priority DESC, coin) AS INTEGER) AS place, CASE WHEN priority >= 4 AND row_number() OVER (ORDER BY priority DESC, coin) <= budget THEN 'selected' ELSE 'deferred' END AS decision
+FROM (SELECT asset_no AS coin, count(*) / 10.0E0 + asset_no AS priority FROM v_investigation GROUP BY 1) CROSS JOIN (
+  SELECT least(greatest(0, 60 - count(*) FILTER (request_ts >= t - INTERVAL 24 HOUR)), greatest(0, 2 - count(*) FILTER (request_ts >= t - INTERVAL 1 HOUR))) AS budget FROM v_investigation, (SELECT max(request_ts) AS t FROM v_investigation))
+""", "v_investigation")
+add("narrative_parse", """
+SELECT id, 'Day.' || chr(10) || chr(10) || 'MACRO: calm' AS narrative, CASE id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' END AS bias_short, CASE WHEN id % 2 = 0 THEN 'low' END AS macro_risk, CAST(greatest(-1, least(1, id % 5 - 2)) AS DOUBLE) AS macro_score FROM v_catalyst
+""", "v_catalyst")

@@ -369,6 +369,95 @@ def chain_audit(spark, sf_dir):
     return audit.reconcile(asked, ledger(spark, sf_dir)).select("id", "prediction_id")
 
 
+@registered
+def prediction_record(spark, sf_dir):
+    out = analog.prediction_record(features(spark, sf_dir), series(spark, sf_dir), model_version="v1")
+    return rounded(out.select("series_id", "horizon_hours", "obs_id", "price", "p_up", "median_return", "p_up_experimental", "volatility_percentile", "is_regime_anomaly", "trend_strength", F.col("features")["regime_mag"].alias("regime_mag"), "model_version"))
+
+
+@registered
+def percentile_rank(spark, sf_dir):
+    """each odd price among the even prices of its series."""
+    rows = series(spark, sf_dir)
+    values = rows.where("obs_id % 2 = 1").select("series_id", "obs_id", F.col("price").alias("value"))
+    refs = rows.where("obs_id % 2 = 0").select("series_id", F.col("price").alias("ref"))
+    return rounded(windows.rank_in_reference(values, refs, ["series_id"]).select("series_id", "obs_id", "percentile"))
+
+
+@registered
+def weighted_quantile(spark, sf_dir):
+    rows = series(spark, sf_dir).withColumn("weight", 1 / (F.col("obs_id") % 7 + 1))
+    return rounded(windows.weighted_quantile(rows, ["series_id"], "price", "weight", 0.5))
+
+
+@registered
+def order_statistic(spark, sf_dir):
+    return rounded(windows.floor_quantile(series(spark, sf_dir), ["series_id"], "price", 0.75))
+
+
+@registered
+def challenger_evaluation(spark, sf_dir):
+    """E5 over the ledger: the experimental column as the tilted variant, a moving-average call and a driver from the id."""
+    i = F.col("id")
+    rows = ledger(spark, sf_dir).select(*LEDGER_KEY, "realized_up", F.col("p_up").alias("p_up_flat"), F.coalesce("p_up_experimental", "p_up").alias("p_up_tilted"), F.when(i % 4 != 0, (i % 2).cast("int")).alias("ma_up"), F.when(i % 5 == 0, "agree").when(i % 5 == 1, "disagree").when(i % 5 == 2, "uncovered").alias("driver_agreement"))
+    return evaluate.evaluate_challenger(rows)
+
+
+@registered
+def preceding_decision(spark, sf_dir):
+    """The newest forecast of an id divisible by 10, as a decision, at most an hour after each other forecast."""
+    rows = ledger(spark, sf_dir)
+    asked = rows.where("id % 10 <> 0").select("id", *LEDGER_KEY, F.col("ts").alias("request_ts"))
+    return audit.preceding_decision(asked, rows.where("id % 10 = 0"), LEDGER_KEY).select("id", F.col("decision_ts"))
+
+
+@registered
+def latest_curve_batch(spark, sf_dir):
+    """Two stamped batches of curves, the newer of each key."""
+    rows = ledger(spark, sf_dir)
+    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
+    old, _ = calibration.refresh_curves(rows.where("id % 2 = 0 or id % 4 = 1"), LEDGER_KEY, stamp("2024-01-01"))
+    new, _ = calibration.refresh_curves(rows.where("coin <> 'ETH'"), LEDGER_KEY, stamp("2024-01-02"))
+    return rounded(calibration.latest_batch(old.unionByName(new), LEDGER_KEY).select(*LEDGER_KEY, "decile", "empirical_up_rate", "n_samples"))
+
+
+@registered
+def chart_extract(spark, sf_dir):
+    return ingest.chart_extract(series(spark, sf_dir), ledger(spark, sf_dir), 24).groupBy("kind", "series").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@registered
+def catalyst_provenance(spark, sf_dir):
+    """K5: a reported confidence from the id, some of it no allowed value."""
+    rows = view(spark, sf_dir, "v_catalyst").withColumn("confidence", F.element_at(F.array(*[F.lit(c) for c in ("HIGH", "LOW", "sure")]), (F.col("id") % 3 + 1).cast("int")))
+    return catalysts.provenance(rows).select("id", "timestamp_source", "timestamp_confidence")
+
+
+@registered
+def catalysts_of_period(spark, sf_dir):
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    return catalysts.catalysts_between(view(spark, sf_dir, "v_catalyst"), day("2024-01-05"), day("2024-01-12")).select("id")
+
+
+@registered
+def budget_pick(spark, sf_dir):
+    """Assets ranked by their requests' number, three slots a day of which the newest request's day has used some."""
+    log = view(spark, sf_dir, "v_investigation")
+    ranked = log.groupBy(F.col("asset_no").alias("coin")).agg((F.count("*") / 10 + F.col("asset_no")).alias("priority"))
+    left = catalysts.remaining_budget(log, newest_time(log, "request_ts"), per_day=60, per_hour=2)
+    return rounded(catalysts.pick_within_budget(ranked, left))
+
+
+@registered
+def narrative_parse(spark, sf_dir):
+    """K13 over texts built from the events: a bias, a risk and a score behind a section."""
+    rows = view(spark, sf_dir, "v_catalyst")
+    word = lambda *w: F.element_at(F.array(*[F.lit(x) for x in w]), (F.col("id") % len(w) + 1).cast("int"))
+    text = F.concat(F.lit("Day. MACRO: calm ANALYSIS_JSON: {\"bias_short\":\""), word("Bullish", " bear", "none"), F.lit("\",\"macro_risk\":\""), word("LOW", "odd"), F.lit("\",\"macro_score\":"), (F.col("id") % 5 - 2).cast("string"), F.lit("}"))
+    out = catalysts.parse_narratives(rows.select("id", text.alias("text")), ["MACRO"])
+    return out.select("id", "narrative", "bias_short", "macro_risk", "macro_score")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: features, analogs, outcomes and a forecast for every series and horizon."""
     return analog_forecast(spark, sf_dir)
