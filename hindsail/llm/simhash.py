@@ -91,9 +91,10 @@ def _first_meeting(xor: Column) -> Column:
 def postings(nodes: DataFrame) -> DataFrame:
     """Index of nodes(fp, n): (at, bytes, fp, n, listed, hub), one row per fingerprint and position set, lists of one left out. listed: the list's length; hub: its fingerprint of most documents."""
     sets = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(m).alias("mask")) for k, m in _positions()]))
-    spread = nodes.select("fp", "n", sets.alias("p")).select(F.col("p.at").alias("at"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("bytes"), "fp", "n")
-    lists = spread.groupBy("at", "bytes").agg(F.count("*").alias("listed"), F.max(F.struct("n", "fp")).alias("top")).where("listed > 1")
-    return spread.join(lists, ["at", "bytes"]).select("at", "bytes", "fp", "n", "listed", F.col("top.fp").alias("hub"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.repartition(parts, "fp").select("fp", "n", sets.alias("p")).select(F.col("p.at").alias("at"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("bytes"), "fp", "n")
+    lists = spread.groupBy("at", "bytes").agg(F.count("*").alias("listed"), F.max_by("fp", "n").alias("hub")).where("listed > 1")
+    return spread.join(lists, ["at", "bytes"]).select("at", "bytes", "fp", "n", "listed", "hub")
 
 
 def links(index: DataFrame) -> DataFrame:
