@@ -15,12 +15,12 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 CAPACITY = 2048
@@ -53,26 +53,31 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece int, start long, length long, ids_crc32 long, deal long (a running number that deals rows evenly), and ids array<int> if asked for.
+    """One row per piece: doc_id, piece int, start long, length long, ids_crc32 long, deal long (a hash that deals rows evenly), and ids array<int> if asked for.
 
     A null or empty text has the one id END_ID. Repeated rows each give their
-    own pieces. Other columns are left out.
+    own pieces. Other columns are left out. deal depends on a row's content
+    alone, so a task that runs again deals alike; rows without an id are told
+    apart by how often their text was seen in the partition.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     fields = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
-        at = TaskContext.get().partitionId() * 7919
+        encode, nameless = encoder(path).encode_ordinary, Counter()
         for batch in batches:
             rows, kept, owner = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 ids = np.array([*encode(text or ""), END_ID], "<u4")
+                if name is None:
+                    whole = zlib.crc32(ids.tobytes())
+                    nameless[whole] += 1
+                    name = f"{whole} {nameless[whole]}"
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
-                    rows.append((piece, start, length, zlib.crc32(part.tobytes()), at))
+                    crc = zlib.crc32(part.tobytes())
+                    rows.append((piece, start, length, crc, zlib.crc32(f"{name} {piece} {crc}".encode())))
                     owner.append(k)
-                    at += 1
                     if with_ids:
                         kept.append(part.astype("int32"))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.int64()] * 4))] if rows else [pa.array([], t) for t in (pa.int32(), *[pa.int64()] * 4)]
