@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators and their SQL for DuckDB."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, mixing, packing, pii, quality, sharding, simhash, topk, urlfilter
-from .common import read_table, written
+from . import chat, media, mixing, oracle, packing, pii, quality, sharding, simhash, topk, urlfilter
+from .common import read_table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -54,8 +54,8 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = written(quality.describe_all(read_table(spark, sf_dir, "documents")), "features")
-    return quality.score_all(features, quality.train(features, read_table(spark, sf_dir, "labels")))
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_all(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,19 +66,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_packing, op3_chat, op4_simhash, op5_media, op6_pii, op7_urlfilter, op8_topk, op9_quality, op10_mixing)}
 
-ORACLE_SQL: dict[str, str] = {}
-
-ORACLE_SQL["op8_topk"] = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
-), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-"""
+#: Tokenizer ids, XXH64 fingerprints, containers, trained models and their spans, scores and rates are beyond SQL.
+ORACLE_SQL: dict[str, str] = oracle.all_sql(SHARDS, FORGED)

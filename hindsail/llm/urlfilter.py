@@ -77,8 +77,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
 
 def seeds_of(judged: DataFrame, verdict: str) -> DataFrame:
     """(host, seed): the host's share of the pages with that verdict."""
-    by = judged.where((F.col("ruled") == verdict) & (F.col("host") != "")).groupBy("host").agg(F.count("*").alias("n"))
-    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("total")))).select("host", (F.col("n") / F.col("total")).alias("seed"))
+    marked = judged.where((F.col("ruled") == verdict) & (F.col("host") != ""))
+    return marked.groupBy("host").agg(F.count("*").alias("n")).select("host", (F.col("n") / F.lit(max(1, marked.count()))).alias("seed"))
 
 
 def host_scores(judged: DataFrame) -> DataFrame:
