@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import HOUR, clamp, micros, or_one, order_statistic, percent_return, trend_guardrail
-from ..functions.windows import rank_in_reference, trailing_volatility, trend_strength, weighted_quantile
+from ..functions.windows import rank_in_reference, trailing_volatility, trend_strength
 from . import kernels
-from .timejoin import asof_join, forward_return
+from .timejoin import asof_join, forward_returns
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,7 @@ def neighbour_count(n):
 
 def with_outcomes(neighbours: DataFrame, prices: DataFrame, cfg: AnalogConfig) -> DataFrame:
     """Neighbours that have a price near their time plus horizon, with return_pct."""
-    parts = [forward_return(neighbours.where(F.col("horizon_hours") == h), prices, ["series_id"], h, share=cfg.tolerance) for h in cfg.horizons]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return forward_returns(neighbours, prices, ["series_id"], max(cfg.horizons), share=cfg.tolerance)
 
 
 def keys_of(rows: DataFrame, cfg: AnalogConfig) -> DataFrame:
@@ -98,21 +94,24 @@ def analog_weighted(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = Anal
     The last row's volatility is ranked among the candidates'; a wild day takes
     fewer analogs, a calm one more; weights are 1 / (distance + 0.05).
     """
-    near = candidates(rows, cfg)
     by = ["series_id", "horizon_hours"]
-    history = trailing_volatility(near.select(*by, "obs_id", "ts", "price"), key=by).select(*by, F.col("volatility").alias("ref"))
     complete = rows.where(" and ".join(f"{f} is not null" for f in cfg.features))
-    today = trailing_volatility(complete).groupBy("series_id").agg(F.max_by("volatility", F.struct("ts", "obs_id")).alias("value"))
-    sizes = near.groupBy(*by).agg(F.count("*").alias("_n"))
-    ranked = rank_in_reference(sizes.join(today, "series_id"), history, by).withColumnRenamed("percentile", "volatility_percentile")
-    k, vp = neighbour_count(F.col("_n")), F.col("volatility_percentile")
-    ranked = ranked.withColumn("k_adaptive", F.when(vp >= 0.66, F.greatest(F.lit(5), F.floor(k * 0.6))).when(vp <= 0.33, F.least(F.col("_n"), F.floor(k * 1.4))).otherwise(k).cast("long"))
+    today = trailing_volatility(complete).groupBy("series_id").agg(F.max_by("volatility", F.struct("ts", "obs_id")).alias("_today"))
+    w = Window.partitionBy(*by)
+    near = trailing_volatility(candidates(rows, cfg).select(*by, "obs_id", "ts", "price", "dist", "_rank", "_n").join(today, "series_id"), key=by)
+    known = F.count("volatility").over(w)
+    vp = F.when((known >= 10) & F.col("_today").isNotNull(), F.count_if(F.col("volatility") <= F.col("_today")).over(w) / known)
+    k, p = neighbour_count(F.col("_n")), F.col("volatility_percentile")
+    adaptive = F.when(p >= 0.66, F.greatest(F.lit(5), F.floor(k * 0.6))).when(p <= 0.33, F.least(F.col("_n"), F.floor(k * 1.4))).otherwise(k).cast("long")
+    ranked = near.withColumn("volatility_percentile", vp).withColumn("k_adaptive", adaptive)
+    heads = ranked.where("_rank = 1").select(*by, "volatility_percentile", "k_adaptive")
     widest = int(cfg.max_k * 1.4)
-    picked = near.where(F.col("_rank") <= widest).drop("_n").join(ranked.select(*by, "k_adaptive"), by).where("_rank <= k_adaptive").select(*by, "obs_id", "ts", "price", "dist", "k_adaptive")
+    picked = ranked.where((F.col("_rank") <= widest) & (F.col("_rank") <= F.col("k_adaptive"))).select(*by, "obs_id", "ts", "price", "dist")
     weights = with_outcomes(picked, prices, cfg).withColumn("weight", 1 / (F.col("dist") + 0.05))
-    sums = weights.groupBy(*by).agg(F.count("*").alias("n_resolved"), (F.sum(F.when(F.col("return_pct") > 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("p"))
-    middle = weighted_quantile(weights, by, "return_pct", "weight", 0.5, "q")
-    out = keys_of(rows, cfg).where((F.col("n_rows") >= cfg.min_rows) & (F.col("n_complete") >= cfg.min_rows)).select(*by).join(ranked, by, "left").join(sums, by, "left").join(middle, by, "left")
+    share = F.sum("weight").over(w.orderBy("return_pct").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(w)
+    up = F.sum(F.when(F.col("return_pct") > 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    sums = weights.withColumn("_share", share).groupBy(*by).agg(F.count("*").alias("n_resolved"), up.alias("p"), F.min(F.when(F.col("_share") >= 0.5, F.col("return_pct"))).alias("q"))
+    out = keys_of(rows, cfg).where((F.col("n_rows") >= cfg.min_rows) & (F.col("n_complete") >= cfg.min_rows)).select(*by).join(heads, by, "left").join(sums, by, "left")
     ok = F.col("n_resolved") >= cfg.min_resolved
     return out.select(*by, "volatility_percentile", "k_adaptive", F.when(ok, F.col("p")).alias("p_up_experimental"), F.when(ok, F.col("q")).alias("median_return_experimental"))
 

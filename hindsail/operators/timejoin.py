@@ -18,12 +18,13 @@ from ..functions.expressions import HOUR, micros
 BLOCK_TOLERANCES = 64
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_ts: Column | str, right_ts: str, tol: int, right_id: str, take: Sequence[str], strict: bool = False, how: str = "inner", prefix: str = "") -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_ts: Column | str, right_ts: str, tol: int, right_id: str, take: Sequence[str], strict: bool = False, how: str = "inner", prefix: str = "", within: str | None = None) -> DataFrame:
     """left rows with the nearest right row of the same key: columns take, named with prefix, and `_diff` (right minus left, microseconds).
 
     abs(difference) <= tol microseconds, or < with strict; on equal distance
     the earlier row, then the smaller right_id. how: inner, left or anti (rows
-    without a match, no new columns). Null times never match.
+    without a match, no new columns). Null times never match. within: a column
+    of left with a row's own tolerance, tol being the largest.
     """
     at = left_ts if isinstance(left_ts, Column) else F.col(left_ts)
     block = max(1, tol) * BLOCK_TOLERANCES
@@ -44,7 +45,8 @@ def nearest_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_ts:
     back = b.isNotNull() & (a.isNull() | (t - b <= a - t))
     picked = marked.where(F.col("_left").isNotNull()).select(*keys, "_left", t.alias("_at"), F.when(back, b).otherwise(a).alias("_t"), F.when(back, F.col("_before._id")).otherwise(F.col("_after._id")).alias("_id"))
     gap = F.abs(F.col("_t") - F.col("_at"))
-    near = F.coalesce(gap < tol if strict else gap <= tol, F.lit(False))
+    most = F.least(F.lit(tol), F.col(f"_left.{within}")) if within else F.lit(tol)
+    near = F.coalesce(gap < most if strict else gap <= most, F.lit(False))
     if how == "anti":
         return picked.where(~near).select("_left.*")
     own = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_t").alias("_rt"), F.col("_id").alias("_rid"), "_right").dropDuplicates([*[f"_k{i}" for i in range(len(key))], "_rt", "_rid"])
@@ -60,6 +62,14 @@ def forward_return(rows: DataFrame, prices: DataFrame, key: Sequence[str], horiz
     return out.withColumn(name, F.try_divide(F.col(f"_fwd_{price}") - F.col(price), F.col(price)) * 100).drop(f"_fwd_{price}", "_diff")
 
 
+def forward_returns(rows: DataFrame, prices: DataFrame, key: Sequence[str], longest: float, how: str = "inner", share: float = 0.2, price: str = "price", name: str = "return_pct") -> DataFrame:
+    """forward_return() for rows with an integer horizon_hours of their own, at most `longest`: one join for all horizons."""
+    ahead = F.col("ts") + F.expr("make_dt_interval(0, horizon_hours)")
+    own = rows.withColumn("_within", (F.col("horizon_hours") * HOUR * share).cast("long"))
+    out = nearest_join(own, prices, key, ahead, "ts", int(longest * HOUR * share), "obs_id", [price], how=how, prefix="_fwd_", within="_within")
+    return out.withColumn(name, F.try_divide(F.col(f"_fwd_{price}") - F.col(price), F.col(price)) * 100).drop(f"_fwd_{price}", "_diff", "_within")
+
+
 def tolerance_anti_join(left: DataFrame, right: DataFrame, key: Sequence[str], ts: str, tol: int, right_id: str, strict: bool = True) -> DataFrame:
     """left rows that no right row of the same key comes within tol microseconds of."""
     return nearest_join(left, right, key, ts, ts, tol, right_id, [ts], strict=strict, how="anti")
