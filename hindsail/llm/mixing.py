@@ -26,6 +26,10 @@ HASHED = 1024
 MAX_LABELLED = 4000
 ROUNDS = 60
 TOLERANCE = 1e-4
+#: A round that takes less than this share off the largest miss is the last: rates at their floor leave no more to gain.
+PROGRESS = 0.1
+#: Where no domain may lose documents, totals are so much above the fullest domain's, since every domain gains from others' posteriors.
+HEADROOM = 0.02
 #: Target share of tokens by domain.
 TARGETS = {"de": 0.2, "en": 0.45, "es": 0.15, "fr": 0.2}
 
@@ -113,7 +117,7 @@ def rate(p: Column, steps: list[np.ndarray], floor: float, start: float) -> Colu
 
 
 def solve(soft: DataFrame, targets: np.ndarray, floor: float = 0.0, tokens: str = "tokens", p: str = "p", rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Steps of projected gradient descent for rates over soft(tokens, p), until expected totals are within TOLERANCE of the targets' sum.
+    """Steps of projected gradient descent for rates over soft(tokens, p), until expected totals are within TOLERANCE of the targets' sum or progress ends.
 
     With r the rates, the loss is half the squared distance of sum r t p from
     the targets; in the metric of t its gradient for a document is p . (totals
@@ -130,11 +134,14 @@ def solve(soft: DataFrame, targets: np.ndarray, floor: float = 0.0, tokens: str
         return steps
     # A step through the inverse curvature is the same descent after a change of basis of the totals.
     basis = np.linalg.inv(curve + 1e-9 * top * np.eye(len(targets)))
+    last = float("inf")
     for _ in range(rounds):
         row = soft.agg(*[F.sum(rate(F.col(p), steps, floor, start) * t * a).alias(f"s{i}") for i, a in enumerate(at)]).first()
         miss = np.array(list(row)) - targets
-        if np.abs(miss).max() <= TOLERANCE * max(targets.sum(), 1.0):
+        largest = float(np.abs(miss).max())
+        if largest <= TOLERANCE * max(targets.sum(), 1.0) or largest > (1 - PROGRESS) * last:
             break
+        last = largest
         steps.append(np.round(basis @ miss, 12))
     return steps
 
@@ -151,7 +158,7 @@ def budget(soft: DataFrame, targets: Mapping[str, float], names: list[str], tota
     row = soft.agg(F.sum(tokens).alias("all"), *[F.sum(F.col(tokens) * F.element_at(p, i + 1)).alias(f"d{i}") for i in range(len(names))]).first()
     have = np.array([row[f"d{i}"] or 0.0 for i in range(len(names))])
     if keep_all:
-        return share * float((have / share).max())
+        return share * float((have / share).max()) * (1 + HEADROOM)
     return share * float(total if total is not None else row["all"] or 0)
 
 
