@@ -38,7 +38,7 @@ SEED = 42
 #: near_copies(): two fingerprints over distinct words, by these seeds; byte positions shared in one of them; bits of both that may differ.
 WORD_SEEDS = (42, 43)
 WORD_MINIMUM = 3
-WORD_BITS = 32
+WORD_BITS = 24
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -83,11 +83,6 @@ def _tally(xor: Column) -> Column:
     return sum((F.shiftrightunsigned(xor, 8 * p).bitwiseAND(0xFF) == 0).cast("int") for p in range(8))
 
 
-def _first_meeting(xor: Column) -> Column:
-    """Number of the first position set in which the pair meets, so that it is made once."""
-    return F.coalesce(*[F.when(xor.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in _positions()])
-
-
 def postings(nodes: DataFrame) -> DataFrame:
     """Index of nodes(fp, n): (at, bytes, fp, n, listed, hub), one row per fingerprint and position set, lists of one left out. listed: the list's length; hub: its fingerprint of most documents."""
     sets = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(m).alias("mask")) for k, m in _positions()]))
@@ -184,10 +179,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Shingle sets at 0.8 are too far apart for 64 bits, so candidates come from
     two fingerprints over distinct words, which near copies share nearly all
-    of: the byte-position index posts every 3 positions of each, lists are
-    joined star-wise to their medoid, pairs within WORD_BITS are verified on the
-    shingle sets themselves, and what a star leaves apart is compared across
-    components as in near_duplicates(). Texts of equal words are one component;
+    of: the byte-position index posts every 3 positions of each, each
+    text is tried with its nearest list's medoid, then with those of its other
+    lists, and what that leaves apart is compared across components as in
+    near_duplicates(). Pairs within WORD_BITS, of set sizes that allow the
+    similarity, are verified on the shingle sets themselves. Texts of equal words are one component;
     null ids are never the smallest.
     """
 
@@ -195,19 +191,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             words = [x.lower().split() for x in batch.column(2).to_pylist()]
             prints = [pa.array([_words_print(w, seed) for w in words], pa.int64()) for seed in WORD_SEEDS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints], ["doc_id", "key", "f", "g"])
+            sizes = pa.array([len({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}) if w else 0 for w in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints, sizes], ["doc_id", "key", "f", "g", "z"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    prints = keyed.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key string, f long, g long")
-    grouped = prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("f").alias("f"), F.min("g").alias("g"))
+    prints = keyed.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key string, f long, g long, z long")
+    grouped = prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("f").alias("f"), F.min("g").alias("g"), F.min("z").alias("z"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = F.explode(F.array(*[F.struct(F.lit(56 * s + k).alias("at"), F.col(c).bitwiseAND(F.lit(m)).alias("bytes")) for s, c in enumerate("fg") for k, m in _positions(WORD_MINIMUM)])).alias("p")
     spread = nodes.select("node", "f", "g").repartition(parts, "node").select("node", sets).select("p.at", "p.bytes", "node")
     lists = spread.groupBy("at", "bytes").agg(F.count("*").alias("listed")).where("listed > 1")
-    members = written(spread.join(lists.select("at", "bytes"), ["at", "bytes"], "left_semi").join(nodes.select("node", "f", "g"), "node"), "members")
+    members = written(spread.join(lists.select("at", "bytes"), ["at", "bytes"], "left_semi").join(nodes.select("node", "f", "g", "z"), "node"), "members")
     bit = lambda b: F.sum(F.shiftrightunsigned("f", b).bitwiseAND(1))
     half = F.count("*") / 2
     middle = members.groupBy("at", "bytes").agg(*[(bit(b) > half).cast("long").alias(f"b{b}") for b in range(64)])
@@ -215,24 +212,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b in range(64):
         centre = centre.bitwiseOR(F.shiftleft(F.col(f"b{b}"), b))
     middle = middle.select("at", "bytes", centre.alias("centre"))
-    near = members.join(middle, ["at", "bytes"]).groupBy("at", "bytes").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("centre"))).alias("d"), "node", "f", "g")).alias("hub"))
-    index = written(members.join(near, ["at", "bytes"]).select("at", "bytes", "node", "f", "g", "hub"), "index")
+    near = members.join(middle, ["at", "bytes"]).groupBy("at", "bytes").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("centre"))).alias("d"), "node", "f", "g", "z")).alias("hub"))
+    index = written(members.join(near, ["at", "bytes"]).select("at", "bytes", "node", "f", "g", "z", "hub"), "index")
     apart = lambda a, b: F.bit_count(F.col(a + "f").bitwiseXOR(F.col(b + "f"))) + F.bit_count(F.col(a + "g").bitwiseXOR(F.col(b + "g")))
-    star = index.where((F.col("node") != F.col("hub.node")) & (apart("", "hub.") <= WORD_BITS)).select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
-    tried = written(star, "star")
+    alike = lambda a, b: (apart(a, b) <= WORD_BITS) & (F.least(a + "z", b + "z") >= similarity * F.greatest(a + "z", b + "z"))
+    differ = {c: F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in "fg"}
+    first = F.coalesce(*[F.when(differ[c].bitwiseAND(F.lit(m)) == 0, F.lit(56 * s + k)) for s, c in enumerate("fg") for k, m in _positions(WORD_MINIMUM)])
+    d = apart("", "hub.")
+    star = written(index.where((F.col("node") != F.col("hub.node")) & alike("", "hub.")).select("node", F.col("hub.node").alias("hub"), d.alias("d")).distinct(), "star")
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    tried = written(ordered(star.groupBy("node").agg(F.min(F.struct("d", "hub")).alias("m")).select("node", "m.hub"), "node", "hub"), "closest")
     found = written(_verified(tried, nodes, keyed, similarity, width), "found")
+    hubs = True
     while True:
         labels = component_labels(found)
-        named = index.select("at", "bytes", "node", "f", "g", F.col("hub.node").alias("hub")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = written(named.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("h")), "hub", "left").withColumn("h", F.coalesce("h", "hub")), "named")
-        x, y = named.where("label <> h").alias("x"), named.alias("y")
-        meet = (F.col("x.at") == F.col("y.at")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.label") != F.col("y.label")) & (apart("x.", "y.") <= WORD_BITS)
-        across = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        across = written(across.join(tried, ["a", "b"], "left_anti"), "across")
-        more = written(_verified(across, nodes, keyed, similarity, width), "more")
-        if more.isEmpty():
+        label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))  # noqa: E731, B023
+        if hubs:  # the other hubs, of members not yet in their component
+            open_pairs = ordered(label(label(star, "node"), "hub").where("node_label <> hub_label"), "node", "hub")
+        else:
+            named = label(label(index.select("at", "bytes", "node", "f", "g", "z", F.col("hub.node").alias("hub")), "node"), "hub")
+            x, y = named.where("node_label <> hub_label").alias("x"), named.alias("y")
+            meet = (F.col("x.at") == F.col("y.at")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.node_label") != F.col("y.node_label")) & alike("x.", "y.")
+            # a pair of which both are outside is met from one side, and any pair in its first list only
+            once = ((F.col("y.node_label") == F.col("y.hub_label")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.at") == first)
+            open_pairs = ordered(x.join(y, meet & once), "x.node", "y.node")
+        open_pairs = written(open_pairs.join(tried, ["a", "b"], "left_anti"), "open")
+        more = written(_verified(open_pairs, nodes, keyed, similarity, width), "more")
+        if not hubs and more.isEmpty():
             break
-        found, tried = found.union(more), tried.union(across)
+        hubs, found, tried = hubs and not more.isEmpty(), found.union(more), tried.union(open_pairs)
     whole = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = whole.groupBy("label").agg(F.min("first").alias("component_id"))
     return whole.join(smallest, "label").select("key", "component_id")
