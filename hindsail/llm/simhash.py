@@ -35,10 +35,9 @@ MINIMUM = 8 - MAX_BITS
 #: Longest list that is expanded into pairs.
 SHORT = 32
 SEED = 42
-#: near_copies(): two fingerprints over distinct words, by these seeds; byte positions shared in one of them; bits of both that may differ.
+#: near_copies(): two fingerprints over distinct words, by these seeds; byte positions shared in one of them.
 WORD_SEEDS = (42, 43)
 WORD_MINIMUM = 3
-WORD_BITS = 24
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -182,8 +181,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of: the byte-position index posts every 3 positions of each, each
     text is tried with its nearest list's medoid, then with those of its other
     lists, and what that leaves apart is compared across components as in
-    near_duplicates(). Pairs within WORD_BITS, of set sizes that allow the
-    similarity, are verified on the shingle sets themselves. Texts of equal words are one component;
+    near_duplicates(). Pairs of set sizes that allow the similarity are
+    verified on the shingle sets themselves. Texts of equal words are one component;
     null ids are never the smallest.
     """
 
@@ -215,7 +214,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = members.join(middle, ["at", "bytes"]).groupBy("at", "bytes").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("centre"))).alias("d"), "node", "f", "g", "z")).alias("hub"))
     index = written(members.join(near, ["at", "bytes"]).select("at", "bytes", "node", "f", "g", "z", "hub"), "index")
     apart = lambda a, b: F.bit_count(F.col(a + "f").bitwiseXOR(F.col(b + "f"))) + F.bit_count(F.col(a + "g").bitwiseXOR(F.col(b + "g")))
-    alike = lambda a, b: (apart(a, b) <= WORD_BITS) & (F.least(a + "z", b + "z") >= similarity * F.greatest(a + "z", b + "z"))
+    alike = lambda a, b: F.least(a + "z", b + "z") >= similarity * F.greatest(a + "z", b + "z")
     differ = {c: F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in "fg"}
     first = F.coalesce(*[F.when(differ[c].bitwiseAND(F.lit(m)) == 0, F.lit(56 * s + k)) for s, c in enumerate("fg") for k, m in _positions(WORD_MINIMUM)])
     d = apart("", "hub.")

@@ -568,3 +568,27 @@ def test_near_copies_against_brute_force(spark):
             parent[max(find(i), find(j))] = min(find(i), find(j))
     assert [got[hashlib.md5((t or "").encode()).hexdigest()] for t in texts] == [100 + find(i) for i in range(len(texts))]
     assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_of_distant_words_prints(spark):
+    """Copies whose fingerprints differ in more than 24 of 128 bits, but share three bytes, are verified too."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+
+    def words_print(words, seed):
+        import xxhash
+
+        hashes = [xxhash.xxh64_intdigest(w, seed) for w in set(words)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    pairs = []
+    while len(pairs) < 4:
+        base = [word() for _ in range(40)]
+        copy = base + [word() for _ in range(8)]
+        differ = [words_print(base, s) ^ words_print(copy, s) for s in (42, 43)]
+        if sum(d.bit_count() for d in differ) > 24 and max(sum(not d >> 8 * k & 255 for k in range(8)) for d in differ) >= 3:
+            pairs.append((" ".join(base), " ".join(copy)))
+    df = docs(spark, *[t for pair in pairs for t in pair])
+    got = {x.key: x.component_id for x in simhash.near_copies(df).collect()}
+    parts = [[got[hashlib.md5(t.encode()).hexdigest()] for t in pair] for pair in pairs]
+    assert parts == [[2 * i, 2 * i] for i in range(4)]
