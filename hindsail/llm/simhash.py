@@ -35,9 +35,6 @@ MINIMUM = 8 - MAX_BITS
 #: Longest list that is expanded into pairs.
 SHORT = 32
 SEED = 42
-#: near_copies(): two fingerprints over distinct words, by these seeds; byte positions shared in one of them.
-WORD_SEEDS = (42, 43)
-WORD_MINIMUM = 3
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -137,17 +134,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.col("label").alias("component_id"))
 
 
-def _words_print(words: list[bytes], seed: int) -> int:
-    """Signed 64-bit SimHash of the distinct words, each counted once; no words: 0."""
-    import xxhash
-
-    own = set(words)
-    if not own:
-        return 0
-    bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in own]), np.uint8)).reshape(-1, 64)
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(own)).view(">i8")[0])
-
-
 def _shingle_set(text: bytes | None, width: int) -> list[int]:
     """Sorted signed XXH64 of the distinct word shingles; fewer words than width are one shingle, none give none."""
     import xxhash
@@ -157,71 +143,78 @@ def _shingle_set(text: bytes | None, width: int) -> list[int]:
     return sorted(v - (1 << 64) if (v := xxhash.xxh64_intdigest(x, SEED)) >> 63 else v for x in own)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have at least this Jaccard similarity. docs(key, text); sets are made only for texts in a pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_shingle_set(x, width) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
-
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
-    texts = docs.join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", F.col("text").cast("binary"))
-    sets = written(texts.mapInArrow(run, "key string, s array<long>").join(asked, "key").select("node", "s"), "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets(node, s) that have at least this Jaccard similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(h, at, node, z, own) from sets(node, s): the shingles h by which a text can meet a similar one.
+
+    All shingles are put in one order, by the number of texts that hold them,
+    then by hash. Two sets of similarity t share at least t of either, so they
+    share one of the first z - ceil(t z) + 1 of each. at: the shingle's place
+    in the text's order; z: the set's size; own: the text's shingles that no
+    other text holds, which come first and lead nowhere.
+    """
+    spread = sets.select("node", F.size("s").alias("z"), F.explode("s").alias("h"))
+    common = written(spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    # rounding may only lengthen a prefix
+    length = F.col("z") - F.ceil(F.col("z") * similarity - 1e-6) + 1
+    held = spread.join(common, "h").groupBy("node").agg(F.first("z").alias("z"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("c"))
+    held = held.withColumn("own", F.col("z") - F.size("c")).withColumn("asked", (length - F.col("own")).cast("int")).where("asked > 0")
+    first = F.posexplode(F.slice("c", F.lit(1), F.col("asked"))).alias("i", "p")
+    return held.select("node", "z", "own", first).select(F.col("p.h").alias("h"), (F.col("own") + F.col("i") + 1).alias("at"), "node", "z", "own")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(key string, component_id) for every distinct text of docs, key being its MD5 (of the empty text for null): component_id is the smallest id reachable over texts of at least this Jaccard similarity of word shingles.
 
     Shingle sets at 0.8 are too far apart for 64 bits, so candidates come from
-    two fingerprints over distinct words, which near copies share nearly all
-    of: the byte-position index posts every 3 positions of each, each
-    text is tried with its nearest list's medoid, then with those of its other
-    lists, and what that leaves apart is compared across components as in
-    near_duplicates(). Pairs of set sizes that allow the similarity are
-    verified on the shingle sets themselves. Texts of equal words are one component;
-    null ids are never the smallest.
+    prefix filtering, which misses no pair: a text is listed under the rarest
+    of its shingles (see _prefixes). In a list each text is tried with the
+    hub, the text with the smallest share of shingles of its own: first
+    with the hub it shares most lists with, then with the others, and what that
+    leaves apart is compared across components as in near_duplicates(). Set
+    sizes and places in the common order rule out only pairs that cannot reach
+    the similarity; all others are verified on the shingle sets themselves.
+    Texts of equal words are one component; null ids are never the smallest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            words = [x.lower().split() for x in batch.column(2).to_pylist()]
-            prints = [pa.array([_words_print(w, seed) for w in words], pa.int64()) for seed in WORD_SEEDS]
-            sizes = pa.array([len({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}) if w else 0 for w in words], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints, sizes], ["doc_id", "key", "f", "g", "z"])
+            sets = []
+            for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                sets.append(None if key in seen else _shingle_set(text, width))
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "key", "s"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    prints = keyed.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key string, f long, g long, z long")
-    grouped = prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("f").alias("f"), F.min("g").alias("g"), F.min("z").alias("z"))
-    nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = F.explode(F.array(*[F.struct(F.lit(56 * s + k).alias("at"), F.col(c).bitwiseAND(F.lit(m)).alias("bytes")) for s, c in enumerate("fg") for k, m in _positions(WORD_MINIMUM)])).alias("p")
-    spread = nodes.select("node", "f", "g").repartition(parts, "node").select("node", sets).select("p.at", "p.bytes", "node")
-    lists = spread.groupBy("at", "bytes").agg(F.count("*").alias("listed")).where("listed > 1")
-    members = written(spread.join(lists.select("at", "bytes"), ["at", "bytes"], "left_semi").join(nodes.select("node", "f", "g", "z"), "node"), "members")
-    bit = lambda b: F.sum(F.shiftrightunsigned("f", b).bitwiseAND(1))
-    half = F.count("*") / 2
-    middle = members.groupBy("at", "bytes").agg(*[(bit(b) > half).cast("long").alias(f"b{b}") for b in range(64)])
-    centre = F.lit(0).cast("long")
-    for b in range(64):
-        centre = centre.bitwiseOR(F.shiftleft(F.col(f"b{b}"), b))
-    middle = middle.select("at", "bytes", centre.alias("centre"))
-    near = members.join(middle, ["at", "bytes"]).groupBy("at", "bytes").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("centre"))).alias("d"), "node", "f", "g", "z")).alias("hub"))
-    index = written(members.join(near, ["at", "bytes"]).select("at", "bytes", "node", "f", "g", "z", "hub"), "index")
-    apart = lambda a, b: F.bit_count(F.col(a + "f").bitwiseXOR(F.col(b + "f"))) + F.bit_count(F.col(a + "g").bitwiseXOR(F.col(b + "g")))
-    alike = lambda a, b: F.least(a + "z", b + "z") >= similarity * F.greatest(a + "z", b + "z")
-    differ = {c: F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in "fg"}
-    first = F.coalesce(*[F.when(differ[c].bitwiseAND(F.lit(m)) == 0, F.lit(56 * s + k)) for s, c in enumerate("fg") for k, m in _positions(WORD_MINIMUM)])
-    d = apart("", "hub.")
-    star = written(index.where((F.col("node") != F.col("hub.node")) & alike("", "hub.")).select("node", F.col("hub.node").alias("hub"), d.alias("d")).distinct(), "star")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), text.cast("binary").alias("text"))
+    rows = written(keyed.mapInArrow(run, f"doc_id {kind}, key string, s array<long>").withColumn("node", F.monotonically_increasing_id()), "rows")
+    # a partition's first row of a text has the set and the smallest number there
+    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("node").alias("node")), "nodes")
+    once = rows.where("s is not null").select("node", "s").join(nodes.select("node"), "node", "left_semi")
+    # texts without words hold one and the same shingle
+    sets = written(once.select("node", F.when(F.size("s") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("s")).alias("s")), "sets")
+    members = written(_prefixes(sets, similarity), "members")
+    lists = members.groupBy("h").agg(F.count("*").alias("listed"), F.min(F.struct((F.col("own") / F.col("z")).alias("share"), "node", "at", "z")).alias("hub")).where("listed > 1")
+    index = written(members.join(lists, "h").select("h", "at", "node", "z", F.col("hub.node").alias("hub"), F.col("hub.at").alias("hub_at"), F.col("hub.z").alias("hub_z")), "index")
+
+    def alike(at: str, z: str, other_at: str, other_z: str) -> Column:
+        """Whether two sets that meet first at these places can reach the similarity."""
+        least = similarity / (1 + similarity) * (F.col(z) + F.col(other_z)) - 1e-6
+        rest = F.least(F.col(z) - F.col(at), F.col(other_z) - F.col(other_at))
+        return (F.least(z, other_z) >= similarity * F.greatest(z, other_z) - 1e-6) & (rest + 1 >= least)
+
+    star = written(index.where((F.col("node") != F.col("hub")) & alike("at", "z", "hub_at", "hub_z")).groupBy("node", "hub").agg(F.count("*").alias("n")), "star")
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    tried = written(ordered(star.groupBy("node").agg(F.min(F.struct("d", "hub")).alias("m")).select("node", "m.hub"), "node", "hub"), "closest")
-    found = written(_verified(tried, nodes, keyed, similarity, width), "found")
+    tried = written(ordered(star.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("m")).select("node", "m.hub"), "node", "hub"), "closest")
+    found = written(_verified(tried, sets, similarity), "found")
     hubs = True
     while True:
         labels = component_labels(found)
@@ -229,14 +222,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if hubs:  # the other hubs, of members not yet in their component
             open_pairs = ordered(label(label(star, "node"), "hub").where("node_label <> hub_label"), "node", "hub")
         else:
-            named = label(label(index.select("at", "bytes", "node", "f", "g", "z", F.col("hub.node").alias("hub")), "node"), "hub")
+            named = label(label(index.select("h", "at", "node", "z", "hub"), "node"), "hub")
             x, y = named.where("node_label <> hub_label").alias("x"), named.alias("y")
-            meet = (F.col("x.at") == F.col("y.at")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.node_label") != F.col("y.node_label")) & alike("x.", "y.")
-            # a pair of which both are outside is met from one side, and any pair in its first list only
-            once = ((F.col("y.node_label") == F.col("y.hub_label")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.at") == first)
-            open_pairs = ordered(x.join(y, meet & once), "x.node", "y.node")
+            meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.node_label") != F.col("y.node_label")) & alike("x.at", "x.z", "y.at", "y.z")
+            # a pair of which both are outside is met from one side
+            side = (F.col("y.node_label") == F.col("y.hub_label")) | (F.col("x.node") < F.col("y.node"))
+            open_pairs = ordered(x.join(y, meet & side), "x.node", "y.node")
         open_pairs = written(open_pairs.join(tried, ["a", "b"], "left_anti"), "open")
-        more = written(_verified(open_pairs, nodes, keyed, similarity, width), "more")
+        more = written(_verified(open_pairs, sets, similarity), "more")
         if not hubs and more.isEmpty():
             break
         hubs, found, tried = hubs and not more.isEmpty(), found.union(more), tried.union(open_pairs)

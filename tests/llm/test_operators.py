@@ -592,3 +592,29 @@ def test_near_copies_of_distant_words_prints(spark):
     got = {x.key: x.component_id for x in simhash.near_copies(df).collect()}
     parts = [[got[hashlib.md5(t.encode()).hexdigest()] for t in pair] for pair in pairs]
     assert parts == [[2 * i, 2 * i] for i in range(4)]
+
+
+def test_near_copies_of_longer_and_shorter_copies(spark):
+    """No copy is missed that has up to a fifth of fresh text appended or cut off, or a stretch replaced."""
+    r = random.Random(9)
+    fresh = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    pairs = []
+    for n in (20, 50, 100, 300, 1000):
+        for share in (0.15, 0.17, 0.19):
+            for _ in range(10):
+                base = fresh(n)
+                pairs += [(base, base + fresh(int(n * share))), ((base := fresh(n)), base[int(n * share) :])]
+    for _ in range(40):
+        base = fresh(100)
+        pairs.append((base, base[:40] + fresh(6) + base[46:]))
+    df = docs(spark, *[" ".join(t) for pair in pairs for t in pair])
+    got = {x.key: x.component_id for x in simhash.near_copies(df).collect()}
+    missed = near = 0
+    for i, pair in enumerate(pairs):
+        x, y = (set(simhash._shingle_set(" ".join(t).encode(), 5)) for t in pair)
+        parts = [got[hashlib.md5(" ".join(t).encode()).hexdigest()] for t in pair]
+        alike = len(x & y) >= 0.8 * len(x | y)
+        near += alike
+        missed += alike and parts[0] != parts[1]
+        assert alike or parts == [2 * i, 2 * i + 1]
+    assert near > 200 and missed == 0, (near, missed)
