@@ -27,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
 ROUNDS = 12
 THRESHOLD = 0.0
+#: Scores are shares of a whole and shrink as input grows, so they are compared unrounded; those whose ratio is nearer to 1 than this are equal.
+TIE = 1e-9
 #: Links between a host and its parent domain count as so many links, each way.
 KIN = 1.0
 
@@ -87,7 +89,7 @@ def host_scores(judged: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     trust = propagate(edges, seeds_of(judged, "allow")).withColumnRenamed("rank", "trust")
     distrust = propagate(back, seeds_of(judged, "block")).withColumnRenamed("rank", "distrust")
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return trust.join(distrust, "host", "full").select("host", zero("trust"), zero("distrust"))
 
 
@@ -103,5 +105,5 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     named = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     judged = named.select("*", rule.alias("rule"), verdict.alias("ruled"))
     scores = written(host_scores(judged.select("host", "html", "ruled")), "scores")
-    bad = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > THRESHOLD
+    bad = F.coalesce(F.col("distrust") - F.col("trust") - TIE * F.col("trust"), F.lit(0.0)) > THRESHOLD
     return judged.drop("html").join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
