@@ -27,6 +27,8 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_ROWS = 40_000
 VOCABULARY = "byte_bpe_50k"
+#: The added token of the tokenizers file.
+ADDED = {"<|endoftext|>": 50256}
 
 
 def tokenizer_path() -> str:
@@ -37,13 +39,19 @@ def tokenizer_path() -> str:
 
 
 def encoder(path: str | None = None):
-    """Encoder with the ids of the byte-level BPE file; strings of special tokens in a text are ordinary text."""
+    """Encoder with the ids of the byte-level BPE file; encode_of() also gives its added token."""
     import public_tokenizers
     import tiktoken
 
     with open(path or tokenizer_path(), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+
+
+def encode_of(path: str | None = None):
+    """Text -> ids as the tokenizers file gives them: the added token is one id wherever its string stands."""
+    own = encoder(path)
+    return lambda text: own.encode(text, allowed_special="all")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -64,7 +72,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     fields = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, nameless = encoder(path).encode_ordinary, Counter()
+        encode, nameless = encode_of(path), Counter()
         for batch in batches:
             rows, kept, owner = [], [], []
             for k, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
