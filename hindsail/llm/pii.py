@@ -83,8 +83,14 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
     lo = hi = -1
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if b <= hi:
+            continue
+        while a > max(hi, 0) and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
         if lo >= 0 and a <= hi:
-            hi = max(hi, b)
+            hi = b
             continue
         if lo >= 0:
             yield lo, hi
