@@ -65,22 +65,25 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
     A null or empty text has the one id END_ID. Repeated rows each give their
     own pieces. Other columns are left out. deal depends on a row's content
-    alone, so a task that runs again deals alike; rows without an id are told
-    apart by how often their text was seen in the partition.
+    alone, so a task that runs again deals alike; rows that repeat an id and
+    text, and rows without an id, are told apart by how often that was seen in
+    the partition.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     fields = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, nameless = encode_of(path), Counter()
+        encode, seen = encode_of(path), Counter()
         for batch in batches:
             rows, kept, owner = [], [], []
             for k, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 ids = np.array([*encode(text or ""), END_ID], "<u4")
+                whole = zlib.crc32(ids.tobytes())
+                seen[name, whole] += 1
                 if name is None:
-                    whole = zlib.crc32(ids.tobytes())
-                    nameless[whole] += 1
-                    name = f"{whole} {nameless[whole]}"
+                    name = f"{whole} {seen[name, whole]}"
+                elif seen[name, whole] > 1:
+                    name = f"{name} {whole} {seen[name, whole]}"
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     crc = zlib.crc32(part.tobytes())
