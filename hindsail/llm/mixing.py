@@ -13,6 +13,7 @@ long document's rate moves no faster than a short one's.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ HASHED = 1024
 MAX_LABELLED = 4000
 ROUNDS = 60
 TOLERANCE = 1e-4
-#: A round that takes less than this share off the largest miss is the last: rates at their floor leave no more to gain.
-PROGRESS = 0.1
+#: Descent has converged when a round takes less than this share off what it descends on.
+CONVERGED = 1e-6
 #: Where no domain may lose documents, totals are so much above the fullest domain's, since every domain gains from others' posteriors.
 HEADROOM = 0.02
 #: Target share of tokens by domain.
@@ -117,11 +118,16 @@ def rate(p: Column, steps: list[np.ndarray], floor: float, start: float) -> Colu
 
 
 def solve(soft: DataFrame, targets: np.ndarray, floor: float = 0.0, tokens: str = "tokens", p: str = "p", rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Steps of projected gradient descent for rates over soft(tokens, p), until expected totals are within TOLERANCE of the targets' sum or progress ends.
+    """Steps of projected gradient descent for rates over soft(tokens, p), until expected totals are within TOLERANCE of the targets' sum, descent has converged or rounds are over. What then is missing is logged.
 
     With r the rates, the loss is half the squared distance of sum r t p from
     the targets; in the metric of t its gradient for a document is p . (totals
-    - targets), and its largest curvature is that of sum t p p'.
+    - targets), and its largest curvature is that of sum t p p'. First the
+    distance is measured through the inverse curvature, where a whole step
+    never ascends and small domains move as fast as large ones. Where targets
+    cannot be met that has another minimum, so the steps of the smallest loss
+    are kept, and steps of one over the largest curvature, which never ascend
+    in the loss itself, go on from there.
     """
     d = range(len(targets))
     t = F.col(tokens).cast("double")
@@ -134,16 +140,26 @@ def solve(soft: DataFrame, targets: np.ndarray, floor: float = 0.0, tokens: str
         return steps
     # A step through the inverse curvature is the same descent after a change of basis of the totals.
     basis = np.linalg.inv(curve + 1e-9 * top * np.eye(len(targets)))
-    last = float("inf")
-    for _ in range(rounds):
+    plain, last = np.eye(len(targets)) / top, float("inf")
+    best, kept, least = float("inf"), [], np.zeros(len(targets))
+    for done in range(rounds + 1):
         row = soft.agg(*[F.sum(rate(F.col(p), steps, floor, start) * t * a).alias(f"s{i}") for i, a in enumerate(at)]).first()
         miss = np.array(list(row)) - targets
-        largest = float(np.abs(miss).max())
-        if largest <= TOLERANCE * max(targets.sum(), 1.0) or largest > (1 - PROGRESS) * last:
+        if miss @ miss < best:
+            best, kept, least = float(miss @ miss), list(steps), miss
+        if np.abs(miss).max() <= TOLERANCE * max(targets.sum(), 1.0) or done == rounds:
             break
-        last = largest
+        now = float(miss @ basis @ miss)
+        if now > (1 - CONVERGED) * last:
+            if basis is plain:
+                break
+            basis, steps, miss = plain, list(kept), least
+            now = float(miss @ basis @ miss)
+        last = now
         steps.append(np.round(basis @ miss, 12))
-    return steps
+    share = float(np.abs(least).max()) / max(float(targets.sum()), 1.0)
+    logging.getLogger(__name__).log(logging.INFO if share <= TOLERANCE else logging.WARNING, "mixing: after %d steps the largest miss of a domain is %.4f of all target tokens", len(kept), share)
+    return kept
 
 
 def copies(rate_col: Column, *key: Column) -> Column:

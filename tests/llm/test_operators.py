@@ -618,3 +618,25 @@ def test_near_copies_of_longer_and_shorter_copies(spark):
         missed += alike and parts[0] != parts[1]
         assert alike or parts == [2 * i, 2 * i + 1]
     assert near > 200 and missed == 0, (near, missed)
+
+
+@pytest.mark.parametrize(("floor", "shares", "left"), [(1.0, (0.94, 0.02, 0.02, 0.02), 0.15), (0.0, (0.98, 0.01, 0.01, 0.0), 0.65)])
+def test_solver_does_not_stop_early(spark, floor, shares, left, caplog):
+    """One domain holds nearly all documents: the largest miss may rise for a round, rates must not end worse than without steps."""
+    r = np.random.default_rng(2)
+    n = 2000
+    own = np.repeat(np.arange(4), np.round(np.array(shares) * n).astype(int))
+    p = 0.7 * np.eye(4)[own] + 0.3 * r.dirichlet(np.ones(4), len(own))
+    t = r.integers(20, 400, len(own)).astype(float)
+    names = list(mixing.TARGETS)
+    soft = spark.createDataFrame([(int(a), [float(v) for v in b]) for a, b in zip(t, p)], "tokens long, p array<double>").coalesce(1).cache()
+    targets = mixing.budget(soft, mixing.TARGETS, names, keep_all=floor > 0)
+    total = lambda rates: (p * (rates * t)[:, None]).sum(axis=0)
+    miss = lambda rates: np.abs(total(rates) - targets).max() / targets.sum()
+    with caplog.at_level("INFO", logger="hindsail.llm.mixing"):
+        steps = mixing.solve(soft, targets, floor=floor)
+    rates = np.ones(len(t))
+    for s in steps:
+        rates = np.maximum(floor, rates - p @ s)
+    assert miss(rates) < left * miss(np.ones(len(t))), (len(steps), miss(np.ones(len(t))), miss(rates))
+    assert f"{miss(rates):.4f}" in caplog.text
