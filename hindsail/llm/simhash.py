@@ -159,8 +159,10 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     in the text's order; z: the set's size; own: the text's shingles that no
     other text holds, which come first and lead nowhere.
     """
-    spread = sets.select("node", F.size("s").alias("z"), F.explode("s").alias("h"))
-    common = written(spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt once, for the count and for the join
+    spread = sets.select("node", F.size("s").alias("z"), F.explode("s").alias("h")).repartition(parts, "h")
+    common = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     # rounding may only lengthen a prefix
     length = F.col("z") - F.ceil(F.col("z") * similarity - 1e-6) + 1
     held = spread.join(common, "h").groupBy("node").agg(F.first("z").alias("z"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("c"))
@@ -196,11 +198,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), text.cast("binary").alias("text"))
     rows = written(keyed.mapInArrow(run, f"doc_id {kind}, key string, s array<long>").withColumn("node", F.monotonically_increasing_id()), "rows")
-    # a partition's first row of a text has the set and the smallest number there
+    # a partition's first row of a text has the set and the smallest number there; its copies in other partitions have equal sets, so one component
     nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("node").alias("node")), "nodes")
-    once = rows.where("s is not null").select("node", "s").join(nodes.select("node"), "node", "left_semi")
     # texts without words hold one and the same shingle
-    sets = written(once.select("node", F.when(F.size("s") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("s")).alias("s")), "sets")
+    sets = rows.where("s is not null").select("node", F.when(F.size("s") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("s")).alias("s"))
     members = written(_prefixes(sets, similarity), "members")
     lists = members.groupBy("h").agg(F.count("*").alias("listed"), F.min(F.struct((F.col("own") / F.col("z")).alias("share"), "node", "at", "z")).alias("hub")).where("listed > 1")
     index = written(members.join(lists, "h").select("h", "at", "node", "z", F.col("hub.node").alias("hub"), F.col("hub.at").alias("hub_at"), F.col("hub.z").alias("hub_z")), "index")
