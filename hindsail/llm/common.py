@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,18 +14,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def unused(wanted: str, names: Iterable[str]) -> str:
+    """wanted, with as many underscores put before it as make it differ from all names."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one is set only where none is (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where none is named, a local master (as in tests) gets one of its own; a cluster is a RuntimeError, since its machines share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+class Scratch:
+    """Parquet tables of one job in the shared folder: lineage ends at each, and a lost executor costs nothing."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/hindsail-{uuid.uuid4().hex}"
+
+    def put(self, tag: str, df: DataFrame) -> DataFrame:
+        """df as a table, read again."""
+        df.write.parquet(f"{self.folder}/{tag}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{tag}")
+
+    def drop(self, *tags: str) -> None:
+        """Removes tables that nothing reads any more."""
+        jvm, context = self.spark._jvm, self.spark.sparkContext
+        for tag in tags:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{tag}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hindsail-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table of its own in the shared folder, read again."""
+    return Scratch(df.sparkSession).put(tag, df)

@@ -4,32 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import Scratch
 
 
-def component_labels(links: DataFrame, rounds: int = 100) -> DataFrame:
+def component_labels(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links(a, b): label is one node of the component, the same for all of them.
 
     Nodes are ordered by a hash. Every round a node is renamed to the first
     name among its own and its neighbours', followed once (pointer jumping);
     links are renamed alike and those within one name fall away. A dense group
     shrinks to a point at once, and a chain by a constant factor a round,
-    because hashed names fall in no order along it. Tables are written between
-    rounds and never leave the executors.
+    because hashed names fall in no order along it. Every round at least the
+    last name of each component goes, so rounds end without a limit. Tables are
+    written between rounds, never leave the executors, and go when they are
+    read no more. Null ends and links of a node to itself are left out.
     """
+    tables = Scratch(links.sparkSession)
     mixed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v")).alias(c)
     both = links.where("a <> b").select(mixed("a"), mixed("b"))
-    both = written(both.union(both.select("b", "a")).distinct(), "links")
+    both = tables.put("links", both.union(both.select("b", "a")).distinct())
     names = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-    for step in range(rounds):
-        if both.isEmpty():
-            return names.select(F.col("node.v").alias("node"), F.col("label.v").alias("label"))
-        near = written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), f"near{step}")
+    stale, step = ["links"], 0
+    while not both.isEmpty():
+        near = tables.put(f"near{step}", both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
         further = near.select(F.col("a").alias("to"), F.col("to").alias("new"))
-        renamed = written(near.join(further, "to").select("a", "new"), f"renamed{step}")
+        renamed = tables.put(f"renamed{step}", near.join(further, "to").select("a", "new"))
         names = names.join(renamed, names["label"] == renamed["a"], "left").select("node", F.coalesce("new", "label").alias("label"))
-        names = written(names, f"names{step}")
+        names = tables.put(f"names{step}", names)
         head, tail = renamed.select("a", F.col("new").alias("x")), renamed.select(F.col("a").alias("b"), F.col("new").alias("y"))
         moved = both.join(head, "a").join(tail, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        both = written(moved, f"links{step}")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = tables.put(f"links{step}", moved)
+        tables.drop(*stale, f"near{step}", f"renamed{step}")
+        stale, step = [f"names{step}", f"links{step}"], step + 1
+    return names.select(F.col("node.v").alias("node"), F.col("label.v").alias("label"))

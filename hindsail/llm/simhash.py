@@ -3,11 +3,12 @@
 A fingerprint is the bitwise majority of the XXH64 hashes of a text's word
 shingles. Two fingerprints that differ in at most 4 of 64 bits agree in at
 least 4 of their 8 bytes; that is the guaranteed minimum. The index posts a
-fingerprint under every 4 of its byte positions together with the bytes there
-(70 postings), so two fingerprints meet exactly if the tally of shared
-positional bytes reaches the minimum, and lists stay short: a list of single
-bytes would hold 1/256 of all fingerprints. Pairs that meet are tallied,
-retained at the minimum, and verified by their Hamming distance.
+fingerprint under `width` byte positions at a time together with the bytes
+there. width grows with the number of fingerprints, so that lists of unlike
+ones stay short (a list of single bytes would hold 1/256 of all fingerprints),
+and never exceeds the minimum, so no pair is missed. For pairs that meet, the
+shared positional bytes are tallied; pairs reaching the guaranteed minimum are
+retained and verified by their Hamming distance.
 
 Equal fingerprints are one node. A list longer than SHORT is never expanded
 into pairs: its members are linked to the list's hub, the fingerprint of most
@@ -15,6 +16,10 @@ documents, where verification allows; after those links are closed into
 components, only members outside the hub's component are compared, with
 members of other components. What is skipped joins fingerprints that are
 connected already, so components are exact.
+
+near_copies() finds texts by the similarity of their shingle sets. Sets at 0.8
+are too far apart for 64 bits, so there the postings are shingles, and counts
+of shared ones filter with a minimum that is guaranteed for such sets.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import Scratch
 from .components import component_labels
 
 MAX_BITS = 4
@@ -34,28 +39,46 @@ MAX_BITS = 4
 MINIMUM = 8 - MAX_BITS
 #: Longest list that is expanded into pairs.
 SHORT = 32
+#: A list of unlike fingerprints has on average at most one member in so many lists.
+SPARSE = 16
 SEED = 42
+#: Share of a text's shingles that near_copies() posts beyond those that have to be.
+SPARE = 0.1
+#: Shingle hashes that are held at once, besides those of one text.
+PART = 1 << 22
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """Signed 64-bit SimHash of UTF-8 bytes: A-Z lower-cased, words parted by ASCII white space. No words: 0. Fewer than width: one shingle of all."""
+def _hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """Big-endian XXH64 of a text's word shingles in order, in parts: A-Z lower-cased, words parted by ASCII white space. Fewer words than width are one shingle; no words give nothing."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[-n:] - 1).tolist() if n > 1 else [len(joined)]
-    digest, total = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_digest
     for lo in range(0, n, 65_536):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + 65_536], stops[lo : lo + 65_536])])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
-        total += bits.sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + 65_536], stops[lo : lo + 65_536])]), ">u8")
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """Signed 64-bit SimHash of UTF-8 bytes, repeated shingles counting each time. No words: 0."""
+    total, n = np.zeros(64, np.int64), 0
+    for part in _hashes(text, width):
+        total += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(part)
     return int(np.packbits(total * 2 > n).view(">i8")[0])
 
 
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct shingle hashes as signed longs. Texts without words hold one and the same shingle."""
+    parts = list(_hashes(text, width)) or [np.zeros(1, ">u8")]
+    return np.unique(np.concatenate(parts).astype("<u8").view("<i8"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, fp long) for every row; whole texts, null as empty. Other columns are left out."""
 
@@ -68,9 +91,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _positions(minimum: int = MINIMUM) -> list[tuple[int, int]]:
-    """(number, mask as a signed long) of every `minimum` byte positions of 8."""
-    masks = [sum(0xFF << 8 * p for p in chosen) for chosen in itertools.combinations(range(8), minimum)]
+def width_for(n: int) -> int:
+    """How many byte positions a posting joins for n fingerprints."""
+    return next((k for k in range(2, MINIMUM) if n * SPARSE <= 1 << 8 * k), MINIMUM)
+
+
+def _positions(width: int) -> list[tuple[int, int]]:
+    """(number, mask as a signed long) of every `width` byte positions of 8."""
+    masks = [sum(0xFF << 8 * p for p in chosen) for chosen in itertools.combinations(range(8), width)]
     return [(k, m - (1 << 64) if m >> 63 else m) for k, m in enumerate(masks)]
 
 
@@ -79,9 +107,14 @@ def _tally(xor: Column) -> Column:
     return sum((F.shiftrightunsigned(xor, 8 * p).bitwiseAND(0xFF) == 0).cast("int") for p in range(8))
 
 
-def postings(nodes: DataFrame) -> DataFrame:
+def _near(xor: Column) -> Column:
+    """Whether a pair's tally reaches the guaranteed minimum and verification finds few enough bits."""
+    return (_tally(xor) >= MINIMUM) & (F.bit_count(xor) <= MAX_BITS)
+
+
+def postings(nodes: DataFrame, width: int) -> DataFrame:
     """Index of nodes(fp, n): (at, bytes, fp, n, listed, hub), one row per fingerprint and position set, lists of one left out. listed: the list's length; hub: its fingerprint of most documents."""
-    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(m).alias("mask")) for k, m in _positions()]))
+    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(m).alias("mask")) for k, m in _positions(width)]))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = nodes.repartition(parts, "fp").select("fp", "n", sets.alias("p")).select(F.col("p.at").alias("at"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("bytes"), "fp", "n")
     lists = spread.groupBy("at", "bytes").agg(F.count("*").alias("listed"), F.max_by("fp", "n").alias("hub")).where("listed > 1")
@@ -90,32 +123,40 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 def links(index: DataFrame) -> DataFrame:
     """Verified links (a, b) from the lists of at most SHORT, each pair once, and from each longer list's hub to its members."""
-    xor = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     short = index.where(F.col("listed") <= SHORT).select("at", "bytes", "fp")
     pairs = short.alias("x").join(short.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.fp") < F.col("y.fp")))
-    near = pairs.where((_tally(xor) >= MINIMUM) & (F.bit_count(xor) <= MAX_BITS))
-    star = index.where((F.col("listed") > SHORT) & (F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= MAX_BITS))
+    near = pairs.where(_near(F.col("x.fp").bitwiseXOR(F.col("y.fp"))))
+    star = index.where((F.col("listed") > SHORT) & (F.col("fp") != F.col("hub")) & _near(F.col("fp").bitwiseXOR(F.col("hub"))))
     return near.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(star.select("hub", "fp")).distinct()
 
 
+def _named(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """df with the label of each of these columns beside it; what has none is its own label."""
+    for c in columns:
+        own = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        df = df.join(own, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    return df
+
+
 def cross_links(index: DataFrame, labels: DataFrame) -> DataFrame:
     """Verified links inside long lists between different components, of which one is not the hub's. labels(node, label); a fingerprint without one is its own component."""
-    named = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    long = named(named(index.where(F.col("listed") > SHORT), "fp"), "hub")
+    long = _named(index.where(F.col("listed") > SHORT), labels, "fp", "hub")
     outside = long.where("fp_label <> hub_label").select("at", "bytes", "fp", "fp_label")
     ends = long.select("at", "bytes", F.col("fp").alias("to"), F.col("fp_label").alias("to_label"))
-    xor = F.col("fp").bitwiseXOR(F.col("to"))
-    return outside.join(ends, ["at", "bytes"]).where((F.col("fp_label") != F.col("to_label")) & (F.bit_count(xor) <= MAX_BITS)).select(F.col("fp").alias("a"), F.col("to").alias("b")).distinct()
-
-
-def components(prints: DataFrame) -> DataFrame:
-    """prints(doc_id, fp) -> (fp, label): label is the smallest id of the fingerprint's component. Null ids are never the smallest."""
-    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "nodes")
-    index = written(postings(nodes), "postings")
-    found = written(links(index), "found")
-    labels = component_labels(found)
-    while not (more := written(cross_links(index, labels), "more")).isEmpty():
-        labels = component_labels(found := found.union(more))
+    apart = (F.col("fp_label") != F.col("to_label")) & _near(F.col("fp").bitwiseXOR(F.col("to")))
+    return outside.join(ends, ["at", "bytes"]).where(apart).select(F.col("fp").alias("a"), F.col("to").alias("b")).distinct()
+
+
+def components(prints: DataFrame, width: int | None = None) -> DataFrame:
+    """prints(doc_id, fp) -> (fp, label): label is the smallest id of the fingerprint's component. Null ids are never the smallest. width: positions a posting joins, by default width_for() the number of fingerprints; links are the same at every width."""
+    tables = Scratch(prints.sparkSession)
+    nodes = tables.put("nodes", prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
+    index = tables.put("postings", postings(nodes, width or width_for(nodes.count())))
+    found = tables.put("found", links(index))
+    labels, step = component_labels(found), 0
+    while not (more := tables.put(f"more{step}", cross_links(index, labels))).isEmpty():
+        labels, step = component_labels(found := found.union(more)), step + 1
+    tables.drop("postings")
     named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("part"))
     smallest = named.groupBy("part").agg(F.min("first").alias("label"))
     return named.join(smallest, "part").select("fp", "label")
@@ -128,19 +169,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     get a row; texts without words share fingerprint zero; an empty table gives
     no rows; a row with a null id belongs to its text's component.
     """
-    prints = written(fingerprints(docs, id_col, text_col, width), "prints")
+    prints = Scratch(docs.sparkSession).put("prints", fingerprints(docs, id_col, text_col, width))
     named = components(prints)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.col("label").alias("component_id"))
 
 
-def _shingle_set(text: bytes | None, width: int) -> list[int]:
-    """Sorted signed XXH64 of the distinct word shingles; fewer words than width are one shingle, none give none."""
-    import xxhash
+def _longs(arrays: list[np.ndarray | None]) -> pa.Array:
+    """A list<long> column."""
+    ends = np.cumsum([0, *(0 if a is None else len(a) for a in arrays)])
+    flat = np.concatenate([a for a in arrays if a is not None] or [np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()), mask=pa.array([a is None for a in arrays]))
+
+
+def _each_once(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches whose last two columns are key and text, each with the shingle sets of the partition's first row of a key and None for others; cut where sets have come to PART hashes."""
+    seen: set[str] = set()
+    for batch in batches:
+        keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
+        lo, size, made = 0, 0, []
+        for k, key in enumerate(keys):
+            made.append(None if key in seen else shingle_set(texts[k].as_py(), width))
+            size += 0 if made[-1] is None else len(made[-1])
+            seen.add(key)
+            if size >= PART or k == len(keys) - 1:
+                yield batch.slice(lo, len(made)), made
+                lo, size, made = k + 1, 0, []
+
+
+def posted(z: int, similarity: float, spare: float = SPARE) -> int:
+    """How many of a set's z shingles, first in any common order, are posted.
+
+    Sets of Jaccard similarity t share at least a = t / (1 + t) (z + z')
+    shingles, no less than t of either, and the smaller set is no less than t
+    of the larger. Their l first common ones stand among the first z - a + l of
+    each. So if each posts with l = 1 + spare z, they share at least the
+    smaller set's l of what both have posted; see needed().
+    """
+    return min(z, z - int(np.ceil(z * similarity - 1e-6)) + 1 + int(spare * z))
 
-    words = (text or b"").lower().split()
-    own = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-    return sorted(v - (1 << 64) if (v := xxhash.xxh64_intdigest(x, SEED)) >> 63 else v for x in own)
+
+def needed(z: Column, similarity: float, spare: float = SPARE) -> Column:
+    """How many posted shingles a set of z shares with every set that is similar to it."""
+    return 1 + F.floor(z * (similarity * spare) - 1e-6)
+
+
+def suspects(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key) of rows(key, node, z, p) that can have a similar text: enough of the posted shingles p stand in another row's."""
+    single = rows.select("node", F.explode("p").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    shared = F.size("p") - F.coalesce("own", F.lit(0))
+    return rows.where("p is not null").join(own, "node", "left").where(shared >= needed(F.col("z"), similarity)).select("key").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -171,40 +250,21 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return held.select("node", "z", "own", first).select(F.col("p.h").alias("h"), (F.col("own") + F.col("i") + 1).alias("at"), "node", "z", "own")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(key string, component_id) for every distinct text of docs, key being its MD5 (of the empty text for null): component_id is the smallest id reachable over texts of at least this Jaccard similarity of word shingles.
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, label) for the nodes of sets(node, s) that are linked to another, label being one node of the component over all pairs of at least this similarity.
 
-    Shingle sets at 0.8 are too far apart for 64 bits, so candidates come from
-    prefix filtering, which misses no pair: a text is listed under the rarest
-    of its shingles (see _prefixes). In a list each text is tried with the
-    hub, the text with the smallest share of shingles of its own: first
-    with the hub it shares most lists with, then with the others, and what that
-    leaves apart is compared across components as in near_duplicates(). Set
-    sizes and places in the common order rule out only pairs that cannot reach
-    the similarity; all others are verified on the shingle sets themselves.
-    Texts of equal words are one component; null ids are never the smallest.
+    A list is what _prefixes() puts under one shingle. Each member is verified
+    against the list's hub, the text with the smallest share of shingles of its
+    own; after those links are closed into components, only members outside the
+    hub's component are compared, with members of other components, until
+    nothing is found. Set sizes and places in the common order rule out only
+    pairs that cannot reach the similarity; all others are verified.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
-        for batch in batches:
-            sets = []
-            for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                sets.append(None if key in seen else _shingle_set(text, width))
-                seen.add(key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "key", "s"])
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), text.cast("binary").alias("text"))
-    rows = written(keyed.mapInArrow(run, f"doc_id {kind}, key string, s array<long>").withColumn("node", F.monotonically_increasing_id()), "rows")
-    # a partition's first row of a text has the set and the smallest number there; its copies in other partitions have equal sets, so one component
-    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("node").alias("node")), "nodes")
-    # texts without words hold one and the same shingle
-    sets = rows.where("s is not null").select("node", F.when(F.size("s") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("s")).alias("s"))
-    members = written(_prefixes(sets, similarity), "members")
+    tables = Scratch(sets.sparkSession)
+    members = tables.put("members", _prefixes(sets, similarity))
     lists = members.groupBy("h").agg(F.count("*").alias("listed"), F.min(F.struct((F.col("own") / F.col("z")).alias("share"), "node", "at", "z")).alias("hub")).where("listed > 1")
-    index = written(members.join(lists, "h").select("h", "at", "node", "z", F.col("hub.node").alias("hub"), F.col("hub.at").alias("hub_at"), F.col("hub.z").alias("hub_z")), "index")
+    index = tables.put("index", members.join(lists, "h").select("h", "at", "node", "z", F.col("hub.node").alias("hub"), F.col("hub.at").alias("hub_at"), F.col("hub.z").alias("hub_z")))
+    tables.drop("members")
 
     def alike(at: str, z: str, other_at: str, other_z: str) -> Column:
         """Whether two sets that meet first at these places can reach the similarity."""
@@ -212,28 +272,63 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = F.least(F.col(z) - F.col(at), F.col(other_z) - F.col(other_at))
         return (F.least(z, other_z) >= similarity * F.greatest(z, other_z) - 1e-6) & (rest + 1 >= least)
 
-    star = written(index.where((F.col("node") != F.col("hub")) & alike("at", "z", "hub_at", "hub_z")).groupBy("node", "hub").agg(F.count("*").alias("n")), "star")
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    tried = written(ordered(star.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("m")).select("node", "m.hub"), "node", "hub"), "closest")
-    found = written(_verified(tried, sets, similarity), "found")
-    hubs = True
+    star = index.where((F.col("node") != F.col("hub")) & alike("at", "z", "hub_at", "hub_z"))
+    tried = tables.put("star", ordered(star, "node", "hub"))
+    found, step = tables.put("found", _verified(tried, sets, similarity)), 0
     while True:
         labels = component_labels(found)
-        label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))  # noqa: E731, B023
-        if hubs:  # the other hubs, of members not yet in their component
-            open_pairs = ordered(label(label(star, "node"), "hub").where("node_label <> hub_label"), "node", "hub")
-        else:
-            named = label(label(index.select("h", "at", "node", "z", "hub"), "node"), "hub")
-            x, y = named.where("node_label <> hub_label").alias("x"), named.alias("y")
-            meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.node_label") != F.col("y.node_label")) & alike("x.at", "x.z", "y.at", "y.z")
-            # a pair of which both are outside is met from one side
-            side = (F.col("y.node_label") == F.col("y.hub_label")) | (F.col("x.node") < F.col("y.node"))
-            open_pairs = ordered(x.join(y, meet & side), "x.node", "y.node")
-        open_pairs = written(open_pairs.join(tried, ["a", "b"], "left_anti"), "open")
-        more = written(_verified(open_pairs, sets, similarity), "more")
-        if not hubs and more.isEmpty():
-            break
-        hubs, found, tried = hubs and not more.isEmpty(), found.union(more), tried.union(open_pairs)
-    whole = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = whole.groupBy("label").agg(F.min("first").alias("component_id"))
-    return whole.join(smallest, "label").select("key", "component_id")
+        named = tables.put(f"named{step}", _named(index.select("h", "at", "node", "z", "hub"), labels, "node", "hub"))
+        x, y = named.where("node_label <> hub_label").alias("x"), named.alias("y")
+        meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.node_label") != F.col("y.node_label")) & alike("x.at", "x.z", "y.at", "y.z")
+        # a pair of which both are outside is met from one side
+        side = (F.col("y.node_label") == F.col("y.hub_label")) | (F.col("x.node") < F.col("y.node"))
+        again = tables.put(f"tried{step}", ordered(x.join(y, meet & side), "x.node", "y.node").join(tried, ["a", "b"], "left_anti"))
+        tables.drop(f"named{step}")
+        more = tables.put(f"more{step}", _verified(again, sets, similarity))
+        if more.isEmpty():
+            tables.drop("index")
+            return labels
+        found, tried, step = found.union(more), tried.union(again), step + 1
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(key string, component_id) for every distinct text of docs, key being its MD5 (of the empty text for null): component_id is the smallest id reachable over texts of at least this Jaccard similarity of word shingles.
+
+    No pair is missed. First every text posts its smallest shingle hashes, and
+    only texts that share the guaranteed number of those with others go on
+    (suspects); of these alone whole sets are made, listed and compared
+    (similar_sets). Texts of equal words are one component, and so are texts
+    without words; null ids are never the smallest. An empty table gives no
+    rows; other columns are left out.
+    """
+    tables = Scratch(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), text.cast("binary").alias("text"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _each_once(batches, width):
+            first = [None if s is None else s[: posted(len(s), similarity)] for s in sets]
+            z = pa.array([None if s is None else len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z, _longs(first)], ["doc_id", "key", "z", "p"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _each_once(batches, width):
+            kept = [k for k, s in enumerate(sets) if s is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), _longs([sets[k] for k in kept])], ["key", "s"])
+
+    numbered = lambda df: df.withColumn("node", F.monotonically_increasing_id())
+    rows = tables.put("rows", numbered(keyed.mapInArrow(post, f"doc_id {kind}, key string, z int, p array<long>")))
+    chosen = tables.put("suspects", suspects(rows, similarity))
+    near = keyed.select("key", "text").join(chosen.hint("shuffle_hash"), "key", "left_semi")
+    # copies in different partitions have equal sets, so they are one component
+    sets = tables.put("sets", numbered(near.mapInArrow(whole, "key string, s array<long>")))
+    labels = similar_sets(sets.select("node", "s"), similarity)
+    texts = tables.put("texts", rows.groupBy("key").agg(F.min("doc_id").alias("first")))
+    tables.drop("rows", "suspects")
+    parts = _named(sets.select("key", "node").groupBy("key").agg(F.min("node").alias("node")), labels, "node").join(texts, "key")
+    smallest = parts.groupBy("node_label").agg(F.min("first").alias("label"))
+    moved = tables.put("moved", parts.join(smallest, "node_label").select("key", F.col("label").alias("component_id")))
+    tables.drop("sets")
+    return texts.join(moved, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id"))

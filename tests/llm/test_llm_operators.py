@@ -215,12 +215,24 @@ def test_components_of_dense_families_and_chains(spark, monkeypatch):
     fps += fps[:20] + [0, 0]
     df = spark.createDataFrame([(i, signed(v)) for i, v in enumerate(fps)], "doc_id long, fp long")
     want = union_find(fps)
-    for short in (32, 4):
+    for short, width in ((4, None), (32, 3), (32, 4)):
         monkeypatch.setattr(simhash, "SHORT", short)
-        got = df.join(simhash.components(df), "fp").collect()
+        got = df.join(simhash.components(df, width), "fp").collect()
         assert {x.doc_id: x.label for x in got} == dict(enumerate(want))
 
 
+def test_tally_rejects_pairs_below_the_minimum(spark):
+    """Fingerprints that meet in two or three bytes, but share fewer than the guaranteed four, are no candidates."""
+    near, three = 0x0000000000000F00, 0xFF_FF_FF_FF_FF << 8
+    nodes = spark.createDataFrame([(0, 1), (near, 1), (three, 1)], "fp long, n long")
+    for width in (2, 3, 4):
+        index = simhash.postings(nodes, width)
+        met = {r.fp for r in index.collect()}
+        assert met == ({0, near, three} if width < 4 else {0, near})
+        assert [tuple(r) for r in simhash.links(index).collect()] == [(0, near)]
+    assert [simhash.width_for(n) for n in (0, 4096, 4097, 1 << 20, (1 << 20) + 1, 10**12)] == [2, 2, 3, 3, 4, 4]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = simhash.near_duplicates(odd(spark))
     rows = {(r.doc_id, r.fingerprint): r.component_id for r in out.collect()}
@@ -533,7 +545,7 @@ def test_mixing_odd_rows(spark):
     assert out.columns == ["doc_id", "text", "lang"] and out.select("doc_id").distinct().count() == 240
 
 
-def test_near_copies_against_brute_force(spark):
+def test_near_copies_against_brute_force(spark, monkeypatch):
     """Families of edited, appended and shuffled copies, chains, exact copies, short and empty texts."""
     r = random.Random(12)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
@@ -551,10 +563,12 @@ def test_near_copies_against_brute_force(spark):
         own = list(family)
         own[i % len(own)] = f"z{i}"
         texts.append(" ".join(own))
-    texts += [texts[0], texts[0].upper(), None, "", "one two", "one two", "three"]
+    common = " ".join(f"passage{i}" for i in range(40))  # shared by unlike texts
+    texts += [f"{common} " + " ".join(r.choice(vocabulary) for _ in range(n)) for n in (5, 8, 60, 80, 300) for _ in range(6)]
+    texts += [texts[0], texts[0].upper(), None, "", "one two", "one two", "three", "\x85\u2003", " \n"]
     df = docs(spark, *texts, start=100)
     got = {x.key: x.component_id for x in simhash.near_copies(df).collect()}
-    sets = [set(simhash._shingle_set((t or "").encode(), 5)) for t in texts]
+    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -568,6 +582,20 @@ def test_near_copies_against_brute_force(spark):
             parent[max(find(i), find(j))] = min(find(i), find(j))
     assert [got[hashlib.md5((t or "").encode()).hexdigest()] for t in texts] == [100 + find(i) for i in range(len(texts))]
     assert simhash.near_copies(df.limit(0)).count() == 0
+    monkeypatch.setattr(simhash, "PART", 500)
+    assert {x.key: x.component_id for x in simhash.near_copies(df.repartition(3)).collect()} == got
+
+
+def test_guaranteed_counts():
+    """Sets at the similarity share, of what both post, the number that suspects() asks for."""
+    r = np.random.default_rng(4)
+    for _ in range(4000):
+        shared, more, less = r.integers(1, 120), *r.integers(0, 16, 2)
+        ours = r.choice(1 << 40, shared + more + less, replace=False)
+        a, b = np.sort(ours[: shared + more]), np.sort(np.concatenate([ours[:shared], ours[shared + more :]]))
+        if shared >= 0.8 * len(ours):
+            met = len(np.intersect1d(a[: simhash.posted(len(a), 0.8)], b[: simhash.posted(len(b), 0.8)]))
+            assert all(met >= 1 + np.floor(0.08 * len(x) - 1e-6) for x in (a, b))
 
 
 def test_near_copies_of_distant_words_prints(spark):
@@ -611,7 +639,7 @@ def test_near_copies_of_longer_and_shorter_copies(spark):
     got = {x.key: x.component_id for x in simhash.near_copies(df).collect()}
     missed = near = 0
     for i, pair in enumerate(pairs):
-        x, y = (set(simhash._shingle_set(" ".join(t).encode(), 5)) for t in pair)
+        x, y = (set(simhash.shingle_set(" ".join(t).encode(), 5).tolist()) for t in pair)
         parts = [got[hashlib.md5(" ".join(t).encode()).hexdigest()] for t in pair]
         alike = len(x & y) >= 0.8 * len(x | y)
         near += alike
