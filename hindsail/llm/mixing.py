@@ -7,8 +7,7 @@ tokens x posterior. Rates are the projected-gradient solution of least squares
 between expected and target totals, never below `floor` (0 unless asked):
 every step is one aggregate over all documents that returns as many sums as
 there are domains, and a document's rate is a fold of its posterior over those
-steps. Gradients are taken in the metric of the documents' tokens, so that a
-long document's rate moves no faster than a short one's.
+steps.
 """
 
 from __future__ import annotations
@@ -16,19 +15,25 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import Scratch, unused, written
 
 HASHED = 1024
 MAX_LABELLED = 4000
-ROUNDS = 60
 TOLERANCE = 1e-4
-#: Descent has converged when a round takes less than this share off what it descends on.
-CONVERGED = 1e-6
+#: Rates are still when a step moves less than this share of all tokens.
+STILL = 1e-4
+#: Descent has ended when SPAN rounds take less than a GAIN off the distance to the targets.
+SPAN, GAIN = 10, 0.01
+#: Steps after which rates are written.
+WRITE = 8
+#: Targets far out of reach call for huge rates of a few documents and are neared ever slower; after so many rounds what is missing is reported.
+ROUNDS = 200
 #: Where no domain may lose documents, totals are so much above the fullest domain's, since every domain gains from others' posteriors.
 HEADROOM = 0.02
 #: Target share of tokens by domain.
@@ -91,9 +96,9 @@ def train(labelled: DataFrame, names: list[str], text_col: str = "text", domain_
     return fit(np.array(part["x"].tolist(), float).reshape(-1, HASHED), part["domain"].map({n: k for k, n in enumerate(names)}).to_numpy(int), names)
 
 
-def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, tokens long, p array<double>) for every row, or all columns of docs with `_tokens` and `_p` if keep. Tokens are words parted by ASCII white space."""
-    names = [*docs.columns, "_tokens", "_p"] if keep else ["doc_id", "tokens", "p"]
+def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, str] | None = None) -> DataFrame:
+    """(doc_id, tokens long, p array<double>) for every row, or all columns of docs with the two that keep names. Tokens are words parted by ASCII white space."""
+    names = [*docs.columns, *keep] if keep else ["doc_id", "tokens", "p"]
     plain = docs if keep else docs.select(F.col(id_col), F.col(text_col).cast("string"))
     at = docs.columns.index(text_col) if keep else 1
 
@@ -108,58 +113,84 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
     return plain.mapInArrow(run, f"{head}, {names[-2]} long, {names[-1]} array<double>")
 
 
-def rate(p: Column, steps: list[np.ndarray], floor: float, start: float) -> Column:
-    """A document's rate after all steps: each takes p . step off and projects to floor."""
-    if not steps:
-        return F.lit(float(start))
-    moves = F.array(*[F.array(*[F.lit(float(g)) for g in step]) for step in steps])
-    dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(moves, F.lit(float(start)), lambda r, g: F.greatest(F.lit(float(floor)), r - dot(g)))
-
-
-def solve(soft: DataFrame, targets: np.ndarray, floor: float = 0.0, tokens: str = "tokens", p: str = "p", rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Steps of projected gradient descent for rates over soft(tokens, p), until expected totals are within TOLERANCE of the targets' sum, descent has converged or rounds are over. What then is missing is logged.
-
-    With r the rates, the loss is half the squared distance of sum r t p from
-    the targets; in the metric of t its gradient for a document is p . (totals
-    - targets), and its largest curvature is that of sum t p p'. First the
-    distance is measured through the inverse curvature, where a whole step
-    never ascends and small domains move as fast as large ones. Where targets
-    cannot be met that has another minimum, so the steps of the smallest loss
-    are kept, and steps of one over the largest curvature, which never ascend
-    in the loss itself, go on from there.
+@dataclass
+class Rates:
+    """steps: (gradient by domain, momentum) of every round; scale: the domains' tokens at rates of one."""
+
+    scale: np.ndarray
+    floor: float
+    start: float
+    steps: list[tuple[np.ndarray, float]]
+
+    def fold(self, p: Column, since: int = 0, state: Column | None = None) -> Column:
+        """(r, y, moved) of a document after the steps from number since on: its rate, the point that the next step starts from, and how far the last step moved it. state: what it was before."""
+        dot = lambda g: reduce(lambda a, b: a + b, [F.element_at(p, i + 1) * g(i) for i in range(len(self.scale))])
+        named = lambda r, y, m: F.struct(r.alias("r"), y.alias("y"), m.alias("moved"))
+        begin = state if state is not None else named(*[F.lit(v) for v in (float(self.start), float(self.start), 0.0)])
+        if not self.steps[since:]:
+            return begin
+        size = F.greatest(dot(lambda i: F.lit(float(self.scale[i]))), F.lit(1e-300))
+        moves = F.array(*[F.struct(*[F.lit(float(v)).alias(f"g{i}") for i, v in enumerate(g)], F.lit(float(m)).alias("m")) for g, m in self.steps[since:]])
+
+        def step(s: Column, move: Column) -> Column:
+            new = F.greatest(F.lit(float(self.floor)), s["y"] - dot(lambda i: move[f"g{i}"]) / size)
+            return named(new, new + move["m"] * (new - s["r"]), F.abs(new - s["y"]))
+
+        return F.aggregate(moves, begin, step)
+
+    def of(self, p: Column) -> Column:
+        return self.fold(p)["r"]
+
+
+def solve(soft: DataFrame, targets: np.ndarray, floor: float = 0.0, tokens: str = "tokens", p: str = "p") -> Rates:
+    """Rates of floor or more for soft(tokens, p) whose expected totals have the least squared distance from targets.
+
+    With r the rates, s = sum r t p the totals and n = sum t p, a step takes
+    p . (s - targets) / p . n off a document's rate and projects to floor: that
+    is the projected gradient in the metric t (p . n). There the curvature is
+    k = sum t p p' / p . n, which has no negative entry and maps n to n, so its
+    largest eigenvalue is 1 and a whole step never ascends, whatever the sizes
+    of domains. Momentum is Nesterov's, begun anew when it points uphill. Ends
+    when the totals are within TOLERANCE of the targets (as a share of their
+    sum), when a whole step moves less than STILL of all tokens, when SPAN
+    rounds gain less than GAIN, or after ROUNDS; unless targets are met, what is
+    missing is logged as a warning. State is written every WRITE steps, so that
+    a round costs as much late as early.
     """
-    d = range(len(targets))
-    t = F.col(tokens).cast("double")
+    tables, d = Scratch(soft.sparkSession), range(len(targets))
     at = [F.element_at(p, i + 1) for i in d]
-    first = soft.agg(*[F.sum(t * at[i] * at[j]).alias(f"m{i}_{j}") for i in d for j in d]).first()
-    curve = np.array([[first[f"m{i}_{j}"] or 0.0 for j in d] for i in d])
-    top = float(np.linalg.eigvalsh(curve)[-1]) if curve.any() else 0.0
-    start, steps = max(1.0, floor), []
-    if top <= 0:
-        return steps
-    # A step through the inverse curvature is the same descent after a change of basis of the totals.
-    basis = np.linalg.inv(curve + 1e-9 * top * np.eye(len(targets)))
-    plain, last = np.eye(len(targets)) / top, float("inf")
-    best, kept, least = float("inf"), [], np.zeros(len(targets))
-    for done in range(rounds + 1):
-        row = soft.agg(*[F.sum(rate(F.col(p), steps, floor, start) * t * a).alias(f"s{i}") for i, a in enumerate(at)]).first()
-        miss = np.array(list(row)) - targets
-        if miss @ miss < best:
-            best, kept, least = float(miss @ miss), list(steps), miss
-        if np.abs(miss).max() <= TOLERANCE * max(targets.sum(), 1.0) or done == rounds:
+    first = soft.agg(F.sum(F.col(tokens).cast("double")).alias("all"), *[F.sum(F.col(tokens) * a).alias(f"n{i}") for i, a in enumerate(at)]).first()
+    rates = Rates(np.array([first[f"n{i}"] or 0.0 for i in d]), floor, max(1.0, floor), [])
+    whole = first["all"] or 0.0
+    if whole <= 0:
+        return rates
+    total = max(float(targets.sum()), 1.0)
+    reached = previous = rates.scale * rates.start
+    speed, now, kept = 1.0, soft.select(F.col(tokens).cast("double").alias("t"), F.col(p).alias("p"), rates.fold(F.col(p)).alias("s")), 0
+    aim = reached
+    far = [float(np.linalg.norm(reached - targets))]
+    while np.abs(reached - targets).max() > TOLERANCE * total and len(rates.steps) < ROUNDS:
+        after = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        momentum = (speed - 1) / after
+        slope = aim - targets
+        rates.steps.append((slope, momentum))
+        state = rates.fold(F.col("p"), kept, F.col("s"))
+        row = now.select("t", "p", state.alias("s")).agg(F.sum(F.col("t") * F.col("s.moved")), *[F.sum(F.col("t") * F.element_at("p", i + 1) * F.col("s.r")) for i in d]).first()
+        previous, reached = reached, np.array(list(row)[1:])
+        far.append(float(np.linalg.norm(reached - targets)))
+        if row[0] <= STILL * whole or len(far) > SPAN and min(far[-SPAN:]) > (1 - GAIN) * min(far[:-SPAN]):
             break
-        now = float(miss @ basis @ miss)
-        if now > (1 - CONVERGED) * last:
-            if basis is plain:
-                break
-            basis, steps, miss = plain, list(kept), least
-            now = float(miss @ basis @ miss)
-        last = now
-        steps.append(np.round(basis @ miss, 12))
-    share = float(np.abs(least).max()) / max(float(targets.sum()), 1.0)
-    logging.getLogger(__name__).log(logging.INFO if share <= TOLERANCE else logging.WARNING, "mixing: after %d steps the largest miss of a domain is %.4f of all target tokens", len(kept), share)
-    return kept
+        if slope @ (reached - previous) > 0:  # uphill: this step goes on without momentum
+            rates.steps[-1], momentum, after = (slope, 0.0), 0.0, 1.0
+        speed, aim = after, reached + momentum * (reached - previous)
+        if len(rates.steps) - kept >= WRITE:
+            now = tables.put(f"rates{len(rates.steps)}", now.select("t", "p", rates.fold(F.col("p"), kept, F.col("s")).alias("s")))
+            tables.drop(f"rates{kept}")
+            kept = len(rates.steps)
+    tables.drop(f"rates{kept}")
+    share = float(np.abs(reached - targets).max()) / total
+    logging.getLogger(__name__).log(logging.INFO if share <= TOLERANCE else logging.WARNING, "mixing: after %d steps the largest miss of a domain is %.4f of all target tokens", len(rates.steps), share)
+    return rates
 
 
 def copies(rate_col: Column, *key: Column) -> Column:
@@ -186,14 +217,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     """
     names = sorted(targets)
     soft = written(posteriors(docs, train(labelled, names, text_col, domain_col), id_col, text_col), "soft")
-    steps = solve(soft, budget(soft, targets, names))
-    return soft.withColumn("rate", F.round(rate(F.col("p"), steps, 0.0, 1.0), 9)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    rates = solve(soft, budget(soft, targets, names))
+    return soft.withColumn("rate", F.round(rates.of(F.col("p")), 9)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, text_col: str = "text", domain_col: str = "lang") -> DataFrame:
-    """docs with each row as many times as its copies: domains short of their share are repeated, none loses a document (rates are 1 or more)."""
+    """docs with each row as many times as its copies: domains short of their share are repeated, none loses a document (rates are 1 or more).
+
+    Null texts count as empty; rows with equal texts and first columns have
+    equal copies; an empty table gives no rows; docs may have columns of any
+    name.
+    """
     names = sorted(targets)
-    rows = written(posteriors(docs, train(labelled, names, text_col, domain_col), text_col=text_col, keep=True), "rows")
-    steps = solve(rows, budget(rows, targets, names, keep_all=True, tokens="_tokens", p="_p"), floor=1.0, tokens="_tokens", p="_p")
-    times = copies(rate(F.col("_p"), steps, 1.0, 1.0), F.xxhash64(F.col(text_col)), F.col(docs.columns[0]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    tokens, p, copy = (unused(n, docs.columns) for n in ("mixing_tokens", "mixing_p", "mixing_copy"))
+    rows = written(posteriors(docs, train(labelled, names, text_col, domain_col), text_col=text_col, keep=(tokens, p)), "rows")
+    rates = solve(rows, budget(rows, targets, names, keep_all=True, tokens=tokens, p=p), floor=1.0, tokens=tokens, p=p)
+    times = copies(rates.of(F.col(p)), F.xxhash64(F.col(text_col)), F.col(docs.columns[0]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
