@@ -7,16 +7,16 @@ from . import sharding, urlfilter
 M = sharding.TABLE_SIZE
 
 OP8 = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.i, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.i <> q.i
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
@@ -63,16 +63,21 @@ def op7() -> str:
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{(h + p, v)[k]}'" for v, h, p in ordered) + " END"
     d = urlfilter.DAMPING
 
-    def ranks(name: str, edges: str, seeds: str) -> str:
-        out = f"{name}_moves AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM {edges}),\n{name}0 AS MATERIALIZED (SELECT host, seed AS rank FROM {seeds})"
-        for k in range(urlfilter.ROUNDS):
-            out += f",\n{name}{k + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (SELECT m.dst AS host, n.rank * m.share * {d} AS rank FROM {name}{k} n JOIN {name}_moves m ON m.src = n.host UNION ALL SELECT host, seed * {1 - d} FROM {seeds}) GROUP BY host)"
-        return out
+    def ranks(name: str, edges: str, seeds: str, rounds: int = 200) -> str:
+        """Plain power iteration; after 200 rounds what is left is below 1e-14 of the whole."""
+        return f"""{name}_moves AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM {edges}),
+{name}_hosts AS MATERIALIZED (SELECT host FROM {seeds} UNION SELECT src FROM {edges} UNION SELECT dst FROM {edges}),
+{name}_ranks AS (
+  SELECT 0 AS k, host, coalesce(seed, 0) AS rank FROM {name}_hosts LEFT JOIN {seeds} USING (host)
+  UNION ALL
+  SELECT any_value(l.k) + 1, h.host, {1 - d} * coalesce(any_value(s.seed), 0) + {d} * coalesce(sum(r.rank * m.share), 0)
+  FROM {name}_hosts h LEFT JOIN {seeds} s USING (host) LEFT JOIN {name}_moves m ON m.dst = h.host LEFT JOIN {name}_ranks r ON r.host = m.src, (SELECT max(k) AS k FROM {name}_ranks) l
+  WHERE l.k < {rounds} GROUP BY h.host),
+{name} AS MATERIALIZED (SELECT host, rank FROM {name}_ranks WHERE k = {rounds})"""
 
     seeds = lambda v: f"SELECT host, count(*) / sum(count(*)) OVER () AS seed FROM judged WHERE ruled = '{v}' AND host <> '' GROUP BY host"
-    last = urlfilter.ROUNDS
     return f"""
-WITH named AS (
+WITH RECURSIVE named AS (
   SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 judged AS MATERIALIZED (SELECT *, {case(0)} AS rule, {case(1)} AS ruled FROM named),
 links AS (SELECT host, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS href FROM (
@@ -87,8 +92,8 @@ back AS (SELECT dst AS src, src AS dst, weight FROM edges),
 good AS MATERIALIZED ({seeds("allow")}), bad AS MATERIALIZED ({seeds("block")}),
 {ranks("t", "edges", "good")},
 {ranks("d", "back", "bad")},
-scores AS (SELECT host, ROUND(coalesce(t.rank, 0), 9) AS trust, ROUND(coalesce(d.rank, 0), 9) AS distrust FROM t{last} t FULL JOIN d{last} d USING (host))
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust - trust, 0) > {urlfilter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN scores USING (host)
+scores AS (SELECT host, coalesce(t.rank, 0) AS trust, coalesce(d.rank, 0) AS distrust FROM t FULL JOIN d USING (host))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > trust * {1 + urlfilter.TIE} THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN scores USING (host)
 """
 
 

@@ -5,7 +5,7 @@ are judged by their host: personalised PageRank starts from trusted seeds and
 follows links; distrust starts from blocked seeds and follows links backwards,
 from a page that is bad to those that link to it. Seeds are the hosts of pages
 that rules allow or block, by their share of such pages. A host is blocked if
-its distrust exceeds its trust by THRESHOLD.
+its distrust exceeds its trust.
 
 Host edges are the links of a page's HTML to other hosts, relative links (to
 the own host), and, for domains that share pages between subdomains, an edge
@@ -19,16 +19,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import Scratch
 
 # Verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 12
-THRESHOLD = 0.0
-#: Scores are shares of a whole and shrink as input grows, so they are compared unrounded; those whose ratio is nearer to 1 than this are equal.
-TIE = 1e-9
+#: Ranks have settled when no host's changes by more than this part of itself in EVERY rounds.
+SETTLED = 1e-6
+#: Rounds between tables and tests.
+EVERY = 4
+#: Ranks come nearer by DAMPING a round at least, so that they settle long before; more rounds are an error.
+MOST_ROUNDS = 1000
+#: Scores are shares of a whole and shrink as input grows, so they are compared unrounded. A host is blocked if its distrust exceeds its trust by more than this part of it; the margin is wider than what settled ranks may still lack.
+TIE = 1e-4
 #: Links between a host and its parent domain count as so many links, each way.
 KIN = 1.0
 
@@ -62,35 +66,51 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.union(kin).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank (host, rank): seeds(host, seed) sum to 1; every round a host keeps 1 - DAMPING of its seed and passes DAMPING of its rank along its edges by weight. Rank of hosts without edges goes nowhere."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    moves = written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "moves")
-    start = written(seeds.select("host", F.col("seed").alias("rank")), "seeds")
-    now = start
-    for step in range(rounds):
-        sent = now.join(moves, now.host == moves.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        kept = start.select("host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
-        now = sent.union(kept).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if step % 4 == 3 or step == rounds - 1:
-            now = written(now, f"rank{step}")
-    return now
+def propagate(edges: DataFrame, seeds: DataFrame, tables: Scratch) -> DataFrame:
+    """Personalised PageRank (kind, host, rank) for each kind of edges(kind, src, dst, weight) and seeds(kind, host, seed), seeds of a kind summing to 1.
 
-
-def seeds_of(judged: DataFrame, verdict: str) -> DataFrame:
-    """(host, seed): the host's share of the pages with that verdict."""
-    marked = judged.where((F.col("ruled") == verdict) & (F.col("host") != ""))
-    return marked.groupBy("host").agg(F.count("*").alias("n")).select("host", (F.col("n") / F.lit(max(1, marked.count()))).alias("seed"))
-
-
-def host_scores(judged: DataFrame) -> DataFrame:
-    """(host, trust, distrust) from judged(host, html, ruled)."""
-    edges = written(host_edges(judged), "edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(edges, seeds_of(judged, "allow")).withColumnRenamed("rank", "trust")
-    distrust = propagate(back, seeds_of(judged, "block")).withColumnRenamed("rank", "distrust")
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return trust.join(distrust, "host", "full").select("host", zero("trust"), zero("distrust"))
+    A host's rank is 1 - DAMPING of its seed plus what DAMPING passes along the
+    edges by weight; rank of hosts without edges goes nowhere. A host's links to
+    itself, most of what the web has, are summed as the geometric series that
+    they are, so rounds only carry what moves between hosts. Rounds go on until
+    ranks have settled.
+    """
+    own = F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0))
+    totals = tables.put("totals", edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"), own.alias("own")))
+    stays = 1 - DAMPING * F.col("own") / F.col("total")
+    passed = edges.where("src <> dst").join(totals, ["kind", "src"])
+    moves = tables.put("moves", passed.select("kind", "src", "dst", (DAMPING * F.col("weight") / F.col("total") / stays).alias("share")))
+    start = tables.put("seeds", seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("rank")))
+    now, changed, step = start, True, 0
+    while changed:
+        if step >= MOST_ROUNDS:
+            raise RuntimeError(f"host ranks did not settle in {MOST_ROUNDS} rounds")
+        before = now
+        for _ in range(EVERY):
+            sent = now.withColumnRenamed("host", "src").join(moves, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            now = start.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        now, step = tables.put(f"rank{step}", now), step + EVERY
+        old = before.select("kind", "host", F.col("rank").alias("old"))
+        changed = not now.join(old, ["kind", "host"], "left").where(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) > SETTLED * F.col("rank")).isEmpty()
+        tables.drop(f"rank{step - 2 * EVERY}")
+    whole = now.join(totals.withColumnRenamed("src", "host"), ["kind", "host"], "left")
+    return whole.select("kind", "host", (F.col("rank") / F.coalesce(stays, F.lit(1.0))).alias("rank"))
+
+
+def seeds_of(judged: DataFrame) -> DataFrame:
+    """(kind, host, seed): the host's share of the pages that rules judge so; kind is trust for allowed, distrust for blocked ones."""
+    kind = F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind")
+    counted = judged.where(F.col("ruled").isNotNull() & (F.col("host") != "")).groupBy(kind, "host").agg(F.count("*").alias("n"))
+    return counted.join(counted.groupBy("kind").agg(F.sum("n").alias("all")), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("seed"))
+
+
+def host_scores(edges: DataFrame, seeds: DataFrame, tables: Scratch) -> DataFrame:
+    """(host, trust, distrust) from edges(src, dst, weight): trust follows them, distrust goes against them."""
+    along = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
+    against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    ranks = propagate(along.union(against), seeds, tables)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -100,10 +120,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     is allowed, as is a host that neither trust nor distrust reaches. Null HTML
     has no links. Repeated rows stay; other columns are left out.
     """
+    tables = Scratch(pages.sparkSession)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    named = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
-    judged = named.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    scores = written(host_scores(judged.select("host", "html", "ruled")), "scores")
-    bad = F.coalesce(F.col("distrust") - F.col("trust") - TIE * F.col("trust"), F.lit(0.0)) > THRESHOLD
-    return judged.drop("html").join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    named = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
+    judged = tables.put("judged", named)
+    edges = tables.put("edges", host_edges(pages.select(host.alias("host"), "html")))
+    scores = tables.put("scores", host_scores(edges, seeds_of(judged), tables))
+    bad = F.col("distrust") > F.coalesce("trust", F.lit(0.0)) * (1 + TIE)
+    return judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
