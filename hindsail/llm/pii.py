@@ -5,13 +5,14 @@ spans of the same kinds in forms the patterns miss, such as `555 123 4567`,
 `(555) 123-4567` or `ann [at] mail [dot] org`. It is trained on the driver from
 a small labelled table of fixed size and shipped as a few kilobytes of weights.
 A text is decoded around its digits, at-signs and bracketed at or dot: tokens
-further than REACH characters from one belong to no sequence and are never
-personal data. A decoded span is added if it passes its kind's check and
-touches no base span.
+further than REACH characters from one, and from the word that stands there,
+belong to no sequence and are never personal data. A decoded span is added if
+it passes its kind's check and touches no base span.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import crf
+from .common import slices
 
 # Kinds in the order of results, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -157,15 +159,21 @@ def train_tagger(table: DataFrame) -> crf.Crf:
     rows = table.select("text", "spans").limit(MAX_LABELLED + 1).collect()
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"the labelled table may have {MAX_LABELLED} rows")
+    return _fitted(tuple(sorted((r.text, r.spans or "") for r in rows if r.text and tokens_of(r.text, 0, len(r.text)))))
+
+
+@functools.lru_cache(maxsize=4)
+def _fitted(rows: tuple[tuple[str, str], ...]) -> crf.Crf:
+    """The CRF of these rows (text, spans), fitted once a process."""
     names, gold = [], []
-    for row in sorted((r for r in rows if r.text and tokens_of(r.text, 0, len(r.text))), key=lambda r: (r.text, r.spans)):
-        tokens = tokens_of(row.text, 0, len(row.text))
+    for text, spans in rows:
+        tokens = tokens_of(text, 0, len(text))
         own = [0] * len(tokens)
-        for kind, lo, hi in (s.split(":") for s in (row.spans or "").split(",") if s):
+        for kind, lo, hi in (s.split(":") for s in spans.split(",") if s):
             inside = [i for i, (a, b) in enumerate(tokens) if a >= int(lo) and b <= int(hi)]
             for i in inside:
                 own[i] = LABELS.index(f"{'B' if i == inside[0] else 'I'}-{kind}")
-        names.append(features(tokens, row.text))
+        names.append(features(tokens, text))
         gold.append(own)
     return crf.train(names, gold, len(LABELS))
 
@@ -211,20 +219,20 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find_pii(docs: DataFrame, model: crf.Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and FOUND for every row: base counts by kind, SHA-256 of the base spans, and all spans as kind:start:end (code points). Null texts count as empty; repeated rows stay; other columns are left out."""
+    """doc_id and FOUND for every row: base counts by kind, SHA-256 of the base spans, all spans as kind:start:end (code points), and their number. Null texts count as empty; repeated rows stay; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             base = [base_spans(x) for x in texts]
             every = add_spans(texts, base, model)
             counts = [pa.array([sum(s[2] == k for s in own) for own in base], pa.int64()) for k in KINDS]
             digests = pa.array([hashlib.sha256(_joined(own).encode()).hexdigest() for own in base])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([_joined(s) for s in every], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([_joined(s) for s in every], pa.string()), pa.array([len(s) for s in every], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, {FOUND}")
@@ -247,20 +255,16 @@ def mask_pii(docs: DataFrame, model: crf.Crf, text_col: str = "text") -> DataFra
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             plain = [x or "" for x in texts]
             out = []
             for text, whole, spans in zip(texts, plain, add_spans(plain, [base_spans(x) for x in plain], model)):
-                for a, b, k in reversed(merged(spans)):
-                    whole = f"{whole[:a]}[{k.upper()}]{whole[b:]}" if len(spans) < 64 else whole
-                if len(spans) >= 64:  # many spans: one pass over the text
-                    parts, last = [], 0
-                    for a, b, k in merged(spans):
-                        parts += [whole[last:a], f"[{k.upper()}]"]
-                        last = b
-                    whole = "".join([*parts, whole[last:]])
-                out.append(None if text is None else whole)
+                parts, last = [], 0
+                for a, b, k in merged(spans):
+                    parts += [whole[last:a], f"[{k.upper()}]"]
+                    last = b
+                out.append(None if text is None else "".join([*parts, whole[last:]]))
             columns = list(batch.columns)
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -32,3 +32,13 @@ def test_long_names_are_found_whole(spark, model):
         end = text.index(" now")
         (span,) = pii.add_spans([text], [pii.base_spans(text)], model)[0]
         assert span[1:] == (end, "email")
+
+
+def test_local_parts_of_sixty_letters(spark, model):
+    """A window never begins inside a word, so nothing of an address is left in a masked text."""
+    name = "abcdefghij" * 6
+    for text in (f"write {name} [at] site [dot] com soon", f"write {name} (at) site.org soon"):
+        (span,) = pii.add_spans([text], [pii.base_spans(text)], model)[0]
+        assert span == (6, text.index(" soon"), "email")
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert pii.mask_pii(df, model).first().text == "write [EMAIL] soon"
