@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import HOUR, clamp, confidence, correct, micros, normalize_bias, normalize_risk, percent_return, preferred
 from ..schemas import GROUNDING, RESPONSE
-from .timejoin import nearest_join
+from .timejoin import asof_join, nearest_join
 
 # The allowed categories, classifications and confidences, and the priority weights.
 CATEGORIES = ("MACRO", "FED_RATES", "INFLATION", "EMPLOYMENT", "USD", "ETF_FLOWS", "REGULATION", "EXCHANGE", "STABLECOIN", "LIQUIDATION", "LEVERAGE", "TECHNICAL", "ON_CHAIN", "GEOPOLITICAL", "SECURITY", "PROTOCOL", "OTHER")
@@ -20,6 +21,15 @@ HIGH_PRIORITY = 4.0
 URL = r"^https?://\S+$"
 
 
+# The messages of failed checks are results that users compare.
+MESSAGES = {
+    "no_sources": "catalyst has no sources", "no_url": "] missing url", "bad_source": "] url is not well-formed: ", "source": "source[",
+    "no_assets": "missing or invalid assets array", "bad_class": "invalid market_classification: ", "no_array": "catalysts must be an array", "no_object": "response is not a JSON object",
+    "no_coin": "missing coin", "no_category": "missing category", "bad_category": "invalid category: ", "bad_url": "source_url is not a well-formed http(s) URL",
+    "early_public": "first_public_timestamp is implausibly before event_timestamp", "early_discovery": "discovery_timestamp is implausibly before first_public_timestamp",
+}
+
+
 def _messages(*tests: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), message if isinstance(message, Column) else F.lit(message)) for bad, message in tests]))
 
@@ -34,17 +44,18 @@ def normalize_responses(texts: DataFrame, text: str = "text") -> DataFrame:
     clean = strip_fences(F.col(text))
     parsed = texts.withColumn("_clean", clean).withColumn("_variant", F.try_parse_json(F.col("_clean"))).withColumn("parsed", F.when(F.col("_variant").isNotNull(), F.from_json("_clean", RESPONSE)))
     kind = lambda path: F.schema_of_variant(F.try_variant_get("_variant", path, "variant"))
-    is_object = F.schema_of_variant("_variant").startswith("OBJECT")
+    whole = F.schema_of_variant("_variant")
+    is_object = whole.startswith("OBJECT") | whole.startswith("ARRAY")  # an array lacks its assets
     is_array = lambda path: F.coalesce(kind(path).startswith("ARRAY"), F.lit(False))
     label, found = F.col("parsed.market_classification"), F.coalesce(F.col("parsed.catalysts"), F.array())
     no_source = lambda c: F.coalesce(F.size(c["sources"]) < 1, F.lit(True))
-    source_errors = F.flatten(F.transform(found, lambda c: F.when(no_source(c), F.array(F.lit("catalyst has no sources"))).otherwise(F.array_compact(F.transform(c["sources"], lambda s, i: F.when(F.coalesce(s["url"], F.lit("")) == "", F.concat(F.lit("source["), i, F.lit("] missing url"))).when(~s["url"].rlike(URL), F.concat(F.lit("source["), i, F.lit("] url is not well-formed: "), s["url"])))))))
+    source_errors = F.flatten(F.transform(found, lambda c: F.when(no_source(c), F.array(F.lit(MESSAGES["no_sources"]))).otherwise(F.array_compact(F.transform(c["sources"], lambda s, i: F.when(F.coalesce(s["url"], F.lit("")) == "", F.concat(F.lit(MESSAGES["source"]), i, F.lit(MESSAGES["no_url"]))).when(~s["url"].rlike(URL), F.concat(F.lit(MESSAGES["source"]), i, F.lit(MESSAGES["bad_source"]), s["url"])))))))
     own = _messages(
-        (~is_array("$.assets"), "missing or invalid assets array"),
-        (label.isNotNull() & ~label.isin(*CLASSIFICATIONS), F.concat(F.lit("invalid market_classification: "), label)),
-        (F.coalesce(~kind("$.catalysts").isin("VOID") & ~is_array("$.catalysts"), F.lit(False)), "catalysts must be an array"),
+        (~is_array("$.assets"), MESSAGES["no_assets"]),
+        (label.isNotNull() & ~label.isin(*CLASSIFICATIONS), F.concat(F.lit(MESSAGES["bad_class"]), label)),
+        (F.coalesce(~kind("$.catalysts").isin("VOID") & ~is_array("$.catalysts"), F.lit(False)), MESSAGES["no_array"]),
     )
-    errors = F.when(F.col("_variant").isNull(), F.array().cast("array<string>")).when(~is_object, F.array(F.lit("response is not a JSON object"))).otherwise(F.concat(own, source_errors))
+    errors = F.when(F.col("_variant").isNull(), F.array().cast("array<string>")).when(~is_object, F.array(F.lit(MESSAGES["no_object"]))).otherwise(F.concat(own, source_errors))
     out = parsed.withColumn("parse_status", F.when(F.col("_variant").isNull(), "malformed_response").otherwise("ok")).withColumn("errors", errors)
     return out.withColumn("valid", (F.col("parse_status") == "ok") & (F.size("errors") == 0)).drop("_clean", "_variant")
 
@@ -55,25 +66,43 @@ def validate_catalysts(df: DataFrame, coin: str = "coin", category: str = "categ
     early = lambda later, earlier: micros(c(later)) < micros(c(earlier)) - HOUR
     missing = lambda name: F.coalesce(c(name), F.lit("")) == ""
     errors = _messages(
-        (missing(coin), "missing coin"),
-        (missing(category), "missing category"),
-        (~missing(category) & ~c(category).isin(*CATEGORIES), F.concat(F.lit("invalid category: "), c(category))),
-        ((c(classification).isNotNull() & ~c(classification).isin(*CLASSIFICATIONS, "")) if classification else F.lit(False), F.concat(F.lit("invalid market_classification: "), c(classification)) if classification else ""),
-        (c(url).isNotNull() & ~c(url).rlike(URL), "source_url is not a well-formed http(s) URL"),
-        (early(public_ts, event_ts), "first_public_timestamp is implausibly before event_timestamp"),
-        (early(discovery_ts, public_ts), "discovery_timestamp is implausibly before first_public_timestamp"),
+        (missing(coin), MESSAGES["no_coin"]),
+        (missing(category), MESSAGES["no_category"]),
+        (~missing(category) & ~c(category).isin(*CATEGORIES), F.concat(F.lit(MESSAGES["bad_category"]), c(category))),
+        ((c(classification).isNotNull() & ~c(classification).isin(*CLASSIFICATIONS, "")) if classification else F.lit(False), F.concat(F.lit(MESSAGES["bad_class"]), c(classification)) if classification else ""),
+        (c(url).isNotNull() & ~c(url).rlike(URL), MESSAGES["bad_url"]),
+        (early(public_ts, event_ts), MESSAGES["early_public"]),
+        (early(discovery_ts, public_ts), MESSAGES["early_discovery"]),
     )
     return df.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
 def drop_fuzzy_duplicates(new: DataFrame, stored: DataFrame, keys: Sequence[str] = ("coin", "category"), ts: str = "ts", tol: int = 6 * HOUR, row_id: str = "id", within_batch: bool = False) -> DataFrame:
-    """New rows with no stored row of the same keys within tol microseconds, inclusive. within_batch: nor an earlier new row that close, by (time, id)."""
+    """New rows with no stored row of the same keys within tol microseconds, inclusive. within_batch: nor one of the new rows kept before, by (time, id), that close.
+
+    Rows without a time are never duplicates. What within_batch keeps depends on
+    what was kept before, so the rows of a key pass one task in order of time,
+    sorted by the shuffle; all it remembers is the last time kept.
+    """
     kept = nearest_join(new, stored, list(keys), ts, ts, tol, row_id, [ts], how="anti")
-    if within_batch:
-        w = Window.partitionBy(*keys).orderBy(ts, row_id)
-        last = F.lag(micros(F.col(ts))).over(w)
-        kept = kept.withColumn("_gap", micros(F.col(ts)) - last).where(F.col("_gap").isNull() | (F.col("_gap") > tol)).drop("_gap")
-    return kept
+    if not within_batch:
+        return kept
+    names, at = list(kept.columns), kept.columns.index(ts)
+    marks = [kept.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = None
+        for batch in batches:
+            own = list(zip(*(batch.column(m).to_pylist() for m in marks)))
+            times, keep = batch.column(at).cast(pa.int64()).to_pylist(), []
+            for now, t in zip(own, times):
+                if now != key:
+                    key, last = now, None
+                keep.append(t is None or last is None or t - last > tol)
+                last = t if keep[-1] and t is not None else last
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names)
+
+    return kept.repartition(*keys).sortWithinPartitions(*keys, ts, row_id).mapInArrow(run, kept.schema)
 
 
 def provenance(df: DataFrame, public_ts: str = "first_public_ts", reported: str = "confidence") -> DataFrame:
@@ -90,9 +119,19 @@ def grounding(df: DataFrame, metadata: str = "grounding_json", url: str = "sourc
     return out.withColumn("is_grounded", F.coalesce(F.array_contains(F.transform("grounded_sources", lambda s: s["url"]), F.col(url)), F.lit(False)))
 
 
+def is_available(public_ts: Column, prediction_ts: Column) -> Column:
+    """Whether a catalyst was public no later than a prediction; null if either time is missing."""
+    return public_ts <= prediction_ts
+
+
 def availability(public_ts: Column, prediction_ts: Column) -> Column:
-    """Whether a catalyst was public before a prediction: 'unknown' without a public time, else 'true' or 'false'."""
-    return F.when(public_ts.isNull(), "unknown").otherwise((public_ts <= prediction_ts).cast("string"))
+    """is_available() as a label: 'unknown', 'true' or 'false'."""
+    return F.coalesce(is_available(public_ts, prediction_ts).cast("string"), F.lit("unknown"))
+
+
+def newest_available(predictions: DataFrame, catalysts: DataFrame, key: Sequence[str] = ("coin",), take: Sequence[str] = ("id",), prefix: str = "catalyst_") -> DataFrame:
+    """predictions(key, ts) with the columns take of the newest catalyst that was public no later: nulls if there was none. Catalysts without a public time never are."""
+    return asof_join(predictions, catalysts, key, "ts", "first_public_ts", "id", take, prefix=prefix)
 
 
 def catalysts_between(df: DataFrame, since: Column, until: Column, n: int = 100, ts: str = "ts", row_id: str = "id") -> DataFrame:

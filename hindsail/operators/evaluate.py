@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -169,42 +170,58 @@ def with_outcomes(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def resolve_bias(analyses: DataFrame, prices: DataFrame, as_of: Column, tol: int, key: Sequence[str] = ("series_id",), hours: int = 24) -> DataFrame:
-    """Analyses(id, key, ts, price, bias) older than `hours` with return_pct and bias_correct: bullish up, bearish down, neutral under 1 percent either way."""
+    """Analyses(id, key, ts, price, bias) older than `hours` with return_pct and bias_correct: bullish up, bearish down, neutral under 1 percent either way. Those without a bias or with a price of zero stay unresolved and are left out."""
     due = analyses.where(micros(F.col("ts")) <= micros(as_of) - hours * HOUR)
     out = nearest_join(due, prices, key, F.col("ts") + F.expr(f"interval {hours} hour"), "ts", tol, "obs_id", ["price"], prefix="_r_")
     ret = F.col("return_pct")
     right = F.when(F.col("bias") == "bullish", ret > 0).when(F.col("bias") == "bearish", ret < 0).when(F.col("bias") == "neutral", F.abs(ret) < 1)
-    return out.withColumn("return_pct", percent_return(F.col("price"), F.col("_r_price"))).withColumn("bias_correct", right.cast("int")).drop("_r_price", "_diff")
+    known = F.col("bias").isNotNull() & (F.col("price") != 0)
+    return out.where(known).withColumn("return_pct", percent_return(F.col("price"), F.col("_r_price"))).withColumn("bias_correct", right.cast("int")).drop("_r_price", "_diff")
 
 
-def daily_report(ledger: DataFrame, now: Column, day: str | None = None) -> DataFrame:
-    """Long table (section, coin, key, metric, value): summaries by series and by horizon, confidence buckets, regimes, drift, health, and one status row.
+def daily_report(ledger: DataFrame, now: Column, day: str | None = None, challenger: DataFrame | None = None, catalysts: DataFrame | None = None, min_sample: int = 20) -> DataFrame:
+    """Long table (section, coin, key, metric, value): summaries by series and by horizon, confidence buckets with their worst mistakes, regimes, ten mistakes a series, drift, health, production beside challenger, catalysts, and one status row.
 
-    With day (YYYY-MM-DD) only rows resolved on that UTC day count, drift windows
-    too, still measured against now. The status is YELLOW if every series is
-    short of data or any drifts, else GREEN.
+    With day (YYYY-MM-DD) only rows resolved on that UTC day count, in health
+    and drift windows too, still measured against now. The confidence section
+    of a series with fewer than min_sample rows is its number alone.
+    challenger(coin, horizon_hours, resolved_ts, p, realized_up, id) is compared
+    for the series it has; catalysts(id, coin, ts) are the newest 100 of the
+    day, or of all days. The status is YELLOW if every series is short of data
+    or any drifts, else GREEN.
     """
-    rows = resolved(ledger)
-    rows = rows.where(F.to_date("resolved_ts") == F.lit(day).cast("date")) if day else rows
+    inside = (lambda c: F.to_date(c) == F.lit(day).cast("date")) if day else (lambda c: F.lit(True))
+    rows = resolved(ledger).where(inside("resolved_ts"))
 
     def long(df: DataFrame, section: str, key: Column, metrics: Sequence[str]) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")
         return df.select(F.lit(section).alias("section"), F.col("coin"), key.cast("string").alias("key"), each).select("section", "coin", "key", "_m.metric", "_m.value")
 
     metrics = ["n", "accuracy", "brier_score", "log_loss", "calibration_error"]
-    series = summarize(rows, ["coin"])
-    moved = drift(rows, now, ["coin"])
+    series, moved = summarize(rows, ["coin"], min_sample=min_sample), drift(rows, now, ["coin"])
+    enough = series.where(F.col("status") == "ok").select("coin")
+    mistakes = confident_mistakes(rows, ["coin"], n=10)
+    done = F.col("realized_up").isNotNull()
+    health = ledger.groupBy("coin").agg(F.count("*").alias("total"), F.count_if(~done).alias("unresolved"), F.count_if(done & (inside("resolved_ts") if day else F.col("resolved_ts") < now)).alias("resolved_in_period"))
     parts = [
         long(series, "series", F.lit("all"), metrics),
-        long(summarize(rows, ["coin", "horizon_hours"]), "horizon", F.col("horizon_hours"), metrics),
-        long(confidence_buckets(rows, ["coin"]), "confidence", F.col("range"), ["n", "accuracy"]),
+        long(summarize(rows, ["coin", "horizon_hours"], min_sample=min_sample), "horizon", F.col("horizon_hours"), metrics),
+        long(confidence_buckets(rows, ["coin"]).join(enough, "coin", "left_semi"), "confidence", F.col("range"), ["n", "accuracy"]),
+        long(mistakes.where("place <= 5").join(enough, "coin", "left_semi"), "confident_mistake", F.col("place"), ["id", "p", "confidence"]),
+        long(series.where(F.col("status") != "ok"), "confidence", F.lit("insufficient_data"), ["n"]),
         long(by_regime(rows, ["coin"]), "regime", F.col("regime"), ["n", "accuracy", "brier_score"]),
+        long(mistakes, "mistake", F.col("place"), ["id", "p", "confidence"]),
         long(moved.withColumn("drift", F.col("drift_flag").cast("int")), "drift", F.col("window"), ["n", "accuracy", "drift"]),
-        long(dataset_health(ledger, F.lit("1970-01-01").cast("timestamp_ntz"), now.cast("timestamp_ntz")), "health", F.lit("all"), ["total", "unresolved", "resolved_in_period"]),
+        long(health, "health", F.lit("all"), ["total", "unresolved", "resolved_in_period"]),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    if challenger is not None:
+        other = challenger.where(F.col("realized_up").isNotNull() & inside("resolved_ts"))
+        own = series.join(challenger.select("coin").distinct(), "coin", "left_semi")
+        parts += [long(own, "comparison", F.lit("production"), metrics), long(summarize(other, ["coin"], p="p", min_sample=min_sample), "comparison", F.lit("challenger"), metrics)]
+    if catalysts is not None:
+        newest = catalysts.where(inside("ts")).orderBy(F.desc("ts"), F.desc("id")).limit(100)
+        parts.append(long(newest, "catalyst", F.col("id"), ["id"]))
+    out = reduce(DataFrame.unionByName, parts)
     short = series.agg(F.coalesce(F.bool_and(F.col("status") != "ok"), F.lit(True)).alias("_short"))
     drifted = moved.agg(F.coalesce(F.bool_or("drift_flag"), F.lit(False)).alias("_drift"))
     state = short.crossJoin(drifted)  # one row each
@@ -212,5 +229,6 @@ def daily_report(ledger: DataFrame, now: Column, day: str | None = None) -> Data
 
 
 def compact(report: DataFrame) -> DataFrame:
-    """The report's headline rows: series summaries, drift flags, health and status."""
-    return report.where(F.col("section").isin("series", "health", "status") | ((F.col("section") == "drift") & (F.col("metric") == "drift") & F.col("value").isNotNull()))
+    """The report's headline rows: series and horizon summaries, comparison, drift flags, mistakes, catalysts, health and status."""
+    flags = (F.col("section") == "drift") & (F.col("metric") == "drift") & F.col("value").isNotNull()
+    return report.where(F.col("section").isin("series", "horizon", "comparison", "mistake", "catalyst", "health", "status") | flags)

@@ -75,45 +75,83 @@ def tolerance_anti_join(left: DataFrame, right: DataFrame, key: Sequence[str], t
     return nearest_join(left, right, key, ts, ts, tol, right_id, [ts], strict=strict, how="anti")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_ts: Column | str, right_ts: str, right_id: str, take: Sequence[str], lookback: int | None = None, fallback: bool = False, upto: Column | str | None = None, prefix: str = "") -> DataFrame:
+#: An as-of join cuts each key into pieces of this length, in microseconds.
+PIECE = 24 * HOUR
+#: Parts that rows of all series are dealt into where a join has no key but time.
+SALTS = 32
+
+
+def _numbered(both: DataFrame, keys: Sequence[str], piece: int) -> DataFrame:
+    """both(keys, _t, _row) with `_seen`: how many rows of the key that are marked _row are not after _t.
+
+    Counts run inside a piece of time; what earlier pieces hold, one row per
+    key and piece, is summed up beside and joined in. So a key is as many
+    window partitions as it has pieces. Null keys are a key.
+    """
+    cut = both.withColumn("_piece", F.coalesce(F.floor(F.col("_t") / piece), F.lit(-(1 << 62))))
+    sums = cut.groupBy(*keys, "_piece").agg(F.count_if("_row").alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_opiece"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.count_if("_row").over(Window.partitionBy(*keys, "_piece").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)] + [F.col("_piece") == F.col("_opiece")]
+    return cut.withColumn("_inside", inside).join(offsets, same).withColumn("_seen", F.col("_inside") + F.col("_before"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_ts: Column | str, right_ts: str, right_id: str, take: Sequence[str], lookback: int | None = None, fallback: bool = False, upto: Column | str | None = None, prefix: str = "", piece: int = PIECE) -> DataFrame:
     """left rows with the newest right row at or before left_ts (ties: smaller right_id), or nulls.
 
     With lookback, only the newest `lookback` right rows at or before `upto`
     (left_ts unless given) count, and with fallback the oldest of those stands
     in where none is old enough. Right rows are numbered per key, so both cases
-    are comparisons of row numbers, not lists. A key is one window partition:
-    as-of has no bound in time to cut by.
+    are comparisons of row numbers, not lists. Numbers are counted in pieces of
+    time (see _numbered), so one long key is many tasks. Null times and null
+    keys never match; repeated rows stay.
     """
     col = lambda c: c if isinstance(c, Column) else F.col(c)
-    keys = [F.col(k) for k in key]
-    numbered = right.select(*keys, micros(F.col(right_ts)).alias("_t"), F.col(right_id).cast("long").alias("_id"), F.struct(*take).alias("_right")).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_t", F.desc("_id"))))
-    probes = left.withColumn("_uid", F.xxhash64(*left.columns)).select(*keys, F.struct(*left.columns).alias("_left"), F.explode(F.array(F.struct(micros(col(left_ts)).alias("t"), F.lit(0).alias("which")), F.struct(micros(col(upto if upto is not None else left_ts)).alias("t"), F.lit(1).alias("which")))).alias("_p"), "_uid")
-    both = probes.select(*keys, "_left", F.col("_p.t").alias("_t"), F.col("_p.which").alias("_which"), "_uid").unionByName(numbered.select(*keys, "_t", "_n"), allowMissingColumns=True)
-    seen = F.max("_n").over(Window.partitionBy(*key).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
-    at = both.withColumn("_seen", seen).where(F.col("_left").isNotNull())
-    by = at.groupBy(*key, "_uid", "_left").agg(F.max(F.when(F.col("_which") == 0, F.col("_seen"))).alias("_old"), F.max(F.when(F.col("_which") == 1, F.col("_seen"))).alias("_new"), (F.count("*") / 2).cast("int").alias("_times"))
+    keys = list(key)
+    rows = right.select(*keys, micros(F.col(right_ts)).alias("_t"), F.col(right_id).cast("long").alias("_id"), F.struct(*take).alias("_right")).where("_t is not null")
+    times = [F.struct(micros(col(left_ts)).alias("t"), F.lit(0).alias("which"))]
+    if lookback is not None:
+        times.append(F.struct(micros(col(upto if upto is not None else left_ts)).alias("t"), F.lit(1).alias("which")))
+    probes = left.select(*keys, F.struct(*left.columns).alias("_left"), F.explode(F.array(*times)).alias("_p"))
+    probes = probes.select(*keys, F.col("_p.t").alias("_t"), F.lit(False).alias("_row"), "_left", F.col("_p.which").alias("_which"))
+    both = _numbered(probes.unionByName(rows.withColumn("_row", F.lit(True)), allowMissingColumns=True), keys, piece)
+    # rows of one time count each other; the newest of them is the one with the smallest id
+    tied = F.row_number().over(Window.partitionBy(*keys, "_piece", "_t").orderBy("_id"))
+    numbered = both.where("_row").select(*keys, "_right", (F.col("_seen") - tied + 1).alias("_n"))
+    at = both.where("not _row").withColumn("_seen", F.when(F.col("_seen") > 0, F.col("_seen")))
+    if lookback is None:
+        by = at.select(*keys, "_left", F.col("_seen").alias("_old"), F.lit(1).alias("_times"))
+    else:
+        pair = lambda which: F.max(F.when(F.col("_which") == which, F.col("_seen")))
+        by = at.groupBy(*keys, "_left").agg(pair(0).alias("_old"), pair(1).alias("_new"), (F.count("*") / 2).cast("int").alias("_times"))
     picked = F.col("_old")
     if lookback is not None:
         oldest = F.greatest(F.lit(1), F.col("_new") - lookback + 1)
         picked = F.when(F.col("_old") >= oldest, F.col("_old"))
         if fallback:
             picked = F.coalesce(picked, F.when(F.col("_new").isNotNull(), oldest))
-    chosen = by.withColumn("_n", picked).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    chosen = by.withColumn("_n", picked)
+    if lookback is not None:
+        chosen = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     rows = numbered.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_n").alias("_rn"), "_right")
     out = chosen.join(rows, [chosen[k] == rows[f"_k{i}"] for i, k in enumerate(key)] + [chosen["_n"] == rows["_rn"]], "left")
     return out.select("_left.*", *[F.col(f"_right.{c}").alias(prefix + c) for c in take])
 
 
-def enrich(prices: DataFrame, context: DataFrame, cols: Sequence[str], tol: int, defaults: dict[str, float], context_id: str = "ts", freshness: int | None = None) -> DataFrame:
+def enrich(prices: DataFrame, context: DataFrame, cols: Sequence[str], tol: int, defaults: dict[str, float], context_id: str = "ts", freshness: int | None = None, imputed: str = "context_imputed") -> DataFrame:
     """prices with the context columns of the nearest context row within tol microseconds, and context_imputed (any of them missing, 0 or 1).
 
-    Context has no series key and one row a day or so: blocks of time alone
-    deal it. Missing values become the mean of the real matches of all rows, or
-    the column's default where nothing matched; a match older than freshness
+    Context has no series key and one row a day or so: blocks of time deal it,
+    and inside a block prices are dealt into SALTS parts, each with a copy of
+    the context. Missing values become the mean of the real matches of all rows,
+    or the column's default where nothing matched; a match older than freshness
     counts as missing.
     """
-    one = context.withColumn("_all", F.lit(1)).withColumn("_cid", micros(F.col(context_id)))
-    got = nearest_join(prices.withColumn("_all", F.lit(1)), one, ["_all"], "ts", "ts", tol, "_cid", list(cols), how="left", prefix="_c_")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    one = context.withColumn("_part", parts).withColumn("_cid", micros(F.col(context_id)))
+    dealt = prices.withColumn("_part", F.pmod(F.xxhash64(*prices.columns), F.lit(SALTS)).cast("int"))
+    got = nearest_join(dealt, one, ["_part"], "ts", "ts", tol, "_cid", list(cols), how="left", prefix="_c_")
     for c in cols:
         fresh = F.col(f"_c_{c}") if freshness is None else F.when(F.abs(F.col("_diff")) <= freshness, F.col(f"_c_{c}"))
         got = got.withColumn(f"_c_{c}", fresh)
@@ -122,4 +160,4 @@ def enrich(prices: DataFrame, context: DataFrame, cols: Sequence[str], tol: int,
     for c in cols:
         missing = missing | F.col(f"_c_{c}").isNull()
     filled = got.crossJoin(F.broadcast(means))  # one row of means
-    return filled.select(*prices.columns, *[F.coalesce(f"_c_{c}", f"_m_{c}", F.lit(defaults[c])).alias(c) for c in cols], missing.cast("int").alias("context_imputed"))
+    return filled.select(*prices.columns, *[F.coalesce(f"_c_{c}", f"_m_{c}", F.lit(defaults[c])).alias(c) for c in cols], missing.cast("int").alias(imputed))

@@ -17,8 +17,36 @@ from ..functions.expressions import correct
 from ..operators.catalysts import HIGH_PRIORITY, pick_within_budget, remaining_budget
 
 
+def _in_order(parts: Iterator[pd.DataFrame], state: GroupState, remembered: tuple, columns: list[str]) -> tuple[tuple, pd.DataFrame, pd.DataFrame]:
+    """(what the state remembers besides rows, rows that no earlier one can come before any more, rows to wait with), each in order of time and id. The state is (remembered, times, ids, further columns as lists)."""
+    held = state.get if state.exists else (*remembered, *[[] for _ in columns])
+    head, lists = held[: len(remembered)], held[len(remembered) :]
+    frames = [p[columns] for p in parts if len(p)]
+    if lists and lists[0]:
+        waiting = pd.DataFrame(dict(zip(columns, lists)))
+        frames.insert(0, waiting.assign(ts=pd.to_datetime(waiting["ts"], unit="us")))
+    # without rows, times are times all the same
+    rows = pd.concat(frames) if frames else pd.DataFrame({c: pd.Series(dtype="datetime64[ns]" if c == "ts" else "int64") for c in columns})
+    rows = rows.sort_values(columns[:2], kind="stable")
+    due = rows["ts"] <= pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+    return head, rows[due], rows[~due]
+
+
+def _keep(state: GroupState, remembered: tuple, waiting: pd.DataFrame, until: int | None = None) -> None:
+    """Stores the state; it is called again once the watermark passes its first waiting row, or else `until` (milliseconds), or never."""
+    lists = [[int(t.value // 1000) for t in waiting["ts"]], *(waiting[c].tolist() for c in waiting.columns[1:])]
+    state.update((*remembered, *lists))
+    wake = int(waiting["ts"].iloc[0].value // 1_000_000) if len(waiting) else until
+    if wake is not None:
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+
+
 def stream_ticks(ticks: DataFrame, n: int = 30, late: str = "1 hour") -> DataFrame:
-    """ticks(series_id, obs_id, ts, price), repeats within the watermark dropped, with technical_score from the n ticks of the series before each. State: n prices a series."""
+    """ticks(series_id, obs_id, ts, price), repeats within the watermark dropped, with technical_score from the n ticks of the series before each.
+
+    A tick waits until the watermark passes it and is scored in order of time,
+    whatever order ticks came in. State: n prices a series, and waiting ticks.
+    """
 
     def score(past: list[float]) -> float:
         changes = [b - a for a, b in zip(past, past[1:])]
@@ -28,18 +56,18 @@ def stream_ticks(ticks: DataFrame, n: int = 30, late: str = "1 hour") -> DataFra
         return 100.0 if loss == 0 else float(int(100 - 100 / (1 + gain / loss) + 0.5))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["ts", "obs_id"])
-        scores = []
-        for price in rows["price"]:
+        (past,), due, waiting = _in_order(parts, state, ([],), ["ts", "obs_id", "price"])
+        past, scores = list(past), []
+        for price in due["price"]:
             scores.append(score(past))
             past = [*past, float(price)][-n:]
-        state.update((past,))
-        yield rows[["series_id", "obs_id", "ts", "price"]].assign(technical_score=scores)
+        _keep(state, (past,), waiting)
+        yield due.assign(series_id=key[0], technical_score=scores)[["series_id", "obs_id", "ts", "price", "technical_score"]]
 
     fresh = ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "obs_id"])
     kind = ticks.schema["series_id"].dataType.simpleString()
-    return fresh.groupBy("series_id").applyInPandasWithState(run, f"series_id {kind}, obs_id long, ts timestamp, price double, technical_score double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
+    held = "past array<double>, ts array<long>, obs_id array<long>, price array<double>"
+    return fresh.groupBy("series_id").applyInPandasWithState(run, f"series_id {kind}, obs_id long, ts timestamp, price double, technical_score double", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_resolve(predictions: DataFrame, prices: DataFrame, tolerance: str = "288 minutes", late: str = "1 hour") -> DataFrame:
@@ -61,28 +89,28 @@ def stream_scores(rows: DataFrame) -> DataFrame:
 
 
 def stream_dedupe(catalysts: DataFrame, hours: float = 6, late: str = "1 hour") -> DataFrame:
-    """catalysts(id, coin, category, ts) without those within `hours`, inclusive, of one kept before for the same coin and category. State: the times kept in the last `hours` before the watermark, dropped after."""
-    span = pd.Timedelta(hours=hours)
+    """catalysts(id, coin, category, ts) without those within `hours`, inclusive, of one kept before for the same coin and category, by (time, id): the rule of drop_fuzzy_duplicates(within_batch=True).
+
+    A row waits until the watermark passes it. State: the last time kept, and
+    waiting rows; it goes when the last time kept is too old to matter.
+    """
+    span = int(pd.Timedelta(hours=hours).value // 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        (last,), due, waiting = _in_order(parts, state, (None,), ["ts", "id"])
+        keep = []
+        for t in (int(x.value // 1000) for x in due["ts"]):
+            keep.append(last is None or t - last > span)
+            last = t if keep[-1] else last
+        if not len(waiting) and (last is None or last + span < state.getCurrentWatermarkMs() * 1000):
             state.remove()
-            return
-        kept = [pd.Timestamp(t, unit="us") for t in state.get[0]] if state.exists else []
-        rows, out = pd.concat(list(parts)).sort_values(["ts", "id"]), []
-        for row in rows.itertuples(index=False):
-            if all(abs(row.ts - t) > span for t in kept):
-                kept.append(row.ts)
-                out.append(row)
-        floor = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms") - span
-        kept = [t for t in kept if t >= floor]
-        state.update(([int(t.value // 1000) for t in kept],))
-        last = int(max([*kept, floor]).value // 1_000_000 + span.total_seconds() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=list(rows.columns))[["id", "coin", "category", "ts"]]
+        else:
+            _keep(state, (last,), waiting, None if last is None else (last + span) // 1000 + 1)
+        kept = due[pd.Series(keep, index=due.index, dtype=bool)]
+        yield kept.assign(coin=key[0], category=key[1])[["id", "coin", "category", "ts"]]
 
     marked = catalysts.select("id", "coin", "category", "ts").withWatermark("ts", late)
-    return marked.groupBy("coin", "category").applyInPandasWithState(run, "id long, coin string, category string, ts timestamp", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("coin", "category").applyInPandasWithState(run, "id long, coin string, category string, ts timestamp", "last long, ts array<long>, id array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_budget(log_path: str, per_day: int = 1, per_hour: int = 1, threshold: float = HIGH_PRIORITY) -> Callable[[DataFrame, int], None]:

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from hindsail.functions.windows import momentum_score
+from hindsail.operators.catalysts import drop_fuzzy_duplicates
 from hindsail.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -28,10 +29,24 @@ def ticks(spark, n=60):
     return spark.range(n).select((F.col("id") % 2).alias("series_id"), F.col("id").alias("obs_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("ts"), ((F.col("id") * 37) % 11 + 1).cast("double").alias("price"))
 
 
+def shuffled(rows, spark, seed):
+    """Rows in parts that come in any order, some of each part's late by up to two hours."""
+    return rows.withColumn("due_order", F.floor(F.unix_timestamp("ts") / 3600) + F.pmod(F.hash("obs_id", F.lit(seed)), F.lit(3)))
+
+
 def test_ticks_equal_batch(spark, tmp_path):
+    """All ticks that the watermark has passed, repeated ones once, late and unordered ones in their place."""
     rows = ticks(spark)
-    got = {r.obs_id: r.technical_score for r in drain(jobs.stream_ticks(landed(spark, tmp_path, "t", rows.union(rows.where("obs_id < 5")), 1)), tmp_path, "ticks")}
-    assert got == {r.obs_id: r.technical_score for r in momentum_score(rows, include_current=False).collect()}
+    want = {r.obs_id: r.technical_score for r in momentum_score(rows, include_current=False).collect()}
+    got = drain(jobs.stream_ticks(landed(spark, tmp_path, "t", rows.union(rows.where("obs_id < 5")), 1)), tmp_path, "ticks")
+    assert {r.obs_id: r.technical_score for r in got} == {i: s for i, s in want.items() if i <= 58} and len(got) == 59
+    late = shuffled(rows, spark, 7)
+    path = str(tmp_path / "late")
+    for lo in range(0, 64, 8):
+        late.where(F.col("due_order").between(lo + 473352, lo + 473359)).drop("due_order").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r.obs_id: r.technical_score for r in drain(jobs.stream_ticks(stream, late="3 hours"), tmp_path, "late_ticks")}
+    assert got == {i: s for i, s in want.items() if i <= 56}
 
 
 def test_resolve_waits_and_takes_nearest(spark, tmp_path):
@@ -51,9 +66,14 @@ def test_scores(spark, tmp_path):
 
 
 def test_dedupe(spark, tmp_path):
+    """One rule for stream and batch: of rows every five hours, those more than six hours after the last one kept."""
     hour = lambda h: T0 + dt.timedelta(hours=h)
-    rows = spark.createDataFrame([(1, "A", "X", hour(0)), (2, "A", "X", hour(6)), (3, "A", "X", hour(7)), (4, "A", "Y", hour(1)), (5, "A", "X", hour(14))], "id long, coin string, category string, ts timestamp")
-    assert sorted(r.id for r in drain(jobs.stream_dedupe(landed(spark, tmp_path, "d", rows, 1)), tmp_path, "kept")) == [1, 3, 4, 5]
+    rows = [(i, "A", "X", hour(5 * i)) for i in range(8)] + [(20, "A", "Y", hour(1)), (21, "A", "X", hour(10)), (30, "B", "X", hour(90))]
+    df = spark.createDataFrame(rows[::-1], "id long, coin string, category string, ts timestamp")
+    batch = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kept = sorted(r.id for r in drop_fuzzy_duplicates(batch, batch.limit(0), within_batch=True).collect())
+    assert kept == [0, 2, 4, 6, 20, 30]
+    assert sorted(r.id for r in drain(jobs.stream_dedupe(landed(spark, tmp_path, "d", df, 1)), tmp_path, "kept")) == [i for i in kept if i != 30]  # the watermark has not passed the last
 
 
 def test_budget_is_idempotent(spark, tmp_path):
