@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import HOUR, clamp, micros, or_one, order_statistic, percent_return, trend_guardrail
 from ..functions.windows import rank_in_reference, trailing_volatility, trend_strength
 from . import kernels
+from .calibration import apply_calibration
 from .timejoin import asof_join, forward_returns
 
 
 @dataclass(frozen=True)
 class AnalogConfig:
-    """features: columns compared; min_rows: gate on rows of a series; horizons in hours; tolerance: share of the horizon."""
+    """features: columns compared; min_rows: gate on rows of a series; horizons in hours; tolerance: share of the horizon.
+
+    sets: names of feature sets and the features of each, for jobs whose series
+    do not all compare the same; the column set_col of a row names its series'
+    set. features then lists all of them.
+    """
 
     features: Sequence[str] = ("technical_score", "regime_mag")
     horizons: Sequence[int] = (12, 24)
@@ -24,27 +31,44 @@ class AnalogConfig:
     tolerance: float = 0.2
     max_k: int = 15
     digits: int = 9
+    sets: Mapping[str, Sequence[str]] | None = None
+    set_col: str = "feature_set"
+
+    def uses(self, feature: str) -> Column:
+        """Whether a row's series compares this feature."""
+        return F.col(self.set_col).isin(*[name for name, own in self.sets.items() if feature in own]) if self.sets else F.lit(True)
+
+    def complete(self) -> Column:
+        """Whether a row has all features that its series compares."""
+        return reduce(lambda a, b: a & b, [F.coalesce(~self.uses(f), F.lit(False)) | F.col(f).isNotNull() for f in self.features])
 
 
 def scaled(rows: DataFrame, cfg: AnalogConfig) -> DataFrame:
     """Complete rows of each series with z-scaled features `_z`, row number `_rn`, size `_rows` and the last row's features `_last_z`, time and id."""
     w = Window.partitionBy("series_id")
-    complete = rows.where(" and ".join(f"{f} is not null" for f in cfg.features))
-    z = F.array(*[F.col(f) / or_one(F.stddev_pop(f).over(w)) for f in cfg.features])
+    complete = rows.where(cfg.complete())
+    scale = lambda f: F.col(f) / or_one(F.stddev_pop(f).over(w))
+    z = F.array(*[F.when(cfg.uses(f), scale(f)).otherwise(0.0) if cfg.sets else scale(f) for f in cfg.features])
     ordered = complete.withColumn("_z", z).withColumn("_rn", F.row_number().over(w.orderBy("ts", "obs_id"))).withColumn("_rows", F.count("*").over(w))
     last = F.max_by(F.struct("_z", "ts", "obs_id", "price"), F.struct("ts", "obs_id")).over(w)
     return ordered.withColumn("_last", last)
 
 
 def candidates(rows: DataFrame, cfg: AnalogConfig) -> DataFrame:
-    """Every (series, horizon, earlier row) with its distance to the series' last row, rank `_rank` by (distance, time) and count `_n`."""
-    horizon = F.explode(F.array(*[F.lit(h) for h in cfg.horizons])).alias("horizon_hours")
-    gap = (F.col("horizon_hours") * HOUR * (1 + cfg.tolerance)).cast("long")
-    spread = scaled(rows, cfg).where("obs_id <> _last.obs_id").select("*", horizon).where(micros(F.col("ts")) <= micros(F.col("_last.ts")) - gap)
+    """Every (series, horizon, earlier row) with its distance to the series' last row, rank `_rank` by (distance, time) and count `_n`.
+
+    Candidates are counted before they are ranked, so that a filter on the rank
+    alone can end the ranking early.
+    """
+    w = Window.partitionBy("series_id")
+    latest = {h: micros(F.col("_last.ts")) - int(h * HOUR * (1 + cfg.tolerance)) for h in cfg.horizons}
+    old = lambda h: (micros(F.col("ts")) <= latest[h]) & (F.col("obs_id") != F.col("_last.obs_id"))
+    counted = scaled(rows, cfg).select("*", *[F.count_if(old(h)).over(w).alias(f"_n{h}") for h in cfg.horizons])
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_n{h}").alias("n"), old(h).alias("old")) for h in cfg.horizons])).alias("_h")
+    spread = counted.select("*", each).where("_h.old").withColumn("horizon_hours", F.col("_h.h")).withColumn("_n", F.col("_h.n")).drop("_h", *[f"_n{h}" for h in cfg.horizons])
     squares = F.aggregate(F.zip_with("_z", "_last._z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    by = Window.partitionBy("series_id", "horizon_hours")
     far = spread.withColumn("dist", F.round(F.sqrt(squares), cfg.digits))
-    return far.withColumn("_rank", F.row_number().over(by.orderBy("dist", "ts", "obs_id"))).withColumn("_n", F.count("*").over(by))
+    return far.withColumn("_rank", F.row_number().over(Window.partitionBy("series_id", "horizon_hours").orderBy("dist", "ts", "obs_id")))
 
 
 def neighbour_count(n):
@@ -59,8 +83,7 @@ def with_outcomes(neighbours: DataFrame, prices: DataFrame, cfg: AnalogConfig) -
 
 def keys_of(rows: DataFrame, cfg: AnalogConfig) -> DataFrame:
     """(series_id, horizon_hours, n_complete): every series of rows, gated or not."""
-    complete = " and ".join(f"{f} is not null" for f in cfg.features)
-    return rows.groupBy("series_id").agg(F.count("*").alias("n_rows"), F.count_if(F.expr(complete)).alias("n_complete")).withColumn("horizon_hours", F.explode(F.array(*[F.lit(h) for h in cfg.horizons])))
+    return rows.groupBy("series_id").agg(F.count("*").alias("n_rows"), F.count_if(cfg.complete()).alias("n_complete")).withColumn("horizon_hours", F.explode(F.array(*[F.lit(h) for h in cfg.horizons])))
 
 
 def _status(cfg: AnalogConfig):
@@ -68,24 +91,27 @@ def _status(cfg: AnalogConfig):
 
 
 def analog_forecast(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = AnalogConfig()) -> DataFrame:
-    """One row per series and horizon: status, n_neighbors, n_resolved, p_up, median, p25 and p75 of the analogs' returns, and the five closest analogs.
+    """One row per series and horizon: status, n_neighbors, n_resolved, p_up, median, p25 and p75 of the analogs' returns, and the five closest analogs that have one.
 
     rows(series_id, obs_id, ts, price, features); the last row of a series is
-    its query. A gated series still has a row, with nulls for a forecast.
+    its query. A gated series still has a row, with nulls for a forecast. Rows
+    with a column context_imputed also have n_imputed: how many neighbours
+    stand on imputed context.
     """
+    imputed = "context_imputed" in rows.columns
     near = candidates(rows, cfg).where(F.col("_rank") <= cfg.max_k).where(F.col("_rank") <= neighbour_count(F.col("_n")))
-    near = near.select("series_id", "horizon_hours", "obs_id", "ts", "price", "dist", "_rank")
+    near = near.select("series_id", "horizon_hours", "obs_id", "ts", "price", "dist", "_rank", *(["context_imputed"] if imputed else []))
     resolved = with_outcomes(near, prices, cfg)
     returns = F.collect_list("return_pct")
     by = resolved.groupBy("series_id", "horizon_hours").agg(
         F.count("*").alias("n_resolved"), F.avg((F.col("return_pct") > 0).cast("int")).alias("p_up"), returns.alias("_returns"),
-        F.slice(F.array_sort(F.collect_list(F.struct("_rank", "ts", "dist", "return_pct"))), 1, 5).alias("closest"),
+        F.slice(F.array_sort(F.collect_list(F.struct("_rank", "obs_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), "dist", "return_pct"))), 1, 5).alias("closest"),
     )
-    counted = near.groupBy("series_id", "horizon_hours").agg(F.count("*").alias("n_neighbors"))
+    counted = near.groupBy("series_id", "horizon_hours").agg(F.count("*").alias("n_neighbors"), *([F.sum(F.col("context_imputed").cast("long")).alias("n_imputed")] if imputed else []))
     out = keys_of(rows, cfg).join(counted, ["series_id", "horizon_hours"], "left").join(by, ["series_id", "horizon_hours"], "left").withColumn("status", _status(cfg))
     ok = lambda c: F.when(F.col("status") == "ok", c)
     seen = lambda c: F.when(F.col("status") != "insufficient_data", F.coalesce(c, F.lit(0)))
-    return out.select("series_id", "horizon_hours", "status", seen("n_neighbors").alias("n_neighbors"), seen("n_resolved").alias("n_resolved"), ok(F.col("p_up")).alias("p_up"), *[ok(order_statistic(F.col("_returns"), p)).alias(name) for name, p in (("median_return", 0.5), ("p25_return", 0.25), ("p75_return", 0.75))], ok(F.col("closest")).alias("closest"))
+    return out.select("series_id", "horizon_hours", "status", seen("n_neighbors").alias("n_neighbors"), seen("n_resolved").alias("n_resolved"), *([seen("n_imputed").alias("n_imputed")] if imputed else []), ok(F.col("p_up")).alias("p_up"), *[ok(order_statistic(F.col("_returns"), p)).alias(name) for name, p in (("median_return", 0.5), ("p25_return", 0.25), ("p75_return", 0.75))], ok(F.col("closest")).alias("closest"))
 
 
 def analog_weighted(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = AnalogConfig()) -> DataFrame:
@@ -95,7 +121,7 @@ def analog_weighted(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = Anal
     fewer analogs, a calm one more; weights are 1 / (distance + 0.05).
     """
     by = ["series_id", "horizon_hours"]
-    complete = rows.where(" and ".join(f"{f} is not null" for f in cfg.features))
+    complete = rows.where(cfg.complete())
     today = trailing_volatility(complete).groupBy("series_id").agg(F.max_by("volatility", F.struct("ts", "obs_id")).alias("_today"))
     w = Window.partitionBy(*by)
     near = trailing_volatility(candidates(rows, cfg).select(*by, "obs_id", "ts", "price", "dist", "_rank", "_n").join(today, "series_id"), key=by)
@@ -130,17 +156,29 @@ def regime_anomaly(rows: DataFrame, cfg: AnalogConfig = AnalogConfig(), block: i
     return ranked.select(*by, F.col("value").alias("closest_dist"), F.col("percentile").alias("closest_dist_percentile"), F.coalesce(F.col("percentile") >= 0.9, F.lit(False)).cast("int").alias("is_regime_anomaly"))
 
 
-def prediction_record(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = AnalogConfig(), model_version: str = "unversioned", git_commit_sha: str = "unknown") -> DataFrame:
-    """One ledger row per series and horizon that has a forecast: the headline and weighted forecasts, the anomaly flag, the trend, the query row's features as a map, its time, target time and price, and the versions. Append it with sources.ingest.append()."""
+def prediction_record(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = AnalogConfig(), model_version: str = "unversioned", git_commit_sha: str = "unknown", curve: DataFrame | None = None, history: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """One ledger row per series and horizon that has a forecast: the headline and weighted forecasts, the anomaly flag, the trend, the challenger's flat probability, the query row's features as a map, its time, target time and price, and the versions. Append it with sources.ingest.append().
+
+    With curve(series_id, horizon_hours, ...) also calibrated_p_up, with
+    history(series_id, horizon_hours, id, ts, realized_up, features) also
+    p_up_conditional, its features weighted by weights.
+    """
     by = ["series_id", "horizon_hours"]
-    complete = rows.where(" and ".join(f"{f} is not null" for f in cfg.features))
+    complete = rows.where(cfg.complete())
     order = F.struct("ts", "obs_id")
     features = F.map_from_arrays(F.array(*[F.lit(f) for f in cfg.features]), F.array(*[F.col(f).cast("double") for f in cfg.features]))
     last = trend_strength(complete).groupBy("series_id").agg(F.max_by(F.struct("ts", "obs_id", "price", "trend_strength", features.alias("features")), order).alias("_q")).select("series_id", "_q.*")
     made = analog_forecast(rows, prices, cfg).where("status = 'ok'")
-    out = made.join(analog_weighted(rows, prices, cfg), by).join(regime_anomaly(rows, cfg), by).join(last, "series_id")
+    out = challenger_flat(made.join(analog_weighted(rows, prices, cfg), by).join(regime_anomaly(rows, cfg), by).join(last, "series_id"))
+    more = ["p_up_flat"]
+    if curve is not None:
+        out, more = apply_calibration(out, curve, by, name="calibrated_p_up"), [*more, "calibrated_p_up"]
+    if history is not None:
+        asked = out.select(*by, "ts", *[F.col("features")[f].alias(f) for f in (weights or CALIBRATION_WEIGHTS)])
+        told = conditional_calibration(asked, history, by, weights)
+        out, more = out.join(told.select(*by, "p_up_conditional"), by, "left"), [*more, "p_up_conditional"]
     target = (F.col("ts") + F.expr("make_dt_interval(0, horizon_hours)")).alias("target_ts")
-    return out.select(*by, "obs_id", "ts", target, "price", "p_up", "median_return", "p25_return", "p75_return", "n_resolved", "p_up_experimental", "median_return_experimental", "volatility_percentile", "closest_dist", "is_regime_anomaly", "trend_strength", "features", F.lit(model_version).alias("model_version"), F.lit(git_commit_sha).alias("git_commit_sha"))
+    return out.select(*by, "obs_id", "ts", target, "price", "p_up", "median_return", "p25_return", "p75_return", "n_resolved", "p_up_experimental", "median_return_experimental", "volatility_percentile", "closest_dist", "is_regime_anomaly", "trend_strength", *more, "features", F.lit(model_version).alias("model_version"), F.lit(git_commit_sha).alias("git_commit_sha"))
 
 
 # Feature weights of the neighbourhood calibration.
@@ -211,8 +249,8 @@ def driver_tilt(flat: DataFrame, digests: DataFrame, ts: str = "ts", max_age_hou
     return out.withColumn("p_up_tilted", clamp(tilted)).select(*flat.columns, "p_up_tilted", "driver_used", "driver_agreement")
 
 
-def challenger_forecast(core: DataFrame, prices: DataFrame, key: Sequence[str] = ("series_id",), digests: DataFrame | None = None, lookback: int = 200) -> DataFrame:
-    """core(key, ts, price, horizon_hours, p_up, is_regime_anomaly, trend_strength) with trailing_return_pct and p_up_flat, and with digests the tilted variant.
+def challenger_forecast(core: DataFrame, prices: DataFrame, key: Sequence[str] = ("series_id",), digests: DataFrame | None = None, lookback: int = 200, curve: DataFrame | None = None) -> DataFrame:
+    """core(key, ts, price, horizon_hours, p_up, is_regime_anomaly, trend_strength) with trailing_return_pct and p_up_flat, with digests the tilted variant, and with curve (of the challenger's own past, by key and horizon_hours) calibrated_p_up_flat.
 
     The trailing return looks back one horizon, to the newest price at or
     before that time among the newest `lookback` prices, else their oldest.
@@ -220,4 +258,6 @@ def challenger_forecast(core: DataFrame, prices: DataFrame, key: Sequence[str] =
     back = F.col("ts") - F.expr("make_dt_interval(0, horizon_hours)")
     seen = asof_join(core.withColumn("_back", back), prices, key, "_back", "ts", "obs_id", ["price"], lookback=lookback, fallback=True, upto="ts", prefix="_old_")
     flat = challenger_flat(seen.withColumn("trailing_return_pct", F.when(F.col("_old_price") != 0, percent_return(F.col("_old_price"), F.col("price"))))).drop("_old_price", "_back")
+    if curve is not None:
+        flat = apply_calibration(flat, curve, [*key, "horizon_hours"], p="p_up_flat", name="calibrated_p_up_flat")
     return driver_tilt(flat, digests) if digests is not None else flat

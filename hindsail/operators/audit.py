@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -132,18 +133,24 @@ def immutability(before: DataFrame, after: DataFrame, row_id: str, outcome_cols:
     return both.select(row_id, change.alias("change")).where(F.col("change").isNotNull())
 
 
-def leakage_checks(ledger: DataFrame, neighbours: DataFrame | None = None, tolerance: float = 0.2) -> DataFrame:
-    """(rule, violations): outcome before its time, resolution before the prediction, and for neighbours(ts, query_ts, horizon_hours) outcomes that lie after their query."""
+def leakage_checks(ledger: DataFrame, neighbours: DataFrame | None = None, tolerance: float = 0.2, curves: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(rule, violations): outcome before its time, and resolution before the prediction.
+
+    For neighbours(ts, query_ts, horizon_hours) also outcomes that lie after
+    their query; for curves(computed_ts, newest_resolved_ts, used_ts) a curve
+    built from outcomes later than its stamp, or used by a prediction before
+    it; for stats(cutoff_ts, query_ts) statistics that reach past their query.
+    """
     done = F.col("realized_up").isNotNull()
     due = micros(F.col("ts")) + F.col("horizon_hours") * HOUR
-    own = ledger.agg(F.count_if(done & (micros(F.col("resolved_ts")) < due)).alias("resolved_before_target"), F.count_if(done & (F.col("resolved_ts") <= F.col("ts"))).alias("resolved_before_prediction"))
-    rules = {c: own for c in ("resolved_before_target", "resolved_before_prediction")}
+    rules = [(ledger, {"resolved_before_target": done & (micros(F.col("resolved_ts")) < due), "resolved_before_prediction": done & (F.col("resolved_ts") <= F.col("ts"))})]
     if neighbours is not None:
         late = micros(F.col("ts")) + (F.col("horizon_hours") * HOUR * (1 + tolerance)).cast("long") > micros(F.col("query_ts"))
-        rules["neighbour_outcome_after_query"] = neighbours.agg(F.count_if(late).alias("neighbour_outcome_after_query"))
-    out = None
-    for rule, counted in rules.items():
-        part = counted.select(F.lit(rule).alias("rule"), F.col(rule).alias("violations"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
+        rules.append((neighbours, {"neighbour_outcome_after_query": late}))
+    if curves is not None:
+        rules.append((curves, {"curve_of_later_outcomes": F.col("newest_resolved_ts") > F.col("computed_ts"), "curve_used_before_its_time": F.col("used_ts") < F.col("computed_ts")}))
+    if stats is not None:
+        rules.append((stats, {"statistics_past_query": F.col("cutoff_ts") > F.col("query_ts")}))
+    named = lambda tests: F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in tests])).alias("_r")
+    parts = [df.agg(*[F.count_if(test).alias(rule) for rule, test in tests.items()]).select(named(tests)).select("_r.*") for df, tests in rules]
+    return reduce(DataFrame.unionByName, parts)

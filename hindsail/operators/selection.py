@@ -45,10 +45,11 @@ def lca(variants: DataFrame, near: DataFrame, calls: DataFrame, key: Sequence[st
     return same.groupBy(*key, "variant").agg(F.avg((up == (F.col("_v_realized_up") == 1)).cast("int")).alias("lca"), F.count("*").alias("n_matched")).where(F.col("n_matched") >= min_matched)
 
 
-def decide(scores: DataFrame, key: Sequence[str] = KEY, order: str = "variant") -> DataFrame:
-    """(key, winner, winner_lca, n_matched, m, corrected_alpha, required_margin, cleared_gate, chosen): the best variant (ties by order) is chosen if it beats one half by more than z sqrt(0.25 / n), else `original`."""
+def decide(scores: DataFrame, key: Sequence[str] = KEY, registry: Sequence[str] = ()) -> DataFrame:
+    """(key, winner, winner_lca, n_matched, m, corrected_alpha, required_margin, cleared_gate, chosen): the best variant (ties by its place in registry, then by name) is chosen if it beats one half by more than z sqrt(0.25 / n), else `original`."""
     w = Window.partitionBy(*key)
-    best = scores.withColumn("_m", F.least(F.lit(6), F.count("*").over(w))).withColumn("_n", F.row_number().over(w.orderBy(F.desc("lca"), order))).where("_n = 1")
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in registry]).cast("array<string>"), F.col("variant")), F.lit(0)), F.lit(1 << 30))
+    best = scores.withColumn("_m", F.least(F.lit(6), F.count("*").over(w))).withColumn("_n", F.row_number().over(w.orderBy(F.desc("lca"), place, "variant"))).where("_n = 1")
     z = F.element_at(F.array(*[F.lit(v) for v in CRITICAL_Z]), F.col("_m").cast("int"))
     margin = z * F.sqrt(0.25 / F.col("n_matched"))
     cleared = F.col("lca") - 0.5 > margin
@@ -63,14 +64,24 @@ def current_calls(variants: DataFrame, key: Sequence[str] = KEY, resolved_only:
     return newest.select(*key, "variant", (F.col("call_p") >= 0.5).alias("call_up"), "call_p")
 
 
-def select_variant(core: DataFrame, variants: Mapping[str, str], features: Sequence[str], key: Sequence[str] = KEY, min_rows: int = 50, resolved_only: bool = True) -> DataFrame:
-    """One decision per key: status, chosen variant and its probability, the gate's figures and the neighbourhood; early exits have a status and `original`."""
-    long = unpivot_variants(core, variants, [*key, "id", "ts", "realized_up"])
+def select_variant(core: DataFrame, variants: Mapping[str, str], features: Sequence[str], key: Sequence[str] = KEY, min_rows: int = 50, resolved_only: bool = True, challenger: DataFrame | None = None, challenger_variants: Mapping[str, str] | None = None) -> DataFrame:
+    """One decision per key: status, chosen variant and its probability, the gate's figures and the neighbourhood; early exits have a status and `original`.
+
+    challenger(key, id, ts, realized_up, ...) is a second ledger whose variants,
+    named in challenger_variants, compete too, for the keys it has; the
+    neighbourhood is that of core rows alone. Ties go to the variant that is
+    named first.
+    """
+    kept = [*key, "id", "ts", "realized_up"]
+    long = unpivot_variants(core, variants, kept)
+    if challenger is not None:
+        long = long.unionByName(unpivot_variants(challenger, challenger_variants or {}, kept))
+    registry = [*variants, *(challenger_variants or {})]
     fit = eligible(long, key, min_rows)
     near = condition_neighbourhood(core, features, key)
     calls = current_calls(long, key, resolved_only).join(fit.select(*key, "variant"), [*key, "variant"], "left_semi")
     scores = lca(long, near, calls, key)
-    made = decide(scores, key)
+    made = decide(scores, key, registry)
     around = near.groupBy(*key).agg(F.max("k_sel").alias("k_sel"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "ts", "dist"))), lambda n: F.struct(n["ts"].alias("ts"), F.round(n["dist"], 3).alias("dist"))).alias("neighborhood"))
     keys = core.select(*key).distinct()
     out = keys.join(fit.groupBy(*key).agg(F.count("*").alias("n_eligible")), list(key), "left").join(around, list(key), "left").join(made, list(key), "left")

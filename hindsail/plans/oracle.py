@@ -117,13 +117,15 @@ SELECT series_id, horizon_hours, status, CASE WHEN status <> 'insufficient_data'
   CASE WHEN status = 'ok' THEN {r("p")} END AS p_up,
   CASE WHEN status = 'ok' THEN {r("rets[least(n_resolved, CAST(floor(n_resolved * 0.5E0) AS BIGINT) + 1)]")} END AS median_return,
   CASE WHEN status = 'ok' THEN {r("rets[least(n_resolved, CAST(floor(n_resolved * 0.25E0) AS BIGINT) + 1)]")} END AS p25_return,
-  CASE WHEN status = 'ok' THEN {r("rets[least(n_resolved, CAST(floor(n_resolved * 0.75E0) AS BIGINT) + 1)]")} END AS p75_return
+  CASE WHEN status = 'ok' THEN {r("rets[least(n_resolved, CAST(floor(n_resolved * 0.75E0) AS BIGINT) + 1)]")} END AS p75_return,
+  CASE WHEN status = 'ok' THEN close END AS closest, CASE WHEN status = 'ok' THEN {r("close_dist")} END AS closest_dist
 FROM (SELECT *, CASE WHEN n_rows < 30 OR n_complete < 30 THEN 'insufficient_data' WHEN coalesce(n_resolved, 0) < 5 THEN 'insufficient_resolved_analogs' ELSE 'ok' END AS status
   FROM keys LEFT JOIN (SELECT series_id, horizon_hours, count(*) AS n_neighbors FROM near GROUP BY ALL) USING (series_id, horizon_hours)
-  LEFT JOIN (SELECT series_id, horizon_hours, count(*) AS n_resolved, avg(CASE WHEN return_pct > 0 THEN 1.0E0 ELSE 0.0E0 END) AS p, list_sort(list(return_pct)) AS rets FROM resolved GROUP BY ALL) USING (series_id, horizon_hours))
+  LEFT JOIN (SELECT series_id, horizon_hours, count(*) AS n_resolved, avg(CASE WHEN return_pct > 0 THEN 1.0E0 ELSE 0.0E0 END) AS p, list_sort(list(return_pct)) AS rets,
+    array_to_string(list(CAST(obs_id AS VARCHAR) || ':' || strftime(made_at, '%Y-%m-%d') ORDER BY rnk)[1:5], ',') AS close, list_sum(list(dist ORDER BY rnk)[1:5]) AS close_dist FROM resolved GROUP BY ALL) USING (series_id, horizon_hours))
 """, "v_series", ctes=CANDIDATES + f""",
 near AS (SELECT * FROM ranked WHERE rnk <= least(15, greatest(5, floor(n / 3.0E0)))),
-resolved AS ({forward("near", "l.series_id, l.horizon_hours, l.obs_id", "l.horizon_hours", extra=", l.horizon_hours")})""")
+resolved AS ({forward("near", "l.series_id, l.horizon_hours, l.obs_id, l.rnk, l.dist, l.ts AS made_at", "l.horizon_hours", extra=", l.horizon_hours")})""")
 
 H = "PARTITION BY series_id, horizon_hours ORDER BY ts, obs_id"
 add("analog_weighted", f"""
@@ -303,27 +305,33 @@ matched AS (
 scores AS (SELECT {K}, variant, avg(CASE WHEN (p >= 0.5) = (realized_up = 1) THEN 1.0E0 ELSE 0.0E0 END) AS lca, count(*) AS n_matched FROM matched WHERE (p >= 0.5) = call_up GROUP BY ALL HAVING count(*) >= 3)"""
 )
 add("variant_lca", f"SELECT {K}, variant, {r('lca')} AS lca, n_matched FROM scores", "v_ledger", ctes=LONG + "," + ELIGIBLE + "," + LCA)
+RANKED = "list_position(['original', 'experimental', 'challenger_flat', 'challenger_tilted'], variant)"
 add("variant_choice", f"""
 SELECT {K}, CASE WHEN NOT EXISTS (SELECT 1 FROM eligible e WHERE e.coin = k.coin AND e.horizon_hours = k.horizon_hours) THEN 'no_eligible_variants' WHEN k_sel IS NULL THEN 'insufficient_meta_history' WHEN variant IS NULL THEN 'no_scorable_variants' ELSE 'ok' END AS status,
-  CASE WHEN lca - 0.5 > margin THEN variant ELSE 'original' END AS chosen_variant, variant AS winner, {r("lca")} AS winner_lca, n_matched, {r("margin")} AS required_margin, coalesce(lca - 0.5 > margin, false) AS cleared_gate, k_sel
-FROM (SELECT DISTINCT {K} FROM v_ledger) k LEFT JOIN (SELECT {K}, CAST(max(least(15, greatest(7, floor(n / 10.0E0)))) AS INTEGER) AS k_sel FROM around GROUP BY ALL) USING (coin, horizon_hours)
+  CASE WHEN lca - 0.5 > margin THEN variant ELSE 'original' END AS chosen_variant, variant AS winner, {r("lca")} AS winner_lca, n_matched, {r("margin")} AS required_margin, coalesce(lca - 0.5 > margin, false) AS cleared_gate, k_sel,
+  CAST(m AS INTEGER) AS comparison_count, {r("0.05 / m")} AS corrected_alpha, hours AS neighborhood, ROUND(hours_dist, 2) AS neighborhood_dist,
+  (SELECT {r("call_p")} FROM calls JOIN eligible USING (coin, horizon_hours, variant) WHERE coin = k.coin AND horizon_hours = k.horizon_hours AND variant = CASE WHEN k_won.variant IS NULL THEN NULL WHEN lca - 0.5 > margin THEN k_won.variant ELSE 'original' END) AS chosen_p_up,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM eligible e WHERE e.coin = k.coin AND e.horizon_hours = k.horizon_hours) THEN 'no_eligible_variants' WHEN k_sel IS NULL THEN 'insufficient_meta_history' WHEN variant IS NULL THEN 'no_scorable_variants'
+    WHEN lca - 0.5 > margin THEN variant || ' did better locally' ELSE 'no local edge cleared the significance bar' END AS reason
+FROM (SELECT DISTINCT {K} FROM v_ledger) k LEFT JOIN (SELECT {K}, CAST(max(least(15, greatest(7, floor(n / 10.0E0)))) AS INTEGER) AS k_sel,
+  string_agg(strftime(ts, '%Y-%m-%d %H'), ',' ORDER BY rnk) AS hours, sum(ROUND(dist, 3)) AS hours_dist FROM around GROUP BY ALL) USING (coin, horizon_hours)
 LEFT JOIN (SELECT *, [1.6449, 1.96, 2.128, 2.2414, 2.3263, 2.394][least(6, m)] * sqrt(0.25 / n_matched) AS margin FROM (
-  SELECT s.*, count(*) OVER (PARTITION BY {K}) AS m FROM scores s JOIN eligible USING (coin, horizon_hours, variant)) QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY lca DESC, variant) = 1) USING (coin, horizon_hours)
+  SELECT s.*, count(*) OVER (PARTITION BY {K}) AS m FROM scores s JOIN eligible USING (coin, horizon_hours, variant)) QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY lca DESC, {RANKED}) = 1) k_won USING (coin, horizon_hours)
 """, "v_ledger", ctes=LONG + "," + ELIGIBLE + "," + LCA)
 
 
 def walk(source: str, dist: str, k: int, warmup: str, extra: str = "") -> str:
     return f"""
 numbered AS (SELECT *, row_number() OVER ({S}) AS rn, count(*) OVER (PARTITION BY series_id) AS sz, (lead(price) OVER ({S}) - price) / price * 100 AS ret{extra} FROM {source}),
-pairs AS (SELECT q.series_id, q.obs_id, q.rn, q.ret AS own, c.ret AS ret, row_number() OVER (PARTITION BY q.series_id, q.obs_id ORDER BY ROUND({dist}, 9), c.rn) AS place
+pairs AS (SELECT q.series_id, q.obs_id, q.ts, q.rn, q.ret AS own, c.ret AS ret, row_number() OVER (PARTITION BY q.series_id, q.obs_id ORDER BY ROUND({dist}, 9), c.rn) AS place
   FROM numbered q JOIN numbered c ON q.series_id = c.series_id AND c.rn < q.rn WHERE q.rn >= {warmup} + 1 AND q.rn < q.sz),
-preds AS (SELECT series_id, obs_id, avg(CASE WHEN ret > 0 THEN 1.0E0 ELSE 0.0E0 END) AS p_up, CASE WHEN max(own) > 0 THEN 1 ELSE 0 END AS realized_up FROM pairs WHERE place <= {k} GROUP BY ALL HAVING count(*) >= {k})"""
+preds AS (SELECT series_id, obs_id, ts, avg(CASE WHEN ret > 0 THEN 1.0E0 ELSE 0.0E0 END) AS p_up, CASE WHEN max(own) > 0 THEN 1 ELSE 0 END AS realized_up FROM pairs WHERE place <= {k} GROUP BY ALL HAVING count(*) >= {k})"""
 
 
 def graded(key: str, source: str) -> str:
     return f"""
-SELECT {key}, n AS n_predictions, ROUND(a, 6) AS accuracy, ROUND(b, 6) AS brier_score, ROUND(u, 6) AS historical_up_rate, ROUND(least(0.25, u * (1 - u)), 6) AS naive_baseline_brier, b < least(0.25, u * (1 - u)) AS beats_naive_baseline
-FROM (SELECT {key}, count(*) AS n, avg({HIT}) AS a, avg({BRIER}) AS b, avg(realized_up) AS u FROM {source} GROUP BY ALL)"""
+SELECT {key}, n AS n_predictions, ROUND(a, 6) AS accuracy, ROUND(b, 6) AS brier_score, ROUND(u, 6) AS historical_up_rate, ROUND(least(0.25, u * (1 - u)), 6) AS naive_baseline_brier, b < least(0.25, u * (1 - u)) AS beats_naive_baseline, date_range_start, date_range_end
+FROM (SELECT {key}, min(ts) AS date_range_start, max(ts) AS date_range_end, count(*) AS n, avg({HIT}) AS a, avg({BRIER}) AS b, avg(realized_up) AS u FROM {source} GROUP BY ALL)"""
 
 
 ONE = "abs(q.technical_score - c.technical_score)"
@@ -347,7 +355,7 @@ SELECT id, e = '' AS valid, e AS errors FROM (SELECT id, concat_ws('; ', CASE WH
   CASE WHEN epoch_us(discovery_ts) < epoch_us(first_public_ts) - {HOUR} THEN 'discovery_timestamp is implausibly before first_public_timestamp' END) AS e FROM v_catalyst)
 """, "v_catalyst")
 add("catalyst_dedupe", f"""
-SELECT id, coin, category FROM v_catalyst n WHERE id % 20 = 0 AND NOT EXISTS (SELECT 1 FROM v_catalyst s WHERE s.id % 20 = 1 AND s.coin = n.coin AND s.category = n.category AND abs(epoch_us(s.ts) - epoch_us(n.ts)) <= 6 * {HOUR})
+SELECT id, coin, category FROM v_catalyst n WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v_catalyst s WHERE s.id % 2 = 1 AND s.coin = n.coin AND s.category = n.category AND abs(epoch_us(s.ts) - epoch_us(n.ts)) <= 2 * {HOUR})
 """, "v_catalyst")
 add("catalyst_availability", "SELECT coin, category, CASE WHEN first_public_ts IS NULL THEN 'unknown' WHEN first_public_ts <= ts THEN 'true' ELSE 'false' END AS available, count(*) AS n FROM v_catalyst GROUP BY ALL", "v_catalyst")
 add("response_parse", """
@@ -373,8 +381,8 @@ FROM (SELECT id, count(*) OVER (PARTITION BY asset_no ORDER BY request_ts RANGE
 """, "v_investigation")
 add("duplicate_audit", "SELECT investigation_id, count(*) AS n FROM v_investigation GROUP BY 1 HAVING count(*) > 1", "v_investigation")
 add("status_rollup", """
-SELECT coin, day, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'PASS') = count(*) THEN 'PASS' ELSE 'UNVERIFIED' END AS result
-FROM (SELECT coin, CAST(ts AS DATE) AS day, CASE WHEN first_public_ts IS NULL THEN 'UNAVAILABLE' WHEN first_public_ts <= ts THEN 'PASS' ELSE 'FAIL' END AS status FROM v_catalyst) WHERE day < DATE '2024-01-03' OR status <> 'FAIL' GROUP BY ALL
+SELECT coin, category, day, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'PASS') = count(*) THEN 'PASS' ELSE 'UNVERIFIED' END AS result
+FROM (SELECT coin, category, CAST(ts AS DATE) AS day, CASE WHEN first_public_ts IS NULL THEN 'UNAVAILABLE' WHEN first_public_ts <= ts THEN 'PASS' ELSE 'FAIL' END AS status FROM v_catalyst) GROUP BY ALL
 """, "v_catalyst")
 add("immutability_audit", "SELECT id, CASE WHEN id % 1500 = 7 THEN 'missing' ELSE 'changed' END AS change FROM v_ledger WHERE id % 1500 = 7 OR id % 1001 = 0", "v_ledger")
 add("leakage_audit", f"""
@@ -385,14 +393,32 @@ UNION ALL SELECT 'neighbour_outcome_after_query', count(*) FILTER (epoch_us(c.ts
 
 METRICS = ("n", "accuracy", "brier_score", "log_loss", "calibration_error")
 by_metric = lambda section, key, table, names: " UNION ALL ".join(f"SELECT '{section}' AS section, coin, CAST({key} AS VARCHAR) AS key, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {table}" for m in names)
+renamed = lambda text, to: text.replace("runs", f"runs_{to}").replace("summary AS", f"summary_{to} AS")
+MISTAKES = "row_number() OVER (PARTITION BY coin ORDER BY c DESC, ts, id)"
+BUCKETS = ORACLE["confidence_buckets"].split("buckets AS (", 1)[1].rsplit("mid))", 1)[0]
+CONF = HIT.replace("p_up", "l.p_up").replace("realized_up", "l.realized_up")
 add("daily_report", f"""
 {by_metric("series", "'all'", "summary", METRICS)} UNION ALL {by_metric("horizon", "horizon_hours", "summary_h", METRICS)}
 UNION ALL {by_metric("health", "'all'", "health", ("total", "unresolved", "resolved_in_period"))}
-UNION ALL SELECT 'status', NULL, CASE WHEN (SELECT count(*) FROM summary WHERE status = 'ok') = 0 OR (SELECT bool_or(abs(w.accuracy - s.accuracy) > 0.15) FROM summary s JOIN summary_w w USING (coin)) THEN 'YELLOW' ELSE 'GREEN' END, 'status', 1.0E0
-""", "v_ledger", ctes=summary("v_ledger", "coin") + "," + summary("v_ledger", "coin, horizon_hours").replace("runs", "runs_h").replace("summary AS", "summary_h AS")
-    + """,
-week AS (SELECT * FROM v_ledger WHERE epoch_us((SELECT max(resolved_ts) FROM v_ledger)) - epoch_us(resolved_ts) <= 168 * 3600000000),"""
-    + summary("week", "coin").replace("runs", "runs_w").replace("summary AS", "summary_w AS") + """,
+UNION ALL {by_metric("confidence", "range", "conf", ("n", "accuracy"))} UNION ALL {by_metric("confidence", "'insufficient_data'", "short", ("n",))}
+UNION ALL {by_metric("confident_mistake", "place", "(SELECT * FROM wrong WHERE place <= 5 AND coin IN (SELECT coin FROM summary WHERE status = 'ok'))", ("id", "p", "confidence"))}
+UNION ALL {by_metric("regime", "regime", "summary_g", ("n", "accuracy", "brier_score"))}
+UNION ALL {by_metric("mistake", "place", "wrong", ("id", "p", "confidence"))}
+UNION ALL {by_metric("drift", '"window"', "moved", ("n", "accuracy", "drift"))}
+UNION ALL {by_metric("comparison", "'production'", "(SELECT * FROM summary WHERE coin <> 'ETH')", METRICS)} UNION ALL {by_metric("comparison", "'challenger'", "summary_c", METRICS)}
+UNION ALL SELECT 'catalyst', coin, CAST(id AS VARCHAR), 'id', CAST(id AS DOUBLE) FROM (SELECT * FROM v_catalyst ORDER BY ts DESC, id DESC LIMIT 100)
+UNION ALL SELECT 'status', NULL, CASE WHEN (SELECT count(*) FROM summary WHERE status = 'ok') = 0 OR (SELECT bool_or(drift = 1) FROM moved) THEN 'YELLOW' ELSE 'GREEN' END, 'status', 1.0E0
+""", "v_ledger", "v_catalyst", ctes=summary("v_ledger", "coin") + "," + renamed(summary("v_ledger", "coin, horizon_hours"), "h") + "," + TAGGED + renamed(summary("tagged", "coin, regime"), "g") + """,
+other AS (SELECT * REPLACE (coalesce(p_up_experimental, p_up) AS p_up) FROM v_ledger WHERE coin <> 'ETH'),""" + renamed(summary("other", "coin"), "c") + """,
+spans AS (SELECT * FROM (VALUES ('last_24h', 24), ('last_7d', 168), ('last_30d', 720), ('full_history', NULL)) t("window", hours)),
+windowed AS (SELECT l.*, w."window" FROM v_ledger l CROSS JOIN spans w WHERE w.hours IS NULL OR epoch_us((SELECT max(resolved_ts) FROM v_ledger)) - epoch_us(l.resolved_ts) <= w.hours * 3600000000),""" + renamed(summary("windowed", 'coin, "window"'), "w") + f""",
+moved AS (SELECT coin, k."window", coalesce(n, 0) AS n, accuracy, CASE WHEN k."window" = 'full_history' THEN CAST(coalesce(abs((SELECT s2.accuracy FROM summary_w s2 WHERE s2.coin = k.coin AND s2."window" = 'last_7d') - accuracy) > 0.15, false) AS INTEGER) END AS drift
+  FROM (SELECT DISTINCT coin, w."window" FROM v_ledger CROSS JOIN spans w WHERE realized_up IS NOT NULL) k LEFT JOIN summary_w USING (coin, "window")),
+wrong AS (SELECT coin, id, ROUND(p_up, 3) AS p, c AS confidence, {MISTAKES} AS place FROM (SELECT *, ROUND(greatest(p_up, 1 - p_up), 3) AS c FROM v_ledger WHERE realized_up IS NOT NULL AND (p_up >= 0.5) <> (realized_up = 1)) QUALIFY place <= 10),
+buckets AS ({BUCKETS}mid)),
+conf AS (SELECT k.coin, b.range, count(l.id) AS n, ROUND(avg({CONF}) FILTER (l.id IS NOT NULL), 3) AS accuracy FROM (SELECT coin FROM summary WHERE status = 'ok') k CROSS JOIN buckets b
+  LEFT JOIN v_ledger l ON l.coin = k.coin AND l.realized_up IS NOT NULL AND greatest(l.p_up, 1 - l.p_up) >= b.lo AND greatest(l.p_up, 1 - l.p_up) < b.hi GROUP BY k.coin, b.range),
+short AS (SELECT coin, n FROM summary WHERE status <> 'ok'),
 health AS (SELECT coin, count(*) AS total, count(*) FILTER (realized_up IS NULL) AS unresolved, count(*) FILTER (realized_up IS NOT NULL AND resolved_ts < (SELECT max(resolved_ts) FROM v_ledger)) AS resolved_in_period FROM v_ledger GROUP BY 1)""")
 
 add("series_coverage", "SELECT series_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM v_series GROUP BY 1", "v_series")
@@ -411,7 +437,7 @@ SELECT a.id, arg_min(l.id, l.n) AS prediction_id FROM asked a LEFT JOIN LATERAL
   SELECT * FROM (SELECT l.*, row_number() OVER (ORDER BY resolved_ts DESC, id DESC) AS n FROM v_ledger l WHERE l.coin = a.coin AND realized_up IS NOT NULL AND resolved_ts <= a.request_ts AND epoch_us(resolved_ts) >= epoch_us(a.request_ts) - CAST(3.5 * {HOUR} AS BIGINT))
   WHERE n <= 10 AND abs(greatest(p_up, 1 - p_up) - a.confidence) < 1e-9 AND ((p_up >= 0.5) <> (realized_up = 1)) = a.was_wrong) l ON true GROUP BY a.id
 """, "v_ledger", ctes="""
-asked AS (SELECT id, coin, resolved_ts + INTERVAL 30 MINUTE AS request_ts, greatest(p_up, 1 - p_up) AS confidence, (p_up >= 0.5) <> (realized_up = 1) AS was_wrong FROM v_ledger WHERE realized_up IS NOT NULL AND id % 4 = 0)""")
+asked AS (SELECT id, coin, resolved_ts + INTERVAL 30 MINUTE AS request_ts, greatest(p_up, 1 - p_up) AS confidence, (p_up >= 0.5) <> (realized_up = 1) AS was_wrong FROM v_ledger WHERE realized_up IS NOT NULL)""")
 
 add("prediction_record", f"""
 SELECT a.series_id, a.horizon_hours, q.obs_id, {r("q.price")} AS price, a.p_up, a.median_return, b.p_up_experimental, b.volatility_percentile, c.is_regime_anomaly, q.trend_strength, {r("q.regime_mag")} AS regime_mag, 'v1' AS model_version
@@ -449,12 +475,12 @@ add("preceding_decision", """
 SELECT a.id, max(d.ts) AS decision_ts FROM v_ledger a LEFT JOIN v_ledger d ON d.coin = a.coin AND d.horizon_hours = a.horizon_hours AND d.id % 10 = 0 AND d.ts <= a.ts + INTERVAL 1 HOUR WHERE a.id % 10 <> 0 GROUP BY a.id
 """, "v_ledger")
 add("latest_curve_batch", f"""
-SELECT {K}, decile, {r("rate")} AS empirical_up_rate, n AS n_samples FROM newer UNION ALL
-SELECT {K}, decile, {r("rate")}, n FROM older o WHERE NOT EXISTS (SELECT 1 FROM newer e WHERE e.coin = o.coin AND e.horizon_hours = o.horizon_hours)
-""", "v_ledger", ctes="part_a AS (SELECT * FROM v_ledger WHERE id % 2 = 0 OR id % 4 = 1), part_b AS (SELECT * FROM v_ledger WHERE coin <> 'ETH')," + curve("part_a", K, "older") + "," + curve("part_b", K, "newer"))
+SELECT {K}, decile, {r("rate")} AS empirical_up_rate, n AS n_samples, TIMESTAMP '2024-01-02' AS computed_ts FROM newer UNION ALL
+SELECT {K}, decile, {r("rate")}, n, TIMESTAMP '2024-01-01' FROM older o WHERE NOT EXISTS (SELECT 1 FROM newer e WHERE e.coin = o.coin AND e.horizon_hours = o.horizon_hours)
+""", "v_ledger", ctes="part_b AS (SELECT * FROM v_ledger WHERE coin <> 'ETH')," + curve("v_ledger", K, "older") + "," + curve("part_b", K, "newer"))
 add("chart_extract", """
-SELECT 'price' AS kind, CAST(series_id AS VARCHAR) AS series, count(*) AS n, ROUND(sum(price), 2) AS total FROM v_series GROUP BY 2
-UNION ALL SELECT 'forecast', coin, count(*), ROUND(sum(p_up), 2) FROM v_ledger WHERE horizon_hours = 24 GROUP BY 2
+SELECT 'price' AS kind, CAST(series_id AS VARCHAR) AS series, ts, ROUND(price, 6) + 0.0 AS value FROM v_series
+UNION ALL SELECT 'forecast', coin, ts, ROUND(p_up, 6) + 0.0 FROM v_ledger WHERE horizon_hours = 24
 """, "v_series", "v_ledger")
 add("catalyst_provenance", """
 SELECT id, CASE WHEN first_public_ts IS NULL THEN 'unknown' ELSE 'reported' END AS timestamp_source, CASE WHEN first_public_ts IS NULL OR id % 3 = 2 THEN 'UNKNOWN' WHEN id % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS timestamp_confidence FROM v_catalyst

@@ -111,10 +111,16 @@ def forward_returns(spark, sf_dir):
     return rounded(forward_return(rows, rows, ["series_id"], 24).select("series_id", "obs_id", "return_pct"))
 
 
+def with_closest(forecast: DataFrame) -> DataFrame:
+    """The five closest analogs as text, and their distances' sum."""
+    named = F.transform("closest", lambda c: F.concat_ws(":", c["obs_id"].cast("string"), c["date"]))
+    total = F.aggregate(F.transform("closest", lambda c: c["dist"]), F.lit(0.0), lambda a, x: a + x)
+    return forecast.withColumn("closest_dist", total).withColumn("closest", F.array_join(named, ","))
+
+
 @registered
 def analog_forecast(spark, sf_dir):
-    out = analog.analog_forecast(features(spark, sf_dir), series(spark, sf_dir))
-    return rounded(out.drop("closest"))
+    return rounded(with_closest(analog.analog_forecast(features(spark, sf_dir), series(spark, sf_dir))))
 
 
 @registered
@@ -234,10 +240,17 @@ def variant_lca(spark, sf_dir):
     return rounded(selection.lca(long, near, selection.current_calls(long)))
 
 
+def decisions(out: DataFrame) -> DataFrame:
+    """Decision records with the neighbourhood as text, and its distances' sum."""
+    total = F.aggregate(F.transform("neighborhood", lambda n: n["dist"]), F.lit(0.0), lambda a, x: a + x)
+    hours = F.array_join(F.transform("neighborhood", lambda n: F.date_format(n["ts"], "yyyy-MM-dd HH")), ",")
+    return out.withColumn("neighborhood_dist", F.round(total, 2)).withColumn("neighborhood", hours)
+
+
 @registered
 def variant_choice(spark, sf_dir):
     out = selection.select_variant(ledger(spark, sf_dir), VARIANTS, list(WEIGHTS))
-    return rounded(out.select(*LEDGER_KEY, "status", "chosen_variant", "winner", "winner_lca", "n_matched", "required_margin", "cleared_gate", "k_sel"))
+    return rounded(decisions(out))
 
 
 @registered
@@ -250,7 +263,7 @@ def backtest_momentum(spark, sf_dir):
 @registered
 def backtest_single(spark, sf_dir):
     preds = backtest.walk_forward(windows.momentum_score(series(spark, sf_dir)), ["technical_score"], 10, backtest.single_warmup())
-    return backtest.backtest_summary(preds, digits=6).drop("date_range_start", "date_range_end")
+    return backtest.backtest_summary(preds, digits=6)
 
 
 @registered
@@ -265,7 +278,7 @@ def backtest_regime_split(spark, sf_dir):
     rows = windows.momentum_score(series(spark, sf_dir))
     sentiment = enrich(rows, view(spark, sf_dir, "v_context"), ["score"], TOL, {"score": 50.0}).select("obs_id", "score")
     preds = backtest.walk_forward(rows, ["technical_score"], 10, backtest.single_warmup()).join(sentiment, "obs_id")
-    return backtest.regime_split(preds, "score", digits=6).drop("date_range_start", "date_range_end")
+    return backtest.regime_split(preds, "score", digits=6)
 
 
 @registered
@@ -276,7 +289,7 @@ def catalyst_validate(spark, sf_dir):
 @registered
 def catalyst_dedupe(spark, sf_dir):
     rows = view(spark, sf_dir, "v_catalyst")
-    return catalysts.drop_fuzzy_duplicates(rows.where("id % 20 = 0"), rows.where("id % 20 = 1")).select("id", "coin", "category")
+    return catalysts.drop_fuzzy_duplicates(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), tol=2 * HOUR).select("id", "coin", "category")
 
 
 @registered
@@ -315,7 +328,7 @@ def duplicate_audit(spark, sf_dir):
 def status_rollup(spark, sf_dir):
     rows = view(spark, sf_dir, "v_catalyst")
     result = audit.check_order(F.col("first_public_ts"), F.col("ts"))
-    return audit.rollup(rows.select("coin", F.to_date("ts").alias("day"), result.alias("c")).select("coin", "day", F.col("c.status").alias("status")).where("day < '2024-01-03' or status <> 'FAIL'"), ["coin", "day"])
+    return audit.rollup(rows.select("coin", "category", F.to_date("ts").alias("day"), result.alias("c")).select("coin", "category", "day", F.col("c.status").alias("status")), ["coin", "category", "day"])
 
 
 @registered
@@ -331,10 +344,15 @@ def leakage_audit(spark, sf_dir):
     return audit.leakage_checks(ledger(spark, sf_dir), near)
 
 
+def whole_report(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    other = rows.where("coin <> 'ETH'").select(*LEDGER_KEY, "id", "resolved_ts", "realized_up", F.coalesce("p_up_experimental", "p_up").alias("p"))
+    return evaluate.daily_report(rows, newest_time(rows, "resolved_ts"), challenger=other, catalysts=view(spark, sf_dir, "v_catalyst"))
+
+
 @registered
 def daily_report(spark, sf_dir):
-    rows = ledger(spark, sf_dir)
-    return rounded(evaluate.daily_report(rows, newest_time(rows, "resolved_ts")).where("section in ('series', 'horizon', 'health', 'status')"))
+    return rounded(whole_report(spark, sf_dir))
 
 
 @registered
@@ -363,8 +381,8 @@ def series_backfill(spark, sf_dir):
 
 @registered
 def chain_audit(spark, sf_dir):
-    """Requests about resolved forecasts, half an hour after each, matched back to them."""
-    rows = ledger(spark, sf_dir).where("realized_up is not null and id % 4 = 0")
+    """Requests about all resolved forecasts, half an hour after each, matched back to them."""
+    rows = ledger(spark, sf_dir).where("realized_up is not null")
     asked = rows.select("id", "coin", (F.col("resolved_ts") + F.expr("interval 30 minute")).alias("request_ts"), F.greatest("p_up", 1 - F.col("p_up")).alias("confidence"), ((F.col("p_up") >= 0.5) != (F.col("realized_up") == 1)).alias("was_wrong"))
     return audit.reconcile(asked, ledger(spark, sf_dir)).select("id", "prediction_id")
 
@@ -413,17 +431,17 @@ def preceding_decision(spark, sf_dir):
 
 @registered
 def latest_curve_batch(spark, sf_dir):
-    """Two stamped batches of curves, the newer of each key."""
+    """A batch of curves of all rows, then one that leaves a series out; the newer of each key."""
     rows = ledger(spark, sf_dir)
     stamp = lambda t: F.lit(t).cast("timestamp_ntz")
-    old, _ = calibration.refresh_curves(rows.where("id % 2 = 0 or id % 4 = 1"), LEDGER_KEY, stamp("2024-01-01"))
+    old, _ = calibration.refresh_curves(rows, LEDGER_KEY, stamp("2024-01-01"))
     new, _ = calibration.refresh_curves(rows.where("coin <> 'ETH'"), LEDGER_KEY, stamp("2024-01-02"))
-    return rounded(calibration.latest_batch(old.unionByName(new), LEDGER_KEY).select(*LEDGER_KEY, "decile", "empirical_up_rate", "n_samples"))
+    return rounded(calibration.latest_batch(old.unionByName(new), LEDGER_KEY).select(*LEDGER_KEY, "decile", "empirical_up_rate", "n_samples", "computed_ts"))
 
 
 @registered
 def chart_extract(spark, sf_dir):
-    return ingest.chart_extract(series(spark, sf_dir), ledger(spark, sf_dir), 24).groupBy("kind", "series").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return rounded(ingest.chart_extract(series(spark, sf_dir), ledger(spark, sf_dir), 24))
 
 
 @registered
