@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, unused, written
+from .common import Scratch, slices, unused, written
 
 HASHED = 1024
 MAX_LABELLED = 4000
@@ -88,7 +88,7 @@ def train(labelled: DataFrame, names: list[str], text_col: str = "text", domain_
     picked = rows.withColumn("h", F.xxhash64("text")).orderBy("h", "domain").limit(max_labelled).select("text", "domain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [profile(t.encode()).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), batch.column(1)], ["x", "domain"])
 
@@ -103,7 +103,7 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
     at = docs.columns.index(text_col) if keep else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             p = np.round(model.posterior(np.array([profile(t) for t in texts], np.float32).reshape(-1, HASHED)), 9)
             columns = [*batch.columns] if keep else [batch.column(0)]

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 from .components import component_labels
 
 MAX_BITS = 4
@@ -45,7 +45,7 @@ SEED = 42
 #: Share of a text's shingles that near_copies() posts beyond those that have to be.
 SPARE = 0.1
 #: Shingle hashes that are held at once, besides those of one text.
-PART = 1 << 22
+PART = 1 << 20
 
 
 def _hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long) for every row; whole texts, null as empty. Other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(x, width) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -185,7 +185,7 @@ def _longs(arrays: list[np.ndarray | None]) -> pa.Array:
 def _each_once(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Batches whose last two columns are key and text, each with the shingle sets of the partition's first row of a key and None for others; cut where sets have come to PART hashes."""
     seen: set[str] = set()
-    for batch in batches:
+    for batch in slices(batches):
         keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
         lo, size, made = 0, 0, []
         for k, key in enumerate(keys):
