@@ -83,8 +83,7 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    encode = packing.encoder().encode_ordinary
+    encode = packing.encode_of()
     for text in [t for t in ODD if t and len(t) < 50_000] + ["<|endoftext|> it's 12,5  \n\n ok", "日本語 العربية 🙂"]:
         assert encode(text) == plain.encode(text, add_special_tokens=False).ids
 
@@ -126,7 +125,7 @@ def test_each_piece_goes_where_squares_are_fewest():
 def test_packed_documents(spark):
     rows = packing.pack(packing.tokenize(odd(spark), with_ids=True), rows=10, group_rows=4).collect()
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
-    encode = packing.encoder().encode_ordinary
+    encode = packing.encode_of()
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -529,6 +528,52 @@ def test_quality_odd_rows_and_filter(spark):
     assert all(r.predicted == 1 for r in quality.score_all(df, none).collect())
 
 
+def plain_description(text):
+    """FEATURES one by one, by plain loops."""
+    body = (text or "").encode()
+    if not body:
+        return [0.0] * len(quality.FEATURES)
+    space, n = b" \t\n\r\x0b\x0c", len(body)
+    words, word = [], b""
+    for c in body + b" ":
+        if c in space:
+            words, word = [*words, word] if word else words, b""
+        else:
+            word += bytes([c])
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    share = lambda test: sum(map(test, body)) / n
+    w = max(1, len(words))
+    return [
+        np.log(n + 1), np.log(len(words) + 1), sum(map(len, words)) / w, share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b"#$%&*@^~<>=+/\\{}[]_"),
+        share(lambda c: c in b"!?"), share(lambda c: c == 124), share(lambda c: c == 46), share(lambda c: c in b",;:"), share(lambda c: c >= 128), share(lambda c: c == 32), share(lambda c: c == 10),
+        len(set(low)) / w, len(set(body.split(b"\n"))) / len(body.split(b"\n")), sum(a == b for a, b in zip(low, low[1:])) / w, sum(x.istitle() for x in words) / w, sum(len(x) > 20 for x in words) / w,
+    ]
+
+
+def test_scores_against_plain_rule(spark):
+    """Features by loops, fit by its own optimum, score by the logistic rule."""
+    df, labels = quality_rows(spark)
+    texts = [*ODD[:6], "A b C!? #x 12,5|é\n\na a", *[r.text for r in df.limit(30).collect()]]
+    for text in texts:
+        if text is None or len(text) < 5000:
+            assert np.allclose(quality.describe(None if text is None else text.encode()), plain_description(text)), text
+    model = quality.train(df, labels)
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = {r.doc_id: r.text for r in df.collect()}
+    x, y = np.array([plain_description(rows[i]) for i in known]), np.array(list(known.values()))
+    design = np.hstack([np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9), -4, 4), (x[:, :, None] >= np.quantile(x, np.arange(1, quality.BINS) / quality.BINS, axis=0).T[None]).reshape(len(x), -1)])
+    strength = design @ model.weights
+    bad = (y == 0).sum()
+    order = np.sort(strength)
+    assert model.threshold == pytest.approx((order[bad - 1] + order[bad]) / 2)
+    gap = design[y == 1][:, None] - design[y == 0][None]  # every preference pair; the fit draws some of them
+    loss = lambda w: np.log1p(np.exp(-(gap @ w))).mean()
+    assert loss(model.weights) < 0.1 * loss(np.zeros_like(model.weights))
+    scores = {r.doc_id: r.score for r in quality.score_all(df, model).collect()}
+    for i, s in zip(known, strength):
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-((s - model.threshold) / model.width + np.log(3 / 7)))), abs=1e-9)
+
+
 def test_pairs_order_strengths():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, len(quality.FEATURES)))
