@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import itertools
 import math
@@ -125,6 +126,50 @@ def test_asof_fallback(spark):
     assert got(lookback=2, fallback=True) == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3}
 
 
+def test_asof_brute_force(spark):
+    """Ties, null times and keys, repeated rows, pieces of time that are empty, and one key that holds nearly all rows."""
+    r = random.Random(15)
+    when = lambda: at(r.choice([r.randint(0, 40) / 4, r.randint(0, 4000) / 4]))
+    left = [(r.choice("aaaab"), i, when()) for i in range(300)] + [("a", 998, None), (None, 997, at(1)), ("c", 999, at(1))]
+    left += left[:5]
+    right = [(r.choice("aaaab"), i, when()) for i in range(150)] + [("a", 900, None), (None, 901, at(0))]
+    L, R = spark.createDataFrame(left, "k string, id long, ts timestamp_ntz"), spark.createDataFrame(right, "k string, rid long, rts timestamp_ntz")
+    for lookback, fallback in ((None, False), (7, False), (7, True)):
+        back = F.col("ts") - F.expr("interval 30 hour") if lookback else F.col("ts")
+        got = sorted((x.id, -1 if x.rid is None else x.rid) for x in asof_join(L, R, ["k"], back, "rts", "rid", ["rid"], lookback=lookback, fallback=fallback, upto="ts").collect())
+        want = []
+        for k, i, t in left:
+            old = sorted(((s, -j) for q, j, s in right if t is not None and k is not None and q == k and s is not None and s <= t), reverse=True)
+            near = old[:lookback] if lookback else old
+            hit = [x for x in near if not lookback or x[0] <= t - dt.timedelta(hours=30)]
+            pick = hit[0] if hit else near[-1] if fallback and near else None
+            want.append((i, -pick[1] if pick else -1))
+        assert got == sorted(want), (lookback, fallback)
+
+
+def test_one_long_series(spark):
+    """20,000 rows of one series, skewed in time: joins, ranks and the backtest are cut into many tasks and give what a plain pass gives."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).alias("series_id"), F.col("id").alias("obs_id"), (F.lit(T0) + F.expr("make_dt_interval(0, 0, cast(if(id < 15000, id, 15000 + (id - 15000) * 30) as int))")).alias("ts"), ((F.col("id") * 7919) % 1009 + 1).cast("double").alias("price"))
+    times = [(i if i < 15_000 else 15_000 + (i - 15_000) * 30) for i in range(n)]
+    hit = {x.obs_id: x.near_obs_id for x in nearest_join(rows, rows, ["series_id"], F.col("ts") + F.expr("interval 2 hour"), "ts", HOUR // 2, "obs_id", ["obs_id"], how="left", prefix="near_").collect()}
+    old = {x.obs_id: x.old_obs_id for x in asof_join(rows, rows, ["series_id"], F.col("ts") - F.expr("interval 3 hour"), "ts", "obs_id", ["obs_id"], prefix="old_").collect()}
+    assert len(hit) == len(old) == n
+    for i in range(0, n, 97):
+        k = bisect.bisect_left(times, times[i] + 120)
+        near = min(((abs(times[j] - times[i] - 120), times[j], j) for j in (k - 1, k) if j < n), default=None)
+        assert hit[i] == (near[2] if near and near[0] <= 30 else None), i
+        k = bisect.bisect_right(times, times[i] - 180)
+        assert old[i] == (k - 1 if k else None), i
+    preds = backtest.walk_forward(rows, ["price"], 5, F.lit(19_000))
+    price = [(i * 7919) % 1009 + 1.0 for i in range(n)]
+    got = {x.obs_id: x.p_up for x in preds.collect()}
+    assert len(got) == n - 19_001
+    for i in range(19_000, n - 1, 211):
+        near = sorted(range(i), key=lambda j: (abs(price[j] - price[i]), j))[:5]
+        assert got[i] == pytest.approx(sum(price[j + 1] > price[j] for j in near) / 5), i
+
+
 def test_anti_join_is_strict(spark):
     a, b = prices_of(spark, [1, 1], step=6), prices_of(spark, [1])
     assert [x.obs_id for x in tolerance_anti_join(a, b, ["series_id"], "ts", 6 * HOUR, "obs_id").collect()] == [1]
