@@ -12,12 +12,8 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def safe_std(value: Column) -> Column:
-    """Population standard deviation, 1 where it is 0. An aggregate, or a window function with .over()."""
-    return F.stddev_pop(value)
-
-
 def or_one(std: Column) -> Column:
+    """A standard deviation, 1 where it is 0."""
     return F.when(std == 0, F.lit(1.0)).otherwise(std)
 
 

@@ -41,10 +41,16 @@ def check_order(prediction_ts: Column, request_ts: Column) -> Column:
 
 
 def check_budget(log: DataFrame, per_hour: int | None, per_day: int | None, ts: str = "request_ts", key: Sequence[str] = (), row_id: str = "id") -> DataFrame:
-    """log with requests in the hour and the day up to each one, itself included, a status for both limits and violation (YES, NO, UNAVAILABLE without limits). Every request is checked, not only the newest."""
-    w = Window.partitionBy(*key).orderBy("_t")
+    """log with requests in the hour and the day up to each one, itself included, a status for both limits and violation (YES, NO, UNAVAILABLE without limits). Every request is checked, not only the newest.
+
+    A request is counted on its own day and seen from the next, so a day of a
+    key is a task, with or without a key.
+    """
+    own = F.coalesce(F.floor(F.col("_t") / (24 * HOUR)), F.lit(-(1 << 62)))
+    w = Window.partitionBy(*key, "_day").orderBy("_t")
     trail = lambda span: F.count("*").over(w.rangeBetween(-span, 0))
-    out = log.withColumn("_t", micros(F.col(ts))).withColumn("in_hour", trail(HOUR)).withColumn("in_day", trail(24 * HOUR)).drop("_t")
+    seen = log.withColumn("_t", micros(F.col(ts))).withColumn("_own", own).withColumn("_day", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    out = seen.withColumn("in_hour", trail(HOUR)).withColumn("in_day", trail(24 * HOUR)).where("_own = _day").drop("_t", "_own", "_day")
     if per_hour is None or per_day is None:
         return out.withColumn("hourly", F.lit(UNAVAILABLE)).withColumn("daily", F.lit(UNAVAILABLE)).withColumn("violation", F.lit(UNAVAILABLE))
     out = out.withColumn("hourly", F.when(F.col("in_hour") <= per_hour, PASS).otherwise(FAIL)).withColumn("daily", F.when(F.col("in_day") <= per_day, PASS).otherwise(FAIL))

@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-PRICES = "series_id bigint, obs_id bigint, ts timestamp_ntz, price double"
-CONTEXT = "ts timestamp_ntz, score double, regime_mag double, bottom_score double"
-LEDGER = "id bigint, coin string, horizon_hours int, ts timestamp_ntz, resolved_ts timestamp_ntz, p_up double, p_up_experimental double, realized_up int, volatility_percentile double, trend_strength double, is_regime_anomaly int, technical_score double, regime_mag double"
-OUTCOMES = "prediction_id bigint, realized_price double, realized_return double, realized_up int, resolved_ts timestamp_ntz"
-CURVE = "coin string, horizon_hours int, decile int, predicted_p_up_mid double, empirical_up_rate double, n_samples bigint, computed_ts timestamp_ntz"
-CATALYST = "id bigint, ts timestamp_ntz, coin string, category string, first_public_ts timestamp_ntz, discovery_ts timestamp_ntz, source_url string"
 RESPONSE = "assets array<string>, market_classification string, catalysts array<struct<category:string,event_timestamp:bigint,first_public_timestamp:bigint,direction:string,confidence:string,description:string,assets:array<string>,sources:array<struct<title:string,publisher:string,url:string,published_at:string>>>>"
 DIGEST = "dominant_driver string, secondary_driver string, macro struct<lean:string>, tradfi struct<lean:string>"
 GROUNDING = "webSearchQueries array<string>, groundingChunks array<struct<web:struct<uri:string,title:string>>>"
