@@ -330,7 +330,7 @@ preds AS (SELECT series_id, obs_id, ts, avg(CASE WHEN ret > 0 THEN 1.0E0 ELSE 0.
 
 def graded(key: str, source: str) -> str:
     return f"""
-SELECT {key}, n AS n_predictions, ROUND(a, 6) AS accuracy, ROUND(b, 6) AS brier_score, ROUND(u, 6) AS historical_up_rate, ROUND(least(0.25, u * (1 - u)), 6) AS naive_baseline_brier, b < least(0.25, u * (1 - u)) AS beats_naive_baseline, date_range_start, date_range_end
+SELECT {key}, n AS n_predictions, ROUND(a, 9) AS accuracy, ROUND(b, 9) AS brier_score, ROUND(u, 9) AS historical_up_rate, ROUND(least(0.25, u * (1 - u)), 9) AS naive_baseline_brier, b < least(0.25, u * (1 - u)) AS beats_naive_baseline, date_range_start, date_range_end
 FROM (SELECT {key}, min(ts) AS date_range_start, max(ts) AS date_range_end, count(*) AS n, avg({HIT}) AS a, avg({BRIER}) AS b, avg(realized_up) AS u FROM {source} GROUP BY ALL)"""
 
 

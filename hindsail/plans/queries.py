@@ -263,7 +263,7 @@ def backtest_momentum(spark, sf_dir):
 @registered
 def backtest_single(spark, sf_dir):
     preds = backtest.walk_forward(windows.momentum_score(series(spark, sf_dir)), ["technical_score"], 10, backtest.single_warmup())
-    return backtest.backtest_summary(preds, digits=6)
+    return backtest.backtest_summary(preds, digits=9)
 
 
 @registered
@@ -278,7 +278,7 @@ def backtest_regime_split(spark, sf_dir):
     rows = windows.momentum_score(series(spark, sf_dir))
     sentiment = enrich(rows, view(spark, sf_dir, "v_context"), ["score"], TOL, {"score": 50.0}).select("obs_id", "score")
     preds = backtest.walk_forward(rows, ["technical_score"], 10, backtest.single_warmup()).join(sentiment, "obs_id")
-    return backtest.regime_split(preds, "score", digits=6)
+    return backtest.regime_split(preds, "score", digits=9)
 
 
 @registered
