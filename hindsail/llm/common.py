@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Rows of a narrow table, some 100 bytes each, that may be broadcast.
+FEW = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def if_few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df, a table of narrow rows, as the side of a join that is looked up: broadcast if its rows, counted, are within the bound, else shuffled and hashed, so that the other side is not sorted."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_hash")
+
+
 class Scratch:
     """Parquet tables of one job in the shared folder: lineage ends at each, and a lost executor costs nothing."""
 

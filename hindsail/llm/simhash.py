@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, if_few, slices
 from .components import component_labels
 
 MAX_BITS = 4
@@ -319,9 +319,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), _longs([sets[k] for k in kept])], ["key", "s"])
 
     numbered = lambda df: df.withColumn("node", F.monotonically_increasing_id())
-    rows = tables.put("rows", numbered(keyed.mapInArrow(post, f"doc_id {kind}, key string, z int, p array<long>")))
-    chosen = tables.put("suspects", suspects(rows, similarity))
-    near = keyed.select("key", "text").join(chosen.hint("shuffle_hash"), "key", "left_semi")
+    posts = tables.put("posts", numbered(keyed.mapInArrow(post, f"doc_id {kind}, key string, z int, p array<long>")))
+    rows = tables.put("rows", posts.select("doc_id", "key"))
+    chosen = tables.put("suspects", suspects(posts, similarity))
+    tables.drop("posts")
+    near = keyed.select("key", "text").join(if_few(chosen), "key", "left_semi")
     # copies in different partitions have equal sets, so they are one component
     sets = tables.put("sets", numbered(near.mapInArrow(whole, "key string, s array<long>")))
     labels = similar_sets(sets.select("node", "s"), similarity)
@@ -330,5 +332,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = _named(sets.select("key", "node").groupBy("key").agg(F.min("node").alias("node")), labels, "node").join(texts, "key")
     smallest = parts.groupBy("node_label").agg(F.min("first").alias("label"))
     moved = tables.put("moved", parts.join(smallest, "node_label").select("key", F.col("label").alias("component_id")))
-    tables.drop("sets")
-    return texts.join(moved, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id"))
+    # a table, so that Spark can split a text's rows where they are joined to it
+    copies = tables.put("copies", texts.join(moved, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id")))
+    tables.drop("sets", "texts", "moved")
+    return copies
