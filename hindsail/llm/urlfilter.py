@@ -53,13 +53,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return tuple(F.coalesce(*[F.when(fits(h, p), F.lit(value)) for v, h, p in ordered for value in [(h + p, v)[k]]]) for k in range(2))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) from pages(host, html): counted links to hosts, and kinship edges."""
+def host_links(pages: DataFrame) -> DataFrame:
+    """(src, dst, weight) from pages(host, html): links counted by the hosts they join."""
     links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))).alias("href"))
     whole = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href"))).otherwise(F.col("href"))
     target = F.when(whole.contains("://"), host_of(whole)).when(whole.startswith("/"), F.col("host"))
-    counted = links.select(F.col("host").alias("src"), target.alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    named = counted.select("src").union(counted.select("dst")).union(pages.select("host").where("host <> ''")).distinct()
+    return links.select(F.col("host").alias("src"), target.alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def host_edges(counted: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst, weight): counted links, and edges between hosts(host), or linked ones, and their parents."""
+    named = counted.select("src").union(counted.select("dst")).union(hosts.select("host").where("host <> ''")).distinct()
     parts = F.split("src", r"\.")
     parent = named.select("src", F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), ".").alias("dst"), F.size(parts).alias("depth")).where("depth > 2")
     kin = parent.select("src", "dst").union(parent.select("dst", "src")).distinct().select("src", "dst", F.lit(KIN).alias("weight"))
@@ -125,7 +129,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     named = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
     judged = tables.put("judged", named)
-    edges = tables.put("edges", host_edges(pages.select(host.alias("host"), "html")))
+    counted = tables.put("links", host_links(pages.select(host.alias("host"), "html")))
+    edges = tables.put("edges", host_edges(counted, judged))
     scores = tables.put("scores", host_scores(edges, seeds_of(judged), tables))
     bad = F.col("distrust") > F.coalesce("trust", F.lit(0.0)) * (1 + TIE)
     return judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
