@@ -97,5 +97,39 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > trust * {
 """
 
 
+#: CRC-32 of a text of ASCII characters; its table is worked out first.
+CRC = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS v)"""
+
+
+def crc32(text: str) -> str:
+    """In a query that has crc in its FROM clause."""
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: xor(c >> 8, v[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
+
+
+def op13() -> str:
+    """Prefixes as texts: a node's subtree is what starts with it."""
+    return f"""
+WITH {CRC},
+said AS (SELECT conv_id, turn, md5(len(coalesce(role, '')) || chr(10) || coalesce(role, '') || coalesce(text, '')) AS d, octet_length(encode(coalesce(text, ''))) AS size FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos FROM said),
+shape AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own), crc),
+sequences AS (
+  SELECT s.conv_id, 0 AS part, o.pos, o.d, o.size FROM shape s JOIN own o ON o.conv_id = s.base AND o.pos <= s.h
+  UNION ALL SELECT s.conv_id, 1, o.pos, o.d, o.size FROM shape s JOIN own o ON o.conv_id = s.conv_id AND o.pos > s.h),
+steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(d, '') OVER w AS path, size, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS ends
+  FROM sequences WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM sequences) FROM shape),
+nodes AS MATERIALIZED (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM steps GROUP BY path, depth),
+linked AS MATERIALIZED (SELECT n.*, p.conv_id AS parent_conv_id, count(k.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.path = left(n.path, len(n.path) - 32) AND n.depth > 0 LEFT JOIN nodes k ON left(k.path, len(k.path) - 32) = n.path AND k.depth > 0 GROUP BY ALL)
+SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children, CAST(count(*) FILTER (s.n_children = 0) AS BIGINT) AS n_leaves,
+  CAST(sum((s.n_convs - 1) * s.size) AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM linked n JOIN linked s ON starts_with(s.path, n.path) GROUP BY ALL
+"""
+
+
 def all_sql(shards: list[str], forged: str) -> dict[str, str]:
-    return {"op1_sharding": op1(shards), "op3_chat": op3(forged), "op7_urlfilter": op7(), "op8_topk": OP8}
+    return {"op1_sharding": op1(shards), "op3_chat": op3(forged), "op7_urlfilter": op7(), "op8_topk": OP8, "op13_trie": op13()}
