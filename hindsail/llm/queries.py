@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, mixing, oracle, packing, pii, quality, repair, sharding, simhash, topk, trie, urlfilter
+from . import ann, chat, media, mixing, oracle, packing, pii, quality, repair, sharding, simhash, topk, trie, urlfilter
 from .common import read_table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -68,11 +68,15 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.grafted(trie.turn_ids(read_table(spark, sf_dir, "conversations"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_packing, op3_chat, op4_simhash, op5_media, op6_pii, op7_urlfilter, op8_topk, op9_quality, op10_mixing, op11_repair, op13_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_packing, op3_chat, op4_simhash, op5_media, op6_pii, op7_urlfilter, op8_topk, op9_quality, op10_mixing, op11_repair, op12_ann, op13_trie)}
 
 #: Tokenizer ids, XXH64 fingerprints, containers, trained models and their spans, scores and rates are beyond SQL.
 ORACLE_SQL: dict[str, str] = oracle.all_sql(SHARDS, FORGED)
