@@ -12,6 +12,28 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+#: Decimal places in which shares, probabilities and losses are summed, so that no sum depends on its order.
+PLACES = 12
+
+
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles below a million, each taken to PLACES decimals, as a decimal: the same in whatever order and partitions rows come. Values that are no such number are left out."""
+    return F.sum(value.try_cast(f"decimal(18,{PLACES})"))
+
+
+def ratio(total: Column, n: Column) -> Column:
+    """total / n as a double; null for no rows."""
+    return F.try_divide(total.cast("double"), n)
+
+
+def rounded_ratio(total: Column, n: Column, digits: int = 4) -> Column:
+    """total / n, neither negative, rounded half up by whole numbers; null for no rows."""
+    unit = F.lit(10 ** (PLACES - digits)).cast("decimal(20,0)")
+    whole = (total.cast(f"decimal(38,{PLACES})") * F.lit(10**PLACES).cast("decimal(13,0)")).cast("decimal(38,0)")
+    per = (n.cast("decimal(18,0)") * unit).cast("decimal(37,0)")
+    return F.when(n > 0, F.call_function("div", (whole * 2 + per).cast("decimal(38,0)"), (per * 2).cast("decimal(38,0)")) / F.lit(float(10**digits)))
+
+
 def or_one(std: Column) -> Column:
     """A standard deviation, 1 where it is 0."""
     return F.when(std == 0, F.lit(1.0)).otherwise(std)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.expressions import exact_sum, ratio
+
 #: Parts of the value range that a key's rows are ranked in; a long key is so many window partitions.
 PARTS = 1000
 
@@ -24,12 +26,18 @@ def ranked(df: DataFrame, key: Sequence[str], value: str, tie: str, parts: int =
     return cut.withColumn("_in", inner).join(below, [*key, "_part"]).withColumn("_rank", F.col("_in") + F.col("_below")).drop("_part", "_in", "_below")
 
 
-def calibration_curve(df: DataFrame, key: Sequence[str], p: str = "p_up", y: str = "realized_up", tie: str = "id", bins: int = 10, min_n: int = 10) -> DataFrame:
-    """(key, decile, predicted_p_up_mid, empirical_up_rate, n_samples): runs of ceil(n / bins) rows by p; runs under min_n are dropped. Rows without p or outcome take no part."""
+def _runs(df: DataFrame, key: Sequence[str], p: str, y: str, tie: str, bins: int = 10, min_n: int = 10) -> DataFrame:
+    """(key, decile, sum_p, sum_y, n_samples) of the runs that a curve consists of, sums as decimals."""
     known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     decile = F.floor((F.col("_rank") - 1) / F.ceil(F.col("_size") / bins)).cast("int")
     by = ranked(known, key, p, tie).groupBy(*key, decile.alias("decile"))
-    return by.agg(F.avg(p).alias("predicted_p_up_mid"), F.avg(y).alias("empirical_up_rate"), F.count("*").alias("n_samples")).where(F.col("n_samples") >= min_n)
+    return by.agg(exact_sum(F.col(p)).alias("sum_p"), exact_sum(F.col(y)).alias("sum_y"), F.count("*").alias("n_samples")).where(F.col("n_samples") >= min_n)
+
+
+def calibration_curve(df: DataFrame, key: Sequence[str], p: str = "p_up", y: str = "realized_up", tie: str = "id", bins: int = 10, min_n: int = 10) -> DataFrame:
+    """(key, decile, predicted_p_up_mid, empirical_up_rate, n_samples): runs of ceil(n / bins) rows by p; runs under min_n are dropped. Rows without p or outcome take no part."""
+    n = F.col("n_samples")
+    return _runs(df, key, p, y, tie, bins, min_n).select(*key, "decile", ratio(F.col("sum_p"), n).alias("predicted_p_up_mid"), ratio(F.col("sum_y"), n).alias("empirical_up_rate"), "n_samples")
 
 
 def apply_calibration(df: DataFrame, curve: DataFrame, key: Sequence[str], p: str = "p_up", min_n: int = 10, name: str = "p_up_calibrated") -> DataFrame:
@@ -64,8 +72,12 @@ def newest(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> D
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def calibration_gaps(df: DataFrame, key: Sequence[str], p: str = "p_up", y: str = "realized_up", tie: str = "id") -> DataFrame:
+    """(key, gap, gap_n): the sum over the runs of |sum of p - sum of outcomes|, as a decimal, and the runs' rows. gap / gap_n is the calibration error."""
+    return _runs(df, key, p, y, tie).groupBy(*key).agg(F.sum(F.abs(F.col("sum_p") - F.col("sum_y"))).alias("gap"), F.sum("n_samples").alias("gap_n"))
+
+
 def calibration_error(df: DataFrame, key: Sequence[str], p: str = "p_up", y: str = "realized_up", tie: str = "id", min_rows: int = 20) -> DataFrame:
     """(key, calibration_error): the runs' mean distance between prediction and rate, by size; null under min_rows rows or without a run."""
-    runs = calibration_curve(df, key, p, y, tie).groupBy(*key).agg((F.sum(F.col("n_samples") * F.abs(F.col("predicted_p_up_mid") - F.col("empirical_up_rate"))) / F.sum("n_samples")).alias("_e"))
     sizes = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*key).agg(F.count("*").alias("_n"))
-    return sizes.join(runs, list(key), "left").select(*key, F.when(F.col("_n") >= min_rows, F.col("_e")).alias("calibration_error"))
+    return sizes.join(calibration_gaps(df, key, p, y, tie), list(key), "left").select(*key, F.when(F.col("_n") >= min_rows, ratio(F.col("gap"), F.col("gap_n"))).alias("calibration_error"))

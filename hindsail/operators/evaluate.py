@@ -7,27 +7,36 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expressions import HOUR, confidence, correct, log_loss, micros, percent_return, preferred, trend_regime, volatility_regime, went_up
-from .calibration import calibration_error
+from ..functions.expressions import HOUR, confidence, correct, exact_sum, log_loss, micros, percent_return, preferred, ratio, rounded_ratio, trend_regime, volatility_regime, went_up
+from .calibration import calibration_gaps
 from .prefix import running
 from .timejoin import asof_join, nearest_join
 
 KEY = ("coin", "horizon_hours")
 
 
+def _sums(df: DataFrame, key: Sequence[str], p: str, y: str, tie: str = ">=") -> DataFrame:
+    """(key, n, hits, squares, losses, ups, sum_p) over rows with p and outcome: what scores are made of, in decimals, so that neither partitions nor order show."""
+    known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    off = F.col(p) - F.col(y)
+    parts = {"hits": correct(F.col(p), F.col(y), tie).cast("int"), "squares": off * off, "losses": log_loss(F.col(p), F.col(y)), "ups": F.col(y), "sum_p": F.col(p)}
+    return known.groupBy(*key).agg(F.count("*").alias("n"), *[exact_sum(c).alias(name) for name, c in parts.items()])
+
+
+SCORES = {"accuracy": "hits", "brier": "squares", "log_loss": "losses", "up_rate": "ups", "avg_p": "sum_p"}
+
+
 def score(df: DataFrame, key: Sequence[str], p: str = "p_up", y: str = "realized_up", tie: str = ">=") -> DataFrame:
     """(key, n, accuracy, brier, log_loss, up_rate, avg_p) over rows with p and outcome."""
-    known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-    hit = correct(F.col(p), F.col(y), tie).cast("int")
-    return known.groupBy(*key).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"), F.avg(log_loss(F.col(p), F.col(y))).alias("log_loss"), F.avg(y).alias("up_rate"), F.avg(p).alias("avg_p"))
+    return _sums(df, key, p, y, tie).select(*key, "n", *[ratio(F.col(total), F.col("n")).alias(name) for name, total in SCORES.items()])
 
 
 def summarize(df: DataFrame, key: Sequence[str], p: str = "p_up", y: str = "realized_up", tie: str = "id", min_sample: int = 20) -> DataFrame:
-    """score() and the calibration error to 4 places, with status; under min_sample rows only n and insufficient_data."""
-    both = score(df, key, p, y).join(calibration_error(df, key, p, y, tie, min_sample), list(key), "left")
+    """score() and the calibration error, rounded half up to 4 places from exact sums, with status; under min_sample rows only n and insufficient_data."""
+    both = _sums(df, key, p, y).join(calibration_gaps(df, key, p, y, tie), list(key), "left")
     ok = F.col("n") >= min_sample
-    numbers = {"accuracy": "accuracy", "brier_score": "brier", "log_loss": "log_loss", "calibration_error": "calibration_error", "realized_up_rate": "up_rate", "avg_predicted_p_up": "avg_p"}
-    return both.select(*key, F.when(ok, "ok").otherwise("insufficient_data").alias("status"), "n", *[F.when(ok, F.round(v, 4)).alias(k) for k, v in numbers.items()])
+    numbers = {"accuracy": ("hits", "n"), "brier_score": ("squares", "n"), "log_loss": ("losses", "n"), "calibration_error": ("gap", "gap_n"), "realized_up_rate": ("ups", "n"), "avg_predicted_p_up": ("sum_p", "n")}
+    return both.select(*key, F.when(ok, "ok").otherwise("insufficient_data").alias("status"), "n", *[F.when(ok, rounded_ratio(F.col(total), F.col(n))).alias(name) for name, (total, n) in numbers.items()])
 
 
 def calibration_summary(ledger: DataFrame, key: Sequence[str] = KEY, p: str = "p_up") -> DataFrame:

@@ -183,9 +183,19 @@ newest AS (SELECT l.obs_id AS probe, r.* FROM v_series l JOIN v_series r ON l.se
 old_rows AS (SELECT l.obs_id, coalesce(arg_max(r.obs_id, r.ts) FILTER (r.ts <= l.ts - INTERVAL 24 HOUR), arg_min(r.obs_id, r.ts)) AS old_obs_id FROM v_series l JOIN newest r ON r.probe = l.obs_id GROUP BY 1)""")
 
 
+def units(expr: str) -> str:
+    """A number in whole units of 1e-12."""
+    return f"CAST(round(({expr}) * 1e12) AS HUGEINT)"
+
+
+def half_up(total: str, n: str) -> str:
+    """total (in units) / n to four places, by whole numbers."""
+    return f"CAST((2 * ({total}) + {n} * CAST(100000000 AS HUGEINT)) // (2 * {n} * CAST(100000000 AS HUGEINT)) AS DOUBLE) / 10000"
+
+
 def curve(source: str, key: str, name: str = "curve") -> str:
     return f"""
-{name} AS (SELECT {key}, CAST(floor((rn - 1) / ceil(sz / 10.0E0)) AS INTEGER) AS decile, avg(p_up) AS mid, avg(realized_up) AS rate, count(*) AS n FROM (
+{name} AS (SELECT {key}, CAST(floor((rn - 1) / ceil(sz / 10.0E0)) AS INTEGER) AS decile, avg(p_up) AS mid, avg(realized_up) AS rate, count(*) AS n, sum({units("p_up")}) AS sp, sum({units("realized_up")}) AS sy FROM (
   SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY p_up, id) AS rn, count(*) OVER (PARTITION BY {key}) AS sz FROM {source} WHERE realized_up IS NOT NULL AND p_up IS NOT NULL)
   GROUP BY ALL HAVING count(*) >= 10)"""
 
@@ -197,7 +207,7 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(mid - p_up), decile) = 1
 """, "v_ledger", ctes=curve("v_ledger", K))
 add("calibration_error", f"""
 SELECT {K}, CASE WHEN s >= 20 THEN {r("e")} END AS calibration_error FROM (SELECT {K}, count(*) AS s FROM v_ledger WHERE realized_up IS NOT NULL GROUP BY ALL)
-LEFT JOIN (SELECT {K}, sum(n * abs(mid - rate)) / sum(n) AS e FROM curve GROUP BY ALL) USING (coin, horizon_hours)
+LEFT JOIN (SELECT {K}, CAST(sum(abs(sp - sy)) AS DOUBLE) / 1e12 / sum(n) AS e FROM curve GROUP BY ALL) USING (coin, horizon_hours)
 """, "v_ledger", ctes=curve("v_ledger", K))
 
 HIT = "CASE WHEN (p_up >= 0.5) = (realized_up = 1) THEN 1.0E0 ELSE 0.0E0 END"
@@ -249,10 +259,10 @@ def summary(source: str, key: str) -> str:
     return (
         curve(source, key, "runs")
         + f""",
-summary AS (SELECT {key}, CASE WHEN n >= 20 THEN 'ok' ELSE 'insufficient_data' END AS status, n, CASE WHEN n >= 20 THEN ROUND(a, 4) END AS accuracy, CASE WHEN n >= 20 THEN ROUND(b, 4) END AS brier_score,
-  CASE WHEN n >= 20 THEN ROUND(l, 4) END AS log_loss, CASE WHEN n >= 20 THEN ROUND(e, 4) END AS calibration_error, CASE WHEN n >= 20 THEN ROUND(u, 4) END AS realized_up_rate, CASE WHEN n >= 20 THEN ROUND(ap, 4) END AS avg_predicted_p_up
-  FROM (SELECT {key}, count(*) AS n, avg({HIT}) AS a, avg({BRIER}) AS b, avg({LOSS}) AS l, avg(realized_up) AS u, avg(p_up) AS ap FROM {source} WHERE realized_up IS NOT NULL GROUP BY ALL)
-  LEFT JOIN (SELECT {key}, sum(n * abs(mid - rate)) / sum(n) AS e FROM runs GROUP BY ALL) USING ({key}))"""
+summary AS (SELECT {key}, CASE WHEN n >= 20 THEN 'ok' ELSE 'insufficient_data' END AS status, n, CASE WHEN n >= 20 THEN {half_up("a", "n")} END AS accuracy, CASE WHEN n >= 20 THEN {half_up("b", "n")} END AS brier_score,
+  CASE WHEN n >= 20 THEN {half_up("l", "n")} END AS log_loss, CASE WHEN n >= 20 THEN {half_up("e", "en")} END AS calibration_error, CASE WHEN n >= 20 THEN {half_up("u", "n")} END AS realized_up_rate, CASE WHEN n >= 20 THEN {half_up("ap", "n")} END AS avg_predicted_p_up
+  FROM (SELECT {key}, count(*) AS n, sum({units(HIT)}) AS a, sum({units(BRIER)}) AS b, sum({units(LOSS)}) AS l, sum({units("realized_up")}) AS u, sum({units("p_up")}) AS ap FROM {source} WHERE realized_up IS NOT NULL GROUP BY ALL)
+  LEFT JOIN (SELECT {key}, sum(abs(sp - sy)) AS e, sum(n) AS en FROM runs GROUP BY ALL) USING ({key}))"""
     )
 
 

@@ -429,3 +429,19 @@ def test_challenger_evaluation(spark):
     rows = spark.createDataFrame([("c", 1, 0.6, 0.4, i % 2, 1 if i < 8 else None, "agree" if i else None) for i in range(10)], "coin string, horizon_hours int, p_up_flat double, p_up_tilted double, realized_up int, ma_up int, driver_agreement string")
     row = evaluate.evaluate_challenger(rows).first()
     assert (row.n_resolved, row.accuracy_flat, row.n_ma if hasattr(row, "n_ma") else 8, row.drivers_agree, row.drivers_no_driver_applied) == (10, 0.5, 8, 9, 1)
+
+
+def test_summaries_do_not_depend_on_order(spark):
+    """Sums that sit on a half at the fourth place, in several partitionings and orders."""
+    from hindsail.operators.evaluate import summarize
+
+    # 20 rows of 0.09625 off on average: half of them hit, p in steps that binary fractions miss
+    rows = [(k, "a", round(0.1 + 0.00025 * k, 5), 0) for k in range(400)] + [(400 + k, "b", 0.09625, 0) for k in range(100)]
+    seen = set()
+    for parts in (2, 8, 200):
+        for order in ("id", "p_up", "-id"):
+            df = spark.createDataFrame(rows, "id long, coin string, p_up double, realized_up int").orderBy(F.expr(order)).repartition(parts)
+            seen.add(tuple(sorted(tuple(r) for r in summarize(df, ["coin"]).collect())))
+    assert len(seen) == 1
+    b = dict((r[0], r) for r in next(iter(seen)))["b"]
+    assert b[6] == 0.0963 and b[8] == 0.0963 and b[4] == 0.0093  # half up: 0.09625, its square is 0.0092640625
