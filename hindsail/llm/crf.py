@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,10 @@ def _grid(features: Sequence[Sequence[Sequence[int]]], width: int, pad: int) ->
     return out
 
 
+#: Steps of sequences that are decoded together, and of these whose features are held at once.
+CELLS, HELD = 1 << 16, 1 << 13
+
+
 @dataclass
 class Crf:
     """vocabulary: feature -> number; weights: (features + 1, labels), the last row zero for unknown features; moves: (labels, labels); starts: (labels)."""
@@ -35,30 +39,46 @@ class Crf:
         get = self.vocabulary.get
         return [[k for f in names if (k := get(f)) is not None] for names in steps]
 
-    def decode(self, sequences: Sequence[Sequence[Sequence[str]]], batch: int = 512) -> list[list[int]]:
-        """Best label sequence of each feature sequence, longest together so that padding stays small. Ties take the lower label."""
-        out: list[list[int]] = [[] for _ in sequences]
-        order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: -len(sequences[i]))
-        for lo in range(0, len(order), batch):
-            part = order[lo : lo + batch]
-            lengths = np.array([len(sequences[i]) for i in part])
-            numbered = [self.numbers(sequences[i]) for i in part]
-            grid = _grid(numbered, max(1, max(len(x) for s in numbered for x in s)), len(self.vocabulary))
-            scores = self.weights[grid].sum(axis=2)
-            best, back = self.starts + scores[:, 0], np.zeros((len(part), grid.shape[1], len(self.starts)), np.int8)
-            last = best.copy()
-            for t in range(1, grid.shape[1]):
-                paths = best[:, :, None] + self.moves
-                back[:, t] = paths.argmax(axis=1)
-                best = paths.max(axis=1) + scores[:, t]
-                live = lengths > t
-                last[live] = best[live]
+    def decode(self, lengths: Sequence[int], features: Callable[[int, int, int], Sequence[Sequence[str]]]) -> list[list[int]]:
+        """Best label sequence of each sequence, ties to the lower label. features(i, lo, hi): those of sequence i's steps from lo to hi.
+
+        Sequences are decoded longest first, so many together that they have
+        CELLS steps at most (one that is longer goes alone), and step by step:
+        features and scores are made for HELD steps at once, and what is carried
+        on is a score a label. Of all steps only a byte a label is kept.
+        """
+        out: list[list[int]] = [[] for _ in lengths]
+        order, at = sorted((i for i, n in enumerate(lengths) if n), key=lambda i: -lengths[i]), 0
+        while at < len(order):
+            longest = lengths[order[at]]
+            part = order[at : at + max(1, CELLS // longest)]
+            at += len(part)
+            own, back = np.array([lengths[i] for i in part]), np.zeros((len(part), longest, len(self.starts)), np.int8)
+            best = last = np.zeros((len(part), len(self.starts)))
+            for lo in range(0, longest, span := max(1, HELD // len(part))):
+                hi = min(longest, lo + span)
+                numbered = [self.numbers(features(i, lo, min(hi, lengths[i]))) if lengths[i] > lo else [] for i in part]
+                grid = np.full((len(part), hi - lo, max((len(x) for s in numbered for x in s), default=0) or 1), len(self.vocabulary), np.int32)
+                for row, steps in enumerate(numbered):
+                    for t, ids in enumerate(steps):
+                        grid[row, t, : len(ids)] = ids
+                scores = self.weights[grid].sum(axis=2)
+                for t in range(lo, hi):
+                    if t:
+                        paths = best[:, :, None] + self.moves
+                        back[:, t] = paths.argmax(axis=1)
+                        best = paths.max(axis=1) + scores[:, t - lo]
+                    else:
+                        best = self.starts + scores[:, 0]
+                    last = np.where((own > t)[:, None], best, last)
+            label, rows = last.argmax(axis=1), np.arange(len(part))
+            labels = np.zeros((len(part), longest), np.int8)
+            for t in range(longest - 1, -1, -1):
+                live = own > t
+                labels[live, t] = label[live]
+                label = np.where(live, back[rows, t, label], label)
             for row, i in enumerate(part):
-                label, labels = int(last[row].argmax()), []
-                for t in range(lengths[row] - 1, -1, -1):
-                    labels.append(label)
-                    label = int(back[row, t, label])
-                out[i] = labels[::-1]
+                out[i] = labels[row, : lengths[i]].tolist()
         return out
 
 

@@ -110,12 +110,13 @@ def shape(token: str) -> str:
     return token if token.isascii() else "~"
 
 
-def features(tokens: list[tuple[int, int]], text: str) -> list[list[str]]:
-    """Features of each token: its shape, its neighbours' and whether they touch it."""
-    shapes = ["^", "^", *(shape(text[a:b]) for a, b in tokens), "$", "$"]
-    touch = [False, *(tokens[i][1] == tokens[i + 1][0] for i in range(len(tokens) - 1)), False]
+def features(tokens: list[tuple[int, int]], text: str, lo: int = 0, hi: int | None = None) -> list[list[str]]:
+    """Features of each token from lo to hi: its shape, its neighbours' and whether they touch it."""
+    hi, n = len(tokens) if hi is None else hi, len(tokens)
+    shapes = ["^"] * max(0, 2 - lo) + [shape(text[a:b]) for a, b in tokens[max(0, lo - 2) : hi + 2]] + ["$"] * max(0, hi + 2 - n)
+    touch = [0 < i < n and tokens[i - 1][1] == tokens[i][0] for i in range(lo, hi + 1)]
     out = []
-    for i in range(len(tokens)):
+    for i in range(hi - lo):
         p, q, s, n, m = shapes[i : i + 5]
         g = f"{touch[i]:d}{touch[i + 1]:d}"
         out.append([f"s{s}", f"p{p}", f"q{q}", f"n{n}", f"m{m}", f"g{g}", f"gs{g}{s}", f"qs{q} {s}", f"sn{s} {n}", f"qsn{q} {s} {n}"])
@@ -192,14 +193,10 @@ def plausible(kind: str, text: str) -> bool:
 
 def add_spans(texts: list[str], base: list[list[Span]], model: crf.Crf) -> list[list[Span]]:
     """For each text its base spans and the CRF's further ones, ordered."""
-    where, names = [], []
-    for k, text in enumerate(texts):
-        for lo, hi in windows(text):
-            if tokens := tokens_of(text, lo, hi):
-                where.append((k, tokens))
-                names.append(features(tokens, text))
+    where = [(k, tokens) for k, text in enumerate(texts) for lo, hi in windows(text) if (tokens := tokens_of(text, lo, hi))]
+    decoded = model.decode([len(tokens) for _, tokens in where], lambda i, lo, hi: features(where[i][1], texts[where[i][0]], lo, hi))
     more: list[list[Span]] = [[] for _ in texts]
-    for (k, tokens), labels in zip(where, model.decode(names)):
+    for (k, tokens), labels in zip(where, decoded):
         i = 0
         while i < len(labels):
             if not labels[i]:
