@@ -83,7 +83,7 @@ judged AS MATERIALIZED (SELECT *, {case(0)} AS rule, {case(1)} AS ruled FROM nam
 links AS (SELECT host, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS href FROM (
   SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS href FROM judged)),
 counted AS (SELECT host AS src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
-  SELECT host, CASE WHEN contains(href, '://') THEN translate(regexp_extract(href, '^.*?://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') WHEN starts_with(href, '/') THEN host END AS dst FROM links) WHERE host <> '' AND dst <> '' GROUP BY ALL),
+  SELECT host, CASE WHEN contains(href, '://') THEN translate(regexp_extract(href, '^.*?://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') WHEN NOT regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN host END AS dst FROM links) WHERE host <> '' AND dst <> '' GROUP BY ALL),
 hosts AS (SELECT src AS host FROM counted UNION SELECT dst FROM counted UNION SELECT host FROM judged WHERE host <> ''),
 parents AS (SELECT host AS src, regexp_replace(host, '^[^.]*\\.', '') AS dst FROM hosts WHERE len(string_split(host, '.')) > 2),
 kin AS (SELECT src, dst FROM parents UNION SELECT dst, src FROM parents),

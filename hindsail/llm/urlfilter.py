@@ -8,7 +8,7 @@ that rules allow or block, by their share of such pages. A host is blocked if
 its distrust exceeds its trust.
 
 Host edges are the links of a page's HTML to other hosts, relative links (to
-the own host), and, for domains that share pages between subdomains, an edge
+the own host: all that name no scheme and no host), and, for domains that share pages between subdomains, an edge
 from a host to its parent domain and back. Only DataFrame functions are used;
 edges are counted before they are shuffled, so a common host is one row.
 """
@@ -25,12 +25,10 @@ from .common import Scratch
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-#: Ranks have settled when no host's changes by more than this part of itself in EVERY rounds.
+#: A host passes on what it has gained once that is more than this part of its rank.
 SETTLED = 1e-6
 #: Rounds between tables and tests.
 EVERY = 4
-#: Ranks come nearer by DAMPING a round at least, so that they settle long before; more rounds are an error.
-MOST_ROUNDS = 1000
 #: Scores are shares of a whole and shrink as input grows, so they are compared unrounded. A host is blocked if its distrust exceeds its trust by more than this part of it; the margin is wider than what settled ranks may still lack.
 TIE = 1e-4
 #: Links between a host and its parent domain count as so many links, each way.
@@ -57,7 +55,9 @@ def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) from pages(host, html): links counted by the hosts they join."""
     links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))).alias("href"))
     whole = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href"))).otherwise(F.col("href"))
-    target = F.when(whole.contains("://"), host_of(whole)).when(whole.startswith("/"), F.col("host"))
+    # a link without scheme and host is the own host's; one of another scheme (mailto:) or to a place in the page leads nowhere
+    own = ~whole.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#)")
+    target = F.when(whole.contains("://"), host_of(whole)).when(own, F.col("host"))
     return links.select(F.col("host").alias("src"), target.alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -76,27 +76,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, tables: Scratch) -> DataFrame:
     A host's rank is 1 - DAMPING of its seed plus what DAMPING passes along the
     edges by weight; rank of hosts without edges goes nowhere. A host's links to
     itself, most of what the web has, are summed as the geometric series that
-    they are, so rounds only carry what moves between hosts. Rounds go on until
-    ranks have settled.
+    they are, so rounds only carry what moves between hosts. A host sends on
+    what it has gained since it last sent, and only if that is more than SETTLED
+    of its rank; so rounds shrink to the hosts that still change, a far end of
+    a long chain costs rounds of a few rows, and there is no limit to them.
     """
     own = F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0))
     totals = tables.put("totals", edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"), own.alias("own")))
     stays = 1 - DAMPING * F.col("own") / F.col("total")
     passed = edges.where("src <> dst").join(totals, ["kind", "src"])
     moves = tables.put("moves", passed.select("kind", "src", "dst", (DAMPING * F.col("weight") / F.col("total") / stays).alias("share")))
-    start = tables.put("seeds", seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("rank")))
-    now, changed, step = start, True, 0
-    while changed:
-        if step >= MOST_ROUNDS:
-            raise RuntimeError(f"host ranks did not settle in {MOST_ROUNDS} rounds")
-        before = now
+    # sent: rank that has been passed on; gained: rank that has not
+    now, step = tables.put("rank0", seeds.select("kind", "host", F.lit(0.0).alias("sent"), (F.col("seed") * (1 - DAMPING)).alias("gained"))), 0
+    moving = F.col("gained") > SETTLED * F.col("sent")
+    while not now.where(moving).isEmpty():
         for _ in range(EVERY):
-            sent = now.withColumnRenamed("host", "src").join(moves, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-            now = start.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        now, step = tables.put(f"rank{step}", now), step + EVERY
-        old = before.select("kind", "host", F.col("rank").alias("old"))
-        changed = not now.join(old, ["kind", "host"], "left").where(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) > SETTLED * F.col("rank")).isEmpty()
-        tables.drop(f"rank{step - 2 * EVERY}")
+            after = now.select("kind", "host", (F.col("sent") + F.when(moving, F.col("gained")).otherwise(0.0)).alias("sent"), F.when(moving, 0.0).otherwise(F.col("gained")).alias("gained"))
+            front = now.where(moving).select("kind", F.col("host").alias("src"), "gained")
+            got = front.join(moves, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("sent"), (F.col("gained") * F.col("share")).alias("gained"))
+            now = after.union(got).groupBy("kind", "host").agg(F.sum("sent").alias("sent"), F.sum("gained").alias("gained"))
+        step += EVERY
+        now = tables.put(f"rank{step}", now)
+        tables.drop(f"rank{step - EVERY}")
+    now = now.select("kind", "host", (F.col("sent") + F.col("gained")).alias("rank"))
     whole = now.join(totals.withColumnRenamed("src", "host"), ["kind", "host"], "left")
     return whole.select("kind", "host", (F.col("rank") / F.coalesce(stays, F.lit(1.0))).alias("rank"))
 
