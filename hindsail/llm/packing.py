@@ -4,7 +4,7 @@ Sum-of-squares packing: with N(g) open sequences that have g tokens free, each
 piece goes where the sum of N(g)^2 over all gaps g becomes smallest. Gaps thus
 stay evenly spread and some gap nearly always fits the next piece exactly.
 
-Pieces are dealt into groups of about `group_rows` rows, large enough that what
+Pieces are counted and dealt into groups of about `group_rows` of them, large enough that what
 a group leaves open is a fraction of a thousandth, and of a fixed size, so more
 data means more groups and not larger ones. Inside a group pieces come longest
 first, and a new sequence is opened only for a piece that fits no open one.
@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import slices, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -133,13 +133,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return sequence, offset
 
 
-def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Columns of tokenize()'s pieces (ids too, if there) without deal, plus sequence_id long and offset long.
 
-    rows: about how many documents there are; it sets the number of groups
-    only. No row is lost: equal pieces are placed one by one.
+    The pieces are written as a table and counted, so that groups have about
+    group_rows of them however long documents are. No row is lost: equal pieces
+    are placed one by one.
     """
-    groups = max(1, math.ceil(rows / group_rows))
+    pieces = written(pieces, "pieces")
+    groups = max(1, math.ceil(pieces.count() / group_rows))
     kept = [f for f in pieces.schema.fields if f.name != "deal"]
     names = [f.name for f in kept]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"

@@ -18,8 +18,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return packing.pack(packing.tokenize(docs), rows=docs.count())
+    return packing.pack(packing.tokenize(read_table(spark, sf_dir, "documents")))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

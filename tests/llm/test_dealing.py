@@ -14,5 +14,5 @@ def test_repeated_rows_are_spread(spark):
     groups = Counter(r.deal % 10 for r in pieces if r.doc_id == 7)
     assert len(pieces) == 1500 and sum(groups.values()) == 900 and max(groups.values()) < 200
     assert sorted(map(str, pieces)) == sorted(map(str, packing.tokenize(df.orderBy("text")).collect()))
-    packed = packing.pack(packing.tokenize(df), rows=1500, group_rows=150)
+    packed = packing.pack(packing.tokenize(df), group_rows=150)
     assert packed.count() == 1500 and packed.where("doc_id = 7").count() == 900

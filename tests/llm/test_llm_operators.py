@@ -122,8 +122,16 @@ def test_each_piece_goes_where_squares_are_fewest():
         gaps[seq[i]] = gaps.get(seq[i], 30) - n
 
 
+def test_groups_are_of_pieces(spark):
+    """Two documents of a hundred pieces each are dealt like two hundred short ones."""
+    df = docs(spark, "a b " * 1000, "c d " * 1200)
+    pieces = packing.tokenize(df, capacity=16)
+    groups = packing.pack(pieces, capacity=16, group_rows=20).select((F.col("sequence_id") / (1 << 40)).cast("int").alias("g")).groupBy("g").count().collect()
+    assert len(groups) >= 10 and sum(r["count"] for r in groups) == pieces.count() > 200 and max(r["count"] for r in groups) < 60
+
+
 def test_packed_documents(spark):
-    rows = packing.pack(packing.tokenize(odd(spark), with_ids=True), rows=10, group_rows=4).collect()
+    rows = packing.pack(packing.tokenize(odd(spark), with_ids=True), group_rows=4).collect()
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
     encode = packing.encode_of()
     by = {}
@@ -140,7 +148,7 @@ def test_packed_documents(spark):
         assert r.offset == places.get(r.sequence_id, 0)
         places[r.sequence_id] = r.offset + r.length
     assert max(places.values()) <= 2048
-    assert packing.pack(packing.tokenize(odd(spark).limit(0)), rows=0).count() == 0
+    assert packing.pack(packing.tokenize(odd(spark).limit(0))).count() == 0
 
 
 # ---- chat
@@ -335,12 +343,13 @@ def test_viterbi_is_exact(tagger):
     scores = [tagger.weights[n].sum(axis=0) for n in tagger.numbers(names)]
     value = lambda path: tagger.starts[path[0]] + sum(s[k] for s, k in zip(scores, path)) + sum(tagger.moves[a, b] for a, b in zip(path, path[1:]))
     best = max(itertools.product(range(len(pii.LABELS)), repeat=4), key=value)
-    assert list(best) == tagger.decode([names])[0]
+    assert list(best) == tagger.decode([4], lambda i, lo, hi: names[lo:hi])[0]
 
 
 def test_gradient_reaches_the_labels():
     model = crf.train([[["a"], ["b"]], [["b"], ["a"]]], [[0, 1], [1, 0]], 2)
-    assert model.decode([[["a"], ["b"], ["a"]], [], [["zzz"]]])[0] == [0, 1, 0]
+    sequences = [[["a"], ["b"], ["a"]], [], [["zzz"]]]
+    assert model.decode([3, 0, 1], lambda i, lo, hi: sequences[i][lo:hi])[0] == [0, 1, 0]
 
 
 def test_tagger_on_held_out_forms(tagger):
@@ -427,6 +436,21 @@ def test_propagation_against_loop(spark):
     assert got["lonely.org"][0] == "allow"
 
 
+def test_relative_links_are_the_own_hosts(spark):
+    hrefs = {"next.html": 1, "?page=2": 1, "../up": 1, "/root": 1, "#part": 0, "mailto:a@b.org": 0, "javascript:go()": 0, "//other.org/x": None}
+    rows = pages(spark, ("http://a.org/", "".join(f'<a href="{h}">' for h in hrefs)))
+    links = urlfilter.host_links(rows.select(urlfilter.host_of(F.col("url")).alias("host"), "html")).collect()
+    assert sorted((r.src, r.dst, r.weight) for r in links) == [("a.org", "a.org", 4.0), ("a.org", "other.org", 1.0)]
+
+
+def test_long_chains_have_no_limit(spark):
+    """A chain of 150 hosts; every rank is what 0.85 leaves of the seed, to the last."""
+    rows = [("http://b.net/es/", "")] + [(f"http://h{i}.org/", f'<a href="http://{"b.net" if not i else f"h{i - 1}.org"}/">') for i in range(150)]
+    got = {r.host: r for r in urlfilter.judge_urls(pages(spark, *rows)).collect()}
+    for i in range(150):
+        assert got[f"h{i}.org"].distrust == pytest.approx(0.15 * 0.85 ** (i + 1), rel=1e-5) and got[f"h{i}.org"].verdict == "block"
+
+
 def test_distrust_reaches_far(spark):
     """A chain of 40 links to a blocked host, repeated rows, and columns named as the operator's own."""
     rows = [("http://b.net/es/", "")] + [(f"http://h{i}.org/", f'<a href="http://{"b.net" if not i else f"h{i - 1}.org"}/">') for i in range(40)]
