@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import HOUR, clamp, confidence, correct, micros, normalize_bias, normalize_risk, percent_return, preferred
 from ..schemas import GROUNDING, RESPONSE
+from .greedy import thinned
 from .timejoin import asof_join, nearest_join
 
 # The allowed categories, classifications and confidences, and the priority weights.
@@ -80,29 +80,20 @@ def validate_catalysts(df: DataFrame, coin: str = "coin", category: str = "categ
 def drop_fuzzy_duplicates(new: DataFrame, stored: DataFrame, keys: Sequence[str] = ("coin", "category"), ts: str = "ts", tol: int = 6 * HOUR, row_id: str = "id", within_batch: bool = False) -> DataFrame:
     """New rows with no stored row of the same keys within tol microseconds, inclusive. within_batch: nor one of the new rows kept before, by (time, id), that close.
 
-    Rows without a time are never duplicates. What within_batch keeps depends on
-    what was kept before, so the rows of a key pass one task in order of time,
-    sorted by the shuffle; all it remembers is the last time kept.
+    Rows without a time are never duplicates; of rows with equal keys, time and
+    id one is kept. What within_batch keeps depends on what was kept before: a
+    parallel scan, see operators.greedy, so that a long key is many tasks.
     """
     kept = nearest_join(new, stored, list(keys), ts, ts, tol, row_id, [ts], how="anti")
     if not within_batch:
         return kept
-    names, at = list(kept.columns), kept.columns.index(ts)
-    marks = [kept.columns.index(k) for k in keys]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last = None
-        for batch in batches:
-            own = list(zip(*(batch.column(m).to_pylist() for m in marks)))
-            times, keep = batch.column(at).cast(pa.int64()).to_pylist(), []
-            for now, t in zip(own, times):
-                if now != key:
-                    key, last = now, None
-                keep.append(t is None or last is None or t - last > tol)
-                last = t if keep[-1] and t is not None else last
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names)
-
-    return kept.repartition(*keys).sortWithinPartitions(*keys, ts, row_id).mapInArrow(run, kept.schema)
+    at = micros(F.col(ts))
+    chosen = thinned(kept.select(*keys, at.alias("_t"), F.col(row_id).alias("_id")), keys, tol, "_t", "_id")
+    chosen = chosen.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_t").alias("_kt"), F.col("_id").alias("_kid"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [at == F.col("_kt"), F.col(row_id).eqNullSafe(F.col("_kid"))]
+    one = Window.partitionBy("_kt", *[f"_k{i}" for i in range(len(keys))], "_kid").orderBy("_kt")
+    timed = kept.join(chosen, same).withColumn("_place", F.row_number().over(one)).where("_place = 1")
+    return timed.select(*kept.columns).union(kept.where(at.isNull()))
 
 
 def provenance(df: DataFrame, public_ts: str = "first_public_ts", reported: str = "confidence") -> DataFrame:
