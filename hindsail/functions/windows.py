@@ -1,12 +1,16 @@
-"""Trailing-window features of price series. One shuffle each, on the series key."""
+"""Trailing-window features of price series.
+
+A feature alone is one window on the series key. in_pieces() applies features
+to long series piece by piece, each piece with the few rows before it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .expressions import or_one, percent_return
+from .expressions import micros, or_one, percent_return
 
 KEY = ("series_id",)
 
@@ -15,6 +19,44 @@ def ordered(key: Sequence[str], ts: str = "ts", tie: str = "obs_id"):
     return Window.partitionBy(*key).orderBy(ts, tie)
 
 
+#: Rows of a piece of a series, on average.
+PIECE_ROWS = 4096
+
+
+def in_pieces(df: DataFrame, feature: Callable[[DataFrame, list[str]], DataFrame], before: int, key: Sequence[str] = KEY, ts: str = "ts", tie: str = "obs_id", rows: int = PIECE_ROWS) -> DataFrame:
+    """feature(df, key) for a feature of a row and up to `before` rows before it, the same rows without a window over a whole series.
+
+    feature takes a table and a key and adds columns. The time of a series is
+    cut into pieces of `rows` rows on average; a piece also gets the `before`
+    rows that precede it, from as many earlier pieces as hold them, and these
+    are dropped afterwards. Rows that precede a piece are found by their number:
+    the counts of pieces, one row each, and the last `before` rows of each. A
+    series of up to `rows` rows is one piece. Rows without a time come first.
+    """
+    keys, t = list(key), micros(F.col(ts))
+    spans = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("_parts"), F.min(t).alias("_lo"), F.max(t).alias("_hi")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    # divided and multiplied as doubles, which keeps the order
+    piece = F.coalesce(F.floor((t - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_parts")), F.lit(0)).cast("long")
+    cut = df.join(spans, [df[k].eqNullSafe(spans[f"_k_{k}"]) for k in keys]).select(*[df[c] for c in df.columns], piece.alias("_piece"), (F.col("_parts") > 1).alias("_long"))
+    long = cut.where("_long").drop("_long")
+    own = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = long.groupBy(*keys, "_piece").agg(F.count("*").alias("_size")).withColumn("_start", F.coalesce(F.sum("_size").over(own), F.lit(0)))
+    back = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(F.desc(ts), F.desc(tie)))
+    tails = long.withColumn("_back", back).where(F.col("_back") <= before)
+
+    def named(table: DataFrame, tag: str, *columns: str) -> DataFrame:
+        return table.select(*[F.col(k).alias(f"_{tag}_{k}") for k in keys], *columns)
+
+    same = lambda tag: [F.col(k).eqNullSafe(F.col(f"_{tag}_{k}")) for k in keys]
+    at = named(sizes, "a", F.col("_piece").alias("_from"), "_size", "_start")
+    placed = tails.join(at, [*same("a"), F.col("_piece") == F.col("_from")]).withColumn("_n", F.col("_start") + F.col("_size") - F.col("_back") + 1).select(*df.columns, "_n", F.floor(F.col("_n") / before).alias("_bin"))
+    first = F.floor(F.col("_start") / before)
+    to = named(sizes.where("_start > 0"), "b", "_piece", F.col("_start").alias("_upto"), F.explode(F.array(first, first - 1)).alias("_at"))
+    halo = placed.join(to, [*same("b"), F.col("_bin") == F.col("_at")]).where((F.col("_n") <= F.col("_upto")) & (F.col("_n") > F.col("_upto") - before))
+    whole = cut.select(*df.columns, "_piece", F.lit(False).alias("_halo")).union(halo.select(*df.columns, "_piece", F.lit(True)))
+    return feature(whole, [*keys, "_piece"]).where("not _halo").drop("_piece", "_halo")
+
+
 def momentum_score(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", price: str = "price", n: int = 30, include_current: bool = True, tie: str = "obs_id", name: str = "technical_score") -> DataFrame:
     """RSI-like score 0 to 100 of the last n prices, the current one among them or not; fewer than 6 prices, or no change at all, give 50, no loss gives 100."""
     w = ordered(key, ts, tie)

@@ -46,7 +46,7 @@ def newest_time(df: DataFrame, ts: str):
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.regime_magnitude(windows.momentum_score(series(spark, sf_dir)))
+    return windows.in_pieces(series(spark, sf_dir), lambda df, key: windows.regime_magnitude(windows.momentum_score(df, key), key), 30)
 
 
 def core(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,22 +57,22 @@ def core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def momentum_score(spark, sf_dir):
-    return windows.momentum_score(series(spark, sf_dir)).select("series_id", "obs_id", "technical_score")
+    return windows.in_pieces(series(spark, sf_dir), windows.momentum_score, 30).select("series_id", "obs_id", "technical_score")
 
 
 @registered
 def trailing_volatility(spark, sf_dir):
-    return rounded(windows.trailing_volatility(series(spark, sf_dir)).select("series_id", "obs_id", "volatility"))
+    return rounded(windows.in_pieces(series(spark, sf_dir), windows.trailing_volatility, 14).select("series_id", "obs_id", "volatility"))
 
 
 @registered
 def trend_strength(spark, sf_dir):
-    return rounded(windows.trend_strength(series(spark, sf_dir)).select("series_id", "obs_id", "trend_strength"))
+    return rounded(windows.in_pieces(series(spark, sf_dir), windows.trend_strength, 21).select("series_id", "obs_id", "trend_strength"))
 
 
 @registered
 def regime_magnitude(spark, sf_dir):
-    return rounded(windows.regime_magnitude(series(spark, sf_dir)).select("series_id", "obs_id", "regime_mag"))
+    return rounded(windows.in_pieces(series(spark, sf_dir), windows.regime_magnitude, 21).select("series_id", "obs_id", "regime_mag"))
 
 
 @registered

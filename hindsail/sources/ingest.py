@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.windows import momentum_score
+from ..functions.windows import in_pieces, momentum_score
 from ..operators.timejoin import tolerance_anti_join
 
 
@@ -40,12 +40,12 @@ def read_quotes(spark: SparkSession, path: str, names: Sequence[str], funding_fl
 def append_ticks(prices: DataFrame, ticks: DataFrame, n: int = 30, key: Sequence[str] = ("series_id",)) -> DataFrame:
     """Ticks as price rows with technical_score from the n rows logged before them, themselves left out."""
     both = prices.select(*key, "obs_id", "ts", "price").withColumn("_new", F.lit(False)).unionByName(ticks.select(*key, "obs_id", "ts", "price").withColumn("_new", F.lit(True)))
-    return momentum_score(both, key, n=n, include_current=False).where("_new").drop("_new")
+    return in_pieces(both, lambda df, part: momentum_score(df, part, n=n, include_current=False), n, key).where("_new").drop("_new")
 
 
 def backfill(prices: DataFrame, candles: DataFrame, tol: int, n: int = 30, key: Sequence[str] = ("series_id",)) -> DataFrame:
     """Candles as price rows with technical_score of the n candles up to them, duplicates included, without those that a row of prices lies within tol microseconds of (strictly)."""
-    scored = momentum_score(candles, key, n=n)
+    scored = in_pieces(candles, lambda df, part: momentum_score(df, part, n=n), n, key)
     return tolerance_anti_join(scored, prices, key, "ts", tol, "obs_id")
 
 
