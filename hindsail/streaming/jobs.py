@@ -7,47 +7,139 @@ here; the batch job can.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.expressions import correct
 from ..operators.catalysts import HIGH_PRIORITY, pick_within_budget, remaining_budget
 
 
-def _in_order(parts: Iterator[pd.DataFrame], state: GroupState, remembered: tuple, columns: list[str]) -> tuple[tuple, pd.DataFrame, pd.DataFrame]:
-    """(what the state remembers besides rows, rows that no earlier one can come before any more, rows to wait with), each in order of time and id. The state is (remembered, times, ids, further columns as lists)."""
-    held = state.get if state.exists else (*remembered, *[[] for _ in columns])
-    head, lists = held[: len(remembered)], held[len(remembered) :]
-    frames = [p[columns] for p in parts if len(p)]
-    if lists and lists[0]:
-        waiting = pd.DataFrame(dict(zip(columns, lists)))
-        frames.insert(0, waiting.assign(ts=pd.to_datetime(waiting["ts"], unit="us")))
-    # without rows, times are times all the same
-    rows = pd.concat(frames) if frames else pd.DataFrame({c: pd.Series(dtype="datetime64[ns]" if c == "ts" else "int64") for c in columns})
-    rows = rows.sort_values(columns[:2], kind="stable")
-    due = rows["ts"] <= pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-    return head, rows[due], rows[~due]
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOUR_MS = 3_600_000
 
 
-def _keep(state: GroupState, remembered: tuple, waiting: pd.DataFrame, until: int | None = None) -> None:
-    """Stores the state; it is called again once the watermark passes its first waiting row, or else `until` (milliseconds), or never."""
-    lists = [[int(t.value // 1000) for t in waiting["ts"]], *(waiting[c].tolist() for c in waiting.columns[1:])]
-    state.update((*remembered, *lists))
-    wake = int(waiting["ts"].iloc[0].value // 1_000_000) if len(waiting) else until
-    if wake is not None:
-        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+class InOrder(StatefulProcessor):
+    """Rows (ts, then an id) of a key handled in order of time, once the watermark has passed them.
 
+    A row waits in a map state under its hour; an index holds the hours there
+    are. New rows touch their own hours only, and a timer at the first waiting
+    row wakes the key, which then reads the hours that the watermark has
+    reached, one at a time, and no others. What handle() remembers is a value
+    state of its own. A key with nothing to remember and nothing waiting has no
+    state left.
+    """
 
-def stream_ticks(ticks: DataFrame, n: int = 30, late: str = "1 hour") -> DataFrame:
-    """ticks(series_id, obs_id, ts, price), repeats within the watermark dropped, with technical_score from the n ticks of the series before each.
+    #: Further columns of a row after ts and the id, and what is remembered, as schemas.
+    columns: tuple[str, ...] = ()
+    waiting_schema = remembered_schema = ""
+
+    def handle(self, key: tuple, remembered: tuple | None, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        """(what to remember, rows to write) of due rows in order."""
+        raise NotImplementedError
+
+    def forget_at(self, remembered: tuple) -> int | None:
+        """When, in milliseconds, what is remembered matters no more."""
+        return None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.states = handle
+        self.hours = handle.getValueState("hours", "hours array<long>, wake long")
+        self.waiting = handle.getMapState("waiting", "hour long", self.waiting_schema)
+        self.remembered = handle.getValueState("remembered", self.remembered_schema)
+
+    def _index(self) -> tuple[list[int], int | None]:
+        held = self.hours.get() if self.hours.exists() else None
+        return (list(held[0]), held[1]) if held else ([], None)
+
+    def _sleep(self, hours: list[int], old: int | None, wake: int | None) -> None:
+        """Stores the index and moves the key's one timer."""
+        if old is not None and old != wake:
+            self.states.deleteTimer(old)
+        if wake is not None and old != wake:
+            self.states.registerTimer(wake)
+        if hours or wake is not None:
+            self.hours.update((hours, wake))
+        else:
+            self.hours.clear()
+
+    def _put(self, hour: int, rows: pd.DataFrame) -> None:
+        self.waiting.updateValue((hour,), tuple(rows[c].tolist() for c in rows.columns))
+
+    def _get(self, hour: int) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("us", *self.columns), self.waiting.getValue((hour,)))))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        hours, old = self._index()
+        first = old
+        for part in rows:
+            new = part[list(self.columns)].assign(us=part["ts"].astype("datetime64[us]").astype("int64"))[["us", *self.columns]]
+            for hour, own in new.groupby(new["us"] // (HOUR_MS * 1000)):
+                self._put(int(hour), pd.concat([self._get(int(hour)), own]) if int(hour) in hours else own)
+                if int(hour) not in hours:
+                    bisect.insort(hours, int(hour))
+            first = min(x for x in (first, int(new["us"].min() // 1000)) if x is not None)
+        # rows of one millisecond before the watermark's are due; a timer in the past is called at once
+        self._sleep(hours, old, first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (hours, old), now = self._index(), timerValues.getCurrentWatermarkInMs()
+        kept = self.remembered.get() if self.remembered.exists() else None
+        left: list[int] = []
+        for at, hour in enumerate(hours):
+            if hour * HOUR_MS > now:
+                left += hours[at:]
+                break
+            rows = self._get(hour).sort_values(["us", self.columns[0]], kind="stable")
+            due = rows["us"] <= now * 1000
+            if due.any():
+                kept, out = self.handle(key, kept, rows[due].assign(ts=pd.to_datetime(rows["us"][due], unit="us")))
+                if len(out):
+                    yield out
+            if due.all():
+                self.waiting.removeKey((hour,))
+            else:
+                left.append(hour)
+                self._put(hour, rows[~due])
+        wake = None
+        if left:
+            wake = int(self._get(left[0])["us"].min() // 1000)
+        elif kept is not None:
+            wake = self.forget_at(kept)
+            if wake is not None and wake <= now:
+                kept = wake = None
+        if kept is None:
+            self.remembered.clear()
+        else:
+            self.remembered.update(kept)
+        # the timer that has just gone off is no more
+        self._sleep(left, None, wake)
 
-    A tick waits until the watermark passes it and is scored in order of time,
-    whatever order ticks came in. State: n prices a series, and waiting ticks.
-    """
+    def close(self) -> None:
+        pass
 
+
+def _stateful(df: DataFrame, key: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """df by key through a processor with timers in event time. Its states are kept in RocksDB, which the session is set to."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return df.groupBy(*key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class TickScores(InOrder):
+    """A tick's score from the n ticks before it; what is remembered are their prices."""
+
+    columns = ("obs_id", "price")
+    waiting_schema = "us array<long>, obs_id array<long>, price array<double>"
+    remembered_schema = "past array<double>"
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    @staticmethod
     def score(past: list[float]) -> float:
         changes = [b - a for a, b in zip(past, past[1:])]
         gain, loss = sum(max(c, 0.0) for c in changes), sum(max(-c, 0.0) for c in changes)
@@ -55,19 +147,24 @@ def stream_ticks(ticks: DataFrame, n: int = 30, late: str = "1 hour") -> DataFra
             return 50.0
         return 100.0 if loss == 0 else float(int(100 - 100 / (1 + gain / loss) + 0.5))
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (past,), due, waiting = _in_order(parts, state, ([],), ["ts", "obs_id", "price"])
-        past, scores = list(past), []
+    def handle(self, key: tuple, remembered: tuple | None, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        past, scores = list(remembered[0]) if remembered else [], []
         for price in due["price"]:
-            scores.append(score(past))
-            past = [*past, float(price)][-n:]
-        _keep(state, (past,), waiting)
-        yield due.assign(series_id=key[0], technical_score=scores)[["series_id", "obs_id", "ts", "price", "technical_score"]]
+            scores.append(self.score(past))
+            past = [*past, float(price)][-self.n :]
+        return (past,), due.assign(series_id=key[0], technical_score=scores)[["series_id", "obs_id", "ts", "price", "technical_score"]]
+
 
+def stream_ticks(ticks: DataFrame, n: int = 30, late: str = "1 hour") -> DataFrame:
+    """ticks(series_id, obs_id, ts, price), repeats within the watermark dropped, with technical_score from the n ticks of the series before each.
+
+    A tick waits until the watermark passes it and is scored in order of time,
+    whatever order ticks came in. State: n prices a series, and waiting ticks
+    by the hour, of which a batch touches its own.
+    """
     fresh = ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "obs_id"])
     kind = ticks.schema["series_id"].dataType.simpleString()
-    held = "past array<double>, ts array<long>, obs_id array<long>, price array<double>"
-    return fresh.groupBy("series_id").applyInPandasWithState(run, f"series_id {kind}, obs_id long, ts timestamp, price double, technical_score double", held, "append", GroupStateTimeout.EventTimeTimeout)
+    return _stateful(fresh, ["series_id"], TickScores(n), f"series_id {kind}, obs_id long, ts timestamp, price double, technical_score double")
 
 
 def stream_resolve(predictions: DataFrame, prices: DataFrame, tolerance: str = "288 minutes", late: str = "1 hour") -> DataFrame:
@@ -92,25 +189,32 @@ def stream_dedupe(catalysts: DataFrame, hours: float = 6, late: str = "1 hour")
     """catalysts(id, coin, category, ts) without those within `hours`, inclusive, of one kept before for the same coin and category, by (time, id): the rule of drop_fuzzy_duplicates(within_batch=True).
 
     A row waits until the watermark passes it. State: the last time kept, and
-    waiting rows; it goes when the last time kept is too old to matter.
+    waiting rows by the hour; it goes when the last time kept is too old to
+    matter.
     """
-    span = int(pd.Timedelta(hours=hours).value // 1000)
+    marked = catalysts.select("id", "coin", "category", "ts").withWatermark("ts", late)
+    return _stateful(marked, ["coin", "category"], FirstOfKind(int(pd.Timedelta(hours=hours).value // 1000)), "id long, coin string, category string, ts timestamp")
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (last,), due, waiting = _in_order(parts, state, (None,), ["ts", "id"])
-        keep = []
-        for t in (int(x.value // 1000) for x in due["ts"]):
-            keep.append(last is None or t - last > span)
-            last = t if keep[-1] else last
-        if not len(waiting) and (last is None or last + span < state.getCurrentWatermarkMs() * 1000):
-            state.remove()
-        else:
-            _keep(state, (last,), waiting, None if last is None else (last + span) // 1000 + 1)
-        kept = due[pd.Series(keep, index=due.index, dtype=bool)]
-        yield kept.assign(coin=key[0], category=key[1])[["id", "coin", "category", "ts"]]
 
-    marked = catalysts.select("id", "coin", "category", "ts").withWatermark("ts", late)
-    return marked.groupBy("coin", "category").applyInPandasWithState(run, "id long, coin string, category string, ts timestamp", "last long, ts array<long>, id array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+class FirstOfKind(InOrder):
+    """Rows more than span microseconds after the last one kept, which is what is remembered."""
+
+    columns = ("id",)
+    waiting_schema = "us array<long>, id array<long>"
+    remembered_schema = "last long"
+
+    def __init__(self, span: int) -> None:
+        self.span = span
+
+    def forget_at(self, remembered: tuple) -> int:
+        return (remembered[0] + self.span) // 1000 + 1
+
+    def handle(self, key: tuple, remembered: tuple | None, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        last, keep = remembered[0] if remembered else None, []
+        for t in due["us"].tolist():
+            keep.append(last is None or t - last > self.span)
+            last = t if keep[-1] else last
+        return (last,), due[keep].assign(coin=key[0], category=key[1])[["id", "coin", "category", "ts"]]
 
 
 def stream_budget(log_path: str, per_day: int = 1, per_hour: int = 1, threshold: float = HIGH_PRIORITY) -> Callable[[DataFrame, int], None]:
