@@ -5,15 +5,16 @@ document a posterior over domains. Each document gets a rate, how often it is
 read; the expected tokens of a domain are the sum over documents of rate x
 tokens x posterior. Rates are the projected-gradient solution of least squares
 between expected and target totals, never below `floor` (0 unless asked):
-every step is one aggregate over all documents that returns as many sums as
-there are domains, and a document's rate is a fold of its posterior over those
-steps.
+every step is two aggregates over all documents that return a few sums for each
+domain, and a document's rate is a fold of its posterior over those steps.
+Steps end on proof only: when totals meet the targets, or when the dual problem
+shows that no rates come nearer.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,14 +27,12 @@ from .common import Scratch, slices, unused, written
 HASHED = 1024
 MAX_LABELLED = 4000
 TOLERANCE = 1e-4
-#: Rates are still when a step moves less than this share of all tokens.
-STILL = 1e-4
-#: Descent has ended when SPAN rounds take less than a GAIN off the distance to the targets.
-SPAN, GAIN = 10, 0.01
+#: Where targets are out of reach, distances this near to the least one end the descent.
+NEARLY = 1.01
 #: Steps after which rates are written.
-WRITE = 8
-#: Targets far out of reach call for huge rates of a few documents and are neared ever slower; after so many rounds what is missing is reported.
-ROUNDS = 200
+WRITE = 16
+#: Lengths that a step along the domains' curvature, and one along the plain gradient, are tried at.
+CURVED, PLAIN = tuple(0.5**k for k in range(10)), (1.0, 4.0, 16.0, 64.0)
 #: Where no domain may lose documents, totals are so much above the fullest domain's, since every domain gains from others' posteriors.
 HEADROOM = 0.02
 #: Target share of tokens by domain.
@@ -113,83 +112,145 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
     return plain.mapInArrow(run, f"{head}, {names[-2]} long, {names[-1]} array<double>")
 
 
+@dataclass
+class Step:
+    """slope: the gradient by domain; along: what is taken off a rate, by domain, `by` times; plain: it is divided by the document's share of scale, and rates at the floor move too."""
+
+    slope: np.ndarray
+    along: np.ndarray
+    by: float
+    plain: bool
+
+
 @dataclass
 class Rates:
-    """steps: (gradient by domain, momentum) of every round; scale: the domains' tokens at rates of one."""
+    """steps from the rate `start` on; scale: the domains' tokens at rates of one; reached: their tokens now; status: met, nearest (targets are out of reach) or empty (no tokens)."""
 
     scale: np.ndarray
     floor: float
     start: float
-    steps: list[tuple[np.ndarray, float]]
-
-    def fold(self, p: Column, since: int = 0, state: Column | None = None) -> Column:
-        """(r, y, moved) of a document after the steps from number since on: its rate, the point that the next step starts from, and how far the last step moved it. state: what it was before."""
-        dot = lambda g: reduce(lambda a, b: a + b, [F.element_at(p, i + 1) * g(i) for i in range(len(self.scale))])
-        named = lambda r, y, m: F.struct(r.alias("r"), y.alias("y"), m.alias("moved"))
-        begin = state if state is not None else named(*[F.lit(v) for v in (float(self.start), float(self.start), 0.0)])
+    steps: list[Step]
+    reached: np.ndarray
+    status: str = "empty"
+    miss: float = 0.0
+
+    def after(self, r: np.ndarray, p: np.ndarray, step: Step) -> np.ndarray:
+        """Rates r of documents of posteriors p after a step."""
+        move = p @ (step.along * step.by)
+        if step.plain:
+            return np.maximum(self.floor, r - move / np.maximum(p @ self.scale, 1e-300))
+        return np.where(self.free(r, p, step.slope), np.maximum(self.floor, r - move), r)
+
+    def free(self, r: np.ndarray, p: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        """Whether rates are off the floor, or the slope draws them off."""
+        return (r > self.floor) | (p @ slope < 0)
+
+    def fold(self, p: Column, since: int = 0, r: Column | None = None) -> Column:
+        """A document's rate after the steps from number since on, r being what it was before."""
+        begin = r if r is not None else F.lit(float(self.start))
         if not self.steps[since:]:
             return begin
-        size = F.greatest(dot(lambda i: F.lit(float(self.scale[i]))), F.lit(1e-300))
-        moves = F.array(*[F.struct(*[F.lit(float(v)).alias(f"g{i}") for i, v in enumerate(g)], F.lit(float(m)).alias("m")) for g, m in self.steps[since:]])
+        row = lambda x: F.struct(*[F.array(*[F.lit(float(v)) for v in a]).alias(n) for n, a in (("slope", x.slope), ("along", x.along * x.by))], F.lit(x.plain).alias("plain"))
+        dot = lambda v: reduce(lambda a, b: a + b, [F.element_at(p, i + 1) * F.element_at(v, i + 1) for i in range(len(self.scale))])
+        floor, size = F.lit(float(self.floor)), F.greatest(dot(F.array(*[F.lit(float(x)) for x in self.scale])), F.lit(1e-300))
 
-        def step(s: Column, move: Column) -> Column:
-            new = F.greatest(F.lit(float(self.floor)), s["y"] - dot(lambda i: move[f"g{i}"]) / size)
-            return named(new, new + move["m"] * (new - s["r"]), F.abs(new - s["y"]))
+        def step(rate: Column, x: Column) -> Column:
+            curved = F.when((rate > floor) | (dot(x["slope"]) < 0), F.greatest(floor, rate - dot(x["along"]))).otherwise(rate)
+            return F.when(x["plain"], F.greatest(floor, rate - dot(x["along"]) / size)).otherwise(curved)
 
-        return F.aggregate(moves, begin, step)
+        return F.aggregate(F.array(*[row(x) for x in self.steps[since:]]), begin, step)
 
     def of(self, p: Column) -> Column:
-        return self.fold(p)["r"]
+        return self.fold(p)
+
+
+def measured(now: DataFrame, rates: Rates, since: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """of(t, r, p) over all documents of now(t, p, r), r after the steps from number since on: its first number's least value, and the sums of the other size - 1. Each task tells one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.array([np.inf, *[0.0] * (size - 1)])
+        for batch in batches:
+            if batch.num_rows:
+                t, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+                for step in rates.steps[since:]:
+                    r = rates.after(r, p, step)
+                own = of(t, r, p)
+                told[0], told[1:] = min(told[0], own[0]), told[1:] + own[1:]
+        yield pa.RecordBatch.from_arrays([pa.array([told.tolist()], pa.list_(pa.float64()))], ["v"])
+
+    rows = now.mapInArrow(run, "v array<double>")
+    return np.array(list(rows.agg(F.min(F.element_at("v", 1)), *[F.sum(F.element_at("v", i + 1)) for i in range(1, size)]).first()), float)
+
+
+def least_distance(slope: np.ndarray, lowest: float, targets: np.ndarray, scale: np.ndarray, floor: float) -> float:
+    """A distance from targets that no rates can be nearer than: the dual value of the slope (totals less targets), raised by what its lowest product with a posterior is below zero so that it is feasible, at its best length."""
+    dual = slope + max(0.0, -lowest)
+    gain = -float(dual @ (targets - floor * scale))
+    return gain / float(np.linalg.norm(dual)) if gain > 0 else 0.0
 
 
 def solve(soft: DataFrame, targets: np.ndarray, floor: float = 0.0, tokens: str = "tokens", p: str = "p") -> Rates:
     """Rates of floor or more for soft(tokens, p) whose expected totals have the least squared distance from targets.
 
-    With r the rates, s = sum r t p the totals and n = sum t p, a step takes
-    p . (s - targets) / p . n off a document's rate and projects to floor: that
-    is the projected gradient in the metric t (p . n). There the curvature is
-    k = sum t p p' / p . n, which has no negative entry and maps n to n, so its
-    largest eigenvalue is 1 and a whole step never ascends, whatever the sizes
-    of domains. Momentum is Nesterov's, begun anew when it points uphill. Ends
-    when the totals are within TOLERANCE of the targets (as a share of their
-    sum), when a whole step moves less than STILL of all tokens, when SPAN
-    rounds gain less than GAIN, or after ROUNDS; unless targets are met, what is
-    missing is logged as a warning. State is written every WRITE steps, so that
-    a round costs as much late as early.
+    With r the rates, s = sum r t p the totals and g = s - targets, p . g is a
+    document's gradient in the metric t of its tokens. A step goes along it, or
+    along p . w with H w = g, H = sum t p p' over the rates that are free to
+    move: where no rate meets the floor that one lands on the targets. Both are
+    projected to floor, and of several lengths of both the one that comes
+    nearest is taken. The plain one at length 1, divided by p . n (n the totals
+    at rates of one), has curvature 1 at most and never ascends, so no step
+    does. Ends when the totals are within TOLERANCE of the targets (as a share
+    of their sum), or when least_distance() proves that rates NEARLY as far are
+    the nearest, or when no step comes nearer in floating point. The result
+    says which, and what is missing. Rates are written every WRITE steps, so
+    that a round costs as much late as early.
     """
     tables, d = Scratch(soft.sparkSession), range(len(targets))
-    at = [F.element_at(p, i + 1) for i in d]
-    first = soft.agg(F.sum(F.col(tokens).cast("double")).alias("all"), *[F.sum(F.col(tokens) * a).alias(f"n{i}") for i, a in enumerate(at)]).first()
-    rates = Rates(np.array([first[f"n{i}"] or 0.0 for i in d]), floor, max(1.0, floor), [])
-    whole = first["all"] or 0.0
-    if whole <= 0:
+    t, q, r = F.col("t"), F.col("p"), F.col("r")
+    at = [F.element_at(q, i + 1) for i in d]
+    now = soft.select(F.col(tokens).cast("double").alias("t"), F.col(p).alias("p"))
+    scale = np.array([x or 0.0 for x in now.agg(*[F.sum(t * a) for a in at]).first()])
+    rates = Rates(scale, floor, max(1.0, floor), [], scale * max(1.0, floor))
+    if scale.sum() <= 0:
         return rates
-    total = max(float(targets.sum()), 1.0)
-    reached = previous = rates.scale * rates.start
-    speed, now, kept = 1.0, soft.select(F.col(tokens).cast("double").alias("t"), F.col(p).alias("p"), rates.fold(F.col(p)).alias("s")), 0
-    aim = reached
-    far = [float(np.linalg.norm(reached - targets))]
-    while np.abs(reached - targets).max() > TOLERANCE * total and len(rates.steps) < ROUNDS:
-        after = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        momentum = (speed - 1) / after
-        slope = aim - targets
-        rates.steps.append((slope, momentum))
-        state = rates.fold(F.col("p"), kept, F.col("s"))
-        row = now.select("t", "p", state.alias("s")).agg(F.sum(F.col("t") * F.col("s.moved")), *[F.sum(F.col("t") * F.element_at("p", i + 1) * F.col("s.r")) for i in d]).first()
-        previous, reached = reached, np.array(list(row)[1:])
-        far.append(float(np.linalg.norm(reached - targets)))
-        if row[0] <= STILL * whole or len(far) > SPAN and min(far[-SPAN:]) > (1 - GAIN) * min(far[:-SPAN]):
+    total, kept = max(float(targets.sum()), 1.0), 0
+    now = now.select("t", "p", F.lit(float(rates.start)).alias("r"))
+    while True:
+        slope = rates.reached - targets
+        far = float(np.linalg.norm(slope))
+        rates.miss = float(np.abs(slope).max()) / total
+        if rates.miss <= TOLERANCE:
+            rates.status = "met"
+            break
+
+        def curved(t: np.ndarray, r: np.ndarray, p: np.ndarray) -> np.ndarray:
+            free = p[rates.free(r, p, slope)]  # noqa: B023
+            return np.array([(p @ slope).min(), *((free * t[rates.free(r, p, slope), None]).T @ free).reshape(-1)])  # noqa: B023
+
+        row = measured(now, rates, kept, curved, 1 + len(targets) ** 2)
+        rates.status = "nearest"
+        if far <= NEARLY * least_distance(slope, row[0], targets, scale, floor):
+            break
+        curvature = row[1:].reshape(len(targets), -1)
+        along = np.linalg.lstsq(curvature + 1e-9 * np.trace(curvature) * np.eye(len(targets)), slope, rcond=None)[0]
+        tried = [Step(slope, along, a, False) for a in CURVED] + [Step(slope, slope, a, True) for a in PLAIN]
+
+        def totals(t: np.ndarray, r: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return np.concatenate([[0.0], *[(rates.after(r, p, s) * t) @ p for s in tried]])  # noqa: B023
+
+        sums = measured(now, rates, kept, totals, 1 + len(tried) * len(targets))[1:].reshape(len(tried), -1)
+        best = int(np.linalg.norm(sums - targets, axis=1).argmin())
+        if np.linalg.norm(sums[best] - targets) >= far * (1 - 1e-9):
             break
-        if slope @ (reached - previous) > 0:  # uphill: this step goes on without momentum
-            rates.steps[-1], momentum, after = (slope, 0.0), 0.0, 1.0
-        speed, aim = after, reached + momentum * (reached - previous)
+        rates.steps.append(tried[best])
+        rates.reached = sums[best]
         if len(rates.steps) - kept >= WRITE:
-            now = tables.put(f"rates{len(rates.steps)}", now.select("t", "p", rates.fold(F.col("p"), kept, F.col("s")).alias("s")))
+            now = tables.put(f"rates{len(rates.steps)}", now.select("t", "p", rates.fold(q, kept, r).alias("r")))
             tables.drop(f"rates{kept}")
             kept = len(rates.steps)
     tables.drop(f"rates{kept}")
-    share = float(np.abs(reached - targets).max()) / total
-    logging.getLogger(__name__).log(logging.INFO if share <= TOLERANCE else logging.WARNING, "mixing: after %d steps the largest miss of a domain is %.4f of all target tokens", len(rates.steps), share)
+    logging.getLogger(__name__).log(logging.INFO if rates.status == "met" else logging.WARNING, "mixing: %s after %d steps, the largest miss of a domain is %.4f of all target tokens", rates.status, len(rates.steps), rates.miss)
     return rates
 
 
@@ -210,15 +271,19 @@ def budget(soft: DataFrame, targets: Mapping[str, float], names: list[str], tota
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> DataFrame:
-    """(doc_id, tokens long, p array<double> in the sorted order of domains, rate double, copies int) for every row of docs.
+    """(doc_id, tokens long, p array<double> in the sorted order of domains, rate double, copies int, status string, miss double) for every row of docs.
 
+    status says whether the rates meet the targets (met), are the nearest there
+    are (nearest) or had no tokens to work on (empty), miss how far the worst
+    domain's tokens are off, as a share of all target tokens.
     Null texts count as empty: no tokens, a rate, no effect. Repeated rows have
     equal rates; an empty table gives no rows; other columns are left out.
     """
     names = sorted(targets)
     soft = written(posteriors(docs, train(labelled, names, text_col, domain_col), id_col, text_col), "soft")
     rates = solve(soft, budget(soft, targets, names))
-    return soft.withColumn("rate", F.round(rates.of(F.col("p")), 9)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    told = soft.withColumn("rate", F.round(rates.of(F.col("p")), 9)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return told.withColumns({"status": F.lit(rates.status), "miss": F.lit(round(rates.miss, 6))})
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, text_col: str = "text", domain_col: str = "lang") -> DataFrame:

@@ -60,7 +60,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, mixing.labelled_sample(docs, read_table(spark, sf_dir, "labels")))
-    return mixed.select("doc_id", "tokens", *[F.element_at("p", i + 1).alias(f"p_{n}") for i, n in enumerate(sorted(mixing.TARGETS))], "rate", "copies")
+    return mixed.select("doc_id", "tokens", *[F.element_at("p", i + 1).alias(f"p_{n}") for i, n in enumerate(sorted(mixing.TARGETS))], "rate", "copies", "status", "miss")
 
 
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
