@@ -19,8 +19,8 @@ def ordered(key: Sequence[str], ts: str = "ts", tie: str = "obs_id"):
     return Window.partitionBy(*key).orderBy(ts, tie)
 
 
-#: Rows of a piece of a series, on average.
-PIECE_ROWS = 4096
+#: Rows of a piece of a series, on average, and pieces up to which a series is left whole.
+PIECE_ROWS, WHOLE = 4096, 16
 
 
 def in_pieces(df: DataFrame, feature: Callable[[DataFrame, list[str]], DataFrame], before: int, key: Sequence[str] = KEY, ts: str = "ts", tie: str = "obs_id", rows: int = PIECE_ROWS) -> DataFrame:
@@ -30,10 +30,13 @@ def in_pieces(df: DataFrame, feature: Callable[[DataFrame, list[str]], DataFrame
     cut into pieces of `rows` rows on average; a piece also gets the `before`
     rows that precede it, from as many earlier pieces as hold them, and these
     are dropped afterwards. Rows that precede a piece are found by their number:
-    the counts of pieces, one row each, and the last `before` rows of each. A
-    series of up to `rows` rows is one piece. Rows without a time come first.
+    the counts of pieces, one row each, and the last `before` rows of each. Rows
+    without a time come first. A table whose series, counted, all have WHOLE *
+    rows rows or less is left as it is: each is one small window.
     """
     keys, t = list(key), micros(F.col(ts))
+    if df.groupBy(*keys).count().where(F.col("count") > WHOLE * rows).isEmpty():
+        return feature(df, keys)
     spans = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("_parts"), F.min(t).alias("_lo"), F.max(t).alias("_hi")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
     # divided and multiplied as doubles, which keeps the order
     piece = F.coalesce(F.floor((t - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_parts")), F.lit(0)).cast("long")

@@ -7,7 +7,6 @@ here; the batch job can.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,21 +18,19 @@ from ..operators.catalysts import HIGH_PRIORITY, pick_within_budget, remaining_b
 
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HOUR_MS = 3_600_000
 
 
 class InOrder(StatefulProcessor):
     """Rows (ts, then an id) of a key handled in order of time, once the watermark has passed them.
 
-    A row waits in a map state under its hour; an index holds the hours there
-    are. New rows touch their own hours only, and a timer at the first waiting
-    row wakes the key, which then reads the hours that the watermark has
-    reached, one at a time, and no others. What handle() remembers is a value
-    state of its own. A key with nothing to remember and nothing waiting has no
-    state left.
+    New rows are appended to a list state, which is not read for it, and a timer
+    at the first waiting row wakes the key: then, and only then, the waiting
+    rows are read, those due handled in order, and the rest, no older than the
+    watermark's delay, put back. What handle() remembers is a value state of its
+    own. A key with nothing to remember and nothing waiting has no state left.
     """
 
-    #: Further columns of a row after ts and the id, and what is remembered, as schemas.
+    #: Further columns of a row after ts, the id first; all as a schema, times in microseconds; and what is remembered.
     columns: tuple[str, ...] = ()
     waiting_schema = remembered_schema = ""
 
@@ -47,77 +44,59 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.states = handle
-        self.hours = handle.getValueState("hours", "hours array<long>, wake long")
-        self.waiting = handle.getMapState("waiting", "hour long", self.waiting_schema)
+        self.wake = handle.getValueState("wake", "ms long")
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
         self.remembered = handle.getValueState("remembered", self.remembered_schema)
 
-    def _index(self) -> tuple[list[int], int | None]:
-        held = self.hours.get() if self.hours.exists() else None
-        return (list(held[0]), held[1]) if held else ([], None)
-
-    def _sleep(self, hours: list[int], old: int | None, wake: int | None) -> None:
-        """Stores the index and moves the key's one timer."""
-        if old is not None and old != wake:
+    def _sleep(self, wake: int | None, old: int | None = None) -> None:
+        """Moves the key's one timer."""
+        if old == wake:
+            return
+        if old is not None:
             self.states.deleteTimer(old)
-        if wake is not None and old != wake:
-            self.states.registerTimer(wake)
-        if hours or wake is not None:
-            self.hours.update((hours, wake))
+        if wake is None:
+            self.wake.clear()
         else:
-            self.hours.clear()
-
-    def _put(self, hour: int, rows: pd.DataFrame) -> None:
-        self.waiting.updateValue((hour,), tuple(rows[c].tolist() for c in rows.columns))
+            self.states.registerTimer(wake)
+            self.wake.update((wake,))
 
-    def _get(self, hour: int) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("us", *self.columns), self.waiting.getValue((hour,)))))
+    @staticmethod
+    def _tuples(rows: pd.DataFrame) -> list[tuple]:
+        return list(zip(*(rows[c].tolist() for c in rows.columns)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        hours, old = self._index()
+        old = self.wake.get()[0] if self.wake.exists() else None
         first = old
         for part in rows:
             new = part[list(self.columns)].assign(us=part["ts"].astype("datetime64[us]").astype("int64"))[["us", *self.columns]]
-            for hour, own in new.groupby(new["us"] // (HOUR_MS * 1000)):
-                self._put(int(hour), pd.concat([self._get(int(hour)), own]) if int(hour) in hours else own)
-                if int(hour) not in hours:
-                    bisect.insort(hours, int(hour))
+            self.waiting.appendList(self._tuples(new))
             first = min(x for x in (first, int(new["us"].min() // 1000)) if x is not None)
-        # rows of one millisecond before the watermark's are due; a timer in the past is called at once
-        self._sleep(hours, old, first)
+        self._sleep(first, old)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (hours, old), now = self._index(), timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         kept = self.remembered.get() if self.remembered.exists() else None
-        left: list[int] = []
-        for at, hour in enumerate(hours):
-            if hour * HOUR_MS > now:
-                left += hours[at:]
-                break
-            rows = self._get(hour).sort_values(["us", self.columns[0]], kind="stable")
-            due = rows["us"] <= now * 1000
-            if due.any():
-                kept, out = self.handle(key, kept, rows[due].assign(ts=pd.to_datetime(rows["us"][due], unit="us")))
-                if len(out):
-                    yield out
-            if due.all():
-                self.waiting.removeKey((hour,))
-            else:
-                left.append(hour)
-                self._put(hour, rows[~due])
-        wake = None
-        if left:
-            wake = int(self._get(left[0])["us"].min() // 1000)
-        elif kept is not None:
-            wake = self.forget_at(kept)
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["us", *self.columns]).sort_values(["us", *self.columns[:1]], kind="stable")
+        late = rows["us"] > now * 1000
+        due, left = rows[~late], rows[late]
+        if len(due):
+            kept, out = self.handle(key, kept, due.assign(ts=pd.to_datetime(due["us"], unit="us")))
+            if len(out):
+                yield out
+        if len(left):
+            wake = int(left["us"].iloc[0] // 1000)
+            self.waiting.put(self._tuples(left))
+        else:
+            wake = None if kept is None else self.forget_at(kept)
             if wake is not None and wake <= now:
                 kept = wake = None
+            self.waiting.clear()
         if kept is None:
             self.remembered.clear()
         else:
             self.remembered.update(kept)
-        # the timer that has just gone off is no more
-        self._sleep(left, None, wake)
+        self._sleep(wake)  # the timer that has gone off is no more
 
     def close(self) -> None:
         pass
@@ -133,7 +112,7 @@ class TickScores(InOrder):
     """A tick's score from the n ticks before it; what is remembered are their prices."""
 
     columns = ("obs_id", "price")
-    waiting_schema = "us array<long>, obs_id array<long>, price array<double>"
+    waiting_schema = "us long, obs_id long, price double"
     remembered_schema = "past array<double>"
 
     def __init__(self, n: int) -> None:
@@ -159,8 +138,7 @@ def stream_ticks(ticks: DataFrame, n: int = 30, late: str = "1 hour") -> DataFra
     """ticks(series_id, obs_id, ts, price), repeats within the watermark dropped, with technical_score from the n ticks of the series before each.
 
     A tick waits until the watermark passes it and is scored in order of time,
-    whatever order ticks came in. State: n prices a series, and waiting ticks
-    by the hour, of which a batch touches its own.
+    whatever order ticks came in. State: n prices a series, and waiting ticks.
     """
     fresh = ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "obs_id"])
     kind = ticks.schema["series_id"].dataType.simpleString()
@@ -189,8 +167,7 @@ def stream_dedupe(catalysts: DataFrame, hours: float = 6, late: str = "1 hour")
     """catalysts(id, coin, category, ts) without those within `hours`, inclusive, of one kept before for the same coin and category, by (time, id): the rule of drop_fuzzy_duplicates(within_batch=True).
 
     A row waits until the watermark passes it. State: the last time kept, and
-    waiting rows by the hour; it goes when the last time kept is too old to
-    matter.
+    waiting rows; it goes when the last time kept is too old to matter.
     """
     marked = catalysts.select("id", "coin", "category", "ts").withWatermark("ts", late)
     return _stateful(marked, ["coin", "category"], FirstOfKind(int(pd.Timedelta(hours=hours).value // 1000)), "id long, coin string, category string, ts timestamp")
@@ -200,7 +177,7 @@ class FirstOfKind(InOrder):
     """Rows more than span microseconds after the last one kept, which is what is remembered."""
 
     columns = ("id",)
-    waiting_schema = "us array<long>, id array<long>"
+    waiting_schema = "us long, id long"
     remembered_schema = "last long"
 
     def __init__(self, span: int) -> None:
