@@ -143,6 +143,10 @@ SELECT obs_id AS prediction_id, series_id, {r("rp")} AS realized_price, {r("(rp
   SELECT l.obs_id, l.series_id, l.price, r.price AS rp FROM v_series l JOIN v_series r ON l.series_id = r.series_id AND abs(epoch_us(r.ts) - epoch_us(l.ts) - 24 * {HOUR}) <= {TOL}
   WHERE l.ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM v_series) - INTERVAL 12 HOUR QUALIFY row_number() OVER (PARTITION BY l.obs_id ORDER BY abs(epoch_us(r.ts) - epoch_us(l.ts) - 24 * {HOUR}), r.ts, r.obs_id) = 1)
 """, "v_series")
+add("stream_resolution_status", f"""
+SELECT obs_id AS prediction_id, series_id, CASE WHEN EXISTS (SELECT 1 FROM v_series r WHERE l.series_id = r.series_id AND abs(epoch_us(r.ts) - epoch_us(l.ts) - 24 * {HOUR}) <= {TOL}) THEN 'resolved' ELSE 'no_price' END AS status
+FROM v_series l WHERE l.ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM v_series) - INTERVAL 12 HOUR
+""", "v_series")
 add("stream_running_scores", f"""
 SELECT {K}, variant, count(*) AS n, {r("avg((p - realized_up) * (p - realized_up))")} AS brier, {r("avg(CASE WHEN (p > 0.5) = (realized_up = 1) THEN 1.0E0 ELSE 0.0E0 END)")} AS accuracy FROM long WHERE p IS NOT NULL AND realized_up IS NOT NULL GROUP BY ALL
 """, "v_ledger", ctes=LONG)

@@ -281,14 +281,24 @@ def stream_tick_scores(spark, sf_dir):
     return drained(jobs.stream_ticks(streamed(zoned(series(spark, sf_dir), "ts")))).select("series_id", "obs_id", "technical_score")
 
 
-@registered
-def stream_resolution(spark, sf_dir):
-    """Forecasts of 24 h resolved from a stream of prices. Told are those half a day before its end; what comes later waits for the watermark."""
+def _resolution(spark, sf_dir):
     rows = series(spark, sf_dir)
     asked = rows.select(F.col("obs_id").alias("id"), "series_id", "price", (F.col("ts") + F.expr("interval 24 hour")).alias("target_ts"))
     decided = asked.where(F.col("target_ts") <= newest_time(rows, "ts") - F.expr("interval 12 hour")).select(F.col("id").alias("prediction_id"))
     out = drained(jobs.stream_resolve(streamed(zoned(asked, "target_ts")), streamed(zoned(rows, "ts"))))
-    return rounded(out.join(decided, "prediction_id", "left_semi"))
+    return out.join(decided, "prediction_id", "left_semi")
+
+
+@registered
+def stream_resolution(spark, sf_dir):
+    """Forecasts of 24 h resolved from a stream of prices. Told are those half a day before its end; what comes later waits for the watermark."""
+    return rounded(_resolution(spark, sf_dir).where("status = 'resolved'").drop("status"))
+
+
+@registered
+def stream_resolution_status(spark, sf_dir):
+    """Every forecast of the same stream, once, with whether a price resolved it."""
+    return _resolution(spark, sf_dir).select("prediction_id", "series_id", "status")
 
 
 @registered

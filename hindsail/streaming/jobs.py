@@ -146,15 +146,20 @@ def stream_ticks(ticks: DataFrame, n: int = 30, late: str = "1 hour") -> DataFra
 
 
 def stream_resolve(predictions: DataFrame, prices: DataFrame, tolerance: str = "288 minutes", late: str = "1 hour") -> DataFrame:
-    """predictions(id, series_id, target_ts, price) resolved by prices(series_id, obs_id, ts, price) of a second stream: the nearest within tolerance of target_ts, decided once the watermark passes target_ts plus tolerance."""
+    """predictions(id, series_id, target_ts, price) resolved by prices(series_id, obs_id, ts, price) of a second stream: the nearest within tolerance of target_ts, decided once the watermark passes target_ts plus tolerance.
+
+    Every prediction comes out once, with status resolved, or no_price and nulls
+    if the interval closes without a price: an outer join of two streams, whose
+    nulls the watermark lets go.
+    """
     asked = predictions.select("id", F.col("series_id").alias("_s"), F.col("price").alias("_p"), (F.col("target_ts") + F.expr(f"interval {tolerance}")).alias("due")).withWatermark("due", late)
     seen = prices.withWatermark("ts", late)
     wide = F.expr(f"interval {tolerance}")
-    pairs = asked.join(seen, (F.col("_s") == F.col("series_id")) & (F.col("ts") <= F.col("due")) & (F.col("ts") >= F.col("due") - wide - wide))
+    pairs = asked.join(seen, (F.col("_s") == F.col("series_id")) & (F.col("ts") <= F.col("due")) & (F.col("ts") >= F.col("due") - wide - wide), "left_outer")
     gap = F.abs(F.unix_micros("ts") - F.unix_micros(F.col("due") - wide))
     best = pairs.groupBy("due", "id", "_s", "_p").agg(F.min_by(F.col("price"), F.struct(gap, F.col("ts"), F.col("obs_id"))).alias("realized_price"))
     ret = F.try_divide(F.col("realized_price") - F.col("_p"), F.col("_p")) * 100
-    return best.select(F.col("id").alias("prediction_id"), F.col("_s").alias("series_id"), "realized_price", ret.alias("realized_return"), (ret > 0).cast("int").alias("realized_up"))
+    return best.select(F.col("id").alias("prediction_id"), F.col("_s").alias("series_id"), "realized_price", ret.alias("realized_return"), (ret > 0).cast("int").alias("realized_up"), F.when(F.col("realized_price").isNull(), "no_price").otherwise("resolved").alias("status"))
 
 
 def stream_scores(rows: DataFrame) -> DataFrame:

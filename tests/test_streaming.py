@@ -49,6 +49,25 @@ def test_ticks_equal_batch(spark, tmp_path):
     assert got == {i: s for i, s in want.items() if i <= 56}
 
 
+def test_every_prediction_comes_out_once(spark, tmp_path):
+    """Prices stop for a day: predictions aimed there come out unresolved once the watermark has closed their interval. The stream is stopped and goes on from its checkpoint."""
+    prices = ticks(spark, 200).where("obs_id not between 60 and 90")
+    asked = ticks(spark, 200).select(F.col("obs_id").alias("id"), "series_id", "price", (F.col("ts") + F.expr("interval 6 hour")).alias("target_ts"))
+    paths = {n: str(tmp_path / n) for n in ("asked", "seen", "out", "state")}
+    got = []
+    for lo in range(0, 200, 50):
+        asked.where(F.col("id").between(lo, lo + 49)).coalesce(1).write.mode("append").parquet(paths["asked"])
+        prices.where(F.col("obs_id").between(lo, lo + 49)).coalesce(1).write.mode("append").parquet(paths["seen"])
+        one, two = (spark.readStream.schema(df.schema).parquet(paths[n]) for df, n in ((asked, "asked"), (prices, "seen")))
+        query = jobs.stream_resolve(one, two, tolerance="90 minutes", late="1 minute").writeStream.option("checkpointLocation", paths["state"]).option("path", paths["out"]).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = spark.read.parquet(paths["out"]).collect()
+    by = {r.prediction_id: r.status for r in got}
+    assert len(got) == len(by) and set(range(180)) <= set(by)
+    # a series has a price every two hours, so a missing one is 60 to 90, its parity's neighbours are two hours off
+    assert {i for i, status in by.items() if status == "no_price"} == set(range(54, 85))
+
+
 def test_resolve_waits_and_takes_nearest(spark, tmp_path):
     prices = ticks(spark)
     asked = prices.select(F.col("obs_id").alias("id"), "series_id", "price", (F.col("ts") + F.expr("interval 6 hour")).alias("target_ts")).where("id < 20")
