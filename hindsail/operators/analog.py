@@ -157,7 +157,7 @@ def regime_anomaly(rows: DataFrame, cfg: AnalogConfig = AnalogConfig(), block: i
 
 
 def prediction_record(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = AnalogConfig(), model_version: str = "unversioned", git_commit_sha: str = "unknown", curve: DataFrame | None = None, history: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """One ledger row per series and horizon that has a forecast: the headline and weighted forecasts, the anomaly flag, the trend, the challenger's flat probability, the query row's features as a map, its time, target time and price, and the versions. Append it with sources.ingest.append().
+    """One ledger row per series and horizon that has a forecast: the headline and weighted forecasts, the anomaly flag, the trend, the challenger's flat probability, the query row's features as a map, its time, target time and price, and the versions. Append it with sources.ingest.append_once().
 
     With curve(series_id, horizon_hours, ...) also calibrated_p_up, with
     history(series_id, horizon_hours, id, ts, realized_up, features) also

@@ -75,11 +75,11 @@ def quote_files(spark, sf_dir):
 
 @registered
 def ledger_append(spark, sf_dir):
-    """The ledger appended in two parts, partitioned by series, and read again."""
+    """The ledger appended in two batches, partitioned by series, each by a job that runs twice, and read again."""
     rows, path = ledger(spark, sf_dir), landing(spark)
-    for part in (0, 1):
-        ingest.append(rows.where(F.col("id") % 2 == part), path, ["coin"])
-    return spark.read.parquet(path).select("id", "coin", "ts", "p_up", "realized_up")
+    for part in (0, 1, 0, 1):
+        ingest.append_once(rows.where(F.col("id") % 2 == part), path, f"part {part}", ["coin"])
+    return ingest.committed(spark, path, rows.schema).select("id", "coin", "ts", "p_up", "realized_up")
 
 
 @registered

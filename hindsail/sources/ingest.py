@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.windows import in_pieces, momentum_score
 from ..operators.timejoin import tolerance_anti_join
@@ -54,6 +56,42 @@ def append(df: DataFrame, path: str, partition: Sequence[str] = ("series_id",))
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+#: A table's record of its batches: which attempt to write a batch counts.
+COMMITS = "batch_id string, attempt string, at timestamp"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """(batch_id, attempt) of a table's batches, the first commit of each; none for a table that is not there yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    rows = spark.read.schema(COMMITS).parquet(f"{path}/commits") if there else spark.createDataFrame([], COMMITS)
+    return rows.groupBy("batch_id").agg(F.min_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+
+
+def append_once(df: DataFrame, path: str, batch_id: str, partition: Sequence[str] = ("series_id",)) -> bool:
+    """Appends df as the batch of this id, unless it has been; tells whether it did.
+
+    Rows go to a folder of this attempt, and then one row to the commit record;
+    readers take committed attempts only. So a job that is killed at any point
+    and run again, or run twice at once, leaves each row once: of several
+    commits of a batch the first counts.
+    """
+    spark = df.sparkSession
+    if not _commits(spark, path).where(F.col("batch_id") == batch_id).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    df.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt", *partition).parquet(f"{path}/rows")
+    spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return True
+
+
+def committed(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of a table's committed batches. schema: its columns, those of the partition among them."""
+    told = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(StructType([*told.fields, StructField("attempt", StringType())])).parquet(f"{path}/rows")
+    return rows.join(_commits(spark, path).select("attempt"), "attempt", "left_semi").select(*told.names)
+
+
 def coverage(df: DataFrame, key: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
