@@ -100,31 +100,3 @@ def regime_magnitude(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts"
 
 def next_return(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", price: str = "price", tie: str = "obs_id", name: str = "next_return") -> DataFrame:
     return prices.withColumn(name, percent_return(F.col(price), F.lead(price).over(ordered(key, ts, tie))))
-
-
-def rank_in_reference(values: DataFrame, refs: DataFrame, key: Sequence[str], value: str = "value", ref: str = "ref", min_refs: int = 10) -> DataFrame:
-    """values with `percentile`: the share of the key's non-null refs that are at most the value; null under min_refs of them or for a null value.
-
-    Rows are ranked by one window over both tables, not compared pair by pair.
-    """
-    both = values.select(*[F.col(k) for k in key], F.col(value).alias("_v"), F.struct(*values.columns).alias("_row")).unionByName(refs.where(F.col(ref).isNotNull()).select(*[F.col(k) for k in key], F.col(ref).alias("_v")), allowMissingColumns=True)
-    w = Window.partitionBy(*key)
-    below = F.count_if(F.col("_row").isNull()).over(w.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))
-    total = F.count_if(F.col("_row").isNull()).over(w)
-    ranked = both.withColumn("percentile", F.when((total >= min_refs) & F.col("_v").isNotNull(), below / total))
-    return ranked.where(F.col("_row").isNotNull()).select("_row.*", "percentile")
-
-
-def weighted_quantile(df: DataFrame, key: Sequence[str], value: str, weight: str, p: float, name: str = "quantile") -> DataFrame:
-    """(key, name): the smallest value up to which the running weight reaches share p of the key's total."""
-    w = Window.partitionBy(*key)
-    share = F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
-    return df.withColumn("_share", share).groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("_share") >= p, F.col(value))), F.max(value)).alias(name))
-
-
-def floor_quantile(df: DataFrame, key: Sequence[str], value: str, p: float, name: str = "quantile") -> DataFrame:
-    """(key, name): the floor(n p)-th smallest value of each key, counted from 0."""
-    w = Window.partitionBy(*key)
-    n = F.count(value).over(w)
-    at = F.least(n, F.floor(n * F.lit(p)) + 1)
-    return df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w.orderBy(value))).withColumn("_at", at).where("_n = _at").select(*key, F.col(value).alias(name))

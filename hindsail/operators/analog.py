@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import HOUR, clamp, micros, or_one, order_statistic, percent_return, trend_guardrail
-from ..functions.windows import rank_in_reference, trailing_volatility, trend_strength
+from ..functions.ranks import rank_of_one
+from ..functions.windows import trailing_volatility, trend_strength
 from . import kernels
 from .calibration import apply_calibration
 from .timejoin import asof_join, forward_returns
@@ -152,7 +153,7 @@ def regime_anomaly(rows: DataFrame, cfg: AnalogConfig = AnalogConfig(), block: i
     prior = kernels.closest_prior(every, ["series_id"], "_rn", [f"_z{i}" for i in range(len(cfg.features))], block)
     refs = flat.select(*by, "_rn").join(prior.withColumnRenamed("rn", "_rn"), ["series_id", "_rn"]).select(*by, F.col("closest").alias("ref"))
     values = near.groupBy(*by).agg(F.min("dist").alias("value"))
-    ranked = rank_in_reference(values, refs, by)
+    ranked = rank_of_one(values, refs, by)
     return ranked.select(*by, F.col("value").alias("closest_dist"), F.col("percentile").alias("closest_dist_percentile"), F.coalesce(F.col("percentile") >= 0.9, F.lit(False)).cast("int").alias("is_regime_anomaly"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixtures import view
-from ..functions import windows
+from ..functions import ranks, windows
 from ..functions.expressions import HOUR
 from ..operators import analog, audit, backtest, calibration, catalysts, evaluate, selection
 from ..operators.timejoin import asof_join, enrich, forward_return, nearest_join, tolerance_anti_join
@@ -399,18 +399,18 @@ def percentile_rank(spark, sf_dir):
     rows = series(spark, sf_dir)
     values = rows.where("obs_id % 2 = 1").select("series_id", "obs_id", F.col("price").alias("value"))
     refs = rows.where("obs_id % 2 = 0").select("series_id", F.col("price").alias("ref"))
-    return rounded(windows.rank_in_reference(values, refs, ["series_id"]).select("series_id", "obs_id", "percentile"))
+    return rounded(ranks.rank_in_reference(values, refs, ["series_id"]).select("series_id", "obs_id", "percentile"))
 
 
 @registered
 def weighted_quantile(spark, sf_dir):
     rows = series(spark, sf_dir).withColumn("weight", 1 / (F.col("obs_id") % 7 + 1))
-    return rounded(windows.weighted_quantile(rows, ["series_id"], "price", "weight", 0.5))
+    return rounded(ranks.weighted_quantile(rows, ["series_id"], "price", "weight", 0.5))
 
 
 @registered
 def order_statistic(spark, sf_dir):
-    return rounded(windows.floor_quantile(series(spark, sf_dir), ["series_id"], "price", 0.75))
+    return rounded(ranks.floor_quantile(series(spark, sf_dir), ["series_id"], "price", 0.75))
 
 
 @registered

@@ -11,7 +11,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hindsail.functions import expressions as E, windows as W
+from hindsail.functions import expressions as E, ranks, windows as W
 from hindsail.operators import analog, audit, backtest, calibration, catalysts, evaluate, kernels, selection
 from hindsail.operators.timejoin import asof_join, enrich, nearest_join, tolerance_anti_join
 from hindsail.sources import ingest
@@ -68,19 +68,19 @@ def test_flat_volatility_is_one(spark):
 def test_order_statistic_is_not_percentile_disc(spark):
     row = spark.range(1).select(E.order_statistic(F.array(*[F.lit(float(i)) for i in range(100)]), 0.5).alias("x")).first()
     assert row.x == 50.0
-    assert W.floor_quantile(spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("v")), ["k"], "v", 0.5).first().quantile == 50
+    assert ranks.floor_quantile(spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("v")), ["k"], "v", 0.5).first().quantile == 50
 
 
 def test_rank_in_reference(spark):
     refs = spark.createDataFrame([(1, float(i)) for i in range(10)] + [(1, None), (2, 1.0)], "k int, ref double")
     values = spark.createDataFrame([(1, 4.0), (1, -1.0), (1, None), (2, 1.0)], "k int, value double")
-    got = {(r.k, r.value): r.percentile for r in W.rank_in_reference(values, refs, ["k"]).collect()}
+    got = {(r.k, r.value): r.percentile for r in ranks.rank_in_reference(values, refs, ["k"]).collect()}
     assert got == {(1, 4.0): 0.5, (1, -1.0): 0.0, (1, None): None, (2, 1.0): None}
 
 
 def test_weighted_quantile(spark):
     rows = spark.createDataFrame([(1, 3.0, 1.0), (1, 1.0, 1.0), (1, 2.0, 5.0)], "k int, v double, w double")
-    assert W.weighted_quantile(rows, ["k"], "v", "w", 0.5).first().quantile == 2.0
+    assert ranks.weighted_quantile(rows, ["k"], "v", "w", 0.5).first().quantile == 2.0
 
 
 def test_expressions(spark):
