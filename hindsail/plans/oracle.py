@@ -171,6 +171,19 @@ SELECT {K}, CASE WHEN n >= 20 THEN {r("p")} END AS p_up_conditional, CASE WHEN n
   SELECT {K}, count(*) AS n, avg(realized_up) AS p FROM placed WHERE rnk <= 30 GROUP BY ALL) USING (coin, horizon_hours)
 """, "v_ledger", ctes=POOL + near_pool("1.0E0", "1.5E0"))
 
+add("conditional_calibration_each", f"""
+SELECT id, CASE WHEN n >= 20 THEN {r("p")} END AS p_up_conditional, CASE WHEN n >= 20 THEN n END AS n_neighbors FROM v_ledger LEFT JOIN (
+  SELECT qid AS id, count(*) AS n, avg(realized_up) AS p FROM placed_each WHERE rnk <= 30 GROUP BY ALL) USING (id)
+""", "v_ledger", ctes=f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY ts, id) AS n FROM v_ledger WHERE realized_up IS NOT NULL),
+asked AS (SELECT *, count(realized_up) OVER (PARTITION BY {K} ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS seen FROM v_ledger),
+pools AS (SELECT q.id AS qid, q.technical_score AS q1, q.regime_mag AS q2, h.id, h.ts, h.technical_score AS h1, h.regime_mag AS h2, h.realized_up
+  FROM asked q JOIN numbered h ON q.coin = h.coin AND q.horizon_hours = h.horizon_hours AND h.n > q.seen - 300 AND h.n <= q.seen),
+spreads AS (SELECT qid, count(h1) AS c1, count(h2) AS c2, CASE WHEN stddev_pop(h1) = 0 THEN 1 ELSE stddev_pop(h1) END AS s1, CASE WHEN stddev_pop(h2) = 0 THEN 1 ELSE stddev_pop(h2) END AS s2 FROM pools GROUP BY 1),
+apart AS (SELECT qid, id, ts, realized_up, c1 >= 5 AND q1 IS NOT NULL AS use1, c2 >= 5 AND q2 IS NOT NULL AS use2,
+  CASE WHEN use1 AND h1 IS NOT NULL THEN (q1 - h1) / s1 ELSE 0 END AS g1, CASE WHEN use2 AND h2 IS NOT NULL THEN (q2 - h2) / s2 ELSE 0 END AS g2 FROM pools JOIN spreads USING (qid)),
+placed_each AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ROUND(sqrt(g1 * g1 + 1.5E0 * g2 * g2), 9), ts DESC, id DESC) AS rnk FROM apart WHERE use1 OR use2)""")
+
 CORE = """
 core AS (SELECT *, (obs_id % 101) / 100.0E0 AS p_up, CASE WHEN obs_id % 10 = 0 THEN 1 ELSE 0 END AS anomaly, (obs_id % 41) / 20.0E0 - 1 AS trend FROM v_series)"""
 add("challenger_forecast", f"""

@@ -10,6 +10,7 @@ from ..fixtures import view
 from ..functions import ranks, windows
 from ..functions.expressions import HOUR
 from ..operators import analog, audit, backtest, calibration, catalysts, evaluate, selection
+from ..operators.sliding import conditional_calibration_each as calibration_of_each
 from ..operators.timejoin import asof_join, enrich, forward_return, nearest_join, tolerance_anti_join
 from ..sources import ingest
 
@@ -140,6 +141,15 @@ def conditional_calibration(spark, sf_dir):
     return rounded(analog.conditional_calibration(newest, rows.where("realized_up is not null"), LEDGER_KEY, WEIGHTS))
 
 
+@registered
+def conditional_calibration_each(spark, sf_dir):
+    """A8 for every ledger row, among the 300 resolved rows before it."""
+    rows = ledger(spark, sf_dir)
+    asked = rows.select(*LEDGER_KEY, "id", "ts", *WEIGHTS)
+    out = calibration_of_each(asked, rows.where("realized_up is not null"), LEDGER_KEY, WEIGHTS)
+    return rounded(out.select("id", "p_up_conditional", "n_neighbors"))
+
+
 @registered
 def challenger_forecast(spark, sf_dir):
     out = analog.challenger_forecast(core(spark, sf_dir), series(spark, sf_dir))
