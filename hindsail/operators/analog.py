@@ -13,7 +13,7 @@ from ..functions.ranks import rank_of_one
 from ..functions.windows import trailing_volatility, trend_strength
 from . import kernels
 from .calibration import apply_calibration
-from .timejoin import asof_join, forward_returns
+from .timejoin import asof_join, asof_join_keyless, forward_returns
 
 
 @dataclass(frozen=True)
@@ -228,12 +228,13 @@ def driver_tilt(flat: DataFrame, digests: DataFrame, ts: str = "ts", max_age_hou
 
     digests(published_ts, transcript_status, summary_json): the newest one not
     after ts counts, if its status is ok and it is fresh. Only anomalies with a
-    known trailing return are tilted.
+    known trailing return are tilted. Digests have no key: every part of flat
+    gets a copy of them.
     """
     from ..schemas import DIGEST
 
-    news = digests.select(F.lit(1).alias("_all"), "published_ts", "transcript_status", "summary_json").withColumn("_did", F.xxhash64("published_ts", "summary_json"))
-    seen = asof_join(flat.withColumn("_all", F.lit(1)), news, ["_all"], ts, "published_ts", "_did", ["published_ts", "transcript_status", "summary_json"], prefix="_d_").drop("_all")
+    news = digests.select("published_ts", "transcript_status", "summary_json").withColumn("_did", F.xxhash64("published_ts", "summary_json"))
+    seen = asof_join_keyless(flat, news, ts, "published_ts", "_did", ["published_ts", "transcript_status", "summary_json"], prefix="_d_")
     fresh = (F.col("_d_transcript_status") == "ok") & (micros(F.col(ts)) - micros(F.col("_d_published_ts")) <= max_age_hours * HOUR)
     live = F.coalesce((F.col("is_regime_anomaly") == 1) & F.col("trailing_return_pct").isNotNull() & fresh, F.lit(False))
     told = seen.withColumn("_s", F.from_json(F.coalesce("_d_summary_json", F.lit("{}")), DIGEST)).withColumn("_broken", F.coalesce(F.try_parse_json(F.coalesce("_d_summary_json", F.lit("{}"))).isNull(), F.lit(True)))

@@ -139,6 +139,22 @@ def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_ts: Co
     return out.select("_left.*", *[F.col(f"_right.{c}").alias(prefix + c) for c in take])
 
 
+def dealt(df: DataFrame, name: str = "_part", parts: int = SALTS) -> DataFrame:
+    """df with the number of a part, by a hash of its columns; maps and variants, which have none, do not count."""
+    hashed = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return df.withColumn(name, F.pmod(F.xxhash64(*[F.col(c) for c in hashed]) if hashed else F.lit(0), F.lit(parts)).cast("int"))
+
+
+def asof_join_keyless(left: DataFrame, right: DataFrame, left_ts: Column | str, right_ts: str, right_id: str, take: Sequence[str], prefix: str = "", parts: int = SALTS, piece: int = PIECE) -> DataFrame:
+    """asof_join() where time is the only key: left rows are dealt into `parts` parts and each gets a copy of the right rows, which are few by nature (some a day).
+
+    So the rows of one day, or those that follow one right row, are as many
+    window partitions and join keys as there are parts.
+    """
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return asof_join(dealt(left, parts=parts), copies, ["_part"], left_ts, right_ts, right_id, take, prefix=prefix, piece=piece).drop("_part")
+
+
 def enrich(prices: DataFrame, context: DataFrame, cols: Sequence[str], tol: int, defaults: dict[str, float], context_id: str = "ts", freshness: int | None = None, imputed: str = "context_imputed") -> DataFrame:
     """prices with the context columns of the nearest context row within tol microseconds, and context_imputed (any of them missing, 0 or 1).
 
@@ -150,8 +166,7 @@ def enrich(prices: DataFrame, context: DataFrame, cols: Sequence[str], tol: int,
     """
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     one = context.withColumn("_part", parts).withColumn("_cid", micros(F.col(context_id)))
-    dealt = prices.withColumn("_part", F.pmod(F.xxhash64(*prices.columns), F.lit(SALTS)).cast("int"))
-    got = nearest_join(dealt, one, ["_part"], "ts", "ts", tol, "_cid", list(cols), how="left", prefix="_c_")
+    got = nearest_join(dealt(prices), one, ["_part"], "ts", "ts", tol, "_cid", list(cols), how="left", prefix="_c_")
     for c in cols:
         fresh = F.col(f"_c_{c}") if freshness is None else F.when(F.abs(F.col("_diff")) <= freshness, F.col(f"_c_{c}"))
         got = got.withColumn(f"_c_{c}", fresh)
