@@ -39,8 +39,10 @@ MAX_BITS = 4
 MINIMUM = 8 - MAX_BITS
 #: Longest list that is expanded into pairs.
 SHORT = 32
-#: A list of unlike fingerprints has on average at most one member in so many lists.
-SPARSE = 16
+#: (byte positions that a posting joins, fingerprints up to which it does). Of unlike
+#: ones, lists of two positions then hold a sixteenth on average and lists of three
+#: four at most; up to there the tally has pairs to reject. Beyond, it is implied.
+WIDTHS = ((2, 1 << 12), (3, 1 << 26))
 SEED = 42
 #: Share of a text's shingles that near_copies() posts beyond those that have to be.
 SPARE = 0.1
@@ -93,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def width_for(n: int) -> int:
     """How many byte positions a posting joins for n fingerprints."""
-    return next((k for k in range(2, MINIMUM) if n * SPARSE <= 1 << 8 * k), MINIMUM)
+    return next((k for k, most in WIDTHS if n <= most), MINIMUM)
 
 
 def _positions(width: int) -> list[tuple[int, int]]:

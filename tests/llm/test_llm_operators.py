@@ -237,7 +237,7 @@ def test_tally_rejects_pairs_below_the_minimum(spark):
         met = {r.fp for r in index.collect()}
         assert met == ({0, near, three} if width < 4 else {0, near})
         assert [tuple(r) for r in simhash.links(index).collect()] == [(0, near)]
-    assert [simhash.width_for(n) for n in (0, 4096, 4097, 1 << 20, (1 << 20) + 1, 10**12)] == [2, 2, 3, 3, 4, 4]
+    assert [simhash.width_for(n) for n in (0, 4096, 4097, 1 << 26, (1 << 26) + 1, 10**12)] == [2, 2, 3, 3, 4, 4]
 
 
 def test_near_duplicates_of_odd_rows(spark):
