@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import HOUR, confidence, correct, micros
-from .timejoin import asof_join
+from .timejoin import PIECE, _numbered, asof_join
 
 PASS, FAIL, UNAVAILABLE, NOT_APPLICABLE = "PASS", "FAIL", "UNAVAILABLE", "NOT_APPLICABLE"
 SECRET = r"(?i)token|api[_-]?key|secret|password|authorization|bearer"
@@ -68,16 +68,23 @@ def rollup(checks: DataFrame, key: Sequence[str], status: str = "status") -> Dat
 def reconcile(investigations: DataFrame, ledger: DataFrame, hours: float = 3.5, newest: int = 10) -> DataFrame:
     """investigations(id, coin, request_ts, confidence, was_wrong) with the prediction each was about: among the newest ledger rows of its series resolved in the `hours` before the request, the first with the same confidence (to 1e-9) and wrongness; null if none.
 
-    Requests and rows meet on (series, block of time), a request in at most two blocks.
+    Rows are numbered per series in time order, so the newest ones before a
+    request are numbers. Requests and rows meet on (series, wrongness, block of
+    `newest` numbers), a request in at most two blocks: work grows with the
+    rows, however many of them fall into the same hours.
     """
     span = int(hours * HOUR)
-    asked = investigations.select("*", micros(F.col("request_ts")).alias("_q"))
-    asked = asked.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(F.col("_q") / span), F.floor((F.col("_q") - span) / span)))))
-    rows = ledger.where(F.col("realized_up").isNotNull()).select(F.col("coin").alias("_coin"), F.col("id").alias("_id"), micros(F.col("resolved_ts")).alias("_t"), confidence(F.col("p_up")).alias("_c"), (~correct(F.col("p_up"), F.col("realized_up"))).alias("_w")).withColumn("_b", F.floor(F.col("_t") / span))
-    near = asked.join(rows, (F.col("coin") == F.col("_coin")) & (F.col("_block") == F.col("_b"))).where((F.col("_t") <= F.col("_q")) & (F.col("_t") >= F.col("_q") - span))
-    w = Window.partitionBy("id").orderBy(F.desc("_t"), F.desc("_id"))
-    same = near.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= newest) & (F.abs(F.col("_c") - F.col("confidence")) < 1e-9) & (F.col("_w") == F.col("was_wrong")))
-    found = same.groupBy("id").agg(F.min_by("_id", "_n").alias("prediction_id"))
+    known = ledger.where(F.col("realized_up").isNotNull()).select("coin", micros(F.col("resolved_ts")).alias("_t"), F.lit(True).alias("_row"), F.col("id").alias("_id"), confidence(F.col("p_up")).alias("_c"), (~correct(F.col("p_up"), F.col("realized_up"))).alias("_w")).where("_t is not null")
+    asked = investigations.select("coin", micros(F.col("request_ts")).alias("_t"), F.lit(False).alias("_row"), F.col("id").alias("_id"), F.col("confidence").alias("_c"), F.col("was_wrong").alias("_w"))
+    both = _numbered(known.unionByName(asked), ["coin"], PIECE)
+    tied = F.row_number().over(Window.partitionBy("coin", "_piece", "_t").orderBy(F.desc("_id")))
+    rows = both.where("_row").select(F.col("coin").alias("_coin"), F.col("_w").alias("_rw"), (F.col("_seen") - tied + 1).alias("_n"), F.col("_t").alias("_rt"), F.col("_id").alias("_rid"), F.col("_c").alias("_rc"))
+    rows = rows.withColumn("_rb", F.floor(F.col("_n") / newest))
+    last = F.floor(F.col("_seen") / newest)
+    asks = both.where("not _row").select("coin", "_w", "_seen", "_t", "_id", "_c", F.explode(F.array(last, last - 1)).alias("_b"))
+    meet = (F.col("coin") == F.col("_coin")) & (F.col("_w") == F.col("_rw")) & (F.col("_b") == F.col("_rb"))
+    fits = (F.col("_n") <= F.col("_seen")) & (F.col("_n") > F.col("_seen") - newest) & (F.col("_rt") >= F.col("_t") - span) & (F.abs(F.col("_rc") - F.col("_c")) < 1e-9)
+    found = asks.join(rows, meet & fits).groupBy(F.col("_id").alias("id")).agg(F.max_by("_rid", "_n").alias("prediction_id"))
     return investigations.join(found, "id", "left")
 
 
