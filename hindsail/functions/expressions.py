@@ -21,6 +21,22 @@ def exact_sum(value: Column) -> Column:
     return F.sum(value.try_cast(f"decimal(18,{PLACES})"))
 
 
+def units(value: Column, places: int = PLACES) -> Column:
+    """value in whole units of 10^-places, as a decimal without places, so that sums and comparisons of sums are exact. Null for what is no number below 10^16."""
+    return F.round(value * float(10**places)).try_cast("decimal(28,0)")
+
+
+def unit_ratio(a: Column, b: Column) -> Column:
+    """a / b of two whole decimals as a double; null where b is 0."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def mean_of(total: Column, n: Column) -> Column:
+    """The mean of n values that exact_sum() has summed: whole units / n / 10^PLACES as doubles, so that equal sums are equal means in any engine."""
+    whole = (total.cast(f"decimal(26,{PLACES})") * F.lit(10**PLACES).cast(f"decimal({PLACES + 1},0)")).cast("decimal(38,0)")
+    return unit_ratio(whole, n) / float(10**PLACES)
+
+
 def ratio(total: Column, n: Column) -> Column:
     """total / n as a double; null for no rows."""
     return F.try_divide(total.cast("double"), n)

@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .expressions import unit_ratio, units
+
 #: Parts of a long key, and distinct values up to which a key is one part.
 PARTS, WHOLE = 256, 4096
 
@@ -85,8 +87,8 @@ def rank_of_one(values: DataFrame, refs: DataFrame, key: Sequence[str], value: s
 
 
 def weighted_quantile(df: DataFrame, key: Sequence[str], value: str, weight: str, p: float, name: str = "quantile", parts: int = PARTS, whole: int = WHOLE) -> DataFrame:
-    """(key, name): the smallest value up to which the running weight reaches share p of the key's total, the largest value where none does or the total is 0."""
-    return _first(_named(df, key, value, F.col(weight)), key, lambda upto, total: F.try_divide(upto, total) >= p, name, parts, whole)
+    """(key, name): the smallest value up to which the running weight reaches share p of the key's total, the largest value where none does or the total is 0. Weights are taken to 12 decimals and summed exactly; one that is no number below 10^16 counts as none."""
+    return _first(_named(df, key, value, F.coalesce(units(F.col(weight)), F.lit(0).cast("decimal(28,0)"))), key, lambda upto, total: unit_ratio(upto, total) >= p, name, parts, whole)
 
 
 def floor_quantile(df: DataFrame, key: Sequence[str], value: str, p: float, name: str = "quantile", parts: int = PARTS, whole: int = WHOLE) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .expressions import micros, or_one, percent_return
+from .expressions import micros, or_one, percent_return, unit_ratio, units
 
 KEY = ("series_id",)
 
@@ -61,15 +61,25 @@ def in_pieces(df: DataFrame, feature: Callable[[DataFrame, list[str]], DataFrame
 
 
 def momentum_score(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", price: str = "price", n: int = 30, include_current: bool = True, tie: str = "obs_id", name: str = "technical_score") -> DataFrame:
-    """RSI-like score 0 to 100 of the last n prices, the current one among them or not; fewer than 6 prices, or no change at all, give 50, no loss gives 100."""
+    """RSI-like score 0 to 100 of the last n prices, the current one among them or not; fewer than 6 prices, or no change at all, give 50, no loss gives 100.
+
+    Prices are taken to 12 decimals and gains and losses summed and rounded half
+    up by whole numbers, so that no score depends on the order of a sum. A price
+    that is no number below 10^16 makes no change.
+    """
     w = ordered(key, ts, tie)
     last = 0 if include_current else -1
     held = F.least(F.row_number().over(w) + last, F.lit(n))
     frame = w.rowsBetween(last - n + 2, last)
-    change = F.col("_change")
-    gain, loss = F.sum(F.greatest(change, F.lit(0.0))).over(frame), F.sum(F.greatest(-change, F.lit(0.0))).over(frame)
-    score = F.when((held < 6) | ((gain == 0) & (loss == 0)), 50.0).when(loss == 0, 100.0).otherwise(F.floor(100 - 100 / (1 + gain / loss) + 0.5).cast("double"))
-    return prices.withColumn("_change", F.col(price) - F.lag(price).over(w)).withColumn(name, score).drop("_change")
+    change, none = F.col("_change"), F.lit(0).cast("decimal(1,0)")
+    total = lambda c: F.sum(F.greatest(c, none)).over(frame).cast("decimal(32,0)")
+    gain, loss = F.col("_gain"), F.col("_loss")
+    # floor(100 - 100 / (1 + gain / loss) + 0.5)
+    whole = F.call_function("div", gain * F.lit(201).cast("decimal(3,0)") + loss, (gain + loss) * F.lit(2).cast("decimal(1,0)"))
+    score = F.when((F.col("_held") < 6) | ((gain == 0) & (loss == 0)), 50.0).otherwise(whole.cast("double"))
+    moved = prices.withColumn("_units", units(F.col(price))).withColumn("_change", F.col("_units") - F.lag("_units").over(w))
+    summed = moved.withColumns({"_held": held, "_gain": total(change), "_loss": total(-change)})
+    return summed.withColumn(name, score).drop("_units", "_change", "_held", "_gain", "_loss")
 
 
 def trailing_volatility(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", price: str = "price", lookback: int = 14, tie: str = "obs_id", name: str = "volatility") -> DataFrame:
@@ -80,22 +90,27 @@ def trailing_volatility(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "
     return moved.withColumn(name, F.when(F.row_number().over(w) >= 4, spread)).drop("_ret")
 
 
-def _averages(key: Sequence[str], ts: str, price: str, tie: str, short: int, long: int) -> tuple[Column, Column, Column]:
+def _apart(prices: DataFrame, key: Sequence[str], ts: str, price: str, tie: str, short: int, long: int) -> DataFrame:
+    """prices with `_row`, the row's number, and `_apart`: the short average's distance from the long one as a share of it, null where that is 0. Sums are exact, of prices to 12 decimals."""
     w = ordered(key, ts, tie)
-    return F.row_number().over(w), F.avg(price).over(w.rowsBetween(1 - short, 0)), F.avg(price).over(w.rowsBetween(1 - long, 0))
+    summed = prices.withColumn("_units", units(F.col(price))).withColumn("_row", F.row_number().over(w))
+    for name, n in (("short", short), ("long", long)):
+        frame = w.rowsBetween(1 - n, 0)
+        summed = summed.withColumns({f"_{name}": F.sum("_units").over(frame).cast("decimal(32,0)"), f"_n_{name}": F.count("_units").over(frame).cast("decimal(4,0)")})
+    whole = F.col("_long") * F.col("_n_short")
+    return summed.withColumn("_apart", unit_ratio(F.col("_short") * F.col("_n_long") - whole, whole)).drop("_units", "_short", "_long", "_n_short", "_n_long")
 
 
 def trend_strength(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", price: str = "price", short: int = 8, long: int = 21, tie: str = "obs_id", name: str = "trend_strength") -> DataFrame:
     """20 times the short average's distance from the long one, within [-1, 1]; 0 before row long + 1 or where the long average is 0."""
-    n, a, b = _averages(key, ts, price, tie, short, long)
-    slope = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(a - b, b) * 20))
-    return prices.withColumn(name, F.when(n >= long + 1, F.coalesce(slope, F.lit(0.0))).otherwise(0.0))
+    slope = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_apart") * 20))
+    held = F.when((F.col("_row") >= long + 1) & F.col("_apart").isNotNull(), slope).otherwise(0.0)
+    return _apart(prices, key, ts, price, tie, short, long).withColumn(name, held).drop("_row", "_apart")
 
 
 def regime_magnitude(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", price: str = "price", short: int = 8, long: int = 21, tie: str = "obs_id", name: str = "regime_mag") -> DataFrame:
     """The same distance in percent, not capped; null before row `long` or where the long average is 0."""
-    n, a, b = _averages(key, ts, price, tie, short, long)
-    return prices.withColumn(name, F.when(n >= long, F.try_divide(a - b, b) * 100))
+    return _apart(prices, key, ts, price, tie, short, long).withColumn(name, F.when(F.col("_row") >= long, F.col("_apart") * 100)).drop("_row", "_apart")
 
 
 def next_return(prices: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", price: str = "price", tie: str = "obs_id", name: str = "next_return") -> DataFrame:

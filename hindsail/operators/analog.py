@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expressions import HOUR, clamp, micros, or_one, order_statistic, percent_return, trend_guardrail
+from ..functions.expressions import HOUR, clamp, micros, or_one, order_statistic, percent_return, trend_guardrail, unit_ratio, units
 from ..functions.ranks import rank_of_one
 from ..functions.windows import trailing_volatility, trend_strength
 from . import kernels
@@ -119,7 +119,8 @@ def analog_weighted(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = Anal
     """The adaptive variant per series and horizon: volatility_percentile, k_adaptive, weighted p_up and weighted median return; null under min_resolved analogs.
 
     The last row's volatility is ranked among the candidates'; a wild day takes
-    fewer analogs, a calm one more; weights are 1 / (distance + 0.05).
+    fewer analogs, a calm one more; weights are 1 / (distance + 0.05),
+    taken to 12 decimals and summed exactly.
     """
     by = ["series_id", "horizon_hours"]
     complete = rows.where(cfg.complete())
@@ -134,9 +135,9 @@ def analog_weighted(rows: DataFrame, prices: DataFrame, cfg: AnalogConfig = Anal
     heads = ranked.where("_rank = 1").select(*by, "volatility_percentile", "k_adaptive")
     widest = int(cfg.max_k * 1.4)
     picked = ranked.where((F.col("_rank") <= widest) & (F.col("_rank") <= F.col("k_adaptive"))).select(*by, "obs_id", "ts", "price", "dist")
-    weights = with_outcomes(picked, prices, cfg).withColumn("weight", 1 / (F.col("dist") + 0.05))
-    share = F.sum("weight").over(w.orderBy("return_pct").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(w)
-    up = F.sum(F.when(F.col("return_pct") > 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    weights = with_outcomes(picked, prices, cfg).withColumn("weight", units(1 / (F.col("dist") + 0.05)))
+    share = unit_ratio(F.sum("weight").over(w.orderBy("return_pct").rangeBetween(Window.unboundedPreceding, 0)), F.sum("weight").over(w))
+    up = unit_ratio(F.coalesce(F.sum(F.when(F.col("return_pct") > 0, F.col("weight"))), F.lit(0)), F.sum("weight"))
     sums = weights.withColumn("_share", share).groupBy(*by).agg(F.count("*").alias("n_resolved"), up.alias("p"), F.min(F.when(F.col("_share") >= 0.5, F.col("return_pct"))).alias("q"))
     out = keys_of(rows, cfg).where((F.col("n_rows") >= cfg.min_rows) & (F.col("n_complete") >= cfg.min_rows)).select(*by).join(heads, by, "left").join(sums, by, "left")
     ok = F.col("n_resolved") >= cfg.min_resolved

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expressions import or_one
+from ..functions.expressions import exact_sum, mean_of, or_one
 from ..functions.windows import next_return
 from . import kernels
 
@@ -42,9 +42,9 @@ def combined_warmup() -> Column:
 
 
 def backtest_summary(preds: DataFrame, key: Sequence[str] = ("series_id",), ts: str = "ts", digits: int = 3) -> DataFrame:
-    """(key, n_predictions, accuracy, brier_score, historical_up_rate, naive_baseline_brier, beats_naive_baseline, date_range_start, date_range_end), to so many digits."""
+    """(key, n_predictions, accuracy, brier_score, historical_up_rate, naive_baseline_brier, beats_naive_baseline, date_range_start, date_range_end), to so many digits. Squares are summed exactly to 12 decimals."""
     hit = ((F.col("p_up") >= 0.5) == (F.col("realized_up") == 1)).cast("int")
-    s = preds.groupBy(*key).agg(F.count("*").alias("n_predictions"), F.avg(hit).alias("a"), F.avg((F.col("p_up") - F.col("realized_up")) ** 2).alias("b"), F.avg("realized_up").alias("u"), F.min(ts).alias("date_range_start"), F.max(ts).alias("date_range_end"))
+    s = preds.groupBy(*key).agg(F.count("*").alias("n_predictions"), F.avg(hit).alias("a"), mean_of(exact_sum((F.col("p_up") - F.col("realized_up")) ** 2), F.count("*")).alias("b"), F.avg("realized_up").alias("u"), F.min(ts).alias("date_range_start"), F.max(ts).alias("date_range_end"))
     naive = F.least(F.lit(0.25), F.col("u") * (1 - F.col("u")))
     return s.select(*key, "n_predictions", F.round("a", digits).alias("accuracy"), F.round("b", digits).alias("brier_score"), F.round("u", digits).alias("historical_up_rate"), F.round(naive, digits).alias("naive_baseline_brier"), (F.col("b") < naive).alias("beats_naive_baseline"), "date_range_start", "date_range_end")
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.expressions import exact_sum, ratio
+from ..functions.expressions import exact_sum, mean_of, ratio
 
 #: Parts of the value range that a key's rows are ranked in; a long key is so many window partitions.
 PARTS = 1000
@@ -37,7 +37,7 @@ def _runs(df: DataFrame, key: Sequence[str], p: str, y: str, tie: str, bins: int
 def calibration_curve(df: DataFrame, key: Sequence[str], p: str = "p_up", y: str = "realized_up", tie: str = "id", bins: int = 10, min_n: int = 10) -> DataFrame:
     """(key, decile, predicted_p_up_mid, empirical_up_rate, n_samples): runs of ceil(n / bins) rows by p; runs under min_n are dropped. Rows without p or outcome take no part."""
     n = F.col("n_samples")
-    return _runs(df, key, p, y, tie, bins, min_n).select(*key, "decile", ratio(F.col("sum_p"), n).alias("predicted_p_up_mid"), ratio(F.col("sum_y"), n).alias("empirical_up_rate"), "n_samples")
+    return _runs(df, key, p, y, tie, bins, min_n).select(*key, "decile", mean_of(F.col("sum_p"), n).alias("predicted_p_up_mid"), ratio(F.col("sum_y"), n).alias("empirical_up_rate"), "n_samples")
 
 
 def apply_calibration(df: DataFrame, curve: DataFrame, key: Sequence[str], p: str = "p_up", min_n: int = 10, name: str = "p_up_calibrated") -> DataFrame:

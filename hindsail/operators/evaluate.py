@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expressions import HOUR, confidence, correct, exact_sum, log_loss, micros, percent_return, preferred, ratio, rounded_ratio, trend_regime, volatility_regime, went_up
+from ..functions.expressions import HOUR, confidence, correct, exact_sum, log_loss, micros, percent_return, preferred, ratio, rounded_ratio, trend_regime, units, volatility_regime, went_up
 from .calibration import calibration_gaps
 from .prefix import running
 from .timejoin import asof_join, nearest_join
@@ -79,11 +79,13 @@ def expanding_history(ledger: DataFrame, variants: Mapping[str, str], key: Seque
 
 
 def ma_baseline(rows: DataFrame, prices: DataFrame, key: Sequence[str] = ("series_id",), n: int = 20, min_n: int = 10, price: str = "price") -> DataFrame:
-    """rows(key, ts, price) with ma_up: 1 if the price lies above the mean of the last n series prices up to ts, else 0; null under min_n of them."""
+    """rows(key, ts, price) with ma_up: 1 if the price lies above the mean of the last n series prices up to ts, else 0; null under min_n of them. Of rows of one time the smallest obs_id is the last. Prices are taken to 12 decimals and compared exactly."""
     w = Window.partitionBy(*key).orderBy("ts", F.desc("obs_id")).rowsBetween(1 - n, 0)
-    means = prices.select(*key, "ts", "obs_id", F.avg("price").over(w).alias("_ma"), F.count("price").over(w).alias("_held"))
-    seen = asof_join(rows, means, key, "ts", "ts", "obs_id", ["_ma", "_held"])
-    return seen.withColumn("ma_up", F.when((F.col("_held") >= min_n) & (F.col(price) != 0), (F.col(price) > F.col("_ma")).cast("int"))).drop("_ma", "_held")
+    own = units(F.col("price"))
+    sums = prices.select(*key, "ts", "obs_id", F.sum(own).over(w).cast("decimal(32,0)").alias("_sum"), F.count(own).over(w).cast("decimal(4,0)").alias("_held"))
+    seen = asof_join(rows, sums, key, "ts", "ts", "obs_id", ["_sum", "_held"])
+    above = units(F.col(price)) * F.col("_held") > F.col("_sum")
+    return seen.withColumn("ma_up", F.when((F.col("_held") >= min_n) & (F.col(price) != 0), above.cast("int"))).drop("_sum", "_held")
 
 
 def evaluate_challenger(rows: DataFrame, key: Sequence[str] = KEY, flat: str = "p_up_flat", tilted: str = "p_up_tilted", y: str = "realized_up", min_n: int = 5, min_ma: int = 5) -> DataFrame:

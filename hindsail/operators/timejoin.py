@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expressions import HOUR, micros
+from ..functions.expressions import HOUR, micros, unit_ratio, units
 
 BLOCK_TOLERANCES = 64
 
@@ -160,8 +160,8 @@ def enrich(prices: DataFrame, context: DataFrame, cols: Sequence[str], tol: int,
 
     Context has no series key and one row a day or so: blocks of time deal it,
     and inside a block prices are dealt into SALTS parts, each with a copy of
-    the context. Missing values become the mean of the real matches of all rows,
-    or the column's default where nothing matched; a match older than freshness
+    the context. Missing values become the mean of the real matches of all rows
+    (of values to 9 decimals, summed exactly), or the column's default where nothing matched; a match older than freshness
     counts as missing.
     """
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -170,7 +170,8 @@ def enrich(prices: DataFrame, context: DataFrame, cols: Sequence[str], tol: int,
     for c in cols:
         fresh = F.col(f"_c_{c}") if freshness is None else F.when(F.abs(F.col("_diff")) <= freshness, F.col(f"_c_{c}"))
         got = got.withColumn(f"_c_{c}", fresh)
-    means = got.agg(*[F.avg(f"_c_{c}").alias(f"_m_{c}") for c in cols])
+    own = lambda c: units(F.col(f"_c_{c}"), 9)
+    means = got.agg(*[(unit_ratio(F.sum(own(c)), F.count(own(c))) / 1e9).alias(f"_m_{c}") for c in cols])
     missing = F.lit(False)
     for c in cols:
         missing = missing | F.col(f"_c_{c}").isNull()

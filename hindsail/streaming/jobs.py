@@ -7,6 +7,7 @@ here; the batch job can.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -120,11 +121,13 @@ class TickScores(InOrder):
 
     @staticmethod
     def score(past: list[float]) -> float:
-        changes = [b - a for a, b in zip(past, past[1:])]
-        gain, loss = sum(max(c, 0.0) for c in changes), sum(max(-c, 0.0) for c in changes)
+        # whole numbers, as in functions.windows.momentum_score()
+        whole = [math.floor(p * 1e12 + 0.5) if abs(p) < 1e16 else None for p in past]
+        changes = [b - a for a, b in zip(whole, whole[1:]) if a is not None and b is not None]
+        gain, loss = sum(max(c, 0) for c in changes), sum(max(-c, 0) for c in changes)
         if len(past) < 6 or gain == loss == 0:
             return 50.0
-        return 100.0 if loss == 0 else float(int(100 - 100 / (1 + gain / loss) + 0.5))
+        return float((201 * gain + loss) // (2 * (gain + loss)))
 
     def handle(self, key: tuple, remembered: tuple | None, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         past, scores = list(remembered[0]) if remembered else [], []
