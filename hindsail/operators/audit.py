@@ -43,14 +43,31 @@ def check_order(prediction_ts: Column, request_ts: Column) -> Column:
 def check_budget(log: DataFrame, per_hour: int | None, per_day: int | None, ts: str = "request_ts", key: Sequence[str] = (), row_id: str = "id") -> DataFrame:
     """log with requests in the hour and the day up to each one, itself included, a status for both limits and violation (YES, NO, UNAVAILABLE without limits). Every request is checked, not only the newest.
 
-    A request is counted on its own day and seen from the next, so a day of a
-    key is a task, with or without a key.
+    The times of a key are cut into pieces of an hour. Requests are summed by
+    time first and counted inside their piece; sums of pieces say how many
+    stand before. A trailing count is the count up to a time less that up to
+    the span before it, asked for like a request's, so a task is an hour of a
+    key, and equal times are one row. A request without a time counts those of
+    its key that have none.
     """
-    own = F.coalesce(F.floor(F.col("_t") / (24 * HOUR)), F.lit(-(1 << 62)))
-    w = Window.partitionBy(*key, "_day").orderBy("_t")
-    trail = lambda span: F.count("*").over(w.rangeBetween(-span, 0))
-    seen = log.withColumn("_t", micros(F.col(ts))).withColumn("_own", own).withColumn("_day", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    out = seen.withColumn("in_hour", trail(HOUR)).withColumn("in_day", trail(24 * HOUR)).where("_own = _day").drop("_t", "_own", "_day")
+    t = micros(F.col(ts))
+    own = log.withColumn("_t", t)
+    names = list(key)
+    counts = own.groupBy(*names, "_t").agg(F.count("*").alias("_n"))
+    # the time itself, and the last microsecond before either span
+    ends = F.explode(F.array(*[F.struct(F.lit(which).alias("which"), (F.col("_t") - back).alias("at")) for which, back in (("all", 0), ("hour", HOUR + 1), ("day", 24 * HOUR + 1))])).alias("_e")
+    asked = counts.select(*names, F.col("_t").alias("_of"), ends, "_n").select(*names, "_of", F.col("_e.which").alias("_which"), F.col("_e.at").alias("_t"), F.when(F.col("_e.which") == "all", F.col("_n")).otherwise(0).alias("_n"))
+    cut = asked.withColumn("_piece", F.coalesce(F.floor(F.col("_t") / HOUR), F.lit(-(1 << 62))))
+    before = F.sum("_s").over(Window.partitionBy(*names).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cut.groupBy(*names, "_piece").agg(F.sum("_n").alias("_s")).select(*[F.col(k).alias(f"_o_{k}") for k in names], F.col("_piece").alias("_opiece"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy(*names, "_piece").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
+    same = lambda tag: [F.col(k).eqNullSafe(F.col(f"_{tag}_{k}")) for k in names]
+    placed = cut.withColumn("_inside", inside).join(offsets, [*same("o"), F.col("_piece") == F.col("_opiece")]).withColumn("_upto", F.col("_inside") + F.when(F.col("_of").isNull(), 0).otherwise(F.col("_before")))
+    upto = lambda which: F.max(F.when(F.col("_which") == which, F.col("_upto")))
+    past = lambda which: F.when(F.col("_of").isNull(), 0).otherwise(upto(which))
+    told = placed.groupBy(*names, "_of").agg((upto("all") - past("hour")).alias("in_hour"), (upto("all") - past("day")).alias("in_day"))
+    told = told.withColumnsRenamed({k: f"_r_{k}" for k in names})
+    out = own.join(told, [*same("r"), F.col("_t").eqNullSafe(F.col("_of"))]).select(*log.columns, "in_hour", "in_day")
     if per_hour is None or per_day is None:
         return out.withColumn("hourly", F.lit(UNAVAILABLE)).withColumn("daily", F.lit(UNAVAILABLE)).withColumn("violation", F.lit(UNAVAILABLE))
     out = out.withColumn("hourly", F.when(F.col("in_hour") <= per_hour, PASS).otherwise(FAIL)).withColumn("daily", F.when(F.col("in_day") <= per_day, PASS).otherwise(FAIL))

@@ -36,3 +36,19 @@ def test_reconcile_many_rows_in_the_same_hours(spark):
     for r in found.where("id % 50 = 0").collect():
         before = [i for s, i in newest if s <= r.id % 1800 + 1800][:10]
         assert r.prediction_id == next((i for i in before if abs(sure[i] - sure[r.id]) < 1e-9 and wrong[i] == wrong[r.id]), None)
+
+
+def test_budget_counts_equal_brute_force_without_trailing_frames(spark):
+    """A frame that trails by time is summed anew for each row, so its work grows with the square of a day's rows."""
+    hour = 3_600_000_000
+    rows = [(i, i % 2 if i % 7 else None, None if i % 13 == 0 else (i * 37 % 90) * hour // 3 + (i % 3 > 1)) for i in range(400)]
+    log = spark.createDataFrame(rows, "id long, k long, t long").select("id", "k", F.timestamp_micros("t").alias("request_ts"))
+    for key in ([], ["k"]):
+        out = audit.check_budget(log, 2, 40, key=key)
+        plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "rangeframe, -" not in plan
+        own = lambda a, b: (not key or a[1] == b[1])
+        for r in out.collect():
+            me = rows[r.id]
+            seen = lambda span: sum(1 for o in rows if own(me, o) and (o[2] is None if me[2] is None else o[2] is not None and 0 <= me[2] - o[2] <= span))
+            assert (r.in_hour, r.in_day) == (seen(hour), seen(24 * hour))
