@@ -14,7 +14,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import micros
 from .timejoin import PIECE, _numbered
@@ -22,7 +22,7 @@ from .timejoin import PIECE, _numbered
 BLOCK = 1024
 
 
-def sliding_neighbours(queries: DataFrame, history: DataFrame, key: Sequence[str], weights: Mapping[str, float], k: int, ts: str = "ts", row_id: str = "id", carry: str | None = None, pool: int = 300, min_values: int = 5, digits: int = 9, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+def sliding_neighbours(queries: DataFrame, history: DataFrame, key: Sequence[str], weights: Mapping[str, float], k: int, ts: str = "ts", row_id: str = "id", carry: str | None = None, pool: int = 300, min_values: int = 5, digits: int = 9, block: int = BLOCK, piece: int = PIECE, told: Mapping[str, Column] | None = None) -> DataFrame:
     """(row, pool, neighbours): every query row as a struct, the size of its pool and the k rows of it that are nearest, (id, dist, carry) each.
 
     A pool is the newest `pool` history rows of the key strictly before the
@@ -32,7 +32,9 @@ def sliding_neighbours(queries: DataFrame, history: DataFrame, key: Sequence[str
     adds nothing to its distance, and a query without usable features has no
     neighbours. Equal distances keep the newest first, equal times the larger
     row_id. NaN counts as missing. Null times and null keys have an empty pool;
-    repeated queries each get a row. carry: a number of the history row.
+    repeated queries each get a row. carry: a number of the history row. told: columns
+    made of pool and neighbours, in whose stead they come; lists are then not
+    shuffled to the query rows.
     """
     keys, names = list(key), list(weights)
     width = max(block, pool)
@@ -99,16 +101,17 @@ def sliding_neighbours(queries: DataFrame, history: DataFrame, key: Sequence[str
 
     kind = parts.schema["asked"].dataType.elementType["row"].dataType.simpleString()
     answers = pairs.mapInArrow(run, f"row {kind}, pool int, neighbours array<struct<id: long, dist: double, carry: double>>")
-    told = answers.select(*[F.col(f"row.{c}").alias(f"_a{i}") for i, c in enumerate([*keys, "_t", "_x"])], "pool", "neighbours")
+    made = told if told is not None else {c: F.col(c) for c in ("pool", "neighbours")}
+    answered = answers.select(*[F.col(f"row.{c}").alias(f"_a{i}") for i, c in enumerate([*keys, "_t", "_x"])], *[c.alias(n) for n, c in made.items()])
     asking = queries.select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate(keys)], (at - 1).alias(f"_q{len(keys)}"), x.alias(f"_q{len(keys) + 1}"), F.struct(*queries.columns).alias("row"))
-    return asking.join(told, [F.col(f"_q{i}").eqNullSafe(F.col(f"_a{i}")) for i in range(len(keys) + 2)]).select("row", "pool", "neighbours")
+    return asking.join(answered, [F.col(f"_q{i}").eqNullSafe(F.col(f"_a{i}")) for i in range(len(keys) + 2)]).select("row", *made)
 
 
 def conditional_calibration_each(queries: DataFrame, history: DataFrame, key: Sequence[str], weights: Mapping[str, float], k: int = 30, min_neighbors: int = 20, pool: int = 300, ts: str = "ts", row_id: str = "id", y: str = "realized_up", block: int = BLOCK) -> DataFrame:
     """queries with p_up_conditional and n_neighbors: for every row, the share of ups among the k rows of its own pool that are most like it; null under min_neighbors or without usable features. Any number of queries a key; see sliding_neighbours()."""
-    near = sliding_neighbours(queries, history, key, weights, k, ts, row_id, y, pool, block=block)
     known = F.filter(F.transform("neighbours", lambda n: n["carry"]), lambda c: c.isNotNull())
     share = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, c: a + c), F.size(known))
     n = F.size("neighbours")
-    kept = [F.col(f"row.{c}").alias(c) for c in queries.columns if c not in ("p_up_conditional", "n_neighbors")]
-    return near.select(*kept, F.when(n >= min_neighbors, share).alias("p_up_conditional"), F.when(n >= min_neighbors, n.cast("long")).alias("n_neighbors"))
+    told = {"p_up_conditional": F.when(n >= min_neighbors, share), "n_neighbors": F.when(n >= min_neighbors, n.cast("long"))}
+    near = sliding_neighbours(queries, history, key, weights, k, ts, row_id, y, pool, block=block, told=told)
+    return near.select(*[F.col(f"row.{c}").alias(c) for c in queries.columns if c not in told], *told)

@@ -52,3 +52,13 @@ def test_budget_counts_equal_brute_force_without_trailing_frames(spark):
             me = rows[r.id]
             seen = lambda span: sum(1 for o in rows if own(me, o) and (o[2] is None if me[2] is None else o[2] is not None and 0 <= me[2] - o[2] <= span))
             assert (r.in_hour, r.in_day) == (seen(hour), seen(24 * hour))
+
+
+def test_neighbour_lists_are_not_shuffled_to_the_queries(spark):
+    from hindsail.operators.sliding import conditional_calibration_each
+
+    rows = spark.range(2000).select("id", (F.col("id") % 2).alias("k"), (F.lit(DAY).cast("timestamp_ntz") + F.expr("make_dt_interval(0, id)")).alias("ts"), (F.col("id") % 101).cast("double").alias("x"), (F.col("id") % 3 % 2).cast("int").alias("realized_up"))
+    out = conditional_calibration_each(rows.select("id", "k", "ts", "x"), rows, ["k"], {"x": 1.0})
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in line or line.lstrip(" :+-").startswith("Join")]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert joins and "transform(" in above.rsplit("Join", 1)[1]
