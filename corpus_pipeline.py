@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hindsail.llm import mixing, packing, pii, quality, simhash
 from hindsail.llm.common import if_few, read_table, unused, written
+from hindsail.llm.components import component_labels
 
 #: No stage but the second could be told in SQL, and all build on the first.
 ORACLE_SQL = None
@@ -21,15 +22,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id.
+    """One document of each group of near copies: the one with the smallest id. Texts are linked by SimHash (fingerprints at most 4 bits apart, the method), and texts too far apart for 64 bits by their shingle sets (five words, similarity 0.8); a group is what either reaches.
 
     Null and empty texts, and those of white space, are one group. Rows without
     an id, and rows that repeat id and text, are kept. docs may have columns of
     any name.
     """
     key, first = (unused(n, docs.columns) for n in ("text_key", "first_id"))
-    copies = simhash.near_copies(docs).select(F.col("key").alias(key), F.col("component_id").alias(first))
     keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    near = simhash.near_copies(docs)
+    # every text with its SimHash class, named by a text of it
+    texts = keyed.select(F.col(key).alias("doc_id"), "text")
+    alike = written(simhash.near_duplicates(texts).select(F.col("doc_id").alias("key"), F.col("component_id").alias("to")).distinct(), "alike")
+    named = near.groupBy("component_id").agg(F.min("key").alias("to"))
+    joined = near.join(named, "component_id").select("key", "to").union(alike)
+    labels = component_labels(joined.where("key <> to").select(F.col("key").alias("a"), F.col("to").alias("b")))
+    parts = near.join(labels, near["key"] == labels["node"], "left").select("key", "component_id", F.coalesce("label", "key").alias("part"))
+    smallest = parts.groupBy("part").agg(F.min("component_id").alias("smallest"))
+    copies = written(parts.join(smallest, "part").select(F.col("key").alias(key), F.col("smallest").alias(first)), "copies")
     # those that go, by id and text, so that a text of very many documents is no key of its own
     gone = keyed.select("doc_id", key).join(copies, key).where(F.col("doc_id") != F.col(first)).select("doc_id", key).distinct()
     return keyed.join(if_few(written(gone, "gone")), ["doc_id", key], "left_anti").select(*docs.columns)
