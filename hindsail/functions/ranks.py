@@ -95,3 +95,11 @@ def floor_quantile(df: DataFrame, key: Sequence[str], value: str, p: float, name
     """(key, name): the floor(n p)-th smallest value of each key, counted from 0, at most the last. Null values take no part."""
     known = _named(df, key, value, F.lit(1)).where("_v is not null")
     return _first(known, key, lambda upto, n: upto >= F.least(n, F.floor(n * F.lit(p)) + 1), name, parts, whole)
+
+
+def order_statistics(df: DataFrame, key: Sequence[str], value: str, places: Sequence[int], weight: str, parts: int = PARTS, whole: int = WHOLE) -> DataFrame:
+    """(key, at): each key's values at the places, counted from 0 in ascending order, as an array; a row counts `weight` times, a whole number. A place beyond the last row is null. Null values take no part."""
+    ks = _keys(key)
+    upto = _inside(*_cut(_named(df, key, value, F.col(weight)).where("_v is not null"), ks, parts, whole), ks)
+    found = upto.groupBy(*ks).agg(F.array(*[F.min(F.when(F.col("_upto") > p, F.col("_v"))) for p in places]).alias("at"))
+    return found.select(*[F.col(k).alias(own) for k, own in zip(ks, key)], "at")

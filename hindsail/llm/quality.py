@@ -7,26 +7,32 @@ pair's features. The threshold is a quantile of the labelled strengths, the
 share of bad labels, and strengths are mapped to scores from 0 to 1 so that
 the threshold lands on CUT.
 
-Training reads at most `max_labelled` labelled documents, taken in the hash
-order of their ids; only their features and the fitted weights pass through the
+Training reads every labelled document. Labelled rows of equal features and
+label are one row with a weight; these are dealt by hash into blocks of about
+BLOCK rows, and each row is compared with all rows of the other label in its
+block: up to BLOCK rows these are all preference pairs. The fit is Newton's
+method, one job a step that sums blocks; means, bin bounds and the threshold are
+exact over all labelled rows. Only sums and the fitted weights pass through the
 driver. Scoring is one pass over all documents without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices
+from ..functions.ranks import order_statistics
+from .common import FEW, Scratch, slices
 
 CUT = 0.3
-MAX_LABELLED = 20_000
-PAIRS = 40_000
 BINS = 6
+#: Labelled rows of a block, on average, and rows of the rarer label that a block has at least, on average, by copies if need be.
+BLOCK, RARER = 2048, 64
+RIDGE = 1e-3
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "bangs", "bars", "stops", "commas", "high", "spaces", "new_lines", "distinct_words", "distinct_lines", "same_next", "capitalised", "long_words")
 SYMBOLS = np.frombuffer(b"#$%&*@^~<>=+/\\{}[]_", np.uint8)
@@ -86,24 +92,58 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(lean, -40, 40)))
 
 
-def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 300, ridge: float = 1e-3, seed: int = 11) -> Ranker:
-    """Bradley-Terry by gradient descent with momentum on `pairs` preference pairs drawn from labelled rows. With one label only, or no rows, every score is CUT or more: nothing says that a document is bad."""
+def _terms(x: np.ndarray, good: np.ndarray, count: np.ndarray, w: np.ndarray, rows: int = 512) -> np.ndarray:
+    """Pairs, logistic loss, its slope and its curvature, in one array, summed over all pairs of a good and a bad row of a design matrix; a row counts `count` times."""
+    n, up, down = len(w), good == 1, good == 0
+    behind, weight = x[down], count[down]
+    pairs, loss, slope, curve = 0.0, 0.0, np.zeros(n), np.zeros((n, n))
+    for lo in range(0, int(up.sum()), rows):
+        ahead, many = x[up][lo : lo + rows], count[up][lo : lo + rows, None] * weight[None]
+        lead = (ahead @ w)[:, None] - (behind @ w)[None]
+        wrong = np.exp(-np.logaddexp(0, lead))
+        pairs, loss = pairs + many.sum(), loss + (many * np.logaddexp(0, -lead)).sum()
+        slope += (many * wrong).sum(axis=0) @ behind - (many * wrong).sum(axis=1) @ ahead
+        bend = many * wrong * (1 - wrong)
+        cross = ahead.T @ (bend @ behind)
+        curve += ahead.T @ (bend.sum(axis=1)[:, None] * ahead) + behind.T @ (bend.sum(axis=0)[:, None] * behind) - cross - cross.T
+    return np.concatenate([[pairs, loss], slope, curve.ravel()])
+
+
+def _minimise(terms: Callable[[np.ndarray], np.ndarray], n: int, ridge: float = RIDGE, rounds: int = 60) -> np.ndarray:
+    """Weights of least mean loss plus ridge, by Newton steps that are halved where they lead up. The optimum is unique; 9 decimals of it rest on no order of sums."""
+    w, best, step = np.zeros(n), np.inf, np.zeros(n)
+    for _ in range(rounds):
+        total = terms(w + step)
+        at = w + step
+        cost = total[1] / total[0] + ridge / 2 * (at @ at)
+        if cost > best + 1e-13:
+            step = step / 2
+            continue
+        slope = total[2 : 2 + n] / total[0] + ridge * at
+        w, best = at, cost
+        if np.abs(slope).max() < 1e-12:
+            break
+        step = -np.linalg.solve(total[2 + n :].reshape(n, n) / total[0] + ridge * np.eye(n), slope)
+        if np.abs(step).max() < 1e-11:
+            break
+    return np.round(w, 9)
+
+
+def _neutral(n: int = len(FEATURES)) -> Ranker:
+    return Ranker(np.zeros(n), np.ones(n), np.zeros((n, BINS - 1)), np.zeros(n * BINS), 0.0, 1.0)
+
+
+def fit(x: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> Ranker:
+    """Bradley-Terry on all preference pairs of rows held in arrays; train() does the same over tables. With one label only, or no rows, every score is CUT or more: nothing says that a document is bad."""
     n = x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)
-    better, worse = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
-    if not len(better) or not len(worse):
-        return Ranker(np.zeros(n), np.ones(n), np.zeros((n, BINS - 1)), np.zeros(n * BINS), 0.0, 1.0)
+    k = int((good == 0).sum())
+    if not k or not (good == 1).any():
+        return _neutral(n)
     edges = np.quantile(x, np.arange(1, BINS) / BINS, axis=0).T
     model = Ranker(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9), edges, np.zeros(n * BINS), 0.0, 1.0)
-    design, rng = model.design(x), np.random.default_rng(seed)
-    ahead, behind = rng.choice(better, pairs), rng.choice(worse, pairs)
-    gap = design[ahead] - design[behind]
-    speed, step = np.zeros_like(model.weights), 4 / max(1e-9, np.linalg.eigvalsh(gap.T @ gap / pairs)[-1])
-    for _ in range(rounds):
-        slope = -(gap.T @ (1 / (1 + np.exp(np.clip(gap @ model.weights, -40, 40))))) / pairs + ridge * model.weights
-        speed = 0.9 * speed - 0.25 * step * slope
-        model.weights = model.weights + speed
+    design = model.design(x)
+    model.weights = _minimise(lambda w: _terms(design, good, np.ones(len(x)), w), n * BINS, ridge)
     strengths = np.sort(design @ model.weights)
-    k = len(worse)
     model.threshold = float((strengths[k - 1] + strengths[min(k, len(strengths) - 1)]) / 2)
     model.width = float(max(np.std(strengths) / 2, 1e-9))
     return model
@@ -114,14 +154,81 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
-    """Ranker from documents that labels(doc_id, quality) marks and that are not held out. Labels other than 0 and 1 are left out; an id with two labels, or two documents, counts with each; at most max_labelled rows, by the hash of their id."""
-    known = labels.select(F.col("doc_id").alias("_id"), "quality").where(F.col("quality").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    order = (F.xxhash64("_id"), "_id", "quality")
-    picked = known.orderBy(*order).limit(max_labelled)
-    part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    rows = describe_all(part).join(picked, F.col("doc_id") == F.col("_id")).orderBy(*order, "features").limit(max_labelled).select("features", "quality").toPandas()
-    return fit(np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES)), rows["quality"].to_numpy())
+def _shape(rows: DataFrame, n: int) -> Ranker:
+    """Means, scales and bin bounds of n labelled rows; rows(features, n)."""
+    many = F.col("n").cast("double")
+    long = rows.select("n", F.posexplode("features").alias("i", "x"))
+    moments = long.groupBy("i").agg((F.sum(F.col("x") * many) / n).alias("mean"))
+    spread = long.join(F.broadcast(moments), "i").groupBy("i").agg(F.first("mean").alias("mean"), F.sqrt(F.sum(many * (F.col("x") - F.col("mean")) ** 2) / n).alias("std"))
+    at = np.arange(1, BINS) / BINS * (n - 1)
+    below = np.floor(at).astype(int)
+    places = sorted({int(p) for p in below} | {int(min(p + 1, n - 1)) for p in below})
+    found = {r.i: r for r in order_statistics(long, ["i"], "x", places, "n").collect()}
+    held = {r.i: r for r in spread.collect()}
+    edges = [[np.quantile([found[i].at[places.index(p)], found[i].at[places.index(min(p + 1, n - 1))]], a - p) for a, p in zip(at, below.tolist())] for i in range(len(FEATURES))]
+    mean, std = np.array([held[i].mean for i in range(len(FEATURES))]), np.array([held[i]["std"] for i in range(len(FEATURES))])
+    return Ranker(mean, np.maximum(std, 1e-9), np.array(edges), np.zeros(len(FEATURES) * BINS), 0.0, 1.0)
+
+
+def _blocks(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(items) of rows(features, quality, n): one row a block. Rows of the rarer label go to as many blocks as give each block RARER of them."""
+    blocks = -(-sum(sizes.values()) // BLOCK)
+    rare = min(sizes, key=lambda label: (sizes[label], label))
+    copies = min(blocks, -(-RARER * blocks // sizes[rare]))
+    own = F.pmod(F.xxhash64("features"), F.lit(blocks))
+    places = F.when(F.col("quality") == rare, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("_copy", F.explode(places)).withColumn("_block", F.pmod(own + F.col("_copy"), F.lit(blocks)))
+    return dealt.groupBy("_block").agg(F.collect_list(F.struct("features", "quality", "n")).alias("items")).select("items")
+
+
+def _summed(blocks: DataFrame, model: Ranker, w: np.ndarray) -> np.ndarray:
+    """_terms() summed over blocks: one job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + len(w) + len(w) ** 2)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                items = batch.column(0).slice(i, 1).flatten()
+                x = items.field("features").flatten().to_numpy(zero_copy_only=False).reshape(len(items), -1)
+                total += _terms(model.design(x), items.field("quality").to_numpy(zero_copy_only=False), items.field("n").to_numpy(zero_copy_only=False).astype(float), w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    sums = blocks.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    return sums.sort_values("i")["v"].to_numpy()
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
+    """Ranker from all documents that labels(doc_id, quality) marks and that are not held out. Labels other than 0 and 1 are left out; an id with two labels, or two documents, counts with each."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    ids, texts = known.select("_id").distinct(), docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if ids.count() <= FEW:  # beyond, features of all rows are joined, which are narrow, not texts
+        texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
+    scratch = Scratch(docs.sparkSession)
+    marked = describe_all(texts).join(known, F.col("doc_id") == F.col("_id"))
+    rows = scratch.put("labelled", marked.groupBy("features", "quality").agg(F.count("*").alias("n")))
+    counts = {r.quality: r for r in rows.groupBy("quality").agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).collect()}
+    if len(counts) < 2:
+        scratch.drop("labelled")
+        return _neutral()
+    n, k = counts[0].n + counts[1].n, counts[0].n
+    model = _shape(rows, n)
+    blocks = scratch.put("blocks", _blocks(rows, {label: r.distinct for label, r in counts.items()}))
+    model.weights = _minimise(lambda w: _summed(blocks, model, w), len(model.weights))
+    fitted = replace(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(fitted.strength(x), 12)), batch.column(1)], ["s", "n"])
+
+    strengths = scratch.put("strengths", rows.select("features", "n").mapInArrow(run, "s double, n long").withColumn("one", F.lit(1)))
+    places = sorted({k - 1, min(k, n - 1)})
+    edge = order_statistics(strengths, ["one"], "s", places, "n").first()["at"]
+    mean = strengths.agg(F.sum(F.col("s") * F.col("n")) / n).first()[0]
+    spread = strengths.agg(F.sqrt(F.sum(F.col("n") * (F.col("s") - mean) ** 2) / n)).first()[0]
+    model.threshold, model.width = (edge[0] + edge[-1]) / 2, float(np.round(max(spread / 2, 1e-9), 12))
+    scratch.drop("labelled", "blocks", "strengths")
+    return model
 
 
 def _scores(model: Ranker, texts: list[bytes | None]) -> np.ndarray:
