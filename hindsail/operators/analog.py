@@ -78,8 +78,8 @@ def neighbour_count(n):
 
 
 def with_outcomes(neighbours: DataFrame, prices: DataFrame, cfg: AnalogConfig) -> DataFrame:
-    """Neighbours that have a price near their time plus horizon, with return_pct."""
-    return forward_returns(neighbours, prices, ["series_id"], max(cfg.horizons), share=cfg.tolerance)
+    """Neighbours that have a price near their time plus horizon, with return_pct. One whose return is unknown, by a null price or one of 0, has no outcome."""
+    return forward_returns(neighbours, prices, ["series_id"], max(cfg.horizons), share=cfg.tolerance).where("return_pct is not null")
 
 
 def keys_of(rows: DataFrame, cfg: AnalogConfig) -> DataFrame:

@@ -10,6 +10,12 @@ NAMES = [
     "regime_anomaly",
     "regime_magnitude",
     "trend_strength",
+    "analog_forecast",
+    "analog_weighted",
+    "prediction_record",
+    "analog_context",
+    "forward_returns",
+    "trailing_volatility",
     # names
 ]
 
