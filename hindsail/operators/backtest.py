@@ -17,7 +17,8 @@ def walk_forward(rows: DataFrame, features: Sequence[str], k: int, warmup: Colum
     warmup: how many rows of a series ask for nothing, an expression over
     `_size`, its row count. stats: "none" compares values as they are, "prior"
     divides by the deviation of strictly earlier rows. A row with fewer than k
-    earlier rows is not forecast.
+    earlier rows is not forecast. A return that is unknown, by a null price or
+    one of 0, is left out of p_up, and a row's own one is no outcome: null.
     """
     w = Window.partitionBy(*key)
     order = w.orderBy(ts, tie)
@@ -42,9 +43,9 @@ def combined_warmup() -> Column:
 
 
 def backtest_summary(preds: DataFrame, key: Sequence[str] = ("series_id",), ts: str = "ts", digits: int = 3) -> DataFrame:
-    """(key, n_predictions, accuracy, brier_score, historical_up_rate, naive_baseline_brier, beats_naive_baseline, date_range_start, date_range_end), to so many digits. Squares are summed exactly to 12 decimals."""
+    """(key, n_predictions, accuracy, brier_score, historical_up_rate, naive_baseline_brier, beats_naive_baseline, date_range_start, date_range_end), to so many digits, of the rows that have a forecast and an outcome. Squares are summed exactly to 12 decimals."""
     hit = ((F.col("p_up") >= 0.5) == (F.col("realized_up") == 1)).cast("int")
-    s = preds.groupBy(*key).agg(F.count("*").alias("n_predictions"), F.avg(hit).alias("a"), mean_of(exact_sum((F.col("p_up") - F.col("realized_up")) ** 2), F.count("*")).alias("b"), F.avg("realized_up").alias("u"), F.min(ts).alias("date_range_start"), F.max(ts).alias("date_range_end"))
+    s = preds.where("p_up is not null and realized_up is not null").groupBy(*key).agg(F.count("*").alias("n_predictions"), F.avg(hit).alias("a"), mean_of(exact_sum((F.col("p_up") - F.col("realized_up")) ** 2), F.count("*")).alias("b"), F.avg("realized_up").alias("u"), F.min(ts).alias("date_range_start"), F.max(ts).alias("date_range_end"))
     naive = F.least(F.lit(0.25), F.col("u") * (1 - F.col("u")))
     return s.select(*key, "n_predictions", F.round("a", digits).alias("accuracy"), F.round("b", digits).alias("brier_score"), F.round("u", digits).alias("historical_up_rate"), F.round(naive, digits).alias("naive_baseline_brier"), (F.col("b") < naive).alias("beats_naive_baseline"), "date_range_start", "date_range_end")
 

@@ -16,6 +16,10 @@ NAMES = [
     "analog_context",
     "forward_returns",
     "trailing_volatility",
+    "backtest_combined",
+    "backtest_momentum",
+    "backtest_regime_split",
+    "backtest_single",
     # names
 ]
 
