@@ -20,7 +20,9 @@ NAMES = [
     "backtest_momentum",
     "backtest_regime_split",
     "backtest_single",
-    # names
+    "challenger_calibrated",
+    "challenger_forecast",
+    "prediction_columns",
 ]
 
 
