@@ -25,5 +25,5 @@ def test_single_distances(spark):
 
 
 def test_sql_rounds_whole_numbers():
-    for name in ("analog_forecast", "analog_context"):
+    for name in ("analog_forecast", "analog_context", "regime_anomaly"):
         assert "+ 500) // 1000" in oracle.ORACLE[name], name
