@@ -42,6 +42,8 @@ PROBES = 512
 REPLICAS, EDGE = 3, 1.01
 LINKS, BEAM, ENTRIES = 16, 24, 8
 MEMBER_BLOCK, QUERY_BLOCK = 1024, 256
+#: Distances that the driver holds at once when it fits centroids.
+CELLS = 1 << 22
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -67,13 +69,19 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
 
 
+def _at_once(n: int) -> int:
+    """Rows whose distances to n others are held at once."""
+    return max(16, min(4096, CELLS // max(1, n)))
+
+
 def balanced_centroids(sample: np.ndarray, n: int, rounds: int = 12, charge: float = 0.02, seed: int = 7) -> np.ndarray:
     """n centroids of k-means in which a cluster's fill, against the mean, raises its distance."""
     rng = np.random.default_rng(seed)
     centroids = sample[rng.choice(len(sample), n, replace=False)].astype(np.float32)
     extra, scale = np.zeros(n, np.float32), charge * float(_squares(sample[:256], centroids).min(1).mean() or 1)
+    step = _at_once(n)
     for _ in range(rounds):
-        nearest = np.concatenate([(_squares(sample[lo : lo + 4096], centroids) + extra).argmin(1) for lo in range(0, len(sample), 4096)])
+        nearest = np.concatenate([(_squares(sample[lo : lo + step], centroids) + extra).argmin(1) for lo in range(0, len(sample), step)])
         filled = np.bincount(nearest, minlength=n)
         extra += scale * np.clip(filled / filled.mean() - 1, -1, 3).astype(np.float32)
         order = np.argsort(nearest, kind="stable")
@@ -87,10 +95,11 @@ def linked(centroids: np.ndarray) -> np.ndarray:
     n = len(centroids)
     near = min(LINKS, n - 1)
     links = np.empty((n, near + 2), np.int32)
-    for lo in range(0, n, 1024):
-        far = _squares(centroids[lo : lo + 1024], centroids)
+    step = _at_once(n)
+    for lo in range(0, n, step):
+        far = _squares(centroids[lo : lo + step], centroids)
         far[np.arange(len(far)), np.arange(lo, lo + len(far))] = np.inf
-        links[lo : lo + 1024, :near] = np.argpartition(far, near - 1, axis=1)[:, :near] if near else 0
+        links[lo : lo + step, :near] = np.argpartition(far, near - 1, axis=1)[:, :near] if near else 0
     at = np.arange(n)
     links[:, near], links[:, near + 1] = (at + 1) % n, (at + n // 2) % n
     return links
@@ -164,16 +173,17 @@ def lists_of(x: np.ndarray, centroids: np.ndarray, links: np.ndarray) -> np.ndar
 
 def fitted(sample: np.ndarray, n: int, k: int = K) -> tuple[np.ndarray, np.ndarray, float]:
     """(centroids, links, ratio) for n vectors."""
-    sample = sample.astype(np.float32)
+    sample = np.asarray(sample, np.float32)
     centroids = balanced_centroids(sample, max(1, min(math.ceil(n / LIST), len(sample) // SAMPLE_EACH)))
     links = linked(centroids)
     probes = np.random.default_rng(11).choice(len(sample), min(PROBES, len(sample)), replace=False)
     asked, needed = sample[probes], []
-    for lo in range(0, len(probes) if len(sample) > 1 else 0, 64):
-        far = _squares(asked[lo : lo + 64], sample)
-        far[np.arange(len(far)), probes[lo : lo + 64]] = np.inf
+    step = min(64, _at_once(len(sample)))
+    for lo in range(0, len(probes) if len(sample) > 1 else 0, step):
+        far = _squares(asked[lo : lo + step], sample)
+        far[np.arange(len(far)), probes[lo : lo + step]] = np.inf
         best = np.argsort(far, axis=1)[:, : min(k, len(sample) - 1)]
-        to = np.sqrt(_squares(asked[lo : lo + 64], centroids))
+        to = np.sqrt(_squares(asked[lo : lo + step], centroids))
         held = lists_of(sample[best.reshape(-1)], centroids, links).reshape(*best.shape, -1)
         over = np.where(held >= 0, to[np.arange(len(to))[:, None, None], held], np.inf).min(2)
         needed.append((over / np.maximum(to.min(1, keepdims=True), 1e-12)).reshape(-1))
@@ -190,12 +200,29 @@ def clean(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
 
 def blocked(rows: DataFrame, size: int, name: str, *columns: str) -> DataFrame:
-    """(list, name): the rows of a list, as structs of columns, in blocks of about so many; a long list is many blocks."""
+    """(list, name): the rows of a list, as structs of columns, in blocks of about so many; a long list is many blocks. Lists are no more than centroids, so their counts are broadcast, and never the rows, whose number Spark can't tell."""
     parts = rows.groupBy("list").agg(F.ceil(F.count("*") / size).alias("parts"))
-    dealt = rows.join(parts, "list").withColumn("part", F.pmod(F.xxhash64(columns[0]), F.col("parts")))
+    dealt = rows.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64(columns[0]), F.col("parts")))
     return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
 
 
+def meet(index: DataFrame, to: DataFrame) -> DataFrame:
+    """(members, queries): every block of index(list, members) with every block of the queries to(list, q, v) of its list. Never by a broadcast: a query stands in many lists, and Spark takes their rows for as few as the queries."""
+    return index.join(blocked(to, QUERY_BLOCK, "queries", "q", "v").hint("merge"), "list").select("members", "queries")
+
+
+def gathered(vectors: DataFrame, width: int) -> np.ndarray:
+    """Column v of vectors on the driver, as coarse() makes it; sent as single floats."""
+    column = vectors.select(F.transform("v", lambda c: F.least(F.greatest(c, F.lit(-1e15)), F.lit(1e15)).cast("float")).alias("v")).toArrow().column("v")
+    out, at = np.empty((len(column), width), np.float32), 0
+    for chunk in column.chunks:
+        for lo in range(0, len(chunk), step := _at_once(width)):
+            part = coarse(matrix(chunk.slice(lo, step)), width)
+            out[at : at + len(part)] = part
+            at += len(part)
+    return out
+
+
 def score_block(queries: np.ndarray, members: np.ndarray, least_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, distances) of the k nearest members of each query, ties by id."""
     with np.errstate(over="ignore", invalid="ignore"):  # squares of huge components are infinite, and so are their distances
@@ -257,7 +284,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     width = entries.agg(F.max(F.size("v"))).first()[0] or 0
     size = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * max(1, width))))
     drawn = entries.where(F.pmod("h2", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * size / max(1, n)))).select("h1", "v").orderBy("h1").limit(size)
-    sample = coarse(matrix(drawn.toArrow().column("v").combine_chunks()), width)
+    sample = gathered(drawn, width)
     if not len(sample):
         return plain.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     centroids, links, ratio = fitted(sample, n, k)
@@ -288,8 +315,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     asked = tables.put("asked", entries.join(askers.select("h1", "h2").distinct(), ["h1", "h2"]).select(F.col("g").alias("q"), "h1", "h2", "v"))
 
     def search(tag: str, to: DataFrame) -> DataFrame:
-        met = index.join(blocked(to, QUERY_BLOCK, "queries", "q", "v"), "list").select("members", "queries")
-        found = ask(met, k + 1).repartition("q").groupBy("q", "vec_id", "row").agg(F.min("score").alias("score"))
+        found = ask(meet(index, to), k + 1).repartition("q").groupBy("q", "vec_id", "row").agg(F.min("score").alias("score"))
         best = Window.partitionBy("q").orderBy("score", "vec_id", "row")
         return tables.put(tag, found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"))
 

@@ -110,3 +110,21 @@ def test_whole_table(spark, sf):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = exact(rows)
     assert sum(len({i for _, i in near} & got[q]) for q, near in want) >= 0.9 * 10 * len(want)
+
+
+def test_queries_of_many_lists_are_not_broadcast(spark):
+    """Spark takes what an explode or a Python function makes of few rows for few rows."""
+    index = spark.range(3).select(F.col("id").cast("int").alias("list"), F.array(F.struct(F.col("id").alias("g"), F.array(F.lit(1.0)).alias("v"), F.array(F.struct(F.col("id").alias("vec_id"), F.col("id").alias("row"))).alias("ids"))).alias("members"))
+    to = spark.range(40).select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("list"), F.col("id").alias("q"), F.array(F.lit(0.5)).alias("v"))
+    met = ann.meet(index, to)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastExchange") == 1  # of the lists' counts
+    assert sorted((r.m, r.q) for r in met.select(F.explode("queries.q").alias("q"), F.col("members")[0]["g"].alias("m")).collect()) == [(m, q) for m in range(3) for q in range(40)]
+
+
+def test_fitting_holds_few_distances_at_once(monkeypatch):
+    x, held, squares = np.random.default_rng(9).normal(size=(6000, 4)).astype(np.float32), [], ann._squares
+    monkeypatch.setattr(ann, "CELLS", 1 << 17)
+    monkeypatch.setattr(ann, "_squares", lambda a, b: held.append(len(a) * len(b)) or squares(a, b))
+    ann.fitted(x, 600_000)
+    assert max(held) <= max(1 << 17, 256 * 1500, 16 * 6000)  # the charge's scale is of 256 rows, the rest in steps
