@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, counted
 
 
 def component_labels(links: DataFrame) -> DataFrame:
@@ -27,12 +27,13 @@ def component_labels(links: DataFrame) -> DataFrame:
     stale, step = ["links"], 0
     while not both.isEmpty():
         near = tables.put(f"near{step}", both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        n = near.count()  # a row for each name
         further = near.select(F.col("a").alias("to"), F.col("to").alias("new"))
-        renamed = tables.put(f"renamed{step}", near.join(further, "to").select("a", "new"))
-        names = names.join(renamed, names["label"] == renamed["a"], "left").select("node", F.coalesce("new", "label").alias("label"))
+        renamed = tables.put(f"renamed{step}", near.join(counted(further, n), "to").select("a", "new"))
+        names = names.join(counted(renamed, n), names["label"] == renamed["a"], "left").select("node", F.coalesce("new", "label").alias("label"))
         names = tables.put(f"names{step}", names)
         head, tail = renamed.select("a", F.col("new").alias("x")), renamed.select(F.col("a").alias("b"), F.col("new").alias("y"))
-        moved = both.join(head, "a").join(tail, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        moved = both.join(counted(head, n), "a").join(counted(tail, n), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         both = tables.put(f"links{step}", moved)
         tables.drop(*stale, f"near{step}", f"renamed{step}")
         stale, step = [f"names{step}", f"links{step}"], step + 1

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, if_few, slices
+from .common import Scratch, counted, if_few, slices
 from .components import component_labels
 
 MAX_BITS = 4
@@ -120,13 +120,14 @@ def postings(nodes: DataFrame, width: int) -> DataFrame:
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = nodes.repartition(parts, "fp").select("fp", "n", sets.alias("p")).select(F.col("p.at").alias("at"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("bytes"), "fp", "n")
     lists = spread.groupBy("at", "bytes").agg(F.count("*").alias("listed"), F.max_by("fp", "n").alias("hub")).where("listed > 1")
-    return spread.join(lists, ["at", "bytes"]).select("at", "bytes", "fp", "n", "listed", "hub")
+    # Spark takes the rows of spread for as few as the nodes, and would broadcast them
+    return spread.join(lists.hint("merge"), ["at", "bytes"]).select("at", "bytes", "fp", "n", "listed", "hub")
 
 
 def links(index: DataFrame) -> DataFrame:
     """Verified links (a, b) from the lists of at most SHORT, each pair once, and from each longer list's hub to its members."""
     short = index.where(F.col("listed") <= SHORT).select("at", "bytes", "fp")
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.fp") < F.col("y.fp")))
+    pairs = short.alias("x").join(counted(short).alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.fp") < F.col("y.fp")))
     near = pairs.where(_near(F.col("x.fp").bitwiseXOR(F.col("y.fp"))))
     star = index.where((F.col("listed") > SHORT) & (F.col("fp") != F.col("hub")) & _near(F.col("fp").bitwiseXOR(F.col("hub"))))
     return near.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(star.select("hub", "fp")).distinct()
@@ -134,9 +135,10 @@ def links(index: DataFrame) -> DataFrame:
 
 def _named(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     """df with the label of each of these columns beside it; what has none is its own label."""
+    n = labels.count()
     for c in columns:
         own = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-        df = df.join(own, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+        df = df.join(counted(own, n), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
     return df
 
 
@@ -159,7 +161,7 @@ def components(prints: DataFrame, width: int | None = None) -> DataFrame:
     while not (more := tables.put(f"more{step}", cross_links(index, labels))).isEmpty():
         labels, step = component_labels(found := found.union(more)), step + 1
     tables.drop("postings")
-    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("part"))
+    named = nodes.join(counted(labels), nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("part"))
     smallest = named.groupBy("part").agg(F.min("first").alias("label"))
     return named.join(smallest, "part").select("fp", "label")
 
@@ -226,7 +228,9 @@ def suspects(rows: DataFrame, similarity: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets(node, s) that have at least this Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    # sets of like texts are far smaller as files than in memory
+    ends = [sets.select(F.col("node").alias(end), F.col("s").alias(s)).hint("merge") for end, s in (("a", "x"), ("b", "y"))]
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -246,7 +250,7 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     common = spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     # rounding may only lengthen a prefix
     length = F.col("z") - F.ceil(F.col("z") * similarity - 1e-6) + 1
-    held = spread.join(common, "h").groupBy("node").agg(F.first("z").alias("z"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("c"))
+    held = spread.join(common.hint("merge"), "h").groupBy("node").agg(F.first("z").alias("z"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("c"))
     held = held.withColumn("own", F.col("z") - F.size("c")).withColumn("asked", (length - F.col("own")).cast("int")).where("asked > 0")
     first = F.posexplode(F.slice("c", F.lit(1), F.col("asked"))).alias("i", "p")
     return held.select("node", "z", "own", first).select(F.col("p.h").alias("h"), (F.col("own") + F.col("i") + 1).alias("at"), "node", "z", "own")
@@ -265,7 +269,7 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     tables = Scratch(sets.sparkSession)
     members = tables.put("members", _prefixes(sets, similarity))
     lists = members.groupBy("h").agg(F.count("*").alias("listed"), F.min(F.struct((F.col("own") / F.col("z")).alias("share"), "node", "at", "z")).alias("hub")).where("listed > 1")
-    index = tables.put("index", members.join(lists, "h").select("h", "at", "node", "z", F.col("hub.node").alias("hub"), F.col("hub.at").alias("hub_at"), F.col("hub.z").alias("hub_z")))
+    index = tables.put("index", members.join(counted(lists, members.count()), "h").select("h", "at", "node", "z", F.col("hub.node").alias("hub"), F.col("hub.at").alias("hub_at"), F.col("hub.z").alias("hub_z")))
     tables.drop("members")
 
     def alike(at: str, z: str, other_at: str, other_z: str) -> Column:
@@ -281,11 +285,11 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     while True:
         labels = component_labels(found)
         named = tables.put(f"named{step}", _named(index.select("h", "at", "node", "z", "hub"), labels, "node", "hub"))
-        x, y = named.where("node_label <> hub_label").alias("x"), named.alias("y")
+        x, y = counted(named.where("node_label <> hub_label")).alias("x"), named.alias("y")
         meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.node_label") != F.col("y.node_label")) & alike("x.at", "x.z", "y.at", "y.z")
         # a pair of which both are outside is met from one side
         side = (F.col("y.node_label") == F.col("y.hub_label")) | (F.col("x.node") < F.col("y.node"))
-        again = tables.put(f"tried{step}", ordered(x.join(y, meet & side), "x.node", "y.node").join(tried, ["a", "b"], "left_anti"))
+        again = tables.put(f"tried{step}", ordered(x.join(y, meet & side), "x.node", "y.node").join(counted(tried), ["a", "b"], "left_anti"))
         tables.drop(f"named{step}")
         more = tables.put(f"more{step}", _verified(again, sets, similarity))
         if more.isEmpty():
@@ -331,10 +335,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = similar_sets(sets.select("node", "s"), similarity)
     texts = tables.put("texts", rows.groupBy("key").agg(F.min("doc_id").alias("first")))
     tables.drop("rows", "suspects")
-    parts = _named(sets.select("key", "node").groupBy("key").agg(F.min("node").alias("node")), labels, "node").join(texts, "key")
+    parts = _named(sets.select("key", "node").groupBy("key").agg(F.min("node").alias("node")), labels, "node").join(counted(texts), "key")
     smallest = parts.groupBy("node_label").agg(F.min("first").alias("label"))
     moved = tables.put("moved", parts.join(smallest, "node_label").select("key", F.col("label").alias("component_id")))
     # a table, so that Spark can split a text's rows where they are joined to it
-    copies = tables.put("copies", texts.join(moved, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id")))
+    copies = tables.put("copies", texts.join(counted(moved), "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id")))
     tables.drop("sets", "texts", "moved")
     return copies
