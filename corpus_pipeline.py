@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hindsail.llm import mixing, packing, pii, quality, simhash
-from hindsail.llm.common import if_few, read_table, unused, written
+from hindsail.llm.common import counted, if_few, read_table, unused, written
 from hindsail.llm.components import component_labels
 
 #: No stage but the second could be told in SQL, and all build on the first.
@@ -35,9 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts = keyed.select(F.col(key).alias("doc_id"), "text")
     alike = written(simhash.near_duplicates(texts).select(F.col("doc_id").alias("key"), F.col("component_id").alias("to")).distinct(), "alike")
     named = near.groupBy("component_id").agg(F.min("key").alias("to"))
-    joined = near.join(named, "component_id").select("key", "to").union(alike)
+    joined = near.join(counted(named, near.count()), "component_id").select("key", "to").union(alike)
     labels = component_labels(joined.where("key <> to").select(F.col("key").alias("a"), F.col("to").alias("b")))
-    parts = near.join(labels, near["key"] == labels["node"], "left").select("key", "component_id", F.coalesce("label", "key").alias("part"))
+    parts = near.join(counted(labels), near["key"] == labels["node"], "left").select("key", "component_id", F.coalesce("label", "key").alias("part"))
     smallest = parts.groupBy("part").agg(F.min("component_id").alias("smallest"))
     copies = written(parts.join(smallest, "part").select(F.col("key").alias(key), F.col("smallest").alias(first)), "copies")
     # those that go, by id and text, so that a text of very many documents is no key of its own
