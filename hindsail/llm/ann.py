@@ -199,16 +199,18 @@ def clean(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     return vectors.where(fine).select(F.col(id_col).alias("vec_id"), x.alias("v"), is_query.alias("asks")).withColumn("row", F.monotonically_increasing_id())
 
 
-def blocked(rows: DataFrame, size: int, name: str, *columns: str) -> DataFrame:
-    """(list, name): the rows of a list, as structs of columns, in blocks of about so many; a long list is many blocks. Lists are no more than centroids, so their counts are broadcast, and never the rows, whose number Spark can't tell."""
+def blocked(rows: DataFrame, size: int, name: str, *columns: str, together: bool = False) -> DataFrame:
+    """(list, name): the rows of a list, as structs of columns, in blocks of about so many; a long list is many blocks. Lists are no more than centroids, so their counts are broadcast, and never the rows, whose number Spark can't tell. together: the blocks of a list lie in one partition, so that a join on lists deals nothing out again."""
     parts = rows.groupBy("list").agg(F.ceil(F.count("*") / size).alias("parts"))
     dealt = rows.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64(columns[0]), F.col("parts")))
+    if together:
+        dealt = dealt.repartition("list")
     return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
 
 
 def meet(index: DataFrame, to: DataFrame) -> DataFrame:
     """(members, queries): every block of index(list, members) with every block of the queries to(list, q, v) of its list. Never by a broadcast: a query stands in many lists, and Spark takes their rows for as few as the queries."""
-    return index.join(blocked(to, QUERY_BLOCK, "queries", "q", "v").hint("merge"), "list").select("members", "queries")
+    return index.join(blocked(to, QUERY_BLOCK, "queries", "q", "v", together=True).hint("merge"), "list").select("members", "queries")
 
 
 def gathered(vectors: DataFrame, width: int) -> np.ndarray:

@@ -119,6 +119,7 @@ def test_queries_of_many_lists_are_not_broadcast(spark):
     met = ann.meet(index, to)
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastExchange") == 1  # of the lists' counts
+    assert plan.count("Exchange hashpartitioning") == 3  # the counts, the queries once, the index
     assert sorted((r.m, r.q) for r in met.select(F.explode("queries.q").alias("q"), F.col("members")[0]["g"].alias("m")).collect()) == [(m, q) for m in range(3) for q in range(40)]
 
 
